@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import decontam
+from tidepanel.llm import bpe, decontam
 from tidepanel.session import table
 
 
@@ -14,8 +14,20 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def word_vocabulary() -> str:
+    """The path of the vocabulary file, which every machine has in the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_winnowing": op9_winnowing,
+    "op10_merge_rounds": op10_merge_rounds,
 }
 
 ORACLE_SQL: dict[str, str] = {}
