@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, decontam
+from tidepanel.llm import bpe, decontam, token_store
 from tidepanel.session import table
 
 
@@ -25,7 +25,13 @@ def op10_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op4_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.write_store(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=2)
+    return token_store.documents_of(token_store.read_store(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_wavelet_matrix": op4_wavelet_matrix,
     "op9_winnowing": op9_winnowing,
     "op10_merge_rounds": op10_merge_rounds,
 }
