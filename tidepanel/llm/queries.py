@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, decontam, token_store
+from tidepanel.llm import bpe, decontam, flac_media, token_store
 from tidepanel.session import table
 
 
@@ -30,8 +30,13 @@ def op4_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.documents_of(token_store.read_store(spark, folder))
 
 
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_media.media_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_wavelet_matrix": op4_wavelet_matrix,
+    "op6_flac": op6_flac,
     "op9_winnowing": op9_winnowing,
     "op10_merge_rounds": op10_merge_rounds,
 }
