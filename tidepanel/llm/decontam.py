@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.session import cut
+
 WINDOW = 13
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
@@ -119,7 +121,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spans = contaminated_spans(docs, benchmark, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text)
+    # Read twice below, and far smaller than the texts that it comes from.
+    spans = cut(contaminated_spans(docs, benchmark, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text))
     key = ["_doc", "_text"]
     hit = spans.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("_at")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
     items = spans.select(*key, F.col("_item").cast("string").alias("_item")).distinct().groupBy(*key).agg(
