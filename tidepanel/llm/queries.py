@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, decontam, flac_media, token_store
+from tidepanel.llm import bpe, decontam, flac_media, simhash, token_store
 from tidepanel.session import table
 
 
@@ -34,7 +34,13 @@ def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op4_wavelet_matrix": op4_wavelet_matrix,
     "op6_flac": op6_flac,
     "op9_winnowing": op9_winnowing,
