@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontam, flac_media, simhash, token_store
+from tidepanel.llm import bpe, decontam, flac_media, ngram_quality, simhash, token_store
 from tidepanel.session import table
 
 
@@ -39,8 +40,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return ngram_quality.judge(scored).select("doc_id", "lang", "n_grams", F.round("perplexity", 6).alias("perplexity"), F.round("cut", 6).alias("cut"), "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_kneser_ney": op2_kneser_ney,
     "op4_wavelet_matrix": op4_wavelet_matrix,
     "op6_flac": op6_flac,
     "op9_winnowing": op9_winnowing,
