@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontam, flac_media, ngram_quality, simhash, token_store
+from tidepanel.llm import bpe, decontam, flac_media, ngram_quality, simhash, token_store, toxicity
 from tidepanel.session import table
 
 
@@ -45,11 +45,16 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.judge(scored).select("doc_id", "lang", "n_grams", F.round("perplexity", 6).alias("perplexity"), F.round("cut", 6).alias("cut"), "rejected")
 
 
+def op7_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_kneser_ney": op2_kneser_ney,
     "op4_wavelet_matrix": op4_wavelet_matrix,
     "op6_flac": op6_flac,
+    "op7_convolution": op7_convolution,
     "op9_winnowing": op9_winnowing,
     "op10_merge_rounds": op10_merge_rounds,
 }
