@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontam, flac_media, ngram_quality, simhash, token_store, toxicity
+from tidepanel.llm import bpe, decontam, flac_media, hilbert, ngram_quality, simhash, token_store, toxicity
 from tidepanel.session import table
 
 
@@ -49,12 +49,19 @@ def op7_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_kneser_ney": op2_kneser_ney,
     "op4_wavelet_matrix": op4_wavelet_matrix,
     "op6_flac": op6_flac,
     "op7_convolution": op7_convolution,
+    "op8_hilbert": op8_hilbert,
     "op9_winnowing": op9_winnowing,
     "op10_merge_rounds": op10_merge_rounds,
 }
