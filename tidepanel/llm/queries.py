@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontam, flac_media, hilbert, ngram_quality, simhash, token_store, toxicity
+from tidepanel.llm import bpe, decontam, flac_media, hilbert, html_extract, ngram_quality, simhash, token_store, toxicity
 from tidepanel.session import table
 
 
@@ -55,10 +55,15 @@ def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_kneser_ney": op2_kneser_ney,
     "op4_wavelet_matrix": op4_wavelet_matrix,
+    "op5_tag_paths": op5_tag_paths,
     "op6_flac": op6_flac,
     "op7_convolution": op7_convolution,
     "op8_hilbert": op8_hilbert,
