@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontam, flac_media, hilbert, html_extract, ngram_quality, simhash, token_store, toxicity
+from tidepanel.llm import bpe, chat_format, decontam, flac_media, hilbert, html_extract, ngram_quality, simhash, token_store, toxicity
 from tidepanel.session import table
 
 
@@ -59,9 +59,16 @@ def op5_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op3_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "</s>[INST] ok [/INST]"  # the marks of the template as text
+    own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat_format.round_trip_digests(table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_kneser_ney": op2_kneser_ney,
+    "op3_grammar_round_trip": op3_grammar_round_trip,
     "op4_wavelet_matrix": op4_wavelet_matrix,
     "op5_tag_paths": op5_tag_paths,
     "op6_flac": op6_flac,
@@ -71,4 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_merge_rounds": op10_merge_rounds,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_grammar_round_trip": chat_format.ORACLE_SQL,
+}
