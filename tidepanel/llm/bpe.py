@@ -8,7 +8,7 @@ the sorted pair keys, takes the lowest rank of each word, merges its occurrences
 aside. Merging all occurrences of a word's lowest pair at once equals the one-by-one order, because a merge that
 uses a new symbol always ranks after the merge that made it.
 
-Scale: a map without shuffle. A worker keeps a table of chunks of at most MAX_CHUNKS entries, then starts anew.
+Scale: a map without shuffle. A worker keeps tables of about MAX_CHUNKS chunks and words; when one is full, the half met later goes.
 
 Cases: null is the empty text, which has no ids and decodes to the empty text; texts of any length are encoded whole;
 the strings of special tokens inside a text become those tokens, as the vocabulary file says.
@@ -20,6 +20,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from tidepanel.llm.shared import add_columns
 
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 300_000
 NEVER = np.iinfo(np.int32).max
 #: How the vocabulary splits text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -73,11 +74,7 @@ class Vocabulary:
         for text, i in [*ids.items(), *self.special.items()]:
             self.token[i] = text.encode()
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.chunks = _Table()
-        self.words = _Table()
+        self.chunks, self.words = _Table(), _Table()
         self.word_ids, self.word_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
         self.chunk_ids, self.chunk_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
@@ -149,7 +146,9 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, one after another, and each text's number of ids."""
         if len(self.chunks) > MAX_CHUNKS:
-            self.clear()
+            self.chunks, self.chunk_ids, self.chunk_at = older_half(self.chunks, self.chunk_ids, self.chunk_at)
+        if len(self.words) > MAX_CHUNKS:
+            self.words, self.word_ids, self.word_at = older_half(self.words, self.word_ids, self.word_at)
         cut = [chunks_of(t) for t in texts]
         index = [np.fromiter(map(self.chunks.__getitem__, c), np.int64, len(c)) for c in cut]
         if self.chunks.new:
@@ -181,6 +180,14 @@ class _Table(dict):
         return n
 
 
+def older_half(table: _Table, ids: np.ndarray, at: np.ndarray) -> tuple[_Table, np.ndarray, np.ndarray]:
+    """The half of a table that was met first: frequent keys are among it."""
+    n = len(table) // 2
+    kept = _Table()
+    kept.update(zip(islice(table, n), range(n)))
+    return kept, ids[: at[n]].copy(), at[: n + 1].copy()
+
+
 def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """values[start : start + size] of every range, one after another."""
     ends = np.cumsum(size)

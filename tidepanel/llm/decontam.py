@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm.shared import without
 from tidepanel.session import cut
 
 WINDOW = 13
@@ -142,5 +143,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFr
     doc_id, text = names.get("doc_id", "doc_id"), names.get("text", "text")
     bad = contamination_report(docs.select(doc_id, text), benchmark, **names)
     # The report keeps doc_id only, so rows are matched on the id; rows that share an id go together.
-    bad = bad.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
+    return without(docs, bad.filter("contaminated").select("doc_id"), doc_id)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepanel.llm.shared import without
 from tidepanel.session import shared_dir
 
 ORDER = 5
@@ -270,5 +271,4 @@ def judge(scored: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", **names: str) -> DataFrame:
     """The rows of `docs` that are not rejected; of rows that share an id none stays if one is rejected."""
     judged = judge(score(docs, labels, doc_id=doc_id, **names))
-    bad = judged.filter("rejected").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
+    return without(docs, judged.filter("rejected").select("doc_id"), doc_id)

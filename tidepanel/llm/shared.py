@@ -7,10 +7,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepanel.session import cut
+
 SLICE_BYTES = 4 << 20  # text that a task works on at once; memory, not results, depends on it
 
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of `docs` whose id isn't in the one column of `ids`; a null id is a value.
+
+    The ids are counted; up to BROADCAST_IDS go to where the documents are, more of them meet the documents by shuffle.
+    """
+    bad = cut(ids.toDF("_bad").distinct())
+    few = bad.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(bad) if few else bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
+
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string or binary column with about `limit` bytes each; a longer value stands alone."""

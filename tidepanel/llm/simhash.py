@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.llm.components import connected_components
-from tidepanel.llm.shared import add_columns
+from tidepanel.llm.shared import add_columns, without
 from tidepanel.session import cut
 
 SHINGLE = 3
@@ -258,7 +258,12 @@ def hex_digits(fp: str) -> Column:
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group; of rows that share that id one stays."""
-    groups = near_duplicate_groups(docs, doc_id=doc_id, text=text, size=size, radius=radius)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([doc_id])
+    """The rows of `docs` whose id is the smallest of its group; of rows that share that id one stays, of those without id all."""
+    groups = cut(near_duplicate_groups(docs, doc_id=doc_id, text=text, size=size, radius=radius))
+    kept = without(docs, groups.filter("doc_id <> component_id").select("doc_id"), doc_id)
+    shared = cut(groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id")))
+    if shared.isEmpty():
+        return kept
+    # Only rows that share an id are gathered by it.
+    twins = kept.join(shared, kept[doc_id] == shared["_id"], "left_semi").dropDuplicates([doc_id])
+    return without(kept, shared, doc_id).unionByName(twins)

@@ -27,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.llm.bpe import _Table, chunks_of, gather
+from tidepanel.llm.bpe import Vocabulary
 from tidepanel.llm.shared import add_columns
 from tidepanel.session import shared_dir
 
 BLOCK = 512
 SHARD_BYTES = 8 << 20
-MAX_CHUNKS = 400_000
 MAGIC = b"WVM1"
 
 
@@ -159,34 +159,26 @@ class WaveletMatrix:
         return np.sort(at)
 
 
-class _Encoder:
-    """The tokenizers library behind a table of chunks: no token of this vocabulary crosses ASCII white space."""
+class _Encoder(Vocabulary):
+    """The tokenizers library behind tables of chunks and words, so that it meets each word once.
+
+    A word comes normalized and split as the vocabulary file says; the library gets the words only.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        super().__init__(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.clear()
-
-    def clear(self) -> None:
-        self.chunks, self.ids, self.at = _Table(), np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.chunks) > MAX_CHUNKS:
-            self.clear()
-        cut = [chunks_of(t) for t in texts]
-        index = np.concatenate([np.fromiter(map(self.chunks.__getitem__, c), np.int64, len(c)) for c in cut])
-        if new := self.chunks.new:
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.at = np.append(self.at, self.at[-1] + np.cumsum([len(m) for m in made]))
-            self.ids = np.append(self.ids, np.fromiter((i for m in made for i in m), np.uint32))
-            self.chunks.new = []
-        size = self.at[index + 1] - self.at[index]
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        return gather(self.ids, self.at[index], size), np.add.reduceat(size, np.cumsum(n) - n)
+        self.tokenizer.normalizer = normalizers.Sequence([])
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
 
 
 @lru_cache(maxsize=2)
@@ -195,11 +187,11 @@ def _encoder(path: str) -> _Encoder:
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Columns doc_id, n (ids with the end id) and packed (their low and high halves, each 16-bit, packed)."""
+    """Columns doc_id, n (ids with the end id) and packed (their bytes, all first ones first, compressed)."""
     added = T.StructType([T.StructField("n", T.LongType()), T.StructField("packed", T.BinaryType())])
 
     def work(texts: list) -> list[pa.Array]:
-        flat, n = _encoder(path)([t or "" for t in texts])
+        flat, n = _encoder(path).encode([t or "" for t in texts])
         ends, codec, packed = np.cumsum(n), pa.Codec("zstd", 1), []
         for first, last in zip(ends - n, ends):
             own = np.append(flat[first:last], np.uint32(end_id)).astype("<u4")
