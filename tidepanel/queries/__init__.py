@@ -1,4 +1,5 @@
 """Named queries over the driver's tables, each beside the SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidepanel.queries import features  # noqa: F401  modules register what they define
+from tidepanel.queries.features import flagship  # noqa: F401
+from tidepanel.queries.registry import ORACLE_SQL, QUERIES  # noqa: F401
