@@ -24,6 +24,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,11 @@ from pyspark.sql import types as T
 
 from tidepanel.llm.shared import add_columns
 
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 250_000
+LEARN_AT_ONCE = 20_000
 NEVER = np.iinfo(np.int32).max
-#: How the vocabulary splits text into words.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: How the vocabulary splits text into words; the line end stands between chunks here.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+|\n")
 SPACES = "\t\n\x0b\x0c\r"
 
 
@@ -45,12 +47,6 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-def chunks_of(text: str) -> list[str]:
-    for space in SPACES:
-        text = text.replace(space, " ")
-    return text.split(" ")
-
-
 class Vocabulary:
     """The tables of one vocabulary file."""
 
@@ -111,57 +107,65 @@ class Vocabulary:
         return np.concatenate(done_symbol)[np.argsort(word, kind="stable")].astype(np.uint32), np.bincount(word, minlength=len(raw))
 
     def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of new chunks and each chunk's number of ids. Special tokens are negative word numbers meanwhile."""
-        index, count = [], []
-        for chunk in chunks:
-            n = 0
-            for part in self.marks.split(chunk) if self.marks and "<" in chunk else [chunk]:
-                if part in self.special:
-                    index.append(-1 - self.special[part])
-                    n += 1
-                    continue
-                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                found = WORDS.findall(plain.lower())
-                index.extend(map(self.words.__getitem__, found))
-                n += len(found)
-            count.append(n)
+        """The ids of new chunks, one after another, and each chunk's number of ids."""
+        marked = [i for i, c in enumerate(chunks) if "<" in c and self.marks.search(c)] if self.marks else []
+        if marked:
+            parts, at = [], 0
+            for i in [*marked, len(chunks)]:
+                if i > at:
+                    parts.append(self.learn(chunks[at:i]))
+                if i < len(chunks):
+                    own = self._with_marks(chunks[i])
+                    parts.append((own, np.array([len(own)])))
+                at = i + 1
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        text = "\n".join(chunks)  # no chunk has this sign
+        if not text.isascii():
+            text = "\n".join(unicodedata.normalize("NFC", c) for c in chunks).replace("Σ", "σ")
+        found = WORDS.findall(text.lower())
+        index = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
         if self.words.new:
-            ids, size = self.merge(self.words.new)
+            own = [w for w in self.words.new if w != "\n"]
+            ids, size = self.merge(own) if own else (np.empty(0, np.uint32), np.empty(0, np.int64))
+            if len(own) < len(self.words.new):  # the sign between chunks has no ids
+                size = np.insert(size, self.words.new.index("\n"), 0)
             self.words.new = []
             self.word_at = np.append(self.word_at, self.word_at[-1] + np.cumsum(size))
             self.word_ids = np.append(self.word_ids, ids)
-        index, count = np.array(index, np.int64), np.array(count, np.int64)
-        known = np.maximum(index, 0)
-        if not len(self.words):
-            size, ids = np.ones(len(index), np.int64), (-1 - index).astype(np.uint32)
-        else:
-            size = np.where(index < 0, 1, self.word_at[known + 1] - self.word_at[known])
-            ids = gather(self.word_ids, self.word_at[known], size)
-            if (index < 0).any():
-                where = np.cumsum(size) - size
-                ids[where[index < 0]] = -1 - index[index < 0]
-        total = np.add.reduceat(np.append(size, 0), np.minimum(np.cumsum(count) - count, len(size))) * (count > 0) if len(count) else count
-        return ids, total
+        size = self.word_at[index + 1] - self.word_at[index]
+        between = np.flatnonzero(index == self.words.get("\n", -1))
+        ends = np.append(0, np.cumsum(size))
+        return gather(self.word_ids, self.word_at[index], size), np.diff(ends[np.append(between, len(index))], prepend=0)
+
+    def _with_marks(self, chunk: str) -> np.ndarray:
+        parts = self.marks.split(chunk)
+        return np.concatenate([np.array([self.special[p]], np.uint32) if p in self.special else self.learn([p])[0] for p in parts if p])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, one after another, and each text's number of ids."""
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(self.chunks) > MAX_CHUNKS:
             self.chunks, self.chunk_ids, self.chunk_at = older_half(self.chunks, self.chunk_ids, self.chunk_at)
         if len(self.words) > MAX_CHUNKS:
             self.words, self.word_ids, self.word_at = older_half(self.words, self.word_ids, self.word_at)
-        cut = [chunks_of(t) for t in texts]
-        index = [np.fromiter(map(self.chunks.__getitem__, c), np.int64, len(c)) for c in cut]
-        if self.chunks.new:
-            ids, size = self.learn(self.chunks.new)
-            self.chunks.new = []
+        # Arrow cuts the texts and finds the different chunks among them; only those become Python strings.
+        column = pa.array(texts, pa.string())
+        for space in SPACES:
+            column = pc.replace_substring(column, space, " ")
+        cut = pc.split_pattern(column, " ")
+        coded = cut.flatten().dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = np.fromiter(map(self.chunks.__getitem__, different), np.int64, len(different))
+        new, self.chunks.new = self.chunks.new, []
+        for at in range(0, len(new), LEARN_AT_ONCE):
+            ids, size = self.learn(new[at : at + LEARN_AT_ONCE])
             self.chunk_at = np.append(self.chunk_at, self.chunk_at[-1] + np.cumsum(size))
             self.chunk_ids = np.append(self.chunk_ids, ids)
-        if not cut:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
-        flat = np.concatenate(index)
+        flat = index[coded.indices.to_numpy()]
         size = self.chunk_at[flat + 1] - self.chunk_at[flat]
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        return gather(self.chunk_ids, self.chunk_at[flat], size), np.add.reduceat(size, np.cumsum(n) - n)
+        ends = np.append(0, np.cumsum(size))
+        return gather(self.chunk_ids, self.chunk_at[flat], size), np.diff(ends[cut.offsets.to_numpy()])
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens of the ids with a space between them: the vocabulary has no decoder that would undo the split."""

@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, and a perplexity per document.
 
 Units are characters, in 12-bit codes, ORDER of them in one long. The model is what trusted documents (labelled quality 1) hold;
-its counts grow with them. Order 5 has raw counts, lower orders count distinct left neighbours; each order has
+its counts grow with them. The highest order has raw counts, lower orders count distinct left neighbours; each order has
 three discounts from its counts of counts; probabilities are interpolated down to a uniform one over all codes.
 
 Everything about counts is a join of tables sharded by n-gram: raw and continuation counts, sums per context, and the n-grams
@@ -32,16 +32,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.llm.shared import without
+from tidepanel.llm.shared import release, without
 from tidepanel.session import shared_dir
 
-ORDER = 5
+ORDER = 4
 BITS = 12
 CODES = 1 << BITS
 START, END = 0, 1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 PACK_BYTES = 1 << 20
-TABLE = 1 << 26  # entries of a lookup table in a task
+TABLE = 1 << 24  # entries of a lookup table in a task
 BROADCAST_ROWS = 2_000_000
 BIN = 0.001
 UPPER_QUANTILE = 0.99  # of trusted documents
@@ -103,6 +103,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
                 seq, rows, size = seq + 1, [], 0
     if rows:
         yield part << 32 | seq, rows
+    release()
 
 
 ASKED = T.StructType([T.StructField("block", T.LongType()), T.StructField("g", T.LongType()), T.StructField("n", T.LongType())])
@@ -172,6 +173,7 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise RuntimeError("a block was read again in another order; give files or a checkpoint")
             sums = np.add.reduceat(nats[at][number], np.cumsum(size) - size)
             yield pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in ("doc_id", "lang", "label")), pa.array(size), pa.array(sums)], names=SCORED.names)
+    release()
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:

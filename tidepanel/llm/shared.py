@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidepanel.session import cut
 
-SLICE_BYTES = 4 << 20  # text that a task works on at once; memory, not results, depends on it
+SLICE_BYTES = 2 << 20  # text that a task works on at once; memory, not results, depends on it
 
 BROADCAST_IDS = 500_000
 
@@ -45,9 +47,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """The strings of a column; null is the empty text."""
-    return [x or "" for x in column.to_pylist()]
+def release() -> None:
+    """Gives memory that a finished task no longer uses back to the machine: workers live on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc only
+        trim(0)
 
 
 def add_columns(df: DataFrame, text: str, added: T.StructType, work: Callable[[list], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
@@ -66,5 +72,6 @@ def add_columns(df: DataFrame, text: str, added: T.StructType, work: Callable[[l
                 part = batch.slice(first, last - first)
                 made = work(column.slice(first, last - first).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in keep], *made], names=schema.names)
+        release()
 
     return source.mapInArrow(run, schema)

@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.llm.bpe import Vocabulary
+from tidepanel.llm.bpe import Vocabulary, byte_signs
 from tidepanel.llm.shared import add_columns
 from tidepanel.session import shared_dir
 
 BLOCK = 512
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 MAGIC = b"WVM1"
 
 
@@ -83,12 +83,13 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """The whole sequence: the splits undone from the lowest plane up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level, (zeros, plane) in enumerate(zip(reversed(self.zeros), reversed(self.planes))):
             bit = np.unpackbits(plane, count=self.n).view(bool)
             back = np.empty_like(now)
             back[~bit] = now[:zeros]
-            back[bit] = now[zeros:] | np.uint32(1 << level)
+            back[bit] = now[zeros:] | kind(1 << level)
             now = back
         return now
 
@@ -162,22 +163,20 @@ class WaveletMatrix:
 class _Encoder(Vocabulary):
     """The tokenizers library behind tables of chunks and words, so that it meets each word once.
 
-    A word comes normalized and split as the vocabulary file says; the library gets the words only.
+    A word comes normalized and split as the vocabulary file says; the library's model gets it in the signs of its bytes.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         super().__init__(path)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.normalizer = normalizers.Sequence([])
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = Tokenizer.from_file(path).model
+        self.sign = dict(enumerate(byte_signs()))
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        shown = (w if w.isascii() else w.encode().decode("latin-1").translate(self.sign) for w in words)
+        made = [[t.id for t in self.model.tokenize(w)] for w in shown]
         return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
 
 
@@ -186,7 +185,7 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
     """Columns doc_id, n (ids with the end id) and packed (their bytes, all first ones first, compressed)."""
     added = T.StructType([T.StructField("n", T.LongType()), T.StructField("packed", T.BinaryType())])
 
@@ -194,16 +193,16 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         flat, n = _encoder(path).encode([t or "" for t in texts])
         ends, codec, packed = np.cumsum(n), pa.Codec("zstd", 1), []
         for first, last in zip(ends - n, ends):
-            own = np.append(flat[first:last], np.uint32(end_id)).astype("<u4")
-            packed.append(codec.compress(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T), asbytes=True))
+            own = np.append(flat[first:last], end_id).astype(f"<u{width}")
+            packed.append(codec.compress(np.ascontiguousarray(own.view(np.uint8).reshape(-1, width).T), asbytes=True))
         return [pa.array(n + 1, pa.int64()), pa.array(packed, pa.binary())]
 
     return add_columns(docs.select("doc_id", "text"), "text", added, work, ["doc_id"])
 
 
-def unpacked(packed: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * n), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def unpacked(packed: bytes, n: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed, width * n), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 STORE = T.StructType(
@@ -234,7 +233,8 @@ def write_store(docs: DataFrame, path: str, *, end_id: int, vocabulary_size: int
         shard = np.searchsorted(np.array(cuts, np.int64), ids.fill_null(-(2**63)).to_numpy(), "left")
         return pa.array(shard.astype(np.int32))
 
-    coded = _encoded(docs, path, end_id)
+    width = 2 if levels <= 16 else 4
+    coded = _encoded(docs, path, end_id, width)
     schema = T.StructType([T.StructField("shard", T.IntegerType()), *coded.schema.fields])
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,6 @@ def write_store(docs: DataFrame, path: str, *, end_id: int, vocabulary_size: int
 
         def flush() -> pa.RecordBatch:
             flat = np.concatenate(parts)
-            flat = flat.astype(np.uint16) if levels <= 16 else flat
             row = [[now], [len(ids)], [len(flat)], [ids], [sizes], [WaveletMatrix.build(flat, levels).to_bytes()]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], names=STORE.names)
 
@@ -258,7 +257,7 @@ def write_store(docs: DataFrame, path: str, *, end_id: int, vocabulary_size: int
                     now, ids, sizes, parts = shard, [], [], []
                 ids.append(doc)
                 sizes.append(n)
-                parts.append(unpacked(packed, n))
+                parts.append(unpacked(packed, n, width))
         if parts:
             yield flush()
 

@@ -100,9 +100,9 @@ def c11(spark, d):
     return x.select("date", "code", F.round(c("w") / F.sum("w").over(X.CROSS), 6).alias("weight"))
 
 
-@query("c12_score_with_enough_factors", "SELECT date, count(*) AS factors, CASE WHEN count(*) >= 4 THEN round(avg(close), 4) END AS score FROM hourly GROUP BY date", "hourly")
+@query("c12_score_with_enough_factors", "SELECT date, count(*) AS factors, CASE WHEN count(*) >= 4 THEN round(sum(close), 4) END AS score FROM hourly GROUP BY date", "hourly")
 def c12(spark, d):
-    return P.event_panel(spark, d).groupBy("date").agg(F.count("*").alias("factors"), F.when(F.count("*") >= 4, F.round(F.avg("close"), 4)).alias("score"))
+    return P.event_panel(spark, d).groupBy("date").agg(F.count("*").alias("factors"), F.when(F.count("*") >= 4, F.round(F.sum("close"), 4)).alias("score"))
 
 
 @query(
