@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_bars(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -20,7 +21,7 @@ def first_alias(df: DataFrame, names: list[str]) -> Column:
 def wrapped_rows(df: DataFrame, payload: str, schema: str) -> DataFrame:
     """Rows of the first of records, rows, data and datas that a JSON payload has."""
     keys = ("records", "rows", "data", "datas")
-    parsed = F.from_json(payload, ", ".join(f"{k}: array<struct<{schema.replace(' long', ': bigint').replace(' double', ': double')}>>" for k in keys))
+    parsed = F.from_json(payload, T.StructType([T.StructField(k, T.ArrayType(T.StructType.fromDDL(schema))) for k in keys]))
     return df.withColumn("_p", parsed).withColumn("_r", F.explode(F.coalesce(*[F.col(f"_p.{k}") for k in keys]))).select(*[c for c in df.columns if c != payload], "_r.*")
 
 
