@@ -403,7 +403,7 @@ def decode(df: DataFrame, media: str = "media", payload: str = "decoded", featur
 
 
 def pcm_blocks(df: DataFrame, media: str = "media", blocks: int = 64) -> DataFrame:
-    """One row per run of `blocks` frames: the other columns, `sample_offset`, `n_samples` and `pcm` (signed 8-bit).
+    """One row per run of `blocks` frames: the other columns, `sample_offset`, `n_samples` and `pcm` (unsigned 8-bit, as in the payload).
 
     A reader seeks by sample_offset: block number times blocks * 576.
     """
