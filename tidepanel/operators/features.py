@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 WARM_UP = 60  # sessions before the first feature row
@@ -12,13 +12,17 @@ def trailing(first: int, last: int = 0):
     return Window.partitionBy("code").orderBy("date").rowsBetween(first, last)
 
 
-SERIES = Window.partitionBy("code").orderBy("date")
-CROSS = Window.partitionBy("date")
+def series() -> WindowSpec:
+    return Window.partitionBy("code").orderBy("date")
+
+
+def cross() -> WindowSpec:
+    return Window.partitionBy("date")
 
 
 def change(column: str, back: int) -> Column:
     """Relative change over `back` rows; null without the earlier value or when it is zero."""
-    return F.try_divide(F.col(column), F.lag(column, back).over(SERIES)) - 1
+    return F.try_divide(F.col(column), F.lag(column, back).over(series())) - 1
 
 
 def complete_mean(column: str, first: int, last: int) -> Column:
@@ -36,7 +40,7 @@ def trailing_features(panel: DataFrame) -> DataFrame:
     """`panel` with session (from 0) and the nine raw features; one sort by (code, date) serves them all."""
     out = panel.select(
         "*",
-        (F.row_number().over(SERIES) - 1).alias("session"),
+        (F.row_number().over(series()) - 1).alias("session"),
         change("close", 1).alias("ret"),
         change("close", 5).alias("momentum5"),
         change("close", 20).alias("momentum20"),
@@ -61,15 +65,16 @@ def feature_rows(panel: DataFrame) -> DataFrame:
     return trailing_features(panel).filter((F.col("session") >= WARM_UP) & known).select("date", "code", *FEATURES)
 
 
-def z_score(column: str, over=CROSS) -> Column:
+def z_score(column: str, over: WindowSpec | None = None) -> Column:
     """Population z-score; no spread counts as a spread of one."""
+    over = over or cross()
     return (F.col(column) - F.avg(column).over(over)) / F.coalesce(F.nullif(F.stddev_pop(column).over(over), F.lit(0.0)), F.lit(1.0))
 
 
 def cross_section(features: DataFrame, size: int, columns: list[str] | None = None) -> DataFrame:
     """z-scores of the columns as `z_<column>` on dates that have all `size` codes."""
     columns = columns or FEATURES
-    whole = features.withColumn("_n", F.count("*").over(CROSS)).filter(F.col("_n") == size)
+    whole = features.withColumn("_n", F.count("*").over(cross())).filter(F.col("_n") == size)
     return whole.select(*[c for c in features.columns], *[z_score(c).alias(f"z_{c}") for c in columns])
 
 
@@ -80,7 +85,7 @@ def universe_size(panel: DataFrame) -> int:
 
 def price_rows(panel: DataFrame) -> DataFrame:
     """Features that need exactly 20 returns and let a drawdown expand up to 60 rows."""
-    base = panel.select("*", change("close", 1).alias("return1"), change("close", 5).alias("return5"), change("close", 20).alias("return20"), (F.lead("close", 1).over(SERIES) / F.col("close") - 1).alias("next1"))
+    base = panel.select("*", change("close", 1).alias("return1"), change("close", 5).alias("return5"), change("close", 20).alias("return20"), (F.lead("close", 1).over(series()) / F.col("close") - 1).alias("next1"))
     return base.select(
         "date", "code", "return1", "return5", "return20", "next1",
         F.when(F.count("return1").over(trailing(-19)) == 20, F.stddev_pop("return1").over(trailing(-19))).alias("volatility20"),
@@ -152,7 +157,7 @@ def correlation(a: str, b: str) -> Column:
 def rank_correlation(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Per date with three rows or more: Spearman's correlation of two columns."""
     both = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = both.withColumn("_a", average_ranks(a, CROSS)).withColumn("_b", average_ranks(b, CROSS))
+    ranked = both.withColumn("_a", average_ranks(a, cross())).withColumn("_b", average_ranks(b, cross()))
     return ranked.groupBy("date").agg(F.count("*").alias("n"), correlation("_a", "_b").alias("ic")).filter("n >= 3")
 
 
@@ -168,7 +173,7 @@ def blocks(dates: DataFrame, size: int = 63) -> DataFrame:
 
 def longest_run(rows: DataFrame, flag: Column) -> DataFrame:
     """Per code: the longest run of rows on which `flag` is true."""
-    marked = rows.withColumn("_on", flag).withColumn("_all", F.row_number().over(SERIES))
+    marked = rows.withColumn("_on", flag).withColumn("_all", F.row_number().over(series()))
     marked = marked.withColumn("_own", F.row_number().over(Window.partitionBy("code", "_on").orderBy("date")))
     runs = marked.groupBy("code", (F.col("_all") - F.col("_own")).alias("_run"), "_on").agg(F.count("*").alias("n"))
     return runs.groupBy("code").agg(F.coalesce(F.max(F.when(F.col("_on"), F.col("n"))), F.lit(0)).cast("long").alias("longest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.operators.features import CROSS
+from tidepanel.operators.features import cross
 
 
 def calendar(bench: DataFrame) -> DataFrame:
@@ -51,8 +51,9 @@ def forward_labels(panel: DataFrame, bench: DataFrame, size: int, horizons: list
     ).withColumn("top_quartile", (F.col("rank") <= F.lit(-(-size // 4))).cast("int")).withColumn("percentile", 1 - (F.col("rank") - 1) / F.lit(max(1, size - 1)))
 
 
-def percentile_score(column: str, over=CROSS) -> Column:
+def percentile_score(column: str, over=None) -> Column:
     """100 for the largest down to 0, one decimal; ties break on the code."""
+    over = over or cross()
     turn = F.row_number().over(over.orderBy(F.desc(F.round(column, 10)), "code"))
     return F.round(100 * (1 - (turn - 1) / F.greatest(F.lit(1), F.count("*").over(over) - 1)), 1)
 

@@ -49,7 +49,7 @@ br AS (SELECT date, avg(advance::INT) AS advance, avg(positive5::INT) AS positiv
 
 def breadth(spark, d):
     panel = P.brand_panel(spark, d)
-    flags = panel.select("date", "code", (F.col("close") > F.lag("close").over(X.SERIES)).alias("advance"), (F.col("close") > F.lag("close", 5).over(X.SERIES)).alias("positive5"), (F.col("close") > X.complete_mean("close", -19, 0)).alias("above20"))
+    flags = panel.select("date", "code", (F.col("close") > F.lag("close").over(X.series())).alias("advance"), (F.col("close") > F.lag("close", 5).over(X.series())).alias("positive5"), (F.col("close") > X.complete_mean("close", -19, 0)).alias("above20"))
     return A.breadth(flags.filter("above20 is not null"), ["date"], ["advance", "positive5", "above20"], X.universe_size(panel))
 
 
@@ -191,7 +191,7 @@ def a23(spark, d):
 
 @query("a24_sector_concentration", "WITH t AS (SELECT code FROM scored WHERE horizon = 5 QUALIFY row_number() OVER (PARTITION BY date ORDER BY round(score, 10) DESC, code) <= 3), c AS (SELECT code, count(*) AS n FROM t GROUP BY 1) SELECT round(max(n) / sum(n), 6) AS share FROM c", "scored")
 def a24(spark, d):
-    turn = F.row_number().over(X.CROSS.orderBy(F.desc(F.round("score", 10)), "code"))
+    turn = F.row_number().over(X.cross().orderBy(F.desc(F.round("score", 10)), "code"))
     counts = scored(spark, d).filter("horizon = 5").withColumn("t", turn).filter("t <= 3").groupBy("code").agg(F.count("*").alias("n"))
     return counts.agg(F.round(F.max("n") / F.sum("n"), 6).alias("share"))
 
@@ -211,6 +211,6 @@ def a26(spark, d):
 
 @query("a27_weight_sums", "WITH w AS (SELECT date, code, 100 * amount / sum(amount) OVER (PARTITION BY date) AS weight FROM prio), s AS (SELECT date, sum(weight) AS total FROM w GROUP BY 1 HAVING sum(weight) BETWEEN 99 AND 101) SELECT date, code, round(weight, 6) AS weight, row_number() OVER (PARTITION BY date ORDER BY round(weight, 9) DESC, code) AS place FROM w SEMI JOIN s USING (date)", "prio")
 def a27(spark, d):
-    weights = P.priority_panel(spark, d).select("date", "code", (100 * F.col("amount") / F.sum("amount").over(X.CROSS)).alias("weight"))
-    weights = weights.withColumn("total", F.sum("weight").over(X.CROSS)).filter(F.col("total").between(99, 101))
+    weights = P.priority_panel(spark, d).select("date", "code", (100 * F.col("amount") / F.sum("amount").over(X.cross())).alias("weight"))
+    weights = weights.withColumn("total", F.sum("weight").over(X.cross())).filter(F.col("total").between(99, 101))
     return weights.select("date", "code", *r6("weight"), F.row_number().over(Window.partitionBy("date").orderBy(F.desc(F.round("weight", 9)), "code")).alias("place"))

@@ -128,7 +128,7 @@ def f13(spark, d):
 )
 def f14(spark, d):
     bench = P.benchmark(spark, d).withColumn("code", F.lit("curve"))
-    return bench.select("date", *[F.round((F.col("close") - F.lag("close", k).over(X.SERIES)) * 100, 2).alias(f"change{k}") for k in (1, 5, 20)])
+    return bench.select("date", *[F.round((F.col("close") - F.lag("close", k).over(X.series())) * 100, 2).alias(f"change{k}") for k in (1, 5, 20)])
 
 
 @query(
@@ -152,7 +152,7 @@ def f15(spark, d):
 )
 def f16(spark, d):
     rows = P.brand_panel(spark, d).select(
-        "date", "code", (F.col("close") > F.lag("close", 1).over(X.SERIES)).alias("up1"), (F.col("close") > F.lag("close", 5).over(X.SERIES)).alias("up5"), (F.col("close") > X.complete_mean("close", -19, 0)).alias("above20")
+        "date", "code", (F.col("close") > F.lag("close", 1).over(X.series())).alias("up1"), (F.col("close") > F.lag("close", 5).over(X.series())).alias("up5"), (F.col("close") > X.complete_mean("close", -19, 0)).alias("above20")
     )
     rows = rows.filter("above20 is not null")
     newest = rows.agg(F.max("date").alias("newest"))
@@ -200,7 +200,7 @@ def f19(spark, d):
 def f20(spark, d):
     turn = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))
     tail = P.brand_panel(spark, d).withColumn("turn", turn).filter("turn <= 60")
-    tail = tail.withColumn("performance", F.col("close") / F.first("close").over(X.SERIES) - 1)
+    tail = tail.withColumn("performance", F.col("close") / F.first("close").over(X.series()) - 1)
     last = tail.filter("turn = 1").select("code", F.round("performance", 9).alias("end"))
     best, worst = last.orderBy(F.desc("end"), "code").limit(2), last.orderBy("end", "code").limit(2)
     shown = best.unionByName(worst).select("code").distinct()
@@ -245,7 +245,7 @@ def f26(spark, d):
 
 @query("f27_average_ranks", "SELECT date, code, rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2 AS rank FROM hourly", "hourly")
 def f27(spark, d):
-    return P.event_panel(spark, d).select("date", "code", X.average_ranks("volume", X.CROSS).alias("rank"))
+    return P.event_panel(spark, d).select("date", "code", X.average_ranks("volume", X.cross()).alias("rank"))
 
 
 _IC = """ranked AS (SELECT date, horizon, rank() OVER (PARTITION BY date, horizon ORDER BY score) + (count(*) OVER (PARTITION BY date, horizon, score) - 1) / 2 AS a,
@@ -289,8 +289,8 @@ spread AS (SELECT date, avg(excess) FILTER (r <= 3) - avg(excess) FILTER (r > n
 
 def spreads(spark, d):
     rows = scored(spark, d).filter("horizon = 5")
-    turn = F.row_number().over(X.CROSS.orderBy(F.desc(F.round("score", 10)), "code"))
-    rows = rows.withColumn("r", turn).withColumn("n", F.count("*").over(X.CROSS))
+    turn = F.row_number().over(X.cross().orderBy(F.desc(F.round("score", 10)), "code"))
+    rows = rows.withColumn("r", turn).withColumn("n", F.count("*").over(X.cross()))
     return rows.groupBy("date").agg((F.avg(F.when(F.col("r") <= 3, F.col("excess"))) - F.avg(F.when(F.col("r") > F.col("n") - 3, F.col("excess")))).alias("spread"))
 
 
@@ -305,7 +305,7 @@ def f32(spark, d):
 @query("f33_turnover", f"WITH {_SPREAD}, t AS (SELECT date, list(code) AS top FROM n WHERE r <= 3 GROUP BY date) SELECT date, CASE WHEN lag(date) OVER (ORDER BY date) IS NOT NULL THEN round(1 - len(list_intersect(top, lag(top) OVER (ORDER BY date))) / 3, 6) END AS turnover FROM t", "scored")
 def f33(spark, d):
     rows = scored(spark, d).filter("horizon = 5")
-    turn = F.row_number().over(X.CROSS.orderBy(F.desc(F.round("score", 10)), "code"))
+    turn = F.row_number().over(X.cross().orderBy(F.desc(F.round("score", 10)), "code"))
     top = rows.withColumn("r", turn).filter("r <= 3").groupBy("date").agg(F.collect_set("code").alias("top"))
     return top.select("date", F.round(1 - F.size(F.array_intersect("top", F.lag("top").over(Window.orderBy("date")))) / 3, 6).alias("turnover"))
 
@@ -342,7 +342,7 @@ def f36(spark, d):
     "panel", "bench",
 )
 def f37(spark, d):
-    rows = P.brand_panel(spark, d).withColumn("previous", F.lag("close").over(X.SERIES)).withColumn("previous_date", F.lag("date").over(X.SERIES))
+    rows = P.brand_panel(spark, d).withColumn("previous", F.lag("close").over(X.series())).withColumn("previous_date", F.lag("date").over(X.series()))
     rows = X.latest(rows.join(P.benchmark(spark, d).select("date", F.col("close").alias("official")), "date"))
     return rows.select("code", "date", "previous_date", F.round("close", 6).alias("latest"), F.round(F.col("close") - F.col("previous"), 6).alias("points"), F.round((F.col("close") / F.col("previous") - 1) * 100, 6).alias("percent"), (F.abs(F.col("close") - F.col("official")) > 0.01).alias("conflict"))
 
@@ -371,7 +371,7 @@ def flagship(spark, d):
     panel = P.flag_panel(spark, d)
     rows = X.trailing_features(panel).filter("momentum5 is not null").select("date", "code", "momentum5")
     z = X.cross_section(rows, X.universe_size(panel), ["momentum5"])
-    rank = F.row_number().over(X.CROSS.orderBy(F.desc(F.round("momentum5", 10)), "code"))
+    rank = F.row_number().over(X.cross().orderBy(F.desc(F.round("momentum5", 10)), "code"))
     return z.select("date", "code", *r6("momentum5", "z_momentum5"), rank.cast("long").alias("rank"))
 
 

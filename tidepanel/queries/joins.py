@@ -21,7 +21,7 @@ def j3(spark, d):
 
 @query("j4_previous_value", "WITH m AS (SELECT date, lag(close) OVER (ORDER BY date) AS previous FROM flags WHERE code = 'A') SELECT p.date, p.code, previous FROM prio p LEFT JOIN m USING (date)", "prio", "flags")
 def j4(spark, d):
-    macro = P.flag_panel(spark, d).filter("code = 'A'").select("date", F.lag("close").over(X.SERIES).alias("previous"))
+    macro = P.flag_panel(spark, d).filter("code = 'A'").select("date", F.lag("close").over(X.series()).alias("previous"))
     return P.priority_panel(spark, d).join(macro, "date", "left").select("date", "code", "previous")
 
 
@@ -112,7 +112,7 @@ def j13(spark, d):
 )
 def j14(spark, d):
     # Codes are a fixed small universe: pairs are of codes, not of rows.
-    flags = P.flag_panel(spark, d).withColumn("n", F.count("*").over(X.CROSS)).filter("n = 3")
+    flags = P.flag_panel(spark, d).withColumn("n", F.count("*").over(X.cross())).filter("n = 3")
     v = flags.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]).alias("v"))
     square = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     pairs = v.select(F.col("code").alias("a"), "v").join(v.select(F.col("code").alias("b"), F.col("v").alias("w")), F.col("a") < F.col("b"))

@@ -83,7 +83,7 @@ def c8(spark, d):
 
 @query("c9_flow_from_shares", "SELECT date, code, round((volume - lag(volume) OVER s) * close, 1) + 0.0 AS by_shares, round(amount - lag(amount) OVER s * (1 + close / lag(close) OVER s - 1), 1) + 0.0 AS by_assets FROM prio WINDOW s AS (PARTITION BY code ORDER BY date)", "prio")
 def c9(spark, d):
-    lag = lambda x: F.lag(x).over(X.SERIES)
+    lag = lambda x: F.lag(x).over(X.series())
     return P.priority_panel(spark, d).select("date", "code", (F.round((c("volume") - lag("volume")) * c("close"), 1) + F.lit(0.0)).alias("by_shares"), (F.round(c("amount") - lag("amount") * (1 + X.change("close", 1)), 1) + F.lit(0.0)).alias("by_assets"))
 
 
@@ -97,7 +97,7 @@ def c9(spark, d):
 def c11(spark, d):
     weights = F.create_map(*[F.lit(x) for kv in (("A", 0.4), ("N", 0.3), ("R", 0.2)) for x in kv])
     x = P.flag_panel(spark, d).withColumn("w", F.try_element_at(weights, c("code"))).filter("w > 0")
-    return x.select("date", "code", F.round(c("w") / F.sum("w").over(X.CROSS), 6).alias("weight"))
+    return x.select("date", "code", F.round(c("w") / F.sum("w").over(X.cross()), 6).alias("weight"))
 
 
 @query("c12_score_with_enough_factors", "SELECT date, count(*) AS factors, CASE WHEN count(*) >= 4 THEN round(sum(close), 4) END AS score FROM hourly GROUP BY date", "hourly")

@@ -99,20 +99,20 @@ def t2(spark, d):
 
 @query("t3_leaders", "SELECT date, code FROM rows_ QUALIFY row_number() OVER (PARTITION BY date ORDER BY round(exp(amount_ratio) * exp(volume_ratio), 9) DESC, code) <= 4", "rows_")
 def t3(spark, d):
-    turn = F.row_number().over(X.CROSS.orderBy(F.desc(F.round(F.exp("amount_ratio") * F.exp("volume_ratio"), 9)), "code"))
+    turn = F.row_number().over(X.cross().orderBy(F.desc(F.round(F.exp("amount_ratio") * F.exp("volume_ratio"), 9)), "code"))
     return X.feature_rows(P.brand_panel(spark, d)).withColumn("t", turn).filter("t <= 4").select("date", "code")
 
 
 @query("t4_ranked_predictions", "SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY round(p, 9) DESC, round(momentum20, 9) DESC, code) AS place FROM scored WHERE horizon = 5", "scored")
 def t4(spark, d):
-    place = F.row_number().over(X.CROSS.orderBy(F.desc(F.round("p", 9)), F.desc(F.round("momentum20", 9)), "code"))
+    place = F.row_number().over(X.cross().orderBy(F.desc(F.round("p", 9)), F.desc(F.round("momentum20", 9)), "code"))
     return scored(spark, d).filter("horizon = 5").select("date", "code", place.alias("place"))
 
 
 @query("t5_top_and_bottom", "WITH r AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY round(z_momentum20, 9) DESC, code) AS rank, count(*) OVER (PARTITION BY date) AS n FROM zs) SELECT date, code, rank FROM r WHERE rank <= 3 OR rank > n - 2", "zs")
 def t5(spark, d):
-    rank = F.row_number().over(X.CROSS.orderBy(F.desc(F.round("z_momentum20", 9)), "code"))
-    return z_scores(spark, d).withColumn("rank", rank).withColumn("n", F.count("*").over(X.CROSS)).filter("rank <= 3 or rank > n - 2").select("date", "code", "rank")
+    rank = F.row_number().over(X.cross().orderBy(F.desc(F.round("z_momentum20", 9)), "code"))
+    return z_scores(spark, d).withColumn("rank", rank).withColumn("n", F.count("*").over(X.cross())).filter("rank <= 3 or rank > n - 2").select("date", "code", "rank")
 
 
 @query("t6_history_page", "SELECT prediction_id, code, prediction_date FROM pred WHERE horizon = 5 ORDER BY prediction_date DESC, code LIMIT 60 OFFSET 60", "pred")
