@@ -141,7 +141,7 @@ def _written(df, spark, *by: str, mode: str = "errorifexists"):
 @query("k1_sorted_sink", "SELECT date, code, close FROM panel", "panel")
 def k1(spark, d):
     rows = P.brand_panel(spark, d).select("date", "code", "close")
-    return spark.read.parquet(_written(rows.orderBy("date", "code"), spark))
+    return spark.read.schema(rows.schema).parquet(_written(rows.orderBy("date", "code"), spark))
 
 
 @query("k3_write_once", "SELECT 1 AS refused")
@@ -168,7 +168,7 @@ def k5(spark, d):
 @query("k6_monthly_shards", "SELECT strftime(prediction_date, '%Y-%m') AS month, count(*) AS n FROM pred GROUP BY 1", "pred")
 def k6(spark, d):
     rows = predictions(spark, d).withColumn("month", F.date_format("prediction_date", "yyyy-MM"))
-    return spark.read.parquet(_written(rows.repartition("month"), spark, "month")).groupBy("month").agg(F.count("*").alias("n")).withColumn("month", c("month").cast("string"))
+    return spark.read.schema(rows.schema).parquet(_written(rows.repartition("month"), spark, "month")).groupBy("month").agg(F.count("*").alias("n")).withColumn("month", c("month").cast("string"))
 
 
 @query("k7_retention", "WITH r AS (SELECT doc_id, source, row_number() OVER w AS t, sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS b FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id DESC)) SELECT doc_id, source FROM r WHERE t <= 40 AND b <= 60000")
