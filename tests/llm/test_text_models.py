@@ -74,6 +74,38 @@ def test_quality_without_labels_or_rows(spark):
     assert ngram_quality.keep_good(docs.limit(0), labels).count() == 0
 
 
+def test_quality_cut_has_the_fewest_errors(spark):
+    rows = [("en", 1, x) for x in [1.50] * 90 + [1.60] * 9 + [2.40]] + [("en", 0, x) for x in [1.70] * 10 + [5.0] * 10] + [("de", 1, 1.0), ("fr", 0, 9.0)]
+    scored = spark.createDataFrame([(lang, mark, 100, 100 * x) for lang, mark, x in rows], "lang string, label int, n_grams long, nats double")
+    found = {(r["lang"], r["every"]): r["cut"] for r in ngram_quality.cuts(scored).collect()}
+    assert set(found) == {("en", False), ("de", False), (None, True)}
+    assert math.isclose(found["en", False], 1.65) and math.isclose(found[None, True], 1.65)
+    assert math.isclose(found["de", False], 1.0005)
+
+
+def test_quality_rejects_what_is_labelled_bad_in_every_language(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    judged = {r["doc_id"]: r for r in ngram_quality.judge(ngram_quality.score(docs, labels)).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    bad, repeated, good = defaultdict(list), [], defaultdict(list)
+    for r in labels.filter("quality is not null").collect():
+        if r["doc_id"] not in judged:
+            continue
+        j = judged[r["doc_id"]]
+        if r["quality"] == 1:
+            good[j["lang"]].append(j["rejected"])
+            continue
+        bad[j["lang"]].append(j["rejected"])
+        words = texts[r["doc_id"]].split()
+        if len(words) > 20 and len(set(words)) < len(words) / 4:
+            repeated.append(j["rejected"])
+    assert set(bad) == {"en", "de", "fr", "es"}
+    shares = {lang: np.mean(x) for lang, x in bad.items()} | {"repeated": np.mean(repeated)}
+    assert min(shares.values()) >= 0.85, shares
+    assert max(np.mean(x) for x in good.values()) <= 0.03
+
+
 def test_convolution_scores_equal_the_formula():
     texts = ["bad words here", "good words", "", "one", "worse words here and there"]
     model = toxicity.train(texts, [1, 0, 0, 0, 1])

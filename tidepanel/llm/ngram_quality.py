@@ -9,8 +9,8 @@ that documents ask for. Documents never become n-gram rows one by one. They are
 block asks once for each different n-gram in it. The answers are shuffled back to the block and meet its texts, which travel
 packed; there each document's sum is one numpy gather.
 
-Thresholds: for each language the logarithm of perplexity is cut between two quantiles (`cuts`). Quantiles are exact up
-to BIN, from a histogram of all documents.
+Thresholds: for each language the logarithm of perplexity is cut where the labelled documents have the fewest errors (`cuts`),
+exact up to BIN, from a histogram of all of them.
 
 Scale: a task holds one block; the count tables are joined by shuffle; the table of labels is broadcast only while it has at most
 BROADCAST_ROWS rows, otherwise the documents are joined by shuffle and written once. The input has to be one that yields the
@@ -44,9 +44,7 @@ PACK_BYTES = 1 << 20
 TABLE = 1 << 24  # entries of a lookup table in a task
 BROADCAST_ROWS = 2_000_000
 BIN = 0.001
-UPPER_QUANTILE = 0.99  # of trusted documents
-LOWER_QUANTILE = 0.25  # of documents labelled quality 0
-MARGIN = 0.25  # at least so far above the upper quantile, in nats a character
+UPPER_QUANTILE = 0.99  # of trusted documents, where a language has none labelled quality 0
 
 
 def codes(text: str) -> np.ndarray:
@@ -241,22 +239,28 @@ def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 
 def cuts(scored: DataFrame) -> DataFrame:
-    """(lang, cut) in nats a character. The cut lies between the UPPER_QUANTILE of trusted documents and the
-    LOWER_QUANTILE of those labelled 0, at least MARGIN above the former; `lang` null and `every` true: all languages."""
+    """(lang, cut) in nats a character: the step of the labelled rows' histogram with the fewest errors (trusted above, label 0 at or
+    below), of equal steps the highest, midway to the next labelled row; `lang` null and `every` true: all languages."""
     bins = scored.filter("label is not null").withColumn("bin", F.round(F.col("nats") / F.col("n_grams") / BIN).cast("long"))
-    counted = bins.groupBy("lang", "label", "bin").agg(F.count("*").alias("n"))
-    counted = counted.select("lang", F.lit(False).alias("every"), "label", "bin", "n").unionByName(
-        counted.groupBy("label", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("every"), "label", "bin", "n")
+    counted = bins.groupBy("lang", "bin").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
+    counted = counted.select("lang", F.lit(False).alias("every"), "bin", "good", "bad").unionByName(
+        counted.groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("every"), "bin", "good", "bad")
     )
-    group = Window.partitionBy("lang", "every", "label")
-    share = F.sum("n").over(group.orderBy("bin")) / F.sum("n").over(group)
-    part = counted.withColumn("share", share)
+    group = Window.partitionBy("lang", "every")
+    upto = group.orderBy("bin")
+    part = counted.select(
+        "lang", "every", "bin", "bad", "good", F.lead("bin").over(upto).alias("next"), F.sum("good").over(upto).alias("kept"),
+        F.sum("good").over(group).alias("all_good"), F.sum("bad").over(upto).alias("missed"),
+    )
+    wrong = F.col("all_good") - F.col("kept") + F.col("missed")
     ends = part.groupBy("lang", "every").agg(
-        F.min(F.when((F.col("label") == 1) & (F.col("share") >= UPPER_QUANTILE), F.col("bin"))).alias("high"),
-        F.min(F.when((F.col("label") == 0) & (F.col("share") >= LOWER_QUANTILE), F.col("bin"))).alias("low"),
+        F.max("all_good").alias("all_good"),
+        F.sum("bad").alias("all_bad"),
+        F.min(F.when(F.col("kept") >= UPPER_QUANTILE * F.col("all_good"), F.col("bin"))).alias("high"),
+        F.min_by(F.struct("bin", "next"), F.struct(wrong, -F.col("bin"))).alias("best"),
     )
-    high, low = F.col("high") * BIN, F.col("low") * BIN
-    return ends.filter("high is not null").select("lang", "every", F.greatest(high + MARGIN, F.coalesce((high + low) / 2, high)).alias("cut"))
+    middle = (F.col("best.bin") + F.coalesce(F.col("best.next"), F.col("best.bin") + 1)) / 2
+    return ends.filter("all_good > 0").select("lang", "every", (F.when(F.col("all_bad") > 0, middle).otherwise(F.col("high") + 0.5) * BIN).alias("cut"))
 
 
 def judge(scored: DataFrame) -> DataFrame:
