@@ -23,6 +23,17 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
+def session_of(rows, day, sessions, later, out):
+    """`rows` with the last session at or before `day` (later 0) or the later-th after it. Days and sessions are a calendar; rows meet it by day."""
+    dates = sessions.select("date").distinct()
+    days = rows.select(c(day).alias("_day")).filter("_day is not null").withColumn("_s", F.lit(0)).unionByName(dates.select(c("date").alias("_day"), F.lit(1).alias("_s")))
+    # One row per day is left for the windows.
+    days = days.groupBy("_day").agg(F.max("_s").alias("_s")).withColumn("_n", F.sum("_s").over(Window.orderBy("_day")) + later)
+    numbered = dates.select(F.row_number().over(Window.orderBy("date")).cast("long").alias("_n"), c("date").alias(out))
+    calendar = days.join(F.broadcast(numbered), "_n").select("_day", out)
+    return rows.join(F.broadcast(calendar), c(day) == c("_day"), "left").drop("_day")
+
+
 @query("p1_finite", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events")
 def p1(spark, d):
     raw = F.when(c("event_id") % 5 == 0, "NaN").when(c("event_id") % 7 == 0, "n/a").otherwise(c("value").cast("string"))
@@ -62,7 +73,12 @@ def c1(spark, d):
 
 @query("c2_ratio", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_linenumber - 1, 0), 6) AS v FROM lineitem WHERE l_orderkey < 2000")
 def c2(spark, d):
-    return table(spark, d, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", F.round(S.ratio(c("l_extendedprice"), (c("l_linenumber") - 1).cast("double")), 6).alias("v"))
+    return c2_whole(spark, d).filter("l_orderkey < 2000")
+
+
+@query("c2_ratio_whole", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_linenumber - 1, 0), 6) AS v FROM lineitem")
+def c2_whole(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.ratio(c("l_extendedprice"), (c("l_linenumber") - 1).cast("double")), 6).alias("v"))
 
 
 @query("c3_sigmoid_c4_logit_c5_clamp", "SELECT c_custkey, round(1 / (1 + exp(-least(60, greatest(-60, c_acctbal / 1000)))), 6) AS p, round(ln(least(0.999999, greatest(0.000001, c_acctbal / 10000)) / (1 - least(0.999999, greatest(0.000001, c_acctbal / 10000)))), 6) AS l, least(100, greatest(0, c_acctbal)) AS k FROM customer")
@@ -165,16 +181,25 @@ def c22(spark, d):
 
 @query("c23_due_of_list", "WITH l AS (SELECT list(DISTINCT date ORDER BY date) AS days FROM bench) SELECT o_orderkey, list_filter(days, lambda x: x > CAST(o_orderdate AS DATE))[3] AS due FROM orders, l WHERE o_orderkey < 4000", "bench")
 def c23(spark, d):
-    days = P.benchmark(spark, d).agg(F.array_sort(F.collect_set("date")).alias("days"))  # one row of calendar days
-    day = F.to_date("o_orderdate")
-    return orders(spark, d).filter("o_orderkey < 4000").crossJoin(F.broadcast(days)).select("o_orderkey", F.get(F.filter("days", lambda x: x > day), 2).alias("due"))
+    return c23_whole(spark, d).filter("o_orderkey < 4000")
+
+
+@query("c23_due_of_list_whole", "WITH l AS (SELECT list(DISTINCT date ORDER BY date) AS days FROM bench) SELECT o_orderkey, list_filter(days, lambda x: x > CAST(o_orderdate AS DATE))[3] AS due FROM orders, l", "bench")
+def c23_whole(spark, d):
+    asked = orders(spark, d).select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return session_of(asked, "day", P.benchmark(spark, d), 3, "due").select("o_orderkey", "due")
 
 
 @query("c24_latest_complete_session", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS session FROM events WHERE event_id < 500", "bench")
 def c24(spark, d):
-    asked = table(spark, d, "events").filter("event_id < 500").select("event_id", F.date_sub(F.date_add(F.lit("1996-06-03").cast("date"), (c("event_id") % 300).cast("int")), F.when(c("event_id") % 2 == 0, 1).otherwise(0)).alias("limit"))
-    days = F.broadcast(P.benchmark(spark, d).select("date"))  # a calendar
-    return asked.join(days, c("date") <= c("limit"), "left").groupBy("event_id").agg(F.max("date").alias("session"))
+    return c24_whole(spark, d).filter("event_id < 500")
+
+
+@query("c24_latest_complete_session_whole", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS session FROM events", "bench")
+def c24_whole(spark, d):
+    limit = F.date_sub(F.date_add(F.lit("1996-06-03").cast("date"), (c("event_id") % 300).cast("int")), F.when(c("event_id") % 2 == 0, 1).otherwise(0))
+    asked = table(spark, d, "events").select("event_id", limit.alias("limit"))
+    return session_of(asked, "limit", P.benchmark(spark, d), 0, "session").select("event_id", "session")
 
 
 @query("c25_trading_lag", "SELECT s.date, s.session - coalesce((SELECT max(session) FROM sess t WHERE t.date <= s.date - 30), 0) AS lag FROM sess s", "sess")
@@ -303,7 +328,12 @@ def c47(spark, d):
 
 @query("c43_normalized_content", "SELECT event_id, event_type, json_extract_string(props, '$.' || json_keys(props)[1]) AS kept FROM events WHERE event_id % 11 = 0")
 def c43(spark, d):
+    return c43_whole(spark, d).filter("event_id % 11 = 0")
+
+
+@query("c43_normalized_content_whole", "SELECT event_id, event_type, json_extract_string(props, '$.' || json_keys(props)[1]) AS kept FROM events")
+def c43_whole(spark, d):
     # Runtime keys are dropped by taking the typed map without them.
     kept = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: ~k.isin("runId", "generatedAt"))
     first = F.get(F.json_object_keys("props"), 0)
-    return table(spark, d, "events").filter("event_id % 11 = 0").select("event_id", "event_type", F.try_element_at(kept, first).alias("kept"))
+    return table(spark, d, "events").select("event_id", "event_type", F.try_element_at(kept, first).alias("kept"))
