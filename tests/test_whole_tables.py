@@ -1,10 +1,11 @@
 """Queries over whole tables: no row of the input is left out."""
 
 import datetime
+from collections import Counter
 
 import pytest
 
-from tidepanel.queries import QUERIES, scalars
+from tidepanel.queries import QUERIES, scalars, sets
 from tidepanel.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +24,18 @@ def test_sessions_before_between_and_after_a_calendar(spark):
     found = lambda later: {r["k"]: r["s"] and r["s"].day for r in scalars.session_of(rows, "day", sessions, later, "s").collect()}
     assert found(0) == {0: None, 1: None, 3: 3, 9: 3, 17: 17, 30: 24}
     assert found(3) == {0: None, 1: 17, 3: 24, 9: 24, 17: None, 30: None}
+
+
+def test_editions_of_whole_tables(spark):
+    rows = [("a", 1), ("a", 2), ("a", 900), ("b", 2), ("b", 2), ("b", 900), ("b", 901), ("c", None), ("d", 5)]
+    found = sets.new_and_reused(spark.createDataFrame(rows, "o_orderpriority string, o_custkey long"))
+    assert sorted((r["edition"], r["fresh"], r["reused"]) for r in found.collect()) == [("a", None, None), ("b", 1, 2), ("c", 0, 0), ("d", 1, 0)]
+
+
+def test_pairs_of_every_thread(spark):
+    keys = [(r["o_orderkey"], r["o_custkey"]) for r in table(spark, SF, "orders").collect()]
+    sources = {}
+    for k, thread in keys:
+        sources.setdefault(k // 40, set()).add(thread)
+    expected = Counter((a, b) for threads in sources.values() for a in threads for b in threads if a < b)
+    assert {(r["a"], r["b"]): r["shared"] for r in QUERIES["j18_shared_sources_whole"](spark, SF).collect()} == expected

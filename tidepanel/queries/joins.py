@@ -155,9 +155,24 @@ def j17(spark, d):
 )
 def j18(spark, d):
     source = F.concat("o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 40).cast("string"))
-    t = table(spark, d, "orders").filter("o_custkey < 200").select(F.col("o_custkey").alias("thread"), source.alias("source")).distinct()
-    a = t.filter("thread < 20").select(F.col("thread").alias("a"), "source")
-    return a.join(t.select(F.col("thread").alias("b"), "source"), "source").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    rows = table(spark, d, "orders").filter("o_custkey < 200").select(F.col("o_custkey").alias("thread"), source.alias("source"))
+    return shared_sources(rows).filter("a < 20")
+
+
+def shared_sources(rows):
+    """Every pair of threads that share sources, with how many. The pairs grow with the square of a source's threads."""
+    t = rows.distinct()
+    other = t.select(F.col("thread").alias("b"), "source")
+    return t.select(F.col("thread").alias("a"), "source").join(other, "source").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+@query(
+    "j18_shared_sources_whole",
+    "WITH t AS (SELECT DISTINCT o_custkey AS thread, o_orderkey // 40 AS source FROM orders) SELECT a.thread AS a, b.thread AS b, count(*) AS shared FROM t a JOIN t b ON a.source = b.source AND a.thread < b.thread GROUP BY 1, 2",
+)
+def j18_whole(spark, d):
+    # Sources of 40 orders: more orders make more sources, not larger ones.
+    return shared_sources(table(spark, d, "orders").select(F.col("o_custkey").alias("thread"), F.expr("o_orderkey div 40").alias("source")))
 
 
 @query("j19_scope_overlap", "WITH s AS (SELECT s_nationkey AS nation, list(DISTINCT s_suppkey % 5) AS scope FROM supplier GROUP BY 1) SELECT c_custkey AS target, nation FROM customer JOIN s ON nation = c_nationkey WHERE list_has_any(scope, [c_custkey % 5])")

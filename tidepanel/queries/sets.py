@@ -71,10 +71,27 @@ def u7(spark, d):
 
 @query("u8_new_and_reused", "WITH e AS (SELECT o_orderpriority AS edition, list(DISTINCT o_custkey) AS s FROM orders WHERE o_custkey < 300 GROUP BY 1), p AS (SELECT *, lag(s) OVER (ORDER BY edition) AS b FROM e) SELECT edition, CASE WHEN b IS NOT NULL THEN len(list_filter(s, lambda x: NOT list_contains(b, x))) END AS fresh, CASE WHEN b IS NOT NULL THEN len(list_intersect(s, b)) END AS reused FROM p")
 def u8(spark, d):
-    e = table(spark, d, "orders").filter("o_custkey < 300").groupBy(c("o_orderpriority").alias("edition")).agg(F.collect_set("o_custkey").alias("s"))
-    p = e.withColumn("b", F.lag("s").over(Window.orderBy("edition")))
-    some = lambda x: F.when(c("b").isNotNull(), F.size(x).cast("long"))
-    return p.select("edition", some(F.array_except("s", "b")).alias("fresh"), some(F.array_intersect("s", "b")).alias("reused"))
+    return new_and_reused(table(spark, d, "orders").filter("o_custkey < 300"))
+
+
+def new_and_reused(orders):
+    """Per edition: how many of its customers the edition before it lacks, and how many it has. No set is gathered."""
+    members = orders.select(c("o_orderpriority").alias("edition"), c("o_custkey").alias("k")).distinct()
+    # One row per edition is left for the window.
+    editions = members.select("edition").distinct().withColumn("before", F.lag("edition").over(Window.orderBy("edition")))
+    earlier = members.select(c("edition").alias("before"), "k", F.lit(1).alias("old"))
+    met = members.filter("k is not null").join(F.broadcast(editions), "edition").join(earlier, ["before", "k"], "left")
+    counts = met.groupBy("edition").agg(F.count("*").alias("n"), F.count("old").alias("reused"))
+    some = lambda x: F.when(c("before").isNotNull(), F.coalesce(x, F.lit(0)))
+    return editions.join(counts, "edition", "left").select("edition", some(c("n") - c("reused")).alias("fresh"), some(c("reused")).alias("reused"))
+
+
+@query(
+    "u8_new_and_reused_whole",
+    "WITH e AS (SELECT DISTINCT o_orderpriority AS edition, o_custkey AS k FROM orders), p AS (SELECT edition, lag(edition) OVER (ORDER BY edition) AS b FROM (SELECT DISTINCT edition FROM e)) SELECT e.edition, CASE WHEN b IS NOT NULL THEN count(*) - count(f.k) END AS fresh, CASE WHEN b IS NOT NULL THEN count(f.k) END AS reused FROM e JOIN p USING (edition) LEFT JOIN e f ON f.edition = p.b AND f.k = e.k GROUP BY e.edition, b",
+)
+def u8_whole(spark, d):
+    return new_and_reused(table(spark, d, "orders"))
 
 
 @query("u9_last_of_day", "SELECT CAST(ts AS DATE) AS date, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
