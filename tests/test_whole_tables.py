@@ -4,7 +4,9 @@ import datetime
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidepanel.operators import ledger
 from tidepanel.queries import QUERIES, scalars, sets
 from tidepanel.session import table
 
@@ -39,3 +41,25 @@ def test_pairs_of_every_thread(spark):
         sources.setdefault(k // 40, set()).add(thread)
     expected = Counter((a, b) for threads in sources.values() for a in threads for b in threads if a < b)
     assert {(r["a"], r["b"]): r["shared"] for r in QUERIES["j18_shared_sources_whole"](spark, SF).collect()} == expected
+
+
+def test_places_and_retention_need_no_single_task(spark, capsys):
+    rows = spark.range(5000).select("id", (F.col("id") % 7).alias("day"), (F.col("id") % 11).alias("size")).repartition(5)
+    order = [F.desc("day"), F.col("id").asc()]
+    found = ledger.placed(rows, order, "place")
+    expected = sorted(((-(i % 7), i) for i in range(5000)))
+    assert [r["id"] for r in found.orderBy("place").collect()] == [i for _, i in expected]
+    assert sorted(r["place"] for r in found.collect()) == list(range(1, 5001))
+    assert ledger.placed(rows.limit(0), order, "place").count() == 0
+    kept = ledger.kept_by_bytes(rows, [F.desc("id")], "size", 1500, 4000)
+    total, newest = 0, []
+    for i in range(4999, 3499, -1):
+        total += i % 11
+        if total > 4000:
+            break
+        newest.append(i)
+    assert sorted(r["id"] for r in kept.collect()) == sorted(newest)
+    kept.explain()
+    assert "_s#" in capsys.readouterr().out.split("hashpartitioning(", 1)[1].split(")")[0]
+    QUERIES["t9_document_order"](spark, SF).explain()
+    assert "row_number" not in capsys.readouterr().out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.session import cut
+
 
 def prediction_id(date: str, code: str, horizon: str) -> Column:
     return F.concat_ws("|", F.col(date).cast("string"), F.col(code), F.col(horizon).cast("string"))
@@ -54,9 +56,29 @@ def latest_events(events: DataFrame, subject: str, at: str, event_id: str) -> Da
     return events.withColumn("_t", turn).filter("_t = 1").drop("_t")
 
 
+def placed(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """`rows` with their place in the order, from 1: ranges of the order are sorted apart, and one count per range gives the offsets."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    marked = at.withColumn("_part", F.shiftright("_at", 33))
+    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return marked.join(F.broadcast(offsets), "_part").select(*rows.columns, place.alias(out))
+
+
+SALTS = 64  # parts of a source that are reduced to their newest rows apart
+
+
 def kept_by_bytes(items: DataFrame, newest_first: list[Column], size: str, count: int, limit: int, within: str | None = None) -> DataFrame:
-    """The newest items up to a count and a sum of sizes: retention drops the oldest first."""
-    part = Window.partitionBy(within) if within else Window.partitionBy()
-    order = part.orderBy(*newest_first)
+    """The newest items up to a count and a sum of sizes: retention drops the oldest first.
+
+    Each of SALTS parts of a source is first reduced to its newest `count`, among which all of the source's newest `count` are.
+    """
+    by = [within] if within else []
+    salted = items.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    some = salted.withColumn("_t", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(*newest_first))).filter(F.col("_t") <= count)
+    order = Window.partitionBy(*by).orderBy(*newest_first)
     total = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("_t", F.row_number().over(order)).withColumn("_b", total).filter((F.col("_t") <= count) & (F.col("_b") <= limit)).drop("_t", "_b")
+    kept = some.withColumn("_t", F.row_number().over(order)).withColumn("_b", total).filter((F.col("_t") <= count) & (F.col("_b") <= limit))
+    return kept.drop("_s", "_t", "_b")

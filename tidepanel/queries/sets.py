@@ -146,7 +146,7 @@ def t7(spark, d):
 def t9(spark, d):
     published = F.when(c("doc_id") % 5 != 0, c("n_chars") % 97)
     docs = table(spark, d, "documents").select("doc_id", published.alias("day"), (c("doc_id") % 2).alias("precise"))
-    return docs.select("doc_id", F.row_number().over(Window.orderBy(F.asc_nulls_last("day"), F.desc("precise"), "doc_id")).alias("place"))
+    return G.placed(docs, [F.asc_nulls_last("day"), F.desc("precise"), c("doc_id").asc()], "place").select("doc_id", "place")
 
 
 def _written(df, spark, *by: str, mode: str = "errorifexists"):
