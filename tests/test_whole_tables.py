@@ -63,3 +63,8 @@ def test_places_and_retention_need_no_single_task(spark, capsys):
     assert "_s#" in capsys.readouterr().out.split("hashpartitioning(", 1)[1].split(")")[0]
     QUERIES["t9_document_order"](spark, SF).explain()
     assert "row_number" not in capsys.readouterr().out
+
+
+def test_terms_after_the_first_characters_are_found(spark):
+    docs = spark.createDataFrame([(1, "x" * 500 + " The end"), (2, "no match"), (3, "and " + "y" * 90 + "QUE")], "doc_id long, text string")
+    assert {r["doc_id"]: r["terms"] for r in scalars.sensational(docs).collect()} == {1: ["the"], 2: [], 3: ["and", "que"]}
