@@ -133,3 +133,19 @@ def test_main_text_leaves_the_rest_out(spark):
     assert rows[0]["text"] == rows[1]["text"] == expected and rows[0]["n_chars"] == len(expected)
     assert [rows[i + 2]["text"] for i in (0, 1, 2, 4, 9, 10)] == ["", "", "", "just text", "a b", "x y"]
     assert html_extract.main_texts(pages.limit(0)).count() == 0
+
+
+def test_names_of_wrappers_do_not_drop_the_article():
+    prose = [f"Paragraph {i} tells, in some detail, what happened on the river; people, boats and weather are described." for i in range(8)]
+    body = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in prose)
+    whole = "\n".join(["Title", *prose])
+    links = '<div class="related-links">' + '<p><a href="#">other story</a></p>' * 4 + "</div>"
+    for name in ("page has-sidebar", "no-sidebar", "content-sidebar-wrap", "rightSidebarLayout", "search-result", "form", "notice", "share", "social", "related", "discussion", "login"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", body):
+            assert html_extract.main_text(f'<body><div class="{name}">{inner}{links}</div></body>') == whole, name
+    half = f'<article><h1>Title</h1><p>{prose[0]}</p><p>{prose[1]}</p><section class="discussion"><p>{prose[2]}</p></section></article>'
+    assert html_extract.main_text(f"<body>{half}</body>") == "\n".join(["Title", *prose[:3]])
+    said = '<div id="comments">' + "".join(f'<article class="comment"><p>{p}</p></article>' for p in prose * 3) + "</div>"
+    assert html_extract.main_text(f"<body><article>{body}</article>{said}</body>") == whole
+    assert html_extract.main_text(f'<body><div class="promo">{prose[0]}</div></body>') == prose[0]
+    assert html_extract.main_text('<body><div class="ad">Buy now.</div><article><h1>Title</h1><p>Short text.</p></article></body>') == "Title\nShort text."

@@ -1,7 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks: the text between block-level tags, each with its path of block-level tags from the root. Blocks
-inside parts that are never content (`PARTS`, `ROLES`, names of `WORDS` in class or id, hidden ones) are left out. For each
+inside parts that are never content (`PARTS`, `ROLES`, hidden ones) are left out. Names of `WORDS` in class or id only raise a doubt
+(`settled`): such an element is left out if it holds no article, main or h1 and is SMALL or beside an article or main with an h1 or as much text;
+it is like any other if it has most of the page's text, or holds one of these; between, its blocks have to be of a path that is content. For each
 path the page's text length, punctuation and share of link text are added up; a path's ratio is its text per block, raised
 by its punctuation per block and lowered by its links. Ratios are smoothed over neighbouring blocks in page order, averaged per path
 again, and paths that reach SHARE of the best one are content. The content's container is the deepest element with
@@ -29,6 +31,8 @@ from pyspark.sql import types as T
 from tidepanel.llm.shared import add_columns
 
 SHARE = 0.15  # of the best path's ratio that makes a path content
+SMALL = 0.1  # of the page's text, up to which a doubtful element is left out
+LARGE = 0.5  # of the page's text, from which it is like any other
 MOST = 0.9  # of the content's text that its container holds
 LITTLE = 0.2  # of the container's text that a wider one may add
 #: Fixed values of HTML: elements without an end, with raw text, and those that only mark text inside a block.
@@ -55,7 +59,9 @@ WORDS = frozenset(
     login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion form
     search widget toolbar pagination pager copyright disclaimer""".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus".split())  # no main text at any length
 ROOTS = frozenset("html body main article".split())
+HEADS = frozenset("article main h1".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -68,6 +74,7 @@ class Block:
     inside: tuple[int, ...]  # numbers of the elements around it, outermost first
     text: str
     links: int  # characters of link text
+    doubt: bool = False  # whether only its path's ratio can make it content
 
 
 def left_out(tag: str, attributes: str, within: list[str]) -> bool:
@@ -79,10 +86,33 @@ def left_out(tag: str, attributes: str, within: list[str]) -> bool:
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return True
-    if found.get("role", "").lower() in ROLES:
-        return True
+    return found.get("role", "").lower() in ROLES
+
+
+def named(tag: str, attributes: str) -> set[str]:
+    """The words in the element's class and id that speak against content."""
+    if not attributes or tag in ("html", "body", "main"):
+        return set()
+    found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     words = {w.lower() for w in NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    return bool(words & ({"comment", "comments", "reply"} if tag in ROOTS else WORDS)) and tag not in ("html", "body", "main")
+    return words & ({"comment", "comments", "reply"} if tag in ROOTS else WORDS)
+
+
+def settled(blocks: list[Block], doubtful: dict[int, tuple[bool, bool]], heads: set[int], articles: set[int], titled: bool) -> list[Block]:
+    """The blocks without those of elements that are left out by name. doubtful: number of the element, whether it is of COMMENTS, and in an article; titled: whether an article holds an h1."""
+    size: dict[int, int] = defaultdict(int)
+    for b in blocks:
+        for e in b.inside:
+            if e in doubtful:
+                size[e] += len(b.text)
+    total = sum(len(b.text) for b in blocks)
+    told = sum(len(b.text) for b in blocks if not articles.isdisjoint(b.inside))
+    out = {e for e, (comments, within) in doubtful.items() if e not in heads and (comments or size[e] <= SMALL * total or not within and (titled or size[e] <= told))}
+    doubt = {e for e in doubtful if size[e] < LARGE * total and not (e in heads and size[e] > SMALL * total)}
+    left = [b for b in blocks if not out.intersection(b.inside)]
+    for b in left:
+        b.doubt = not doubt.isdisjoint(b.inside)
+    return left or blocks
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -90,6 +120,10 @@ def blocks_of(page: str) -> list[Block]:
     tags: list[str] = []  # open block-level elements
     numbers: list[int] = []
     dead: int | None = None  # how many elements were open when a left-out one began
+    doubtful: dict[int, tuple[bool, bool]] = {}
+    articles: set[int] = set()
+    titled = False
+    heads: set[int] = set()  # doubtful elements around one of HEADS
     blocks: list[Block] = []
     parts: list[str] = []
     links = in_link = count = at = 0
@@ -140,7 +174,7 @@ def blocks_of(page: str) -> list[Block]:
             in_link = 1 if tag == "a" else in_link
             if tag == "br":
                 parts.append(" ")
-            elif dead is None and m[3] and left_out(tag, m[3], tags):  # an inline part that is no content
+            elif dead is None and m[3] and (left_out(tag, m[3], tags) or named(tag, m[3])):  # an inline part that is no content
                 stop = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else at
             continue
@@ -160,10 +194,19 @@ def blocks_of(page: str) -> list[Block]:
         if dead is None and left_out(tag, m[3], tags):
             dead = len(tags)
         count += 1
+        if dead is None:
+            words = named(tag, m[3])
+            if words:
+                doubtful[count] = tag in ROOTS or not words.isdisjoint(COMMENTS), not articles.isdisjoint(numbers)
+            elif tag in HEADS:
+                heads.update(e for e in numbers if e in doubtful)
+                if tag != "h1":
+                    articles.add(count)
+                titled = titled or tag == "h1" and not articles.isdisjoint(numbers)
         tags.append(tag)
         numbers.append(count)
     close()
-    return blocks
+    return settled(blocks, doubtful, heads, articles, titled) if doubtful else blocks
 
 
 def path_ratios(blocks: list[Block]) -> dict[tuple[str, ...], float]:
@@ -200,8 +243,9 @@ def main_text(page: str | None) -> str:
             depth[e] = d
     total = sum(len(b.text) for b in content)
     holders = [e for e, n in size.items() if n >= MOST * total]
+    sure = [b for b in blocks if not b.doubt or ratios[b.path] >= bar] or blocks
     if not holders:
-        return "\n".join(b.text for b in blocks)
+        return "\n".join(b.text for b in sure)
     chosen = max(holders, key=depth.__getitem__)
     around = next(b for b in content if chosen in b.inside)
     chain = list(zip(around.path, around.inside))[: depth[chosen] + 1]
@@ -214,7 +258,7 @@ def main_text(page: str | None) -> str:
             if tag in ("body", "html") or held[e] > (1 + LITTLE) * held[chosen]:
                 break
             chosen = e
-    return "\n".join(b.text for b in blocks if chosen in b.inside)
+    return "\n".join(b.text for b in sure if chosen in b.inside)
 
 
 def extract(pages: DataFrame, *, markup: str = "html", out: str = "text", keep: list[str] | None = None) -> DataFrame:
