@@ -86,6 +86,22 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
 
 
+def test_windows_at_the_ends_of_segments_are_found(spark):
+    passage = [f"p{i}" for i in range(13)]
+    items = [("a", " ".join(passage)), ("b", "two words")]
+    n = decontam.SEGMENT
+    docs = [(i, " ".join([f"f{j}" for j in range(at)] + passage[:keep] + [f"g{j}" for j in range(after)] + ["two", "words"])) for i, (at, keep, after) in enumerate((at, keep, after) for at in (n - 14, n - 13, n - 1, n, n + 1, 2 * n - 6, 2 * n) for keep in (12, 13) for after in (0, 3, n))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    assert sorted(map(tuple, decontam.contamination_report(d, b).collect()), key=str) == brute_report(docs, items)
+
+
+def test_a_text_of_ten_million_characters_is_read_whole(spark):
+    passage = " ".join(f"p{i}" for i in range(13))
+    d = spark.range(2).selectExpr("id AS doc_id", f"concat(repeat('some long words ', 640000), '{passage}') AS text")
+    b = spark.createDataFrame([("a", passage)], "item_id string, text string")
+    assert [(r["n_words"], r["n_hit"]) for r in decontam.contamination_report(d, b).collect()] == [(1_920_013, 13)] * 2
+
+
 def test_decontamination_of_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], "item_id string, text string")
     assert [r["contaminated"] for r in decontam.contamination_report(d, b).collect()] == [False]

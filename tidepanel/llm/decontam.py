@@ -7,9 +7,11 @@ stands around it. Fingerprints of documents and items are joined, and each hit i
 sides; only spans that hold a whole window remain. Items below 13 words have no such guarantee, so for each length
 that occurs there all runs of that many words are joined instead.
 
-Scale: documents are read twice (word counts; fingerprints) and never shuffled. The item side is broadcast only while
-it has at most BROADCAST_ROWS fingerprints (counted first); beyond that both sides are shuffled by fingerprint with
-their 21 words of context. What follows the join has rows for real hits only, keyed by document.
+Scale: documents are read twice (word counts; fingerprints) and never shuffled. Each text is cut into segments of SEGMENT
+words that overlap by WINDOW - 1, so every window lies whole in one of them; all that follows holds one segment, whatever the
+text's length. The item side is broadcast only while it has at most BROADCAST_ROWS fingerprints (counted first); beyond that
+both sides are shuffled by fingerprint with their 21 words of context. What follows the join has rows for real hits only,
+keyed by document.
 
 Cases: a null text has no words (n_words 0, not contaminated); items without words never hit; repeated documents and
 repeated items count once each per row and id; a null doc_id is a value like any other; empty tables give empty or
@@ -29,6 +31,7 @@ GRAM = 5
 SPAN = WINDOW - GRAM + 1
 REACH = WINDOW - GRAM  # words beside a fingerprint that a window around it can have
 BROADCAST_ROWS = 100_000
+SEGMENT = 244  # words that begin a window of a segment
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 POSITION_BITS = 30  # a fingerprint is one long: 34 bits of hash, then the position
@@ -44,6 +47,17 @@ def _hashed(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_w", _words(F.col(text))).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).drop("_w", text)
 
 
+def _segments(df: DataFrame) -> DataFrame:
+    """One row for each segment of `_h`, and `_first`, the place of its first word; a text without words has none."""
+    part = lambda i: F.struct(i.alias("at"), F.slice("_h", i + 1, F.lit(SEGMENT + WINDOW - 1)).alias("h"))
+    # A text of fewer words than overlap is still one segment.
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_h") - WINDOW, F.lit(0)), F.lit(SEGMENT))
+    rest = [c for c in df.columns if c != "_h"]
+    # explode() would infer a filter, for which all words are hashed a second time.
+    cut_up = df.select(*rest, F.explode_outer(F.when(F.size("_h") > 0, F.transform(starts, part))).alias("_s"))
+    return cut_up.select(*rest, F.col("_s.at").alias("_first"), F.col("_s.h").alias("_h"))
+
+
 def _grams(n: int) -> Column:
     """Hashes of all runs of n words, each with its position in the low bits."""
     gram = lambda i: F.shiftleft(F.shiftright(F.xxhash64(*[F.get("_h", i + j) for j in range(n)]), POSITION_BITS), POSITION_BITS).bitwiseOR(i.cast("long"))
@@ -93,12 +107,12 @@ def _joined(docs: DataFrame, items: DataFrame, size: int, least: int) -> DataFra
     docs = _exploded(docs)
     if items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         # The words of a document stay a reference in the generated code until a row has matched.
-        found = docs.join(F.broadcast(items), "_g").select("_doc", "_text", "_p", "_item", context.alias("_dc"), at.alias("_do"), "_ic", "_io")
+        found = docs.join(F.broadcast(items), "_g").select("_doc", "_text", "_first", "_p", "_item", context.alias("_dc"), at.alias("_do"), "_ic", "_io")
     else:
-        found = docs.select("_doc", "_text", "_p", "_g", context.alias("_dc"), at.alias("_do")).join(items, "_g")
+        found = docs.select("_doc", "_text", "_first", "_p", "_g", context.alias("_dc"), at.alias("_do")).join(items, "_g")
     found = found.withColumn("_right", _run(REACH + size, lambda j: j)).withColumn("_left", _run(REACH, lambda j: -1 - j) if REACH else F.lit(0))
     return found.filter((F.col("_right") >= size) & (F.col("_left") + F.col("_right") >= least)).select(
-        "_doc", "_text", "_item", (F.col("_p") - F.col("_left")).alias("start"), (F.col("_left") + F.col("_right")).alias("length")
+        "_doc", "_text", "_item", (F.col("_first") + F.col("_p") - F.col("_left")).alias("start"), (F.col("_left") + F.col("_right")).alias("length")
     )
 
 
@@ -107,7 +121,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
 
     Every word inside an occurrence of an item's window lies in a span, and no other word does.
     """
-    d = _hashed(docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text"), F.col(text).alias("_t")), "_t")
+    d = _segments(_hashed(docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text"), F.col(text).alias("_t")), "_t"))
     b = _hashed(benchmark.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_t")).distinct(), "_t")
     out = _joined(_winnowed(d), _winnowed(b.filter(F.size("_h") >= WINDOW)), GRAM, WINDOW)
     # At most WINDOW - 1 lengths; none in a benchmark of whole questions.
