@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 def brute_nats(texts, trusted):
     """Negative log-likelihoods under an interpolated modified Kneser-Ney model of the trusted texts, with dicts."""
     order = ngram_quality.ORDER
-    grams = lambda t: [tuple(c[i : i + order]) for c in [ngram_quality.codes(t).tolist()] for i in range(len(c) - order + 1)]
+    signs = lambda t: [ngram_quality.START] * (order - 1) + [int.from_bytes(x, "little") for raw in [t.encode("utf-16-le")] for x in (raw[i : i + 2] for i in range(0, len(raw), 2))] + [ngram_quality.END]
+    grams = lambda t: [tuple(c[i : i + order]) for c in [signs(t)] for i in range(len(c) - order + 1)]
     counts = {order: Counter(g for t in trusted for g in grams(t))}
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
@@ -43,16 +44,31 @@ def brute_nats(texts, trusted):
 
 
 def test_perplexity_equals_a_model_of_dicts(spark):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", None, "", "zzqx!! 漢字 \U0001f600", "the cat sat on the mat", "the " * 400]
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", None, "", "zzqx!! 漢字 \U0001f600", "the cat sat on the mat", "the " * 300_000]
     marks = [1, 1, 1, None, 1, 0, None, None]
     docs = spark.createDataFrame([(i, t, "en" if i % 2 else None, i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, block int").coalesce(1)
     labels = spark.createDataFrame([(i, m, 0) for i, m in enumerate(marks) if m is not None] + [(None, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
     found = {r["doc_id"]: r for r in ngram_quality.score(docs, labels).collect()}
-    expected = brute_nats([t or "" for t in texts], [t or "" for t, m in zip(texts, marks) if m == 1])
-    assert len(found) == len(texts)
+    out = {r[0] for r in spark.range(len(texts)).filter(ngram_quality.held_out("id")).collect()}
+    expected = brute_nats([t or "" for t in texts], [t or "" for i, (t, m) in enumerate(zip(texts, marks)) if m == 1 and i not in out])
+    assert len(found) == len(texts) and out & {0, 1, 2, 4} != {0, 1, 2, 4}
     for i, nats in enumerate(expected):
         assert math.isclose(found[i]["nats"], nats, rel_tol=1e-9)
-        assert found[i]["n_grams"] == len(texts[i] or "") + 1
+        assert found[i]["n_grams"] == len((texts[i] or "").encode("utf-16-le")) // 2 + 1
+
+
+def test_units_in_pieces_are_the_units_of_the_text(monkeypatch):
+    texts = ["", "a", "the cat sat on the mat " * 9, "\U0001f600" * 20, "x" * 63]
+    whole = [[tuple(u[i : i + 4]) for i in range(len(u) - 3)] for u in (ngram_quality.units(t).tolist() for t in texts)]
+    monkeypatch.setattr(ngram_quality, "PIECE", 16)
+    found = [[] for _ in texts]
+    for group in ngram_quality.groups(texts):
+        number, gram, size = ngram_quality.ngrams([u for _, u in group])
+        at = 0
+        for (i, _), n in zip(group, size.tolist()):
+            found[i] += [tuple(int(g) >> 16 * k & 0xFFFF for k in (3, 2, 1, 0)) for g in gram[number[at : at + n]]]
+            at += n
+    assert found == whole
 
 
 def test_quality_rejects_noise_and_keeps_columns(spark):
@@ -76,7 +92,10 @@ def test_quality_without_labels_or_rows(spark):
 
 def test_quality_cut_has_the_fewest_errors(spark):
     rows = [("en", 1, x) for x in [1.50] * 90 + [1.60] * 9 + [2.40]] + [("en", 0, x) for x in [1.70] * 10 + [5.0] * 10] + [("de", 1, 1.0), ("fr", 0, 9.0)]
-    scored = spark.createDataFrame([(lang, mark, 100, 100 * x) for lang, mark, x in rows], "lang string, label int, n_grams long, nats double")
+    ids = [r[0] for r in spark.range(3000).filter(ngram_quality.held_out("id")).limit(len(rows)).collect()]
+    fitted = spark.range(9).filter(~ngram_quality.held_out("id")).first()[0]  # what fitted the model sets no cut
+    rows = [(i, lang, mark, 100, 100 * x) for i, (lang, mark, x) in zip(ids, rows)] + [(fitted, "en", 1, 100, 900.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, label int, n_grams long, nats double")
     found = {(r["lang"], r["every"]): r["cut"] for r in ngram_quality.cuts(scored).collect()}
     assert set(found) == {("en", False), ("de", False), (None, True)}
     assert math.isclose(found["en", False], 1.65) and math.isclose(found[None, True], 1.65)

@@ -1,23 +1,25 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, and a perplexity per document.
 
-Units are characters, in 12-bit codes, ORDER of them in one long. The model is what trusted documents (labelled quality 1) hold;
+Units are the 16-bit code units of UTF-16, ORDER of them in one long, so every character keeps its own code. The model is
+what trusted documents (labelled quality 1) hold, but for a fold of them (`held_out`, by a hash of the id) that only sets the cuts;
 its counts grow with them. The highest order has raw counts, lower orders count distinct left neighbours; each order has
 three discounts from its counts of counts; probabilities are interpolated down to a uniform one over all codes.
 
 Everything about counts is a join of tables sharded by n-gram: raw and continuation counts, sums per context, and the n-grams
 that documents ask for. Documents never become n-gram rows one by one. They are read in blocks (BLOCK_BYTES of text); a
 block asks once for each different n-gram in it. The answers are shuffled back to the block and meet its texts, which travel
-packed; there each document's sum is one numpy gather.
+packed; there each document's sum is a numpy gather, PIECE units at a time.
 
-Thresholds: for each language the logarithm of perplexity is cut where the labelled documents have the fewest errors (`cuts`),
-exact up to BIN, from a histogram of all of them.
+Thresholds: each language's cut is the quantile of its trusted, held-out documents at which the labelled documents have the fewest
+errors (`cuts`), exact up to BIN, from a histogram of all of them.
 
-Scale: a task holds one block; the count tables are joined by shuffle; the table of labels is broadcast only while it has at most
-BROADCAST_ROWS rows, otherwise the documents are joined by shuffle and written once. The input has to be one that yields the
-same rows in the same order each time it is read, such as files; block numbers rely on that.
+Scale: a task holds one block and its different n-grams; a text that is longer is a block of its own and is counted piece by piece.
+The count tables are joined by shuffle; blocks are dealt to at most MAX_PARTITIONS partitions, many to each. The table of labels is
+broadcast only while it has at most BROADCAST_ROWS rows, otherwise the documents are joined by shuffle and written once. The input
+has to be one that yields the same rows in the same order each time it is read, such as files; block numbers rely on that.
 
 Cases: null is the empty text; it has one n-gram, the end sign, and is judged like any other; a null language is a language;
-without trusted text all n-grams are equally likely and nothing is rejected; a language without trusted documents takes
+without trusted text all n-grams are equally likely and nothing is rejected; a language without held-out trusted documents takes
 the cut of all languages; rows that share an id are scored one by one; an empty table gives an empty result.
 """
 
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,22 +38,39 @@ from tidepanel.llm.shared import release, without
 from tidepanel.session import shared_dir
 
 ORDER = 4
-BITS = 12
+BITS = 16
 CODES = 1 << BITS
-START, END = 0, 1
-BLOCK_BYTES = 6 << 20
+START, END = 0xD800, 0xD8C0  # high surrogates of a block without letters and of an unassigned plane; alone they stand in no text
+BLOCK_BYTES = 3 << 20
 PACK_BYTES = 1 << 20
-TABLE = 1 << 24  # entries of a lookup table in a task
+PIECE = 1 << 20  # units that are numbered at once
+TABLE = 1 << 23  # entries of a lookup table in a task
+MAX_PARTITIONS = 100_000
+FOLDS = 5  # one of them is held out of the model
 BROADCAST_ROWS = 2_000_000
 BIN = 0.001
 UPPER_QUANTILE = 0.99  # of trusted documents, where a language has none labelled quality 0
 
 
-def codes(text: str) -> np.ndarray:
-    """START signs, the text's characters in 12 bits, and END. Characters from U+1000 share the upper half."""
-    sign = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    sign = np.where(sign < CODES, np.maximum(sign, 2), CODES // 2 + (sign * 2_654_435_761 >> 9) % (CODES // 2))
-    return np.concatenate([np.full(ORDER - 1, START), sign, [END]])
+def units(text: str) -> np.ndarray:
+    """START signs, the text's UTF-16 code units, and END."""
+    own = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+    return np.concatenate([np.full(ORDER - 1, START, np.uint16), own, np.array([END], np.uint16)])
+
+
+def groups(texts: list[str]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The texts' units as (number of the text, piece), with ORDER - 1 units before each piece; about PIECE units at a time."""
+    out, size = [], 0
+    for i, text in enumerate(texts):
+        own = units(text)
+        for at in range(0, len(own) - ORDER + 1, PIECE):
+            out.append((i, own[at : at + PIECE + ORDER - 1]))
+            size += len(out[-1][1])
+            if size >= PIECE:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
 
 
 def numbered(before: np.ndarray, n_before: int, sign: np.ndarray, n_signs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +87,8 @@ def numbered(before: np.ndarray, n_before: int, sign: np.ndarray, n_signs: int)
     return number[key], found
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the n-gram at each place, the different n-grams, how many places each text has)."""
-    parts = [codes(t) for t in texts]
+def ngrams(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the n-gram at each place, the different n-grams, how many places each array of units has)."""
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     flat = np.concatenate(parts)
     alphabet = np.flatnonzero(np.bincount(flat, minlength=CODES))
@@ -79,7 +97,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sign = dense[flat]
     number, gram = sign, alphabet.astype(np.int64)
     for _ in range(ORDER - 1):
-        # Runs over a text's border arise too; their places are left out below.
+        # Runs over an array's border arise too; their places are left out below.
         number, found = numbered(number[:-1], len(gram), sign[len(sign) - len(number) + 1 :], len(alphabet))
         gram = gram[found // len(alphabet)] << BITS | alphabet[found % len(alphabet)]
     begin = np.cumsum(size) - size
@@ -110,17 +128,20 @@ SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lan
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's different n-grams with their count in the block's trusted texts."""
+    """Each block's different n-grams with their count in the block's texts of the model (label 1)."""
     for block, rows in _blocks(batches):
-        number, gram, size = ngrams([r[1] or "" for r in rows])
-        trusted = np.repeat(np.array([r[3] == 1 for r in rows]), size)
-        here = np.bincount(number, minlength=len(gram))
-        count = np.bincount(number[trusted], minlength=len(gram))
-        order = np.flatnonzero(here)  # runs over a border have no place
-        order = order[np.argsort(gram[order])]
-        for at in range(0, len(order), 1 << 16):
-            part = order[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(gram[part]), pa.array(count[part].astype(np.int64))], names=ASKED.names)
+        found, times = [], []
+        for group in groups([r[1] or "" for r in rows]):
+            number, gram, size = ngrams([u for _, u in group])
+            trusted = np.repeat(np.array([rows[i][3] == 1 for i, _ in group]), size)
+            here = np.bincount(number, minlength=len(gram)) > 0  # runs over a border have no place
+            found.append(gram[here])
+            times.append(np.bincount(number[trusted], minlength=len(gram))[here])
+        gram, at = np.unique(np.concatenate(found), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate(times)).astype(np.int64)
+        for at in range(0, len(gram), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram[part]), block)), pa.array(gram[part]), pa.array(count[part])], names=ASKED.names)
 
 
 def _row_table(rows: list[tuple]) -> bytes:
@@ -164,13 +185,17 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gram, nats, parts, done = gram[order], nats[order], [], True
             with pa.ipc.open_stream(batch.column(3)[a].as_buffer()) as r:
                 rows = r.read_all()
-            number, own, size = ngrams([t or "" for t in rows["text"].to_pylist()])
-            at = np.minimum(np.searchsorted(gram, own), len(gram) - 1)
-            used = np.bincount(number, minlength=len(own)) > 0
-            if (gram[at] != own)[used].any():
-                raise RuntimeError("a block was read again in another order; give files or a checkpoint")
-            sums = np.add.reduceat(nats[at][number], np.cumsum(size) - size)
-            yield pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in ("doc_id", "lang", "label")), pa.array(size), pa.array(sums)], names=SCORED.names)
+            count, sums = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+            for group in groups([t or "" for t in rows["text"].to_pylist()]):
+                number, own, size = ngrams([u for _, u in group])
+                at = np.minimum(np.searchsorted(gram, own), len(gram) - 1)
+                used = np.bincount(number, minlength=len(own)) > 0
+                if (gram[at] != own)[used].any():
+                    raise RuntimeError("a block was read again in another order; give files or a checkpoint")
+                row = np.array([i for i, _ in group])
+                np.add.at(count, row, size)
+                np.add.at(sums, row, np.add.reduceat(nats[at][number], np.cumsum(size) - size))
+            yield pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in ("doc_id", "lang", "label")), pa.array(count), pa.array(sums)], names=SCORED.names)
     release()
 
 
@@ -204,7 +229,7 @@ def probabilities(asked: DataFrame) -> DataFrame:
     known = None
     for k in range(1, ORDER + 1):
         d1, d2, d3 = _discounts(counts[k])
-        context = F.shiftright("g", BITS)
+        context = F.shiftrightunsigned("g", BITS)
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         sums = counts[k].groupBy(context.alias("h")).agg(F.sum("n").alias("all"), F.sum(discount).alias("held"))
         rows = wanted[k].join(counts[k], "g", "left").withColumn("h", context).join(sums, "h", "left")
@@ -220,6 +245,11 @@ def probabilities(asked: DataFrame) -> DataFrame:
     return known
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a trusted document sets the cuts and stays out of the model."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)) == 0
+
+
 def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", label_id: str = "doc_id") -> DataFrame:
     """Per row: doc_id, lang, label (1 trusted, 0 not, null unknown), n_grams, nats (negative log-likelihood), perplexity."""
     spark = docs.sparkSession
@@ -230,18 +260,20 @@ def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     if not small:
         own = _stored(own, "labelled-documents")
     own = own.withColumn("part", F.spark_partition_id())
-    asked = _stored(own.mapInArrow(_asked, ASKED), "asked-ngrams")
+    fitted = own.withColumn("label", F.when(~held_out(), F.col("label")))
+    asked = _stored(fitted.mapInArrow(_asked, ASKED), "asked-ngrams")
     answers = asked.select("block", "g").join(probabilities(asked), "g").select("block", "g", "p", F.lit(None).cast("binary").alias("pack"))
     both = answers.unionByName(own.mapInArrow(_packs, PACKED))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), asked.select("block").distinct().count())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(asked.select("block").distinct().count(), MAX_PARTITIONS))
     met = both.repartition(n, "block").sortWithinPartitions("block", F.col("pack").isNotNull())
     return met.mapInArrow(_scores, SCORED).withColumn("perplexity", F.exp(F.col("nats") / F.col("n_grams")))
 
 
 def cuts(scored: DataFrame) -> DataFrame:
-    """(lang, cut) in nats a character: the step of the labelled rows' histogram with the fewest errors (trusted above, label 0 at or
-    below), of equal steps the highest, midway to the next labelled row; `lang` null and `every` true: all languages."""
-    bins = scored.filter("label is not null").withColumn("bin", F.round(F.col("nats") / F.col("n_grams") / BIN).cast("long"))
+    """(lang, cut) in nats a unit: the step of the labelled rows' histogram with the fewest errors (held-out trusted rows above, label 0 at
+    or below), of equal steps the highest, midway to the next labelled row; `lang` null and `every` true: all languages. A language
+    without rows labelled 0 takes the quantile UPPER_QUANTILE of its held-out trusted rows."""
+    bins = scored.filter((F.col("label") == 0) | (F.col("label") == 1) & held_out()).withColumn("bin", F.round(F.col("nats") / F.col("n_grams") / BIN).cast("long"))
     counted = bins.groupBy("lang", "bin").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
     counted = counted.select("lang", F.lit(False).alias("every"), "bin", "good", "bad").unionByName(
         counted.groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("every"), "bin", "good", "bad")
