@@ -13,7 +13,7 @@ from tidepanel.llm import flac_media, hilbert, token_store
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000, 8 * token_store.SEGMENT - 1, 8 * token_store.SEGMENT, 300_000])
 def test_wavelet_matrix_answers_like_an_array(n):
     rng = np.random.default_rng(n)
     ids = rng.choice(np.array([0, 1, 2, 3, 500, 49407], np.uint32), n)
@@ -45,6 +45,9 @@ def test_store_equals_the_library(spark, tmp_path):
     assert store.count() > 1
     total = sum(e.count(2) for e in encoded.values())
     assert token_store.token_counts(store, 2).groupBy().sum("n").first()[0] == total == token_store.token_places(store, 2).distinct().count()
+    small = token_store.read_store(spark, token_store.write_store(docs, PATH, end_id=2, shard_ids=50))  # several shards in a range
+    assert sorted(map(tuple, token_store.documents_of(small).collect()), key=lambda r: r[1]) == found
+    assert small.count() > 10 and small.select("range").distinct().count() == 1
     empty = token_store.read_store(spark, token_store.write_store(docs.limit(0), PATH, end_id=2))
     assert token_store.documents_of(empty).count() == 0
 

@@ -8,7 +8,7 @@ the sorted pair keys, takes the lowest rank of each word, merges its occurrences
 aside. Merging all occurrences of a word's lowest pair at once equals the one-by-one order, because a merge that
 uses a new symbol always ranks after the merge that made it.
 
-Scale: a map without shuffle. A worker keeps tables of about MAX_CHUNKS chunks and words; when one is full, the half met later goes.
+Scale: a map without shuffle. A worker keeps tables of about MAX_CHUNKS chunks and words (or `limit`); when one is full, the half met later goes.
 
 Cases: null is the empty text, which has no ids and decodes to the empty text; texts of any length are encoded whole;
 the strings of special tokens inside a text become those tokens, as the vocabulary file says.
@@ -50,7 +50,8 @@ def byte_signs() -> list[str]:
 class Vocabulary:
     """The tables of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int | None = None):
+        self.limit = limit or MAX_CHUNKS
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         ids = spec["model"]["vocab"]
@@ -145,9 +146,9 @@ class Vocabulary:
         """All ids of all texts, one after another, and each text's number of ids."""
         if not texts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        if len(self.chunks) > MAX_CHUNKS:
+        if len(self.chunks) > self.limit:
             self.chunks, self.chunk_ids, self.chunk_at = older_half(self.chunks, self.chunk_ids, self.chunk_at)
-        if len(self.words) > MAX_CHUNKS:
+        if len(self.words) > self.limit:
             self.words, self.word_ids, self.word_at = older_half(self.words, self.word_ids, self.word_at)
         # Arrow cuts the texts and finds the different chunks among them; only those become Python strings.
         column = pa.array(texts, pa.string())
