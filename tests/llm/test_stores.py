@@ -73,18 +73,80 @@ def test_flac_frames_are_verified():
     for lpc in (None, ([30, -15], 4)):
         streams = flac_media.streams_of([wave, noise, b"\x80" * 576], lpc)
         assert [(s.view(np.uint8) ^ 0x80).tobytes() for s in flac_media.samples_of(streams)] == [wave, noise, b"\x80" * 576]
-    for at in (45, 60, len(streams[0]) - 1):
+    for at in (65, 80, len(streams[0]) - 1):
         broken = bytearray(streams[0])
         broken[at] ^= 4
         with pytest.raises(ValueError):
             flac_media.samples_of([bytes(broken)])
 
 
+def head(number, size=2, rate=4, depth=1, extra=b"", variable=0):
+    own = bytes([0xFF, 0xF8 | variable, size << 4 | rate, depth << 1]) + flac_media.coded_number(number) + extra
+    return own + bytes([int(flac_media.crc8(np.frombuffer(own, np.uint8), np.array([0]), np.array([len(own)]))[0])])
+
+
+def framed(own, bits):
+    own += int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    return own + int(flac_media.crc16(np.frombuffer(own, np.uint8), np.array([0]), np.array([len(own)]))[0]).to_bytes(2, "big")
+
+
+def stream(samples, frames, most):
+    info = most.to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | len(samples)).to_bytes(8, "big") + hashlib.md5(np.array(samples, np.int8).tobytes()).digest()
+    return b"fLaC" + bytes([0, 0, 0, 34]) + info + bytes([0x81, 0, 0, 3]) + b"pad" + b"".join(frames)
+
+
+def test_samples_that_look_like_heads_are_samples():
+    rng = np.random.default_rng(5)
+    for kind in ("plain", "predicted", "constant"):
+        payload = rng.integers(0, 256, 576 * 3, dtype=np.uint8) if kind == "plain" else np.full(576 * 3, 200, np.uint8)
+        if kind == "predicted":
+            payload = (payload + rng.integers(0, 3, len(payload))).astype(np.uint8)
+        for number in (0, 1, 2):
+            for at in (3, 570, 600, 1500):
+                look = np.frombuffer(head(number), np.uint8) ^ 0x80
+                own = payload.copy()
+                own[at : at + len(look)] = look
+                found = flac_media.samples_of(flac_media.streams_of([own.tobytes(), payload.tobytes()]))
+                assert [(s.view(np.uint8) ^ 0x80).tobytes() for s in found] == [own.tobytes(), payload.tobytes()], (kind, number, at)
+
+
+def test_streams_of_other_writers_are_read():
+    two = lambda value, width: format(value & (1 << width) - 1, f"0{width}b")
+    zigzag = lambda r: r << 1 if r >= 0 else (-r << 1) - 1
+    rice = lambda r, k: "0" * (zigzag(r) >> k) + "1" + (two(zigzag(r), k) if k else "")
+    # Fixed order 1 with two partitions, the second one plain; then plain samples in a short last frame; depth 0 is the stream's own.
+    a = [5, 6, 8, 7, 7, 9, 12, 11]
+    left = np.diff(a).tolist()
+    bits = two(0x12, 8) + two(5, 8) + "00" + two(1, 4) + two(1, 4) + "".join(rice(r, 1) for r in left[:3]) + two(15, 4) + two(4, 5) + "".join(two(r, 4) for r in left[3:])
+    b = [-100, 3, 127]
+    short = two(0x02, 8) + "".join(two(x, 8) for x in b)
+    frames = [framed(head(0, 6, 0, 0, bytes([7])), bits), framed(head(1, 6, 0, 0, bytes([2])), short)]
+    s = stream(a + b, frames, 8)
+    assert flac_media.samples_of([s])[0].tolist() == a + b
+    assert flac_media.samples_at(s, 6, 4).tolist() == (a + b)[6:10]
+    # LPC with five-bit Rice parameters; then a subframe with two wasted bits; numbers of samples, as blocks differ.
+    c = [10, 20, 35, 41, 60, 62]
+    left = [c[i] - (3 * c[i - 1] - c[i - 2] >> 1) for i in range(2, 6)]
+    lpc = two(0x42, 8) + two(10, 8) + two(20, 8) + two(2, 4) + two(1, 5) + two(3, 3) + two(-1, 3) + "01" + two(0, 4) + two(3, 5) + "".join(rice(r, 3) for r in left)
+    d = [4, -8, 12, 16]
+    waste = two(0x03, 8) + "01" + "".join(two(x >> 2, 6) for x in d)
+    frames = [framed(head(0, 6, 12, 1, bytes([5, 8]), 1), lpc), framed(head(6, 7, 13, 1, bytes([0, 3, 0x1F, 0x40]), 1), waste)]
+    s = stream(c + d, frames, 6)
+    assert flac_media.samples_of([s])[0].tolist() == c + d
+    for broken in (s[:-3], s[:-1] + bytes([s[-1] ^ 1]), s[:20]):
+        with pytest.raises(ValueError):
+            flac_media.samples_of([broken])
+
+
 def test_pcm_blocks_can_be_sought(spark):
     df = spark.createDataFrame([(1, "abc " * 2000), (2, None)], "doc_id long, text string").select("doc_id", flac_media.payload_of(flac_media.F.col("text")).alias("payload"))
     rows = flac_media.pcm_blocks(flac_media.encode(df).drop("payload"), blocks=4).collect()
     own = sorted((r for r in rows if r["doc_id"] == 1), key=lambda r: r["sample_offset"])
     assert [r["sample_offset"] for r in own] == [i * 2304 for i in range(len(own))]
+    s = flac_media.streams_of([bytes(range(256)) * 576])[0]
+    assert len(flac_media.Info(s).points) == 4
+    for at, n in ((0, 1), (575, 2), (64 * 576, 600), (100_000, 5), (147_000, 9_999)):
+        assert (flac_media.samples_at(s, at, n).view(np.uint8) ^ 0x80).tobytes() == (bytes(range(256)) * 576)[at : at + n]
     pcm = b"".join(bytes(r["pcm"]) for r in own)
     assert pcm == ("abc " * 2000).encode() + b"\xff" * (-8000 % 576)
 

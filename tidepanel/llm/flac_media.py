@@ -1,14 +1,17 @@
-"""FLAC media columns: binary payloads stored as 8-bit mono FLAC streams, read back, verified and cut into PCM blocks.
+"""FLAC media columns: binary payloads stored as 8-bit mono FLAC streams, read back, verified, sought in and cut into PCM blocks.
 
 The writer takes payload bytes as samples (byte - 128), cuts frames of 576 samples and gives each frame the cheapest of a
-constant, a fixed linear predictor of order 0 to 2 with Rice-coded residuals, or plain samples. The reader takes any mono
-8-bit stream of fixed block size: constant, plain, fixed (order 0 to 4) and LPC subframes, Rice partitions of any order,
-no wasted bits. It checks the CRC-8 of each header, the CRC-16 of each frame, the running frame number, the count of
-samples and the MD5 of the stream.
+constant, a fixed linear predictor of order 0 to 2 with Rice-coded residuals, or plain samples; a seek table has the place of every
+SEEK-th frame. The reader takes any mono 8-bit stream: block sizes of every code, fixed or variable, a shorter last frame; constant,
+plain, fixed (order 0 to 4) and LPC subframes, wasted bits; both kinds of Rice partitions with their escapes. It checks the
+CRC-8 of each header, the CRC-16 of each frame, the running number, the count of samples and the MD5 of the stream.
 
-All frames of a slice of rows are worked on together: one numpy step codes or decodes the i-th residual of every frame.
+All frames of a slice of rows are worked on together: one numpy step codes or decodes the i-th residual of every frame. For
+that the frames' heads are looked for; where a stream's heads and checksums do not all fit, because samples look like a head or it is another
+writer's stream, it is decoded frame by frame from its start instead, where each frame's end tells where the next one begins.
 
-Scale: maps without shuffle; memory depends on SLICE, or on the one stream that is longer.
+Scale: maps without shuffle; memory depends on SLICE, or on the one stream that is longer. `media_digests` writes the streams to
+the shared folder and works on what it reads there.
 
 Cases: null or empty text makes one frame of padding; a stream that fails a check raises ValueError with the reason; a null media
 value decodes to null; the writer asks for payloads of whole blocks, which `payload_of` makes.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.llm.shared import slices
+from tidepanel.session import shared_dir
 
 BLOCK = 576
 SLICE = 1 << 20
 SAMPLE_RATE = 8000
+SEEK = 64  # frames from one seek point to the next
 #: Fixed values of the format: predictors by order, and the code of a frame's head (sync, 576 samples, 8 kHz, mono, 8 bits).
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 HEAD = bytes([0xFF, 0xF8, 0x24, 0x02])
@@ -183,7 +189,9 @@ def streams_of(payloads: list[bytes], lpc: tuple[list[int], int] | None = None)
         sizes = [len(f) for f in own]
         info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
         info += (SAMPLE_RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + digest
-        out.append(b"fLaC" + bytes([0x80, 0, 0, len(info)]) + info + b"".join(own))
+        before = np.cumsum([0, *sizes])
+        points = b"".join(struct.pack(">QQH", i * BLOCK, int(before[i]), BLOCK) for i in range(0, c, SEEK))
+        out.append(b"fLaC" + bytes([0, 0, 0, len(info)]) + info + bytes([0x83]) + len(points).to_bytes(3, "big") + points + b"".join(own))
     return out
 
 
@@ -244,38 +252,58 @@ def _numbers(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value, ones
 
 
-def samples_of(streams: list[bytes]) -> list[np.ndarray]:
-    """The samples of each stream, after all checks."""
-    if not streams:
-        return []
-    first, total, digest, size = [], [], [], set()
-    at = 0
-    for s in streams:
-        if s[:4] != b"fLaC":
+class Info:
+    """What stands before a stream's frames: the first frame's place, block sizes, count of samples, digest and seek points."""
+
+    def __init__(self, stream: bytes):
+        if stream[:4] != b"fLaC":
             raise ValueError("not a FLAC stream")
-        here, last = 4, False
+        here, last, info, self.points = 4, False, b"", []
         while not last:
-            last, kind, n = s[here] >> 7, s[here] & 0x7F, int.from_bytes(s[here + 1 : here + 4], "big")
+            if here + 4 > len(stream):
+                raise ValueError("the stream ends inside its metadata")
+            last, kind, n = stream[here] >> 7, stream[here] & 0x7F, int.from_bytes(stream[here + 1 : here + 4], "big")
             if kind == 0:
-                info = s[here + 4 : here + 4 + n]
+                info = stream[here + 4 : here + 4 + n]
+            elif kind == 3:
+                found = struct.iter_unpack(">QQH", stream[here + 4 : here + 4 + n // 18 * 18])
+                self.points = [(sample, at) for sample, at, _ in found if sample < 1 << 64 - 1]
             here += 4 + n
+        if len(info) < 34:
+            raise ValueError("a stream without its description")
         packed = int.from_bytes(info[10:18], "big")
         if packed >> 41 & 7 or (packed >> 36 & 31) != 7:
             raise ValueError("only mono streams of 8-bit samples")
-        size.add(struct.unpack(">H", info[2:4])[0])
-        total.append(packed & (1 << 36) - 1)
-        digest.append(info[18:34])
-        first.append(at + here)
-        at += len(s)
-    if len(size) != 1:  # another block size works by itself
-        return [samples_of([s])[0] for s in streams]
-    block = size.pop()
+        self.first, self.total, self.digest = here, packed & (1 << 36) - 1, info[18:34]
+        self.least, self.most = struct.unpack(">HH", info[:4])
+
+
+def samples_of(streams: list[bytes]) -> list[np.ndarray]:
+    """The samples of each stream, after all checks."""
+    infos = [Info(s) for s in streams]
+    out = _in_step(streams, infos)
+    for i, (s, info) in enumerate(zip(streams, infos)):
+        if out[i] is None:
+            out[i] = np.concatenate([np.empty(0, np.int8), *(x for _, x in frames(s, info))])
+        if info.total and len(out[i]) != info.total:
+            raise ValueError("samples are missing")
+        if info.digest != bytes(16) and hashlib.md5(out[i].tobytes()).digest() != info.digest:
+            raise ValueError("the stream's digest is wrong")
+    return out
+
+
+def _in_step(streams: list[bytes], infos: list[Info]) -> list[np.ndarray | None]:
+    """The samples of all streams that this writer's heads divide without doubt, decoded together; None for the others."""
+    out: list[np.ndarray | None] = [None] * len(streams)
     data = np.frombuffer(b"".join(streams), np.uint8)
+    if len(data) < 8:
+        return out
     bound = np.cumsum([len(s) for s in streams])
+    first = bound - [len(s) - i.first for s, i in zip(streams, infos)]
     # Frames begin where the head's code stands, its checksum holds and the frame number is the next one.
-    sign = np.flatnonzero((data[:-4] == HEAD[0]) & (data[1:-3] == HEAD[1]) & (data[3:-1] == HEAD[3]))
+    sign = np.flatnonzero((data[:-4] == HEAD[0]) & (data[1:-3] == HEAD[1]) & (data[2:-2] == HEAD[2]) & (data[3:-1] == HEAD[3]))
     owner = np.searchsorted(bound, sign, "right")
-    keep = sign >= np.array(first)[owner]
+    keep = sign >= first[owner]
     sign, owner = sign[keep], owner[keep]
     number, width = _numbers(data, sign + 4)
     keep = (width < 9) & (sign + 4 + width < bound[owner])
@@ -283,49 +311,127 @@ def samples_of(streams: list[bytes]) -> list[np.ndarray]:
     keep = crc8(data, sign, sign + 4 + width) == data[sign + 4 + width] if len(sign) else np.empty(0, bool)
     sign, owner, number, width = sign[keep], owner[keep], number[keep], width[keep]
     count = np.bincount(owner, minlength=len(streams))
-    expected = -(-np.array(total) // block)
-    if (count != expected).any() or (number != np.arange(len(number)) - np.repeat(np.cumsum(count) - count, count)).any():
-        raise ValueError("frames are missing, or a head is damaged")
+    whole = np.array([i.total % BLOCK == 0 and i.total // BLOCK for i in infos])
+    right = number == np.arange(len(number)) - np.repeat(np.cumsum(count) - count, count)
+    fits = (count == whole) & (whole > 0) & (np.bincount(owner, right, len(streams)) == count)
+    own = fits[owner]
+    sign, owner, width = sign[own], owner[own], width[own]
+    if not len(sign):
+        return out
     end = np.append(sign[1:], 0)
-    tails = np.cumsum(count) - 1
-    end[tails[count > 0]] = bound[count > 0]
-    if (crc16(data, sign, end - 2) != data[end - 2].astype(np.uint16) << 8 | data[end - 1]).any():
-        raise ValueError("a frame's checksum is wrong")
-    out = np.empty((len(sign), block), np.int32)
-    body = sign + 5 + width
+    tails = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+    end[tails] = bound[owner[tails]]
+    wrong = crc16(data, sign, end - 2) != data[end - 2].astype(np.uint16) << 8 | data[end - 1]
+    fits &= np.bincount(owner, wrong, len(streams)) == 0
+    own = fits[owner]
+    sign, owner, width, end = sign[own], owner[own], width[own], end[own]
+    if not len(sign):
+        return out
+    try:
+        found, after = _decoded(data, sign + 5 + width, BLOCK)
+        if (after != end - 2).any():
+            raise ValueError("a frame's length is wrong")
+    except ValueError:  # one of them is not what it looks like; each is decoded by itself
+        return out
+    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    for a, b in zip(starts, [*starts[1:], len(owner)]):
+        out[int(owner[a])] = found[a:b].astype(np.int8).ravel()
+    return out
+
+
+def _decoded(data: np.ndarray, body: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of subframes (rows) that begin at the places `body`, and the places after them."""
+    out = np.empty((len(body), block), np.int32)
+    after = np.empty(len(body), np.int64)
     kind = data[body].astype(np.int64)
     for k in np.unique(kind):
         rows = np.flatnonzero(kind == k)
         bits = _Bits(data, (body[rows] + 1) * 8)
-        if k == 0x00:
-            out[rows] = data[body[rows] + 1].view(np.int8)[:, None]
-            bits.at = bits.at + 8
-        elif k == 0x02:
-            out[rows] = data[(body[rows] + 1)[:, None] + np.arange(block)].view(np.int8)
-            bits.at = bits.at + 8 * block
-        elif k & 1 or not (k & 0x40 or 0x10 <= k <= 0x18):
-            raise ValueError("a subframe of unknown kind")
+        depth, wasted = 8, 0
+        if k & 1:
+            if len(rows) > 1:
+                raise ValueError("frames with wasted bits are decoded one by one")
+            wasted = 1
+            while not bits.read(1)[0]:
+                wasted += 1
+                if wasted > 7:
+                    raise ValueError("a sample without bits")
+            depth -= wasted
+        if k >> 1 == 0:
+            out[rows] = bits.signed(depth)[:, None]
+        elif k >> 1 == 1:
+            if wasted:
+                out[rows] = np.stack([bits.signed(depth) for _ in range(block)], 1)
+            else:
+                at = (body[rows] + 1)[:, None] + np.arange(block)
+                if at[:, -1].max() >= len(data):
+                    raise ValueError("a frame runs past the end of its stream")
+                out[rows] = data[at].view(np.int8)
+                bits.at = bits.at + 8 * block
+        elif k & 0x40 or 0x10 <= k <= 0x19:
+            _predicted(bits, int(k), rows, block, out, depth)
         else:
-            _predicted(bits, int(k), rows, block, out)
-        if ((bits.at + 7) // 8 != end[rows] - 2).any():
-            raise ValueError("a frame's length is wrong")
-    found, ends = [], np.cumsum(count) * block
-    flat = out.astype(np.int8).ravel()
-    for e, c, n, d in zip(ends.tolist(), count.tolist(), total, digest):
-        own = flat[e - c * block : e][:n]
-        if d != bytes(16) and hashlib.md5(own.tobytes()).digest() != d:
-            raise ValueError("the stream's digest is wrong")
-        found.append(own)
-    return found
+            raise ValueError("a subframe of unknown kind")
+        if wasted:
+            out[rows] <<= wasted
+        after[rows] = (bits.at + 7) // 8
+    return out, after
+
 
+#: Fixed values of the format: block sizes by code.
+SIZES = {1: 192, **{c: 576 << (c - 2) for c in range(2, 6)}, **{c: 256 << (c - 8) for c in range(8, 16)}}
 
-def _predicted(bits: _Bits, kind: int, rows: np.ndarray, block: int, out: np.ndarray) -> None:
+
+def frames(stream: bytes, info: Info, at: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first sample, samples) of each frame from the place `at` on, decoded one after another."""
+    data, at, done = np.frombuffer(stream, np.uint8), info.first if at is None else at, None
+    while at < len(stream):
+        if at + 6 > len(stream) or stream[at] != 0xFF or stream[at + 1] & 0xFE != 0xF8:
+            raise ValueError("frames are missing, or a head is damaged")
+        variable, size, rate, depth = stream[at + 1] & 1, stream[at + 2] >> 4, stream[at + 2] & 15, stream[at + 3] >> 1
+        if stream[at + 3] >> 4 or depth & 7 not in (0, 1) or stream[at + 3] & 1:
+            raise ValueError("only mono streams of 8-bit samples")
+        number, width = _numbers(data, np.array([at + 4]))
+        here = at + 4 + int(width[0])
+        extra = {6: 1, 7: 2}.get(size, 0)
+        block = int.from_bytes(stream[here : here + extra], "big") + 1 if extra else SIZES.get(size, 0)
+        here += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+        if width[0] > 7 or not block or rate == 15 or here >= len(stream) or crc8(data, np.array([at]), np.array([here]))[0] != stream[here]:
+            raise ValueError("frames are missing, or a head is damaged")
+        first = int(number[0]) * (1 if variable else info.most)
+        if done is not None and first != done or done is None and at == info.first and first:
+            raise ValueError("a frame's number is not the next one")
+        samples, after = _decoded(data, np.array([here + 1]), block)
+        end = int(after[0])
+        if end + 2 > len(stream) or crc16(data, np.array([at]), np.array([end]))[0] != int.from_bytes(stream[end : end + 2], "big"):
+            raise ValueError("a frame's checksum is wrong")
+        yield first, samples[0].astype(np.int8)
+        at, done = end + 2, first + block
+
+
+def samples_at(stream: bytes, first: int, n: int) -> np.ndarray:
+    """Samples first to first + n - 1 (fewer at the end), by decoding from the nearest seek point before them on."""
+    info = Info(stream)
+    start = max((p for p in info.points if p[0] <= first), default=(0, 0))
+    parts, at = [np.empty(0, np.int8)], None
+    for at, own in frames(stream, info, info.first + start[1]):
+        if at >= first + n:
+            break
+        parts.append(own[max(0, first - at) : first + n - at])
+    return np.concatenate(parts)
+
+
+def _predicted(bits: _Bits, kind: int, rows: np.ndarray, block: int, out: np.ndarray, depth: int) -> None:
     order = (kind >> 1 & 31) + 1 if kind & 0x40 else kind >> 1 & 7
+    if order > block:
+        raise ValueError("a predictor longer than its block")
     now = np.empty((block, len(rows)), np.int32)
     for i in range(order):
-        now[i] = bits.signed(8)
+        now[i] = bits.signed(depth)
     if kind & 0x40:
         precision, shift = bits.read(4) + 1, bits.signed(5)
+        if (precision == 16).any() or (shift < 0).any():
+            raise ValueError("a predictor of unknown kind")
         weights = []
         for _ in range(order):
             value = bits.read(precision)
@@ -333,18 +439,22 @@ def _predicted(bits: _Bits, kind: int, rows: np.ndarray, block: int, out: np.nda
     else:
         weights, shift = [np.full(len(rows), c) for c in FIXED[order]], np.zeros(len(rows), np.int64)
     method, partitions = bits.read(2), bits.read(4)
-    if method.any():
+    if (method > 1).any():
         raise ValueError("a residual of unknown kind")
-    for p in np.unique(partitions):
-        own = partitions == p
+    for m, p in {*zip(method.tolist(), partitions.tolist())}:
+        own = (partitions == p) & (method == m)
         part = _Bits(bits.data[:-16], bits.at[own])
-        length = block >> int(p)
+        length = block >> p
+        if block % (1 << p) or length < order:
+            raise ValueError("partitions that do not divide the block")
+        escape = 31 if m else 15
         for i in range(order, block):
             if i % length == 0 or i == order:
-                k = part.read(4)
-                if (k == 15).any():
-                    raise ValueError("a residual without Rice codes")
-            now[i, own] = part.rice(k)
+                k = part.read(4 + m)
+                raw = int(part.read(5)[0]) if (k == escape).any() and len(k) == 1 else None
+                if (k == escape).any() and raw is None:
+                    raise ValueError("frames with plain residuals are decoded one by one")
+            now[i, own] = part.rice(k) if raw is None else part.signed(raw) if raw else 0
         bits.at[own] = part.at
     if order:
         for i in range(order, block):
@@ -402,22 +512,39 @@ def decode(df: DataFrame, media: str = "media", payload: str = "decoded", featur
     return _mapped(df, media, added, work)
 
 
-def pcm_blocks(df: DataFrame, media: str = "media", blocks: int = 64) -> DataFrame:
-    """One row per run of `blocks` frames: the other columns, `sample_offset`, `n_samples` and `pcm` (unsigned 8-bit, as in the payload).
+def pcm_blocks(df: DataFrame, media: str = "media", blocks: int = SEEK) -> DataFrame:
+    """One row per run of `blocks` * 576 samples: the other columns, `sample_offset`, `n_samples` and `pcm` (unsigned 8-bit, as in the payload).
 
-    A reader seeks by sample_offset: block number times blocks * 576.
+    Each run is read from the stream's seek point before it, so a row needs no more than its own frames (and, where `blocks` is no
+    multiple of SEEK, those back to that point). Null media gives no rows.
     """
     size = blocks * BLOCK
     rest = [c for c in df.columns if c != media]
-    whole = decode(df, media, "_pcm", "_feature").drop(media, "_feature").filter(F.col("_pcm").isNotNull())
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("_pcm") - 1, F.lit(size))).alias("sample_offset")
-    return whole.select(*rest, "_pcm", at).select(*rest, "sample_offset", F.least(F.octet_length("_pcm") - F.col("sample_offset"), F.lit(size)).alias("n_samples"), F.substring("_pcm", F.col("sample_offset") + 1, F.lit(size)).alias("pcm"))
+    added = T.StructType([T.StructField("sample_offset", T.LongType()), T.StructField("n_samples", T.LongType()), T.StructField("pcm", T.BinaryType())])
+    schema = T.StructType([*[df.schema[c] for c in rest], *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(media))
+            for i in range(len(batch)):
+                stream = column[i].as_py()
+                if stream is None:
+                    continue
+                info, other = Info(stream), [batch.column(batch.schema.get_field_index(c)).slice(i, 1) for c in rest]
+                for at in range(0, info.total, size):
+                    pcm = (samples_at(stream, at, size).view(np.uint8) ^ 0x80).tobytes()
+                    yield pa.RecordBatch.from_arrays([*other, pa.array([at], pa.int64()), pa.array([len(pcm)], pa.int64()), pa.array([pcm], pa.binary())], names=schema.names)
+
+    return df.select(*rest, media).mapInArrow(run, schema)
 
 
 def media_digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: sizes and digests of the payload as read back and of the stream that holds it, and the feature."""
+    """Per row: sizes and digests of the payload as read back and of the stream that holds it, and the feature. The streams are written to the shared folder."""
+    spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), payload_of(F.col(text)).alias("payload"))
-    read = decode(encode(own).drop("payload"))
+    stored, folder = encode(own).drop("payload"), f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    stored.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(folder)
+    read = decode(spark.read.schema(stored.schema).parquet(folder))
     return read.select(
         "doc_id", "n_bytes", F.octet_length("decoded").cast("long").alias("payload_bytes"), F.sha2("decoded", 256).alias("payload_sha256"), F.crc32(F.expr("substring(decoded, -32)")).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
