@@ -183,3 +183,20 @@ def test_ranges_let_readers_skip_shards(spark):
     ranges = hilbert.shard_ranges(hilbert.shard_documents(docs), ["n_chars"]).collect()
     read = sum(1 for r in ranges if r["min_n_chars"] <= 100 and r["max_n_chars"] >= 60)
     assert len(ranges) == 40 and read <= 20
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None, "a", 1, "en", "s", 7), (1, "b", 2, "de", "s", 7), (1, "b", 2, "de", "s", 7), (2, None, None, None, "t", 7)] + [(i, "x" * (i % 9), i % 9, f"l{i % 4}", f"s{i % 6}", 7) for i in range(3, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, lang string, source string, slot int").repartition(5)
+    ranges = hilbert.write_shards(docs, str(tmp_path / "w")).collect()
+    back = spark.read.parquet(str(tmp_path / "w"))
+    found = back.select("doc_id", "text", "n_chars", "lang", "source").collect()
+    assert sorted(map(str, found)) == sorted(map(str, docs.select("doc_id", "text", "n_chars", "lang", "source").collect()))
+    places = [(r["shard"], r["slot"]) for r in back.select("shard", "slot").collect()]
+    assert len(set(places)) == len(rows) and sum(r["rows"] for r in ranges) == len(rows)
+    shards_of = lambda v: {r["shard"] for r in back.filter(back["lang"].eqNullSafe(v)).collect()}
+    df = spark.createDataFrame(ranges)
+    for v in ("l1", "de", None):
+        assert shards_of(v) <= {r["shard"] for r in df.filter(hilbert.may_hold("lang", v)).collect()}
+    assert df.filter(hilbert.may_hold("lang", "l1")).count() < 40
+    assert hilbert.write_shards(docs.limit(0), str(tmp_path / "e")).count() == 0

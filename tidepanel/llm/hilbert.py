@@ -3,21 +3,22 @@
 Each dimension is quantised to 2^BITS steps (numbers by approximate quantiles, strings by a hash), the steps are coordinates
 of a cell, and cells are numbered along a Hilbert curve, on which neighbours differ by one step of one dimension. Rows
 are sorted by the cell's number and cut into runs of equal count, so a shard covers few cells, and the ranges of its
-columns (`shard_ranges`) let a reader with conditions on any of the dimensions skip most shards.
+numbers and the steps of its strings (`shard_ranges`, `may_hold`) let a reader with conditions on any of the dimensions skip most shards.
 
 The curve's number of a cell follows from bit operations on columns (exchange and invert from the high bit down, then a Gray code);
 it runs inside Spark's generated code, without a table.
 
-Scale: only ids, sizes and dimensions are sorted, never texts. Rows go to range partitions by (cell, hash of the id), so a hot
+Scale: to number documents only ids, sizes and dimensions are sorted; to write them, texts are shuffled once, with the sort. Rows go to range partitions by (cell, hash of the id), so a hot
 cell is split; a row's place is its partition's offset plus its place inside, from one count per partition.
 
 Cases: null text has no bytes; a null number is step 0, a null string hashes like any other; rows that are equal in all that is sorted
-take neighbouring places in either order; fewer rows than shards leave shards empty; an empty table gives an empty result.
+take neighbouring places in either order, and null or repeated ids are rows like others; columns named like an added one
+(size, shard, slot, curve_index) are replaced by it; fewer rows than shards leave shards empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,7 +79,7 @@ def quantised(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFra
             for m in marks:  # as many terms as steps
                 step = step + F.when(F.col(d) > m, 1).otherwise(0)
         else:
-            step = F.pmod(F.xxhash64(d), F.lit(steps))
+            step = _step(F.col(d), bits)
         df = df.withColumn(f"_d{i}", step.cast("long"))
     return df
 
@@ -112,20 +113,35 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc
     return along_curve(rows, list(dimensions), shards)
 
 
-def shard_ranges(sharded: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Per shard: rows, bytes and the least and greatest value of each dimension, for readers that skip shards."""
-    ends = [f(d).alias(f"{name}_{d}") for d in dimensions for name, f in (("min", F.min), ("max", F.max))]
+def _step(value: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(1 << bits))
+
+
+def shard_ranges(sharded: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
+    """Per shard: rows, bytes, the least and greatest value of each number (min_, max_) and the steps that each string takes (steps_, at most
+    2^bits of them), for readers that skip shards."""
+    ends = []
+    for d in dimensions:
+        if isinstance(sharded.schema[d].dataType, T.NumericType):
+            ends += [F.min(d).alias(f"min_{d}"), F.max(d).alias(f"max_{d}")]
+        else:
+            ends.append(F.array_sort(F.collect_set(_step(F.col(d), bits))).alias(f"steps_{d}"))
     return sharded.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ends)
 
 
-def write_shards(docs: DataFrame, folder: str, **options) -> DataFrame:
+def may_hold(dimension: str, value: str | None, bits: int = BITS) -> Column:
+    """A condition on `shard_ranges`: whether a shard may have rows with this value of a string dimension."""
+    return F.array_contains(f"steps_{dimension}", _step(F.lit(value).cast("string"), bits))
+
+
+def write_shards(docs: DataFrame, folder: str, *, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", dimensions: tuple[str, ...] = ("n_chars", "lang", "source")) -> DataFrame:
     """Writes whole documents, one folder per shard in curve order, and returns the shards' ranges.
 
-    Documents meet their shard by a join on doc_id, so ids have to be unique here.
+    Every row is written once, with its place (`shard`, `slot`), whatever its id is.
     """
-    doc_id = options.get("doc_id", "doc_id")
-    dimensions = options.get("dimensions", ("n_chars", "lang", "source"))
-    places = shard_documents(docs, **options)
-    named = places.select(F.col("doc_id").alias("_id"), "shard", "slot", "size")
-    docs.join(named, docs[doc_id] == named["_id"]).drop("_id", "size").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
-    return shard_ranges(places, list(dimensions))
+    added = ("size", "curve_index", "shard", "slot")
+    rows = docs.select(*[docs[c] for c in docs.columns if c not in added], (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD).alias("size"))
+    # The rows come in runs of the curve, so each task writes to few shards.
+    along_curve(rows, list(dimensions), shards, doc_id=doc_id).write.partitionBy("shard").parquet(folder)
+    written = docs.sparkSession.read.schema(T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType())])).parquet(folder)
+    return shard_ranges(written, list(dimensions))
