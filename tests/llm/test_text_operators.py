@@ -165,3 +165,44 @@ def test_names_of_wrappers_do_not_drop_the_article():
     assert html_extract.main_text(f"<body><article>{body}</article>{said}</body>") == whole
     assert html_extract.main_text(f'<body><div class="promo">{prose[0]}</div></body>') == prose[0]
     assert html_extract.main_text('<body><div class="ad">Buy now.</div><article><h1>Title</h1><p>Short text.</p></article></body>') == "Title\nShort text."
+
+
+def test_path_ratios_equal_the_formulas():
+    page = "<body><div class=a><p>One, two.</p><p>Three <a href=x>four</a>.</p></div><nav><a>Home</a></nav><div class=b>Five<p>Six!</p></div></body>"
+    parsed = html_extract.Page(page)
+    html_extract.set_priors(parsed.paths)
+    rows = [("a/p", "One, two.", 2, 0, 1.0), ("a/p", "Three four.", 1, 4, 1.0), ("nav", "Home", 0, 4, html_extract.PART), ("b", "Five", 0, 0, 1.0), ("b/p", "Six!", 1, 0, 1.0)]
+    assert [b.text for b in parsed.blocks] == [r[1] for r in rows]
+    own, weak = {}, {}
+    for p in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == p]
+        n, text, marks, links = len(mine), sum(len(r[1]) for r in mine), sum(r[2] for r in mine), sum(r[3] for r in mine)
+        own[p] = text / n * (1 + marks / n) ** 0.5 * (1 - links / text) * mine[0][4]
+        weak[p] = mine[0][4] * (1.1 - links / text)
+    s = [own[r[0]] for r in rows]
+    smooth = [(s[max(i - 1, 0)] + 2 * s[i] + s[min(i + 1, len(s) - 1)]) / 4 for i in range(len(s))]
+    found = html_extract.path_ratios(parsed.blocks)
+    for b, r in zip(parsed.blocks, rows):
+        mean = [x for x, q in zip(smooth, rows) if q[0] == r[0]]
+        strong, low = found[id(b.path)]
+        assert abs(strong - (sum(mean) / len(mean) * own[r[0]]) ** 0.5) < 1e-9 and abs(low - weak[r[0]]) < 1e-9
+
+
+def test_ratios_choose_the_text(monkeypatch):
+    prose = [f"Paragraph {i} tells, in some detail, what happened on the river; people and boats are described." for i in range(5)]
+    soup = "<body><div><div><a href=1>One</a></div><div><a href=2>Two</a></div></div><div><h2>Head</h2><ul><li><a href=3>Three</a></ul>" + "".join(f"<p>{p}</p>" for p in prose) + "<p>Short.</p></div><div class=rail>Latest news</div><div><ul><li><a>x</a><li><a>y</a></ul></div></body>"
+    text = "\n".join(["Head", *prose, "Short."])
+    assert html_extract.main_text(soup) == text
+    made = html_extract.path_ratios
+    monkeypatch.setattr(html_extract, "path_ratios", lambda blocks: dict.fromkeys(made(blocks), (1.0, 1.0)))
+    assert html_extract.main_text(soup) != text
+
+
+def test_markup_of_any_shape_is_read_in_linear_time():
+    import time
+
+    began = time.process_time()
+    for hostile in ('<a "' * 500_000, "<div>" * 20_000 + "x", "<p><x>t" * 10_000, "<" * 500_000, "<!" * 200_000, "<a ='\"" * 100_000, "<span hidden>a" * 50_000, "<svg>a" * 50_000, "<div>x" * 10_000 + "</div>" * 10_000):
+        html_extract.main_text(hostile)
+    assert time.process_time() - began < 30
+    assert html_extract.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><p>a < b &lt; c</p></article>") == "Let x=1 be.\na < b < c"
