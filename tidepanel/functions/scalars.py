@@ -46,16 +46,51 @@ def ladder(x: Column, steps: list[tuple[float, str]], other: str) -> Column:
     return out.when(x.isNotNull(), other)
 
 
+#: The names and bounds of the ladders below.
 def observed_direction(score: Column) -> Column:
-    return ladder(score, [(80, "strong"), (60, "firm"), (40, "neutral"), (20, "soft")], "weak")
+    return ladder(score, [(80, "leading"), (60, "strengthening"), (40, "neutral"), (20, "weakening")], "lagging")
 
 
 def forecast_direction(score: Column) -> Column:
-    return ladder(score, [(85, "up"), (60, "lean-up"), (40, "neutral"), (15, "lean-down")], "down")
+    return ladder(score, [(85, "strong-up"), (60, "up"), (40, "range"), (15, "down")], "strong-down")
 
 
 def edge_direction(p: Column, base: Column) -> Column:
-    return ladder(p - base, [(0.08, "strong-up"), (0.03, "up"), (-0.03, "neutral"), (-0.08, "down")], "strong-down")
+    """Both ends of a side belong to it: an edge of exactly -0.08 is strong-down, of exactly -0.03 down."""
+    edge = p - base
+    return F.when(edge >= 0.08, "strong-up").when(edge >= 0.03, "up").when(edge <= -0.08, "strong-down").when(edge <= -0.03, "down").when(edge.isNotNull(), "range")
+
+
+def lifecycle_stage(relative: Column, amount: Column, breadth: Column) -> Column:
+    """The stage of a sector with much volume: relative return, amount ratio and breadth in percent."""
+    return F.when((relative > 0) & (breadth >= 50), "acceleration").when(relative > 0, "divergence").when((amount >= 1.6) & (breadth < 50), "distribution").otherwise("early")
+
+
+def evidence_score(dates: Column, consistency: Column, ic: Column, share: Column, score: Column) -> Column:
+    """A grade of evidence from 10 to 49: support, consistency, rank correlation, stability and how far the score is from 50. Missing or zero shares count as 0.5."""
+    part = lambda x: F.coalesce(clamp(x, 0.0, 1.0), F.lit(0.0))
+    half = lambda x: F.coalesce(F.nullif(x, F.lit(0.0)), F.lit(0.5))
+    total = 18 + 8 * part(dates / 100.0) + 8 * part((half(consistency) - 0.5) / 0.15) + 7 * part(ic / 0.12) + 4 * part((half(share) - 0.5) / 0.2) + 4 * part(F.abs(score - 50) / 50)
+    return clamp(F.bround(total, 0), 10.0, 49.0)
+
+
+def weighted_score(value: Column, weight: Column, least: int = 3) -> Column:
+    """As an aggregate: the mean of the values under positive weights that add up to one; null with fewer than `least` values."""
+    used = value.isNotNull() & (weight > 0)
+    return F.when(F.count(value) >= least, F.try_divide(F.sum(F.when(used, value * weight)), F.sum(F.when(used, weight))))
+
+
+def percent_change(text: Column) -> Column:
+    """The change that a claim states: + after rose or gained, - after any other of the verbs, null without one. (The verbs are fixed values.)"""
+    n = F.nullif(F.regexp_extract(text, r"(?i)(rose|fell|gained|declined|上涨|下跌|升|跌)\s*([0-9.]+)%", 2), F.lit("")).try_cast("double")
+    return F.round(F.when(text.rlike("(?i)rose|gained|上涨|升"), n).otherwise(-n), 2) + F.lit(0.0)
+
+
+def valid_ohlc(open_: Column, high: Column, low: Column, close: Column, tolerance: float) -> Column:
+    """Whether a bar is positive and its high and low hold the rest, up to a tolerance; a missing price isn't valid."""
+    holds = (high + tolerance >= F.greatest(open_, close, low)) & (low - tolerance <= F.least(open_, close, high))
+    known = open_.isNotNull() & high.isNotNull() & low.isNotNull() & close.isNotNull()
+    return F.coalesce(known & (F.least(open_, high, low, close) > 0) & holds, F.lit(False))
 
 
 def market_direction(change: Column) -> Column:
@@ -72,7 +107,9 @@ def canonical_url(url: Column) -> Column:
 
 
 def plain_text(markup: Column, limit: int = 10_000) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(markup, "<[^>]*>", " "), r"\s+", " ")), 1, limit)
+    """Text without tags. As a feature only the first `limit` characters of the markup are read."""
+    first = F.substring(F.regexp_replace(markup, r"^\s+|\s+$", ""), 1, limit)
+    return F.trim(F.regexp_replace(F.regexp_replace(first, "<[^>]*>", " "), r"\s+", " "))
 
 
 def sentences(text: Column) -> Column:
@@ -90,7 +127,12 @@ def letters_without_space(text: Column) -> Column:
 
 def digest_id(kind: str, *parts: Column) -> Column:
     """A name that depends on the parts alone."""
-    return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256), 1, 12))
+    return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(joined(*parts), 256), 1, 12))
+
+
+def joined(*parts: Column) -> Column:
+    """The parts in one text; a null part leaves a sign of its own, so that it can't change places with another."""
+    return F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts])
 
 
 def redacted(text: Column) -> Column:
@@ -100,6 +142,18 @@ def redacted(text: Column) -> Column:
     return F.regexp_replace(out, r"/(home|Users)/[A-Za-z0-9_.-]+", "[path]")
 
 
+#: What counts as sensitive.
+MAC = r"(?i)\b[0-9A-F]{2}(:[0-9A-F]{2}){5}\b"
+IP = r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b"
+CREDENTIAL = r"""(?i)bearer\s+\S{8,}|(authorization|password|passwd|cookie|api[_-]?key|access[_-]?token|refresh[_-]?token|machine[_-]?id|machineguid|private[_-]?key|secret)\s*[:=]\s*["']?[^\s"']{8,}"""
+PAYLOAD = r"""(?i)["']?(rawPayload|raw_provider_payload|providerPayload)["']?\s*[:=]\s*(\{|\[|true|["'])"""
+
+
+def sensitive(text: Column) -> Column:
+    """What a text holds that must not be kept: ip, mac, credential-value, raw-provider-payload."""
+    return violations((text.rlike(IP), "ip"), (text.rlike(MAC), "mac"), (text.rlike(CREDENTIAL), "credential-value"), (text.rlike(PAYLOAD), "raw-provider-payload"))
+
+
 def violations(*checks: tuple[Column, str]) -> Column:
     """The names of the checks that hold, in order; an unknown check doesn't hold."""
     return F.array_compact(F.array(*[F.when(c, name) for c, name in checks]))

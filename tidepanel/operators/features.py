@@ -78,6 +78,21 @@ def cross_section(features: DataFrame, size: int, columns: list[str] | None = No
     return whole.select(*[c for c in features.columns], *[z_score(c).alias(f"z_{c}") for c in columns])
 
 
+def nonlinear_terms() -> dict[str, Column]:
+    """The eight products and differences of z-scores that models may use beside them (the pairs are fixed values)."""
+    z = lambda name: F.col(f"z_{name}")
+    return {
+        "momentum_acceleration": z("momentum5") - z("momentum20"),
+        "trend_acceleration": z("momentum20") - z("momentum60"),
+        "momentum5_amount": z("momentum5") * z("amount_ratio"),
+        "momentum20_volume": z("momentum20") * z("volume_ratio"),
+        "trend_drawdown": z("momentum20") * z("drawdown60"),
+        "reversal_volatility": z("reversal1") * z("volatility20"),
+        "momentum5_square": z("momentum5") * z("momentum5"),
+        "drawdown_square": z("drawdown60") * z("drawdown60"),
+    }
+
+
 def universe_size(panel: DataFrame) -> int:
     """The number of codes: one number, read before the plan is made."""
     return panel.select("code").distinct().count()
@@ -161,6 +176,12 @@ def rank_correlation(rows: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.groupBy("date").agg(F.count("*").alias("n"), correlation("_a", "_b").alias("ic")).filter("n >= 3")
 
 
+def leaders(metrics: DataFrame, count: int) -> DataFrame:
+    """The codes with the largest product of the amount, volume and share ratios of `history_metrics`; ties by code."""
+    product = F.col("amount_5_20") * F.col("volume_5_20") * F.col("share_5_20")
+    return metrics.withColumn("product", F.round(product, 9)).filter("product is not null").orderBy(F.desc("product"), "code").limit(count)
+
+
 def latest(rows: DataFrame, key: str = "code", by: str = "date") -> DataFrame:
     turn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by)))
     return rows.withColumn("_turn", turn).filter("_turn = 1").drop("_turn")

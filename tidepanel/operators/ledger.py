@@ -45,9 +45,14 @@ def upserted(existing: DataFrame, incoming: DataFrame, key: str, updated: str) -
     return both.withColumn("_t", turn).filter("_t = 1").drop("_t", "_new")
 
 
-def outcome(record_p: Column, y: Column, status: Column) -> Column:
-    """correct, wrong or near-neutral for published records; others keep their status and never count as wrong."""
-    side = F.when(F.abs(record_p - 0.5) < 0.03, "near-neutral").when((record_p >= 0.5) == (y == 1), "correct").otherwise("wrong")
+def outcome(record_p: Column, y: Column, status: Column, base: Column | None = None, band: float = 0.01) -> Column:
+    """correct, wrong or near_neutral for published records; others keep their status and never count as wrong.
+
+    The edge is the probability less the base rate (0.5 where there is none); within `band` (0.03 for the top quartile, 0.01 for the
+    other targets) it is near_neutral.
+    """
+    edge = record_p - F.coalesce(base if base is not None else F.lit(None), F.lit(0.5))
+    side = F.when(F.abs(edge) < band, "near_neutral").when((edge > 0) == (y == 1), "correct").otherwise("wrong")
     return F.when(status != "published", status).when(y.isNull(), "pending").otherwise(side)
 
 

@@ -16,7 +16,7 @@ from tidepanel.sources import panel as P
 VIEWS["pred"] = """SELECT CAST(date AS VARCHAR) || '|' || code || '|' || horizon AS prediction_id, date AS prediction_date, code, horizon,
     CASE WHEN abs(p - 0.5) < 0.02 THEN 'abstained' WHEN year(date) < 1997 THEN 'legacy' ELSE 'published' END AS status, 'm' || (month(date) % 3) AS model, p, y, excess, score FROM scored"""
 NEEDS["pred"] = ["scored"]
-VIEWS["outc"] = """SELECT *, CASE WHEN status <> 'published' THEN status WHEN y IS NULL THEN 'pending' WHEN abs(p - 0.5) < 0.03 THEN 'near-neutral' WHEN (p >= 0.5) = (y = 1) THEN 'correct' ELSE 'wrong' END AS outcome FROM pred"""
+VIEWS["outc"] = """SELECT *, CASE WHEN status <> 'published' THEN status WHEN y IS NULL THEN 'pending' WHEN abs(p - 0.5) < 0.01 THEN 'near_neutral' WHEN (p - 0.5 > 0) = (y = 1) THEN 'correct' ELSE 'wrong' END AS outcome FROM pred"""
 NEEDS["outc"] = ["pred"]
 
 
@@ -89,10 +89,10 @@ def a9(spark, d):
     return predictions(spark, d).groupBy(F.date_format("prediction_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "published").alias("published"), F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models"))
 
 
-@query("a10_weekly_review", "SELECT prediction_date AS week, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'wrong') AS wrong, count(*) FILTER (outcome = 'near-neutral') AS neutral, count(*) FILTER (outcome = 'abstained') AS abstained, count(*) FILTER (outcome = 'legacy') AS legacy, count(*) AS n FROM outc GROUP BY 1", "outc")
+@query("a10_weekly_review", "SELECT prediction_date AS week, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'wrong') AS wrong, count(*) FILTER (outcome = 'near_neutral') AS neutral, count(*) FILTER (outcome = 'abstained') AS abstained, count(*) FILTER (outcome = 'legacy') AS legacy, count(*) AS n FROM outc GROUP BY 1", "outc")
 def a10(spark, d):
     o = F.col("outcome")
-    kinds = [("correct", "correct"), ("wrong", "wrong"), ("neutral", "near-neutral"), ("abstained", "abstained"), ("legacy", "legacy")]
+    kinds = [("correct", "correct"), ("wrong", "wrong"), ("neutral", "near_neutral"), ("abstained", "abstained"), ("legacy", "legacy")]
     return outcomes(spark, d).groupBy(F.col("prediction_date").alias("week")).agg(*[F.count_if(o == v).alias(n) for n, v in kinds], F.count("*").alias("n"))
 
 

@@ -33,7 +33,7 @@ def labels(spark, d, horizons=HORIZONS):
 
 def composite():
     c = F.col
-    return 0.32 * c("z_momentum20") + 0.26 * c("z_momentum5") + 0.18 * c("z_amount_ratio") + 0.12 * c("z_momentum60") - 0.12 * c("z_volatility20")
+    return 0.32 * c("z_momentum5") + 0.26 * c("z_momentum20") + 0.18 * c("z_amount_ratio") + 0.12 * c("z_volume_ratio") - 0.12 * c("z_volatility20")
 
 
 def scored(spark, d):
@@ -71,18 +71,13 @@ def f8(spark, d):
 
 @query(
     "f9_nonlinear",
-    """SELECT date, code, round(z_momentum5 - z_momentum20, 6) AS spread_5_20, round(z_momentum20 - z_momentum60, 6) AS spread_20_60, round(z_momentum20 * z_volatility20, 6) AS trend_risk,
-    round(z_momentum5 * z_amount_ratio, 6) AS trend_amount, round(z_momentum20 * z_momentum20, 6) AS trend_square, round(z_volatility20 * z_volatility20, 6) AS risk_square,
-    round(z_reversal1 * z_volatility20, 6) AS reversal_risk, round(z_amount_ratio - z_volume_ratio, 6) AS price_share FROM zs""",
+    """SELECT date, code, round(z_momentum5 - z_momentum20, 6) AS momentum_acceleration, round(z_momentum20 - z_momentum60, 6) AS trend_acceleration, round(z_momentum5 * z_amount_ratio, 6) AS momentum5_amount,
+    round(z_momentum20 * z_volume_ratio, 6) AS momentum20_volume, round(z_momentum20 * z_drawdown60, 6) AS trend_drawdown, round(z_reversal1 * z_volatility20, 6) AS reversal_volatility,
+    round(z_momentum5 * z_momentum5, 6) AS momentum5_square, round(z_drawdown60 * z_drawdown60, 6) AS drawdown_square FROM zs""",
     "zs",
 )
 def f9(spark, d):
-    z = lambda c: F.col(f"z_{c}")
-    return z_scores(spark, d).select(
-        "date", "code", F.round(z("momentum5") - z("momentum20"), 6).alias("spread_5_20"), F.round(z("momentum20") - z("momentum60"), 6).alias("spread_20_60"),
-        F.round(z("momentum20") * z("volatility20"), 6).alias("trend_risk"), F.round(z("momentum5") * z("amount_ratio"), 6).alias("trend_amount"), F.round(z("momentum20") * z("momentum20"), 6).alias("trend_square"),
-        F.round(z("volatility20") * z("volatility20"), 6).alias("risk_square"), F.round(z("reversal1") * z("volatility20"), 6).alias("reversal_risk"), F.round(z("amount_ratio") - z("volume_ratio"), 6).alias("price_share"),
-    )
+    return z_scores(spark, d).select("date", "code", *[F.round(term, 6).alias(name) for name, term in X.nonlinear_terms().items()])
 
 
 @query("f10_complete_mean", "SELECT date, code, round(CASE WHEN count(*) OVER s = 5 THEN avg(close) OVER s END, 6) AS mean5 FROM hourly WINDOW s AS (PARTITION BY code ORDER BY date ROWS 4 PRECEDING)", "hourly")
@@ -235,7 +230,7 @@ def f25(spark, d):
     return P.event_panel(spark, d).select("date", "code", F.round(X.z_score("close"), 6).alias("z"))
 
 
-_COMPOSITE = "(0.32 * z_momentum20 + 0.26 * z_momentum5 + 0.18 * z_amount_ratio + 0.12 * z_momentum60 - 0.12 * z_volatility20)"
+_COMPOSITE = "(0.32 * z_momentum5 + 0.26 * z_momentum20 + 0.18 * z_amount_ratio + 0.12 * z_volume_ratio - 0.12 * z_volatility20)"
 
 
 @query("f26_composite_score", f"WITH c AS (SELECT *, {_COMPOSITE} AS composite FROM zs) SELECT date, code, round(composite, 6) AS composite, {_PCT.format(c='composite')} AS score FROM c", "zs")

@@ -149,16 +149,6 @@ def j17(spark, d):
     return both.orderBy(F.desc("date")).limit(1).select("date", F.round(F.col("close") - F.col("real"), 6).alias("spread"))
 
 
-@query(
-    "j18_shared_sources",
-    "WITH t AS (SELECT DISTINCT o_custkey AS thread, o_orderpriority || o_orderstatus || (o_orderkey % 40) AS source FROM orders WHERE o_custkey < 200) SELECT a.thread AS a, b.thread AS b, count(*) AS shared FROM t a JOIN t b ON a.source = b.source AND a.thread < b.thread WHERE a.thread < 20 GROUP BY 1, 2",
-)
-def j18(spark, d):
-    source = F.concat("o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 40).cast("string"))
-    rows = table(spark, d, "orders").filter("o_custkey < 200").select(F.col("o_custkey").alias("thread"), source.alias("source"))
-    return shared_sources(rows).filter("a < 20")
-
-
 def shared_sources(rows):
     """Every pair of threads that share sources, with how many. The pairs grow with the square of a source's threads."""
     t = rows.distinct()
@@ -166,11 +156,12 @@ def shared_sources(rows):
     return t.select(F.col("thread").alias("a"), "source").join(other, "source").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-@query(
-    "j18_shared_sources_whole",
-    "WITH t AS (SELECT DISTINCT o_custkey AS thread, o_orderkey // 40 AS source FROM orders) SELECT a.thread AS a, b.thread AS b, count(*) AS shared FROM t a JOIN t b ON a.source = b.source AND a.thread < b.thread GROUP BY 1, 2",
-)
-def j18_whole(spark, d):
+_J18 = "WITH t AS (SELECT DISTINCT o_custkey AS thread, o_orderkey // 40 AS source FROM orders) SELECT a.thread AS a, b.thread AS b, count(*) AS shared FROM t a JOIN t b ON a.source = b.source AND a.thread < b.thread GROUP BY 1, 2"
+
+
+@query("j18_shared_sources", _J18)
+@query("j18_shared_sources_whole", _J18)
+def j18(spark, d):
     # Sources of 40 orders: more orders make more sources, not larger ones.
     return shared_sources(table(spark, d, "orders").select(F.col("o_custkey").alias("thread"), F.expr("o_orderkey div 40").alias("source")))
 

@@ -55,8 +55,8 @@ VIEWS = {
     "lab": """SELECT *, CAST(forward > 0 AS INTEGER) AS absolute_up, CAST(excess > 0 AS INTEGER) AS outperformed, rank_ AS rank,
         CAST(rank_ <= ceil(size * 0.25) AS INTEGER) AS top_quartile, 1 - (rank_ - 1) / greatest(1, size - 1) AS percentile
         FROM (SELECT *, row_number() OVER (PARTITION BY date, horizon ORDER BY round(excess, 10) DESC, code) AS rank_, (SELECT count(DISTINCT code) FROM panel) AS size FROM fwd)""",
-    "scored": """SELECT z.date, z.code, l.horizon, 0.32 * z_momentum20 + 0.26 * z_momentum5 + 0.18 * z_amount_ratio + 0.12 * z_momentum60 - 0.12 * z_volatility20 AS score,
-        1 / (1 + exp(-(0.32 * z_momentum20 + 0.26 * z_momentum5 + 0.18 * z_amount_ratio + 0.12 * z_momentum60 - 0.12 * z_volatility20))) AS p,
+    "scored": """SELECT z.date, z.code, l.horizon, 0.32 * z_momentum5 + 0.26 * z_momentum20 + 0.18 * z_amount_ratio + 0.12 * z_volume_ratio - 0.12 * z_volatility20 AS score,
+        1 / (1 + exp(-(0.32 * z_momentum5 + 0.26 * z_momentum20 + 0.18 * z_amount_ratio + 0.12 * z_volume_ratio - 0.12 * z_volatility20))) AS p,
         l.outperformed AS y, l.excess, l.top_quartile, z.momentum20
         FROM zs z JOIN lab l USING (date, code)""",
 }

@@ -60,10 +60,29 @@ def bars(spark, d):
     return e.groupBy(F.to_date("ts").alias("date"), c("event_type").alias("code")).agg(F.min_by("value", key).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", key).alias("close"), F.count("*").alias("n"))
 
 
-@query("p4_ohlc_consistency", f"WITH {_OHLC} SELECT date, code, high + 0.01 >= greatest(open, close, low) AND low - 0.01 <= least(open, close, high) AND n % 4 <> 0 AS valid FROM bars")
+@query("p4_ohlc_consistency", f"WITH {_OHLC} SELECT date, code, coalesce(least(open, high, low, close) > 0 AND high + 0.01 >= greatest(open, close, low) AND low - 0.01 <= least(open, close, high), false) AS valid FROM bars")
 def p4(spark, d):
-    ok = (c("high") + 0.01 >= F.greatest("open", "close", "low")) & (c("low") - 0.01 <= F.least("open", "close", "high")) & (c("n") % 4 != 0)
-    return bars(spark, d).select("date", "code", ok.alias("valid"))
+    return bars(spark, d).select("date", "code", S.valid_ohlc(c("open"), c("high"), c("low"), c("close"), 0.01).alias("valid"))
+
+
+@query("c10_flow_from_assets", "SELECT date, code, round(amount - lag(amount) OVER s * (1 + ret), 2) + 0.0 AS flow FROM raw WINDOW s AS (PARTITION BY code ORDER BY date)", "raw")
+def c10(spark, d):
+    return P.brand_panel(spark, d).select("date", "code", (F.round(c("amount") - F.lag("amount").over(X.series()) * (1 + X.change("close", 1)), 2) + F.lit(0.0)).alias("flow"))
+
+
+@query(
+    "c17_volume_gate",
+    """WITH b AS (SELECT p.*, p.amount / b.amount AS share, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS turn FROM panel p JOIN bench b USING (date)),
+    m AS (SELECT code, round(avg(amount) FILTER (turn <= 5) / avg(amount) FILTER (turn BETWEEN 6 AND 25), 9) AS a, round(avg(volume) FILTER (turn <= 5) / avg(volume) FILTER (turn BETWEEN 6 AND 25), 9) AS v,
+      round(avg(share) FILTER (turn <= 5) / avg(share) FILTER (turn BETWEEN 6 AND 25), 9) AS s FROM b WHERE turn <= 25 GROUP BY code)
+    SELECT code, a >= 1.35 AND v >= 1.2 AND s >= 1.15 AS verified, list_filter([CASE WHEN a < 1.35 THEN 'amount' END, CASE WHEN v < 1.2 THEN 'volume' END, CASE WHEN s < 1.15 THEN 'share' END], lambda x: x IS NOT NULL) AS missed FROM m""",
+    "panel", "bench",
+)
+def c17(spark, d):
+    m = X.history_metrics(P.brand_panel(spark, d), P.benchmark(spark, d))
+    gates = [(F.round(f"{x}_5_20", 9) < bound, x) for x, bound in (("amount", 1.35), ("volume", 1.2), ("share", 1.15))]  # fixed values
+    missed = S.violations(*gates)
+    return m.select("code", (F.size(missed) == 0).alias("verified"), missed.alias("missed"))
 
 
 @query("c1_log_ratio", "SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN ln(c_acctbal / 1000) END, 6) AS v FROM customer")
@@ -71,13 +90,9 @@ def c1(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(S.log_ratio(c("c_acctbal"), F.lit(1000.0)), 6).alias("v"))
 
 
-@query("c2_ratio", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_linenumber - 1, 0), 6) AS v FROM lineitem WHERE l_orderkey < 2000")
-def c2(spark, d):
-    return c2_whole(spark, d).filter("l_orderkey < 2000")
-
-
+@query("c2_ratio", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_linenumber - 1, 0), 6) AS v FROM lineitem")
 @query("c2_ratio_whole", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_linenumber - 1, 0), 6) AS v FROM lineitem")
-def c2_whole(spark, d):
+def c2(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.ratio(c("l_extendedprice"), (c("l_linenumber") - 1).cast("double")), 6).alias("v"))
 
 
@@ -116,24 +131,36 @@ def c11(spark, d):
     return x.select("date", "code", F.round(c("w") / F.sum("w").over(X.cross()), 6).alias("weight"))
 
 
-@query("c12_score_with_enough_factors", "SELECT date, count(*) AS factors, CASE WHEN count(*) >= 4 THEN round(sum(close), 4) END AS score FROM hourly GROUP BY date", "hourly")
+@query(
+    "c12_score_with_enough_factors",
+    "WITH w(code, w) AS (VALUES ('view', 0.4), ('click', 0.3), ('purchase', 0.2), ('signup', 0.1), ('error', 0.0)) SELECT date, count(*) AS factors, CASE WHEN count(*) >= 3 THEN round(sum(close * w) FILTER (w > 0) / sum(w) FILTER (w > 0), 4) END AS score FROM hourly JOIN w USING (code) GROUP BY date",
+    "hourly",
+)
 def c12(spark, d):
-    return P.event_panel(spark, d).groupBy("date").agg(F.count("*").alias("factors"), F.when(F.count("*") >= 4, F.round(F.sum("close"), 4)).alias("score"))
+    weights = F.create_map(*[F.lit(x) for kv in (("view", 0.4), ("click", 0.3), ("purchase", 0.2), ("signup", 0.1), ("error", 0.0)) for x in kv])
+    rows = P.event_panel(spark, d).withColumn("w", F.try_element_at(weights, c("code"))).filter("w is not null")
+    return rows.groupBy("date").agg(F.count("*").alias("factors"), F.round(S.weighted_score(c("close"), c("w")), 4).alias("score"))
 
 
-@query(
-    "c13_directions",
-    """SELECT o_orderkey, CASE WHEN s >= 80 THEN 'strong' WHEN s >= 60 THEN 'firm' WHEN s >= 40 THEN 'neutral' WHEN s >= 20 THEN 'soft' ELSE 'weak' END AS observed,
-    CASE WHEN s >= 85 THEN 'up' WHEN s >= 60 THEN 'lean-up' WHEN s >= 40 THEN 'neutral' WHEN s >= 15 THEN 'lean-down' ELSE 'down' END AS forecast FROM (SELECT o_orderkey, o_orderkey % 101 AS s FROM orders)""",
-)
+_OBSERVED = "CASE WHEN s >= 80 THEN 'leading' WHEN s >= 60 THEN 'strengthening' WHEN s >= 40 THEN 'neutral' WHEN s >= 20 THEN 'weakening' ELSE 'lagging' END"
+_FORECAST = "CASE WHEN s >= 85 THEN 'strong-up' WHEN s >= 60 THEN 'up' WHEN s >= 40 THEN 'range' WHEN s >= 15 THEN 'down' ELSE 'strong-down' END"
+
+
+@query("c13_directions", f"SELECT o_orderkey, {_OBSERVED} AS observed, {_FORECAST} AS forecast FROM (SELECT o_orderkey, o_orderkey % 101 AS s FROM orders)")
 def c13(spark, d):
     s = c("o_orderkey") % 101
     return orders(spark, d).select("o_orderkey", S.observed_direction(s).alias("observed"), S.forecast_direction(s).alias("forecast"))
 
 
+@query("c14_forecast_direction", f"SELECT c_custkey, s, {_FORECAST} AS forecast FROM (SELECT c_custkey, round(c_acctbal / 100, 1) AS s FROM customer)")
+def c14(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.round(c("c_acctbal") / 100, 1).alias("s")).withColumn("forecast", S.forecast_direction(c("s")))
+
+
 @query(
     "c15_edge_direction",
-    "WITH b AS (SELECT *, avg(y) OVER (PARTITION BY horizon) AS base FROM scored) SELECT date, code, horizon, CASE WHEN round(p - base, 9) >= 0.08 THEN 'strong-up' WHEN round(p - base, 9) >= 0.03 THEN 'up' WHEN round(p - base, 9) >= -0.03 THEN 'neutral' WHEN round(p - base, 9) >= -0.08 THEN 'down' ELSE 'strong-down' END AS edge FROM b",
+    """WITH b AS (SELECT *, round(p - avg(y) OVER (PARTITION BY horizon), 9) AS e FROM scored) SELECT date, code, horizon,
+    CASE WHEN e >= 0.08 THEN 'strong-up' WHEN e >= 0.03 THEN 'up' WHEN e <= -0.08 THEN 'strong-down' WHEN e <= -0.03 THEN 'down' ELSE 'range' END AS edge FROM b""",
     "scored",
 )
 def c15(spark, d):
@@ -141,15 +168,26 @@ def c15(spark, d):
     return scored(spark, d).withColumn("e", F.round(c("p") - base, 9)).select("date", "code", "horizon", S.edge_direction(c("e"), F.lit(0.0)).alias("edge"))
 
 
+_STAGES = """WITH x AS (SELECT date, code, momentum5 - avg(momentum5) OVER (PARTITION BY date) AS relative, exp(amount_ratio) AS amount, exp(volume_ratio) AS volume,
+  100 * avg(CAST(momentum5 > 0 AS INTEGER)) OVER (PARTITION BY date) AS breadth FROM rows_)"""
+
+
+def stage_inputs(spark, d):
+    date = Window.partitionBy("date")
+    rows = X.feature_rows(P.brand_panel(spark, d))
+    return rows.select(
+        "date", "code", (c("momentum5") - F.avg("momentum5").over(date)).alias("relative"), F.exp("amount_ratio").alias("amount"), F.exp("volume_ratio").alias("volume"),
+        (100 * F.avg((c("momentum5") > 0).cast("int")).over(date)).alias("breadth"),
+    )
+
+
 @query(
     "c16_lifecycle_stage",
-    "SELECT date, code, CASE WHEN momentum5 > 0 AND amount_ratio > 0.1 THEN 'acceleration' WHEN momentum5 > 0 THEN 'divergence' WHEN amount_ratio > 0.1 THEN 'distribution' ELSE 'early' END AS stage, list_filter([CASE WHEN amount_ratio > ln(1.35) THEN 'amount' END, CASE WHEN volume_ratio > ln(1.2) THEN 'volume' END, CASE WHEN momentum5 > 0.15 THEN 'price' END], lambda x: x IS NOT NULL) AS gates FROM rows_",
+    f"{_STAGES} SELECT date, code, CASE WHEN round(relative, 9) > 0 AND breadth >= 50 THEN 'acceleration' WHEN round(relative, 9) > 0 THEN 'divergence' WHEN round(amount, 9) >= 1.6 AND breadth < 50 THEN 'distribution' ELSE 'early' END AS stage FROM x",
     "rows_",
 )
 def c16(spark, d):
-    up, busy = c("momentum5") > 0, c("amount_ratio") > 0.1
-    gates = S.violations((c("amount_ratio") > F.ln(F.lit(1.35)), "amount"), (c("volume_ratio") > F.ln(F.lit(1.2)), "volume"), (c("momentum5") > 0.15, "price"))
-    return X.feature_rows(P.brand_panel(spark, d)).select("date", "code", F.when(up & busy, "acceleration").when(up, "divergence").when(busy, "distribution").otherwise("early").alias("stage"), gates.alias("gates"))
+    return stage_inputs(spark, d).select("date", "code", S.lifecycle_stage(F.round("relative", 9), F.round("amount", 9), c("breadth")).alias("stage"))
 
 
 @query("c18_market_direction", "SELECT date, code, CASE WHEN ret > 0 THEN 'up' WHEN ret < 0 THEN 'down' WHEN ret = 0 THEN 'flat' END AS direction FROM raw", "raw")
@@ -157,9 +195,20 @@ def c18(spark, d):
     return P.brand_panel(spark, d).select("date", "code", S.market_direction(X.change("close", 1)).alias("direction"))
 
 
-@query("c19_confidence", "SELECT horizon, least(49, greatest(10, round(10 + 100 * abs(avg(y) - 0.5) + count(*) / 1000.0, 3))) AS confidence FROM scored GROUP BY 1", "scored")
+@query(
+    "c19_confidence",
+    """WITH g AS (SELECT horizon, code, count(DISTINCT date) AS dates, round(avg(CAST((p > 0.5) = (y = 1) AS INTEGER)), 9) AS consistency, round(avg(excess), 9) AS ic, round(avg(CAST(excess > 0 AS INTEGER)), 9) AS share, round(100 * avg(p), 6) AS s FROM scored GROUP BY 1, 2)
+    SELECT horizon, code, greatest(10, least(49, round_even(18 + 8 * least(1, dates / 100.0) + 8 * greatest(0, least(1, (consistency - 0.5) / 0.15)) + 7 * greatest(0, least(1, ic / 0.12))
+      + 4 * greatest(0, least(1, (share - 0.5) / 0.2)) + 4 * least(1, abs(s - 50) / 50), 0))) AS confidence FROM g""",
+    "scored",
+)
 def c19(spark, d):
-    return scored(spark, d).groupBy("horizon").agg(F.least(F.lit(49.0), F.greatest(F.lit(10.0), F.round(10 + 100 * F.abs(F.avg("y") - 0.5) + F.count("*") / 1000.0, 3))).alias("confidence"))
+    share = lambda x: F.round(F.avg(x.cast("int")), 9)
+    g = scored(spark, d).groupBy("horizon", "code").agg(
+        F.countDistinct("date").alias("dates"), share((c("p") > 0.5) == (c("y") == 1)).alias("consistency"), F.round(F.avg("excess"), 9).alias("ic"),
+        share(c("excess") > 0).alias("share"), F.round(100 * F.avg("p"), 6).alias("s"),
+    )
+    return g.select("horizon", "code", S.evidence_score(c("dates"), c("consistency"), c("ic"), c("share"), c("s")).alias("confidence"))
 
 
 @query("c20_status_precedence", "SELECT date, CASE WHEN count(*) < 3 THEN 'incomplete' WHEN min(volume) < 3 THEN 'delayed' ELSE 'verified' END AS status FROM hourly GROUP BY 1", "hourly")
@@ -179,24 +228,16 @@ def c22(spark, d):
     return P.benchmark(spark, d).select("date", F.lead("date", 20).over(Window.orderBy("date")).alias("due"))
 
 
-@query("c23_due_of_list", "WITH l AS (SELECT list(DISTINCT date ORDER BY date) AS days FROM bench) SELECT o_orderkey, list_filter(days, lambda x: x > CAST(o_orderdate AS DATE))[3] AS due FROM orders, l WHERE o_orderkey < 4000", "bench")
-def c23(spark, d):
-    return c23_whole(spark, d).filter("o_orderkey < 4000")
-
-
+@query("c23_due_of_list", "WITH l AS (SELECT list(DISTINCT date ORDER BY date) AS days FROM bench) SELECT o_orderkey, list_filter(days, lambda x: x > CAST(o_orderdate AS DATE))[3] AS due FROM orders, l", "bench")
 @query("c23_due_of_list_whole", "WITH l AS (SELECT list(DISTINCT date ORDER BY date) AS days FROM bench) SELECT o_orderkey, list_filter(days, lambda x: x > CAST(o_orderdate AS DATE))[3] AS due FROM orders, l", "bench")
-def c23_whole(spark, d):
+def c23(spark, d):
     asked = orders(spark, d).select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     return session_of(asked, "day", P.benchmark(spark, d), 3, "due").select("o_orderkey", "due")
 
 
-@query("c24_latest_complete_session", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS session FROM events WHERE event_id < 500", "bench")
-def c24(spark, d):
-    return c24_whole(spark, d).filter("event_id < 500")
-
-
+@query("c24_latest_complete_session", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS session FROM events", "bench")
 @query("c24_latest_complete_session_whole", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS session FROM events", "bench")
-def c24_whole(spark, d):
+def c24(spark, d):
     limit = F.date_sub(F.date_add(F.lit("1996-06-03").cast("date"), (c("event_id") % 300).cast("int")), F.when(c("event_id") % 2 == 0, 1).otherwise(0))
     asked = table(spark, d, "events").select("event_id", limit.alias("limit"))
     return session_of(asked, "limit", P.benchmark(spark, d), 0, "session").select("event_id", "session")
@@ -237,7 +278,7 @@ def c29(spark, d):
     return table(spark, d, "pages").select("page_id", S.canonical_url(c("url")).alias("url"))
 
 
-@query("c30_plain_text", r"SELECT page_id, substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 10000) AS text FROM pages")
+@query("c30_plain_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(substr(regexp_replace(html, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g'), 1, 10000), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS text FROM pages")
 def c30(spark, d):
     return table(spark, d, "pages").select("page_id", S.plain_text(c("html")).alias("text"))
 
@@ -267,17 +308,23 @@ def c35(spark, d):
     return docs(spark, d).select("doc_id", S.letters_without_space(c("text")).cast("long").alias("n"))
 
 
-@query("c36_redacted", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b', '[ip]', 'g'), '/(home|Users)/[A-Za-z0-9_.-]+', '[path]', 'g')) AS redacted FROM documents")
-def c36(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(S.redacted(c("text"))).alias("redacted"))
+_MAIL, _IP, _HOME = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", r"/(home|Users)/[A-Za-z0-9_.-]+"
+_MAC = r"(?i)\b[0-9A-F]{2}(:[0-9A-F]{2}){5}\b"
+_SECRET = r"""(?i)bearer\s+\S{8,}|(authorization|password|passwd|cookie|api[_-]?key|access[_-]?token|refresh[_-]?token|machine[_-]?id|machineguid|private[_-]?key|secret)\s*[:=]\s*["'']?[^\s"'']{8,}"""
+_PAYLOAD = r"""(?i)["'']?(rawPayload|raw_provider_payload|providerPayload)["'']?\s*[:=]\s*(\{|\[|true|["''])"""
 
 
-_TERMS = ["the", "and", "que"]
+@query(
+    "c36_redacted",
+    f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{_MAIL}', '[mail]', 'g'), '{_IP}', '[ip]', 'g'), '{_HOME}', '[path]', 'g')) AS redacted,
+    list_filter([CASE WHEN regexp_matches(text, '{_IP}') THEN 'ip' END, CASE WHEN regexp_matches(text, '{_MAC}') THEN 'mac' END, CASE WHEN regexp_matches(text, '{_SECRET}') THEN 'credential-value' END,
+    CASE WHEN regexp_matches(text, '{_PAYLOAD}') THEN 'raw-provider-payload' END], lambda x: x IS NOT NULL) AS violations FROM documents""",
+)
+def c36(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(S.redacted(c("text"))).alias("redacted"), S.sensitive(c("text")).alias("violations"))
 
 
-@query("c37_sensational_terms", "SELECT doc_id, list_filter(['the', 'and', 'que'], lambda t: contains(lower(substr(text, 1, 80)), t)) AS terms FROM documents")
-def c37(spark, d):
-    return sensational(docs(spark, d).withColumn("text", F.substring("text", 1, 80)))
+_TERMS = ["the", "and", "que"]
 
 
 def sensational(docs):
@@ -286,8 +333,9 @@ def sensational(docs):
     return docs.select("doc_id", S.violations(*[(text.contains(t), t) for t in _TERMS]).alias("terms"))
 
 
+@query("c37_sensational_terms", "SELECT doc_id, list_filter(['the', 'and', 'que'], lambda t: contains(lower(text), t)) AS terms FROM documents")
 @query("c37_sensational_terms_whole", "SELECT doc_id, list_filter(['the', 'and', 'que'], lambda t: contains(lower(text), t)) AS terms FROM documents")
-def c37_whole(spark, d):
+def c37(spark, d):
     return sensational(docs(spark, d))
 
 
@@ -296,11 +344,17 @@ def c38(spark, d):
     return table(spark, d, "part").select("p_partkey", F.regexp_extract("p_name", "([a-z]+)", 1).alias("word"), F.regexp_extract("p_brand", "#([0-9]+)", 1).try_cast("int").alias("level"))
 
 
-@query("c39_percent_change", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * (o_orderkey % 50) / 10.0 AS change FROM orders")
+_CLAIM = "list_extract(['index rose ', 'Fell ', 'gained ', 'declined', 'stays at '], CAST(o_orderkey % 5 AS INTEGER) + 1) || CAST((o_orderkey % 50) / 10.0 AS VARCHAR) || '%'"
+
+
+@query(
+    "c39_percent_change",
+    f"""WITH t AS (SELECT o_orderkey, {_CLAIM} AS t FROM orders), n AS (SELECT o_orderkey, t, try_cast(nullif(regexp_extract(t, '(?i)(rose|fell|gained|declined|上涨|下跌|升|跌)\\s*([0-9.]+)%', 2), '') AS DOUBLE) AS n FROM t)
+    SELECT o_orderkey, round(CASE WHEN regexp_matches(t, '(?i)rose|gained|上涨|升') THEN n ELSE -n END, 2) + 0.0 AS change FROM n""",
+)
 def c39(spark, d):
-    text = F.concat(F.when(c("o_orderkey") % 3 == 0, "fell ").otherwise("rose "), ((c("o_orderkey") % 50) / 10.0).cast("string"), F.lit("%"))
-    n = F.regexp_extract("t", r"([0-9.]+)%", 1).cast("double")
-    return orders(spark, d).withColumn("t", text).select("o_orderkey", F.when(c("t").rlike("fell|down|lower") & (n > 0), -n).otherwise(n).alias("change"))
+    word = F.element_at(F.array(*map(F.lit, ("index rose ", "Fell ", "gained ", "declined", "stays at "))), (c("o_orderkey") % 5 + 1).cast("int"))
+    return orders(spark, d).select("o_orderkey", S.percent_change(F.concat(word, ((c("o_orderkey") % 50) / 10.0).cast("string"), F.lit("%"))).alias("change"))
 
 
 @query("c40_canonical_json", """SELECT c_custkey, sha256('{"key":' || c_custkey || ',"name":"' || c_name || '","nation":' || c_nationkey || '}') AS digest FROM customer""")
@@ -316,7 +370,7 @@ def c41(spark, d):
 
 @query("c42_event_hash", "SELECT event_id, sha256(event_id || chr(31) || user_id || chr(31) || event_type || chr(31) || props) AS digest FROM events")
 def c42(spark, d):
-    return table(spark, d, "events").select("event_id", F.sha2(F.concat_ws("\x1f", c("event_id").cast("string"), c("user_id").cast("string"), "event_type", "props"), 256).alias("digest"))
+    return table(spark, d, "events").select("event_id", F.sha2(S.joined(c("event_id"), c("user_id"), c("event_type"), c("props")), 256).alias("digest"))
 
 
 @query("c44_json_path", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, array_to_string(json_keys(props), ',') AS keys FROM events")
@@ -336,13 +390,9 @@ def c47(spark, d):
     return newest.agg(F.min("newest").alias("through"), (F.countDistinct("newest") > 1).alias("mismatch"))
 
 
-@query("c43_normalized_content", "SELECT event_id, event_type, json_extract_string(props, '$.' || json_keys(props)[1]) AS kept FROM events WHERE event_id % 11 = 0")
-def c43(spark, d):
-    return c43_whole(spark, d).filter("event_id % 11 = 0")
-
-
+@query("c43_normalized_content", "SELECT event_id, event_type, json_extract_string(props, '$.' || json_keys(props)[1]) AS kept FROM events")
 @query("c43_normalized_content_whole", "SELECT event_id, event_type, json_extract_string(props, '$.' || json_keys(props)[1]) AS kept FROM events")
-def c43_whole(spark, d):
+def c43(spark, d):
     # Runtime keys are dropped by taking the typed map without them.
     kept = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: ~k.isin("runId", "generatedAt"))
     first = F.get(F.json_object_keys("props"), 0)

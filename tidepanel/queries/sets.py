@@ -69,11 +69,6 @@ def u7(spark, d):
     return G.upserted(old, new, "user_id", "ts").select("user_id", "event_id")
 
 
-@query("u8_new_and_reused", "WITH e AS (SELECT o_orderpriority AS edition, list(DISTINCT o_custkey) AS s FROM orders WHERE o_custkey < 300 GROUP BY 1), p AS (SELECT *, lag(s) OVER (ORDER BY edition) AS b FROM e) SELECT edition, CASE WHEN b IS NOT NULL THEN len(list_filter(s, lambda x: NOT list_contains(b, x))) END AS fresh, CASE WHEN b IS NOT NULL THEN len(list_intersect(s, b)) END AS reused FROM p")
-def u8(spark, d):
-    return new_and_reused(table(spark, d, "orders").filter("o_custkey < 300"))
-
-
 def new_and_reused(orders):
     """Per edition: how many of its customers the edition before it lacks, and how many it has. No set is gathered."""
     members = orders.select(c("o_orderpriority").alias("edition"), c("o_custkey").alias("k")).distinct()
@@ -86,11 +81,14 @@ def new_and_reused(orders):
     return editions.join(counts, "edition", "left").select("edition", some(c("n") - c("reused")).alias("fresh"), some(c("reused")).alias("reused"))
 
 
-@query(
-    "u8_new_and_reused_whole",
-    "WITH e AS (SELECT DISTINCT o_orderpriority AS edition, o_custkey AS k FROM orders), p AS (SELECT edition, lag(edition) OVER (ORDER BY edition) AS b FROM (SELECT DISTINCT edition FROM e)) SELECT e.edition, CASE WHEN b IS NOT NULL THEN count(*) - count(f.k) END AS fresh, CASE WHEN b IS NOT NULL THEN count(f.k) END AS reused FROM e JOIN p USING (edition) LEFT JOIN e f ON f.edition = p.b AND f.k = e.k GROUP BY e.edition, b",
+_U8 = (
+    "WITH e AS (SELECT DISTINCT o_orderpriority AS edition, o_custkey AS k FROM orders), p AS (SELECT edition, lag(edition) OVER (ORDER BY edition) AS b FROM (SELECT DISTINCT edition FROM e)) SELECT e.edition, CASE WHEN b IS NOT NULL THEN count(*) - count(f.k) END AS fresh, CASE WHEN b IS NOT NULL THEN count(f.k) END AS reused FROM e JOIN p USING (edition) LEFT JOIN e f ON f.edition = p.b AND f.k = e.k GROUP BY e.edition, b"
 )
-def u8_whole(spark, d):
+
+
+@query("u8_new_and_reused", _U8)
+@query("u8_new_and_reused_whole", _U8)
+def u8(spark, d):
     return new_and_reused(table(spark, d, "orders"))
 
 
@@ -114,10 +112,16 @@ def t2(spark, d):
     return P.brand_panel(spark, d).withColumn("a", a).withColumn("b", b).filter("a <= 3 or b <= 3").select("code", "date", "close")
 
 
-@query("t3_leaders", "SELECT date, code FROM rows_ QUALIFY row_number() OVER (PARTITION BY date ORDER BY round(exp(amount_ratio) * exp(volume_ratio), 9) DESC, code) <= 4", "rows_")
+@query(
+    "t3_leaders",
+    """WITH b AS (SELECT p.*, p.amount / b.amount AS share, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS turn FROM panel p JOIN bench b USING (date)),
+    m AS (SELECT code, avg(amount) FILTER (turn <= 5) / avg(amount) FILTER (turn BETWEEN 6 AND 25) * avg(volume) FILTER (turn <= 5) / avg(volume) FILTER (turn BETWEEN 6 AND 25)
+      * avg(share) FILTER (turn <= 5) / avg(share) FILTER (turn BETWEEN 6 AND 25) AS product FROM b WHERE turn <= 25 GROUP BY code)
+    SELECT code, round(product, 6) AS product FROM m WHERE product IS NOT NULL ORDER BY round(product, 9) DESC, code LIMIT 8""",
+    "panel", "bench",
+)
 def t3(spark, d):
-    turn = F.row_number().over(X.cross().orderBy(F.desc(F.round(F.exp("amount_ratio") * F.exp("volume_ratio"), 9)), "code"))
-    return X.feature_rows(P.brand_panel(spark, d)).withColumn("t", turn).filter("t <= 4").select("date", "code")
+    return X.leaders(X.history_metrics(P.brand_panel(spark, d), P.benchmark(spark, d)), 8).select("code", F.round("product", 6).alias("product"))
 
 
 @query("t4_ranked_predictions", "SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY round(p, 9) DESC, round(momentum20, 9) DESC, code) AS place FROM scored WHERE horizon = 5", "scored")
