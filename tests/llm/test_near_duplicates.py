@@ -93,3 +93,31 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     found = dict(map(tuple, connected_components(edges).collect()))
     assert found == {**{i: 0 for i in range(1, 201)}, 501: 500}
+
+
+def test_the_trees_of_parts_lose_no_link_and_send_each_fingerprint_once():
+    rng = np.random.default_rng(11)
+    fps = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
+    near = fps.copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(fps), dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, near]))
+    found = set()
+    for i in range(4):
+        keys = simhash.part_of(fps, i, 4)
+        tree, count = simhash.shell_tree(keys, 4)
+        sent = list(simhash.routed(tree, fps, 0, keys))
+        assert count > 9 and sum(len(own) for _, own, _ in sent) == len(fps) and not any(len(v) for _, _, v in sent)
+        found |= {frozenset((int(x), int(y))) for _, own, _ in sent for x in own for y in own if x != y and int(x ^ y).bit_count() <= 3}
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
+    assert found == {frozenset((int(fps[i]), int(fps[j]))) for i, j in zip(a, b) if i != j}
+
+
+def test_many_shards_give_the_groups_of_one(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    fps = rng.integers(-(2**62), 2**62, 300)
+    rows = [(int(f) ^ (1 << int(b)),) for f in fps for b in rng.integers(0, 60, 3)] + [(int(f),) for f in fps]
+    nodes = spark.createDataFrame(sorted(set(rows)), "fp long")
+    whole = {tuple(r) for r in connected_components(simhash.links(nodes)).collect()}
+    monkeypatch.setattr(simhash, "SHARD_NODES", 20)
+    assert {tuple(r) for r in connected_components(simhash.links(nodes)).collect()} == whole

@@ -4,16 +4,18 @@ Fingerprint: words of the text (A-Z lower-cased, cut at ASCII white space), shin
 with seed 42 of each; a bit is set if it is set in over half of the hashes. Fewer words than a shingle make one shingle; no
 words make fingerprint 0, which is linked like any other.
 
-Links: equal fingerprints are one node from the start. A vantage-point tree over a bounded sample of nodes cuts the space
-into shards: each inner node parts fingerprints by their Hamming distance to its vantage point into three shells. A
-fingerprint lives in one shard and visits every shard (of a higher number) that may hold a neighbour: by the triangle
-inequality those whose shells at each vantage point lie within RADIUS of its own distance. Inside a shard a second tree,
-with a shell for each distance, prunes the same way down to small leaves, where pairs are compared exactly. So no link
-is lost, and no band or bucket has to be capped.
-
-Scale: a shard gives back a forest over its nodes, not its pairs: at most one link per node, however large a group of
-near copies is. Fingerprints travel as packed arrays, one row per batch and shard. The sample (SAMPLE rows) only
-balances the shards. Components are joined up by star contraction; nothing about all documents reaches the driver.
+Links: equal fingerprints are one node from the start. Of two fingerprints that differ in RADIUS bits or fewer, one of RADIUS + 1
+equal parts of the bits is the same in both. So there is a vantage-point tree for each part: an inner node splits by the
+Hamming distance of that part to its vantage point into three shells, and by the triangle inequality equal parts are in the same
+shell, so that a fingerprint visits one shard of each tree, however many fingerprints and shards there are. Inside a shard another tree over
+all bits, with a shell for each distance, follows only the shells within RADIUS of a fingerprint's own distance, down to small
+leaves, where pairs are compared exactly. So no link is lost, and no band or bucket has to be capped.
+
+Scale: few nodes (SHARD_NODES) make one shard; more of them are sent to RADIUS + 1 shards each. A shard gives back a forest over its
+nodes, not its pairs: at most one link per node, however large a group of near copies is. Fingerprints travel as packed arrays, one
+row per batch and shard. The sample (SAMPLE rows, and every value of a part once shards outnumber it) only balances the shards. Components
+are joined up by star contraction, and a component's smallest id meets its members in SALTS parts; nothing about all documents reaches
+the driver.
 
 Cases: null or empty texts have fingerprint 0; repeated rows and ids are kept as rows; a component without any id has a
 null component_id; an empty table gives an empty result.
@@ -42,6 +44,7 @@ SAMPLE = 4096
 SHARD_NODES = 20_000
 LEAF = 64
 MAX_PAIRS = 1 << 20
+SALTS = 32
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -115,16 +118,23 @@ def shell_tree(sample: np.ndarray, depth: int) -> tuple[Shells, int]:
     return grow(sample, depth), count
 
 
-def routed(tree: Shells, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, its own fingerprints, those that visit it), empty ones left out."""
+def part_of(fps: np.ndarray, i: int, parts: int) -> np.ndarray:
+    """The bits of the i-th of `parts` parts of each fingerprint, as a number of its own."""
+    low, high = 64 * i // parts, 64 * (i + 1) // parts
+    return fps >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
+
+
+def routed(tree: Shells, fps: np.ndarray, radius: int, keys: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, its own fingerprints, those that visit it), empty ones left out. The tree is over `keys`, the fingerprints unless they are given; equal keys (radius 0) visit nothing."""
+    keys = fps if keys is None else keys
 
     def walk(node: Shells, own: np.ndarray, near: np.ndarray) -> Iterator:
         """own: indices that live below this node; near: indices that live elsewhere and may have neighbours here."""
         if node.shard >= 0:
             yield node.shard, own, near
             return
-        far_own = distances(fps[own], np.uint64(node.point)).astype(np.int64)
-        far_near = distances(fps[near], np.uint64(node.point)).astype(np.int64)
+        far_own = distances(keys[own], np.uint64(node.point)).astype(np.int64)
+        far_near = distances(keys[near], np.uint64(node.point)).astype(np.int64)
         for (lo, hi), child in zip(node.ranges, node.children):
             # A pair that spans two shards is looked for in the later one: what lives further in visits nothing back.
             before = own[(far_own < lo) & (far_own >= lo - radius)]
@@ -205,18 +215,25 @@ def links(nodes: DataFrame, *, fp: str = "fp", radius: int = RADIUS) -> DataFram
     """A forest (a, b) over distinct fingerprints that has the components of all pairs at `radius` bits or less."""
     nodes = nodes.select(F.col(fp).alias("fp"))
     n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     depth = 0
     while n > SHARD_NODES * 3**depth:
         depth += 1
-    tree, shards = shell_tree(np.array([r[0] for r in sample], np.int64).view(np.uint64), depth)
+    parts, trees, shards = radius + 1, [], 0
+    for i in range(parts if depth else 1):
+        keys = part_of(sample, i, parts)
+        if 3**depth * 32 > SAMPLE and 64 // parts <= 16:
+            keys = np.concatenate([keys, np.arange(1 << 64 * (i + 1) // parts - 64 * i // parts, dtype=np.uint64)])
+        tree, count = shell_tree(keys, depth)
+        trees.append((shards, tree))
+        shards += count
     packed = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("own", T.BinaryType()), T.StructField("near", T.BinaryType())])
     pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            rows = [(s, o.tobytes(), v.tobytes()) for s, o, v in routed(tree, fps, radius)]
+            rows = [(first + s, o.tobytes(), v.tobytes()) for i, (first, tree) in enumerate(trees) for s, o, v in routed(tree, fps, 0, part_of(fps, i, parts))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=packed.names)
 
@@ -247,9 +264,12 @@ def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     own = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size=size, keep=["doc_id"]))
     nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(nodes, radius=radius))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    joined = nodes.join(members, nodes["fp"] == members["node"]).select("fp", "least", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
+    least = joined.groupBy("root").agg(F.min("least").alias("_least")).select("root", "_least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    linked_ = joined.join(least, ["root", "salt"]).select(F.col("fp").alias("_fp"), "_least")
+    alone = F.col("_fp").isNull()
+    named = nodes.join(linked_, nodes["fp"] == linked_["_fp"], "left").select("fp", F.when(alone, F.col("least")).otherwise(F.col("_least")).alias("component_id"))
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
