@@ -41,7 +41,7 @@ ORDER = 4
 BITS = 16
 CODES = 1 << BITS
 START, END = 0xD800, 0xD8C0  # high surrogates of a block without letters and of an unassigned plane; alone they stand in no text
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 5 << 20
 PACK_BYTES = 1 << 20
 PIECE = 1 << 20  # units that are numbered at once
 TABLE = 1 << 23  # entries of a lookup table in a task
