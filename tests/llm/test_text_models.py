@@ -148,6 +148,32 @@ def test_toxicity_is_accurate_on_held_out_rows(spark):
     assert np.mean([r["predicted"] == r["toxic"] for r in held]) >= 0.85
 
 
+def test_thresholds_have_the_best_f1_of_rows_that_were_not_fitted(spark):
+    rng = np.random.default_rng(9)
+    ids = [r[0] for r in spark.range(4000).filter(toxicity.calibrates("id")).limit(300).collect()]
+    fitted = [r[0] for r in spark.range(4000).filter(~toxicity.calibrates("id")).limit(300).collect()]
+    y = rng.integers(0, 2, 600)
+    score = np.round(np.clip(0.4 * y + rng.normal(0.3, 0.15, 600), 0, 0.999), 3)
+    lang = np.where(np.arange(600) % 3 > 0, "en", "de")
+    rows = [(i, str(k), float(v)) for i, k, v in zip(ids + fitted, lang, score)]
+    marks = [(i, int(t)) for i, t in zip(ids + fitted, y)]
+    found = {(r["lang"], r["every"]): r["threshold"] for r in toxicity.thresholds(spark.createDataFrame(rows, "doc_id long, lang string, score double"), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    assert set(found) == {("en", False), ("de", False), (None, True)}
+    for (k, _), t in found.items():
+        own = [(v, m) for v, m, n in zip(score[:300], y[:300], lang[:300]) if k in (None, n)]
+        f1 = lambda cut: 2 * sum(m for v, m in own if v >= cut) / (sum(v >= cut for v, _ in own) + sum(m for _, m in own))
+        assert math.isclose(f1(t), max(f1(i / 100) for i in range(100)))
+
+
+def test_training_lowers_the_loss():
+    texts = ["bad words here", "good words", "worse words", "fine day", "bad day", "good night"] * 20
+    y = [1, 0, 1, 0, 1, 0] * 20
+    model = toxicity.train(texts, y)
+    p = np.clip(toxicity.Scorer(model)(texts[:6]), 1e-9, 1 - 1e-9)
+    loss = -np.mean(np.log(np.where(np.array(y[:6]) == 1, p, 1 - p)))
+    assert loss < 0.4  # an untrained model has 0.69
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "en", 0.5), (2, "", None, 0.5), (2, "fine words", "en", None), (None, "x", "en", 0.1)], "doc_id long, text string, lang string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
