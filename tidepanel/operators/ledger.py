@@ -87,3 +87,17 @@ def kept_by_bytes(items: DataFrame, newest_first: list[Column], size: str, count
     total = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))
     kept = some.withColumn("_t", F.row_number().over(order)).withColumn("_b", total).filter((F.col("_t") <= count) & (F.col("_b") <= limit))
     return kept.drop("_s", "_t", "_b")
+
+
+def differences(stored: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows that are derived again but not stored (`missing`), and stored ones that nothing derives (`unknown`); none if the ledger holds."""
+    missing = again.exceptAll(stored).withColumn("fault", F.lit("missing"))
+    return missing.unionByName(stored.exceptAll(again).withColumn("fault", F.lit("unknown")))
+
+
+def changed_fields(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, path) for every field that differs between the two rows of a key; null is a value."""
+    names = [n for n in before.columns if n != key]
+    both = before.select(key, *[F.col(n).alias(f"_a_{n}") for n in names]).join(after.select(key, *[F.col(n).alias(f"_b_{n}") for n in names]), key)
+    paths = F.array_compact(F.array(*[F.when(~F.col(f"_a_{n}").eqNullSafe(F.col(f"_b_{n}")), n) for n in names]))
+    return both.select(key, F.explode(paths).alias("path"))
