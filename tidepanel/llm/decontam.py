@@ -158,3 +158,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFr
     bad = contamination_report(docs.select(doc_id, text), benchmark, **names)
     # The report keeps doc_id only, so rows are matched on the id; rows that share an id go together.
     return without(docs, bad.filter("contaminated").select("doc_id"), doc_id)
+
+
+#: DuckDB SQL for `contamination_report` of the tables `documents` and `benchmark`: every window of every text.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+  FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, CAST(len(w) - least(13, len(w)) + 2 AS BIGINT))) AS k FROM i WHERE len(w) > 0)
+), doc_windows AS (
+  SELECT r, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+  FROM (SELECT r, n, w, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS k FROM d, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)
+), found AS (
+  SELECT r, n, k, item_id FROM doc_windows JOIN item_windows USING (n, g)
+), hits AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM (SELECT DISTINCT r, n, k FROM found)) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
