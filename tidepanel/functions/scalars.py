@@ -17,6 +17,12 @@ def number_or_null(text: Column) -> Column:
     return F.when(~F.trim(text).isin("", "-", "--"), F.regexp_replace(F.trim(text), ",", "").try_cast("double"))
 
 
+def strict_number(text: Column) -> Column:
+    """A number; null stays null, and any other text that isn't a number is an error."""
+    v = F.trim(text).try_cast("double")
+    return F.when(text.isNull() | v.isNotNull(), v).otherwise(F.raise_error(F.concat(F.lit("not a number: "), text)).cast("double"))
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
@@ -125,6 +131,21 @@ def letters_without_space(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"\s", ""))
 
 
+def terms_in(text: Column, terms: list[str]) -> Column:
+    """Those of the terms that a text holds anywhere, whatever their case."""
+    lowered = F.lower(text)
+    return violations(*[(lowered.contains(t), t) for t in terms])
+
+
+def calibrated_headline(terms: Column, asset: Column, period: Column, change: Column) -> tuple[Column, Column]:
+    """(status, headline) of a headline with sensational terms: its figures if they are all known, else needs-evidence and no headline; not-triggered without terms."""
+    known = asset.isNotNull() & period.isNotNull() & change.isNotNull()
+    hit = F.coalesce(F.size(terms) > 0, F.lit(False))
+    status = F.when(~hit, "not-triggered").when(~known, "needs-evidence").otherwise("calibrated")
+    shown = F.concat(asset, F.lit(" "), period, F.lit(" "), F.when(change > 0, "+").otherwise(""), F.format_string("%.2f", change), F.lit("%"))
+    return status, F.when(hit & known, shown)
+
+
 def digest_id(kind: str, *parts: Column) -> Column:
     """A name that depends on the parts alone."""
     return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(joined(*parts), 256), 1, 12))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators import features as X
 from tidepanel.operators import labels as L
 from tidepanel.queries.registry import query
+from tidepanel.session import cut
 from tidepanel.sources import panel as P
 
 HORIZONS = [1, 5, 20]
@@ -21,14 +22,19 @@ def features(spark, d):
     return X.trailing_features(P.brand_panel(spark, d))
 
 
-def z_scores(spark, d):
-    panel = P.brand_panel(spark, d)
+def stored_panel(spark, d):
+    """The weekly bars of each brand, aggregated once: what follows reads them several times, and they are codes times weeks."""
+    return cut(P.brand_panel(spark, d))
+
+
+def z_scores(spark, d, panel=None):
+    panel = stored_panel(spark, d) if panel is None else panel
     return X.cross_section(X.feature_rows(panel), X.universe_size(panel))
 
 
-def labels(spark, d, horizons=HORIZONS):
-    panel = P.brand_panel(spark, d)
-    return L.forward_labels(panel, P.benchmark(spark, d), X.universe_size(panel), horizons)
+def labels(spark, d, horizons=HORIZONS, panel=None):
+    panel = stored_panel(spark, d) if panel is None else panel
+    return L.forward_labels(panel, cut(P.benchmark(spark, d)), X.universe_size(panel), horizons)
 
 
 def composite():
@@ -38,9 +44,10 @@ def composite():
 
 def scored(spark, d):
     """(date, code, horizon, score, p, y, excess, top_quartile, momentum20): a composite score against what came."""
-    z = z_scores(spark, d).select("date", "code", "momentum20", composite().alias("score"))
+    panel = stored_panel(spark, d)
+    z = z_scores(spark, d, panel).select("date", "code", "momentum20", composite().alias("score"))
     z = z.withColumn("p", 1 / (1 + F.exp(-F.col("score"))))
-    return z.join(labels(spark, d), ["date", "code"]).select("date", "code", "horizon", "score", "p", F.col("outperformed").alias("y"), "excess", "top_quartile", "momentum20")
+    return z.join(labels(spark, d, panel=panel), ["date", "code"]).select("date", "code", "horizon", "score", "p", F.col("outperformed").alias("y"), "excess", "top_quartile", "momentum20")
 
 
 def _feature(name: str, *columns: str, where: str = "session >= 60"):

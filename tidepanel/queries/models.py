@@ -12,7 +12,7 @@ from tidepanel.operators import ledger as G
 from tidepanel.operators import metrics as E
 from tidepanel.operators import models as M
 from tidepanel.queries.aggregates import predictions
-from tidepanel.queries.features import labels, r6, scored, z_scores
+from tidepanel.queries.features import labels, r6, scored, stored_panel, z_scores
 from tidepanel.queries.registry import NEEDS, VIEWS, query
 
 c = F.col
@@ -40,7 +40,8 @@ def own_labels(spark, d):
 
 def training_panel(spark, d):
     """z-scores with the labels of one horizon."""
-    return z_scores(spark, d).join(own_labels(spark, d), ["date", "code"])
+    panel = stored_panel(spark, d)
+    return z_scores(spark, d, panel).join(labels(spark, d, [H], panel), ["date", "code"])
 
 
 def windows():

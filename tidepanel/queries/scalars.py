@@ -40,9 +40,11 @@ def p1(spark, d):
     return table(spark, d, "events").select("event_id", S.finite(raw).alias("value"))
 
 
-@query("p2_strict_number", "SELECT event_id, CAST(CAST(value AS VARCHAR) AS DOUBLE) AS value FROM events")
+@query("p2_strict_number", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN -value WHEN 2 THEN value * 100 ELSE value END AS value FROM events")
 def p2(spark, d):
-    return table(spark, d, "events").select("event_id", c("value").cast("string").cast("double").alias("value"))
+    shown = c("value").cast("string")
+    text = F.when(c("event_id") % 4 == 1, F.concat(F.lit("-"), shown)).when(c("event_id") % 4 == 2, F.concat(shown, F.lit("e2"))).when(c("event_id") % 4 == 3, F.concat(F.lit(" "), shown, F.lit(" ")))
+    return table(spark, d, "events").select("event_id", F.round(S.strict_number(text), 6).alias("value"))
 
 
 @query("p3_placeholders", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id * 1000.0 END AS value FROM events")
@@ -235,10 +237,10 @@ def c23(spark, d):
     return session_of(asked, "day", P.benchmark(spark, d), 3, "due").select("o_orderkey", "due")
 
 
-@query("c24_latest_complete_session", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS session FROM events", "bench")
-@query("c24_latest_complete_session_whole", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS session FROM events", "bench")
+@query("c24_latest_complete_session", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN hour(ts) < 17 THEN 1 ELSE 0 END) AS session FROM events", "bench")
+@query("c24_latest_complete_session_whole", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN hour(ts) < 17 THEN 1 ELSE 0 END) AS session FROM events", "bench")
 def c24(spark, d):
-    limit = F.date_sub(F.date_add(F.lit("1996-06-03").cast("date"), (c("event_id") % 300).cast("int")), F.when(c("event_id") % 2 == 0, 1).otherwise(0))
+    limit = F.date_sub(F.date_add(F.lit("1996-06-03").cast("date"), (c("event_id") % 300).cast("int")), F.when(F.hour("ts") < 17, 1).otherwise(0))
     asked = table(spark, d, "events").select("event_id", limit.alias("limit"))
     return session_of(asked, "limit", P.benchmark(spark, d), 0, "session").select("event_id", "session")
 
@@ -247,10 +249,11 @@ def c24(spark, d):
 def c25(spark, d):
     from tidepanel.operators.labels import calendar
 
-    days = F.broadcast(calendar(P.benchmark(spark, d)))
+    bench = P.benchmark(spark, d)
+    days = calendar(bench)
     old = days.select(c("date").alias("old_date"), c("session").alias("old"))
-    joined = days.join(old, c("old_date") <= F.date_sub("date", 30), "left")
-    return joined.groupBy("date", "session").agg(F.coalesce(F.max("old"), F.lit(0)).alias("old")).select("date", (c("session") - c("old")).cast("long").alias("lag"))
+    found = session_of(days.withColumn("limit", F.date_sub("date", 30)), "limit", bench, 0, "old_date")
+    return found.join(old, "old_date", "left").select("date", (c("session") - F.coalesce("old", F.lit(0))).cast("long").alias("lag"))
 
 
 @query("c26_local_date", "SELECT event_id, CAST(ts + INTERVAL 8 HOUR AS DATE) AS local_date FROM events")
@@ -329,8 +332,7 @@ _TERMS = ["the", "and", "que"]
 
 def sensational(docs):
     """Per document the terms that it holds anywhere."""
-    text = F.lower("text")
-    return docs.select("doc_id", S.violations(*[(text.contains(t), t) for t in _TERMS]).alias("terms"))
+    return docs.select("doc_id", S.terms_in(c("text"), _TERMS).alias("terms"))
 
 
 @query("c37_sensational_terms", "SELECT doc_id, list_filter(['the', 'and', 'que'], lambda t: contains(lower(text), t)) AS terms FROM documents")
@@ -339,6 +341,18 @@ def c37(spark, d):
     return sensational(docs(spark, d))
 
 
+@query(
+    "c37_calibrated_headline",
+    """WITH t AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 41 - 20) / 10.0 END AS change, contains(lower(text), 'the') OR contains(lower(text), 'and') OR contains(lower(text), 'que') AS hit FROM documents)
+    SELECT doc_id, CASE WHEN NOT coalesce(hit, false) THEN 'not-triggered' WHEN change IS NULL THEN 'needs-evidence' ELSE 'calibrated' END AS status,
+    CASE WHEN coalesce(hit, false) AND change IS NOT NULL THEN lang || ' ' || source || ' ' || CASE WHEN change > 0 THEN '+' ELSE '' END || printf('%.2f', change) || '%' END AS headline FROM t""",
+)
+def c37_headline(spark, d):
+    change = F.when(c("doc_id") % 3 > 0, (c("doc_id") % 41 - 20) / 10.0)
+    status, headline = S.calibrated_headline(S.terms_in(c("text"), _TERMS), c("lang"), c("source"), change)
+    return docs(spark, d).select("doc_id", status.alias("status"), headline.alias("headline"))
+
+
 @query("c38_fact_extraction", r"SELECT p_partkey, regexp_extract(p_name, '([a-z]+)', 1) AS word, try_cast(regexp_extract(p_brand, '#([0-9]+)', 1) AS INTEGER) AS level FROM part")
 def c38(spark, d):
     return table(spark, d, "part").select("p_partkey", F.regexp_extract("p_name", "([a-z]+)", 1).alias("word"), F.regexp_extract("p_brand", "#([0-9]+)", 1).try_cast("int").alias("level"))
