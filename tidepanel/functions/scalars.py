@@ -178,3 +178,14 @@ def sensitive(text: Column) -> Column:
 def violations(*checks: tuple[Column, str]) -> Column:
     """The names of the checks that hold, in order; an unknown check doesn't hold."""
     return F.array_compact(F.array(*[F.when(c, name) for c, name in checks]))
+
+
+def curve_status(lag: Column, most: Column, complete: Column) -> Column:
+    """stale beyond the allowed lag in sessions, else ready if complete, else partial."""
+    return F.when(lag > most, "stale").when(complete, "ready").otherwise("partial")
+
+
+def feed_item(xml: Column) -> Column:
+    """title and link of the first item of a feed; null for documents that declare a type or entities."""
+    safe = ~xml.rlike("(?i)<!(DOCTYPE|ENTITY)")
+    return F.when(safe, F.struct(F.xpath_string(xml, F.lit("//item/title")).alias("title"), F.xpath_string(xml, F.lit("//item/link")).alias("link")))

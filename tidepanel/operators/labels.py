@@ -70,3 +70,16 @@ def breaks_in_labels(labels: DataFrame, panel: DataFrame, tolerance: float = 1e-
     end = panel.select(F.col("date").alias("target_date"), "code", F.col("close").alias("b"))
     again = labels.join(start, ["date", "code"]).join(end, ["target_date", "code"])
     return again.filter((F.abs(F.col("b") / F.col("a") - 1 - F.col("forward")) > tolerance) | (F.col("target_date") <= F.col("date")))
+
+
+def calendar_faults(labels: DataFrame, bench: DataFrame) -> DataFrame:
+    """`labels` with `violations`: no-session (the target isn't a session), horizon (it isn't the horizon-th session after the date)."""
+    from tidepanel.functions.scalars import violations
+
+    days = calendar(bench)
+    start = F.broadcast(days.select("date", F.col("session").alias("_from")))  # one row per session
+    end = F.broadcast(days.select(F.col("date").alias("target_date"), F.col("session").alias("_to")))
+    met = labels.join(start, "date", "left").join(end, "target_date", "left")
+    known = F.col("_to").isNotNull()
+    wrong = known & F.coalesce(F.col("_to") - F.col("_from") != F.col("horizon"), F.lit(True))
+    return met.withColumn("violations", violations((~known, "no-session"), (wrong, "horizon"))).drop("_from", "_to")
