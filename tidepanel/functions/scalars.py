@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def finite(value: Column) -> Column:
@@ -189,3 +190,22 @@ def feed_item(xml: Column) -> Column:
     """title and link of the first item of a feed; null for documents that declare a type or entities."""
     safe = ~xml.rlike("(?i)<!(DOCTYPE|ENTITY)")
     return F.when(safe, F.struct(F.xpath_string(xml, F.lit("//item/title")).alias("title"), F.xpath_string(xml, F.lit("//item/link")).alias("link")))
+
+
+def without_fields(value: Column, kind: T.DataType, dropped: frozenset[str]) -> Column:
+    """A typed value without the fields of these names at any depth of structs and arrays."""
+    if isinstance(kind, T.StructType):
+        kept = [without_fields(value[f.name], f.dataType, dropped).alias(f.name) for f in kind if f.name not in dropped]
+        return F.when(value.isNotNull(), F.struct(*kept))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: without_fields(x, kind.elementType, dropped))
+    return value
+
+
+#: Fields that change from run to run.
+RUNTIME = frozenset({"runId", "generatedAt"})
+
+
+def normalized_json(text: Column, kind: T.StructType) -> Column:
+    """JSON text of a schema without its runtime fields, at any depth; null for text that isn't JSON."""
+    return F.to_json(without_fields(F.from_json(text, kind, {"mode": "PERMISSIVE"}), kind, RUNTIME))

@@ -31,3 +31,16 @@ def top_share(rows: DataFrame, by: list[str], value: str, tie: str, n: int = 3)
 def breadth(rows: DataFrame, by: list[str], flags: list[str], expected: int) -> DataFrame:
     """Per group: the share of each flag, the members covered, and whether all are."""
     return rows.groupBy(*by).agg(*[share(F.col(f)).alias(f) for f in flags], F.count("*").alias("covered"), F.when(F.count("*") == expected, "complete").otherwise("partial").alias("status"))
+
+
+def constant_features(rows: DataFrame, features: list[str], spread: float = 1e-15) -> DataFrame:
+    """(feature, constant): features whose values lie within `spread`, or that have none. One pass over the rows."""
+    each = rows.agg(*[(F.max(f) - F.min(f)).alias(f) for f in features])
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f) <= spread, F.lit(True)).alias("constant")) for f in features])).alias("_p")
+    return each.select(pairs).select("_p.*")
+
+
+def duplicate_vectors(rows: DataFrame, by: list[str], features: list[str], name: str) -> DataFrame:
+    """Per group the vectors of features that occur more than once: how often, and the first and last of the rows' names."""
+    found = rows.groupBy(*by, *features).agg(F.count("*").alias("n"), F.min(name).alias("first"), F.max(name).alias("last")).filter("n > 1")
+    return found.select(*by, "n", "first", "last")

@@ -110,6 +110,14 @@ def price_rows(panel: DataFrame) -> DataFrame:
     )
 
 
+def session_faults(panel: DataFrame, bench: DataFrame) -> DataFrame:
+    """(code, missing) of the codes that lack sessions of the benchmark; relative rows of such codes are not comparable. Only counts are needed, since sessions are distinct."""
+    sessions = bench.select("date").distinct()
+    all_ = sessions.agg(F.count("*").alias("_all"), F.lit(1).alias("_k"))
+    own = panel.join(F.broadcast(sessions), "date", "left_semi").groupBy("code").agg(F.countDistinct("date").alias("_own"), F.lit(1).alias("_k"))  # one row per session
+    return own.join(F.broadcast(all_), "_k").select("code", (F.col("_all") - F.col("_own")).alias("missing")).filter("missing > 0")
+
+
 def moving_average(panel: DataFrame, period: int) -> DataFrame:
     return panel.select("date", "code", complete_mean("close", -(period - 1), 0).alias("average"))
 

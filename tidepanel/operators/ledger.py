@@ -101,3 +101,20 @@ def changed_fields(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     both = before.select(key, *[F.col(n).alias(f"_a_{n}") for n in names]).join(after.select(key, *[F.col(n).alias(f"_b_{n}") for n in names]), key)
     paths = F.array_compact(F.array(*[F.when(~F.col(f"_a_{n}").eqNullSafe(F.col(f"_b_{n}")), n) for n in names]))
     return both.select(key, F.explode(paths).alias("path"))
+
+
+def immutable_append(stored: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, ids in conflict): an incoming row whose id is stored with the same content is no work, with another content a conflict."""
+    content = [n for n in stored.columns if n != key]
+    digest = F.sha2(F.to_json(F.struct(*content)), 256)
+    old = stored.select(key, digest.alias("_old"))
+    fresh = incoming.join(old, key, "left_anti").dropDuplicates([key])
+    both = incoming.select(key, digest.alias("_new")).join(old, key)
+    return fresh, both.filter("_old <> _new").select(key).distinct()
+
+
+def pruned(batches: DataFrame, by: str, order: str, done: Column, share: float) -> DataFrame:
+    """The batches without those among each key's oldest `share` that are wholly evaluated."""
+    own = Window.partitionBy(by)
+    marked = batches.withColumn("_t", F.row_number().over(own.orderBy(order))).withColumn("_n", F.count("*").over(own)).withColumn("_done", F.coalesce(done, F.lit(False)))
+    return marked.filter(~(F.col("_done") & (F.col("_t") <= F.ceil(F.col("_n") * share)))).drop("_t", "_n", "_done")

@@ -140,6 +140,27 @@ def a16(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderdate").alias("date"), F.col("o_orderstatus").alias("status"), "o_orderpriority").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("keys")).filter("n > 1").drop("o_orderpriority")
 
 
+_VECTOR = ["momentum5", "momentum20", "volatility20"]
+
+
+@query(
+    "a16_feature_vectors",
+    "WITH u AS (SELECT date, code, momentum5, momentum20, volatility20 FROM rows_ UNION ALL SELECT date, code || 'x', momentum5, momentum20, volatility20 FROM rows_ WHERE code < 'Brand#2') SELECT date, count(*) AS n, min(code) AS first, max(code) AS last FROM u GROUP BY date, momentum5, momentum20, volatility20 HAVING count(*) > 1",
+    "rows_",
+)
+def a16_vectors(spark, d):
+    rows = X.feature_rows(P.brand_panel(spark, d)).select("date", "code", *_VECTOR)
+    twins = rows.filter("code < 'Brand#2'").withColumn("code", F.concat("code", F.lit("x")))
+    return A.duplicate_vectors(rows.unionByName(twins), ["date"], _VECTOR, "code")
+
+
+@query("a16_constant_features", "SELECT unnest(['momentum5', 'flat', 'never']) AS feature, unnest([max(momentum5) - min(momentum5) <= 1e-15, true, true]) AS constant FROM rows_ HAVING count(*) > 0", "rows_")
+def a16_constants(spark, d):
+    rows = X.feature_rows(P.brand_panel(spark, d)).withColumn("flat", F.lit(0.5)).withColumn("never", F.lit(None).cast("double"))
+    some = rows.agg(F.count("*").alias("n")).filter("n > 0")
+    return A.constant_features(rows, ["momentum5", "flat", "never"]).withColumn("k", F.lit(1)).join(some.select(F.lit(1).alias("k")), "k").drop("k")
+
+
 @query("a17_class_balance", "SELECT horizon, target, sum(v) AS positives, count(*) AS n FROM (SELECT horizon, unnest(['absolute_up', 'outperformed', 'top_quartile']) AS target, unnest([absolute_up, outperformed, top_quartile]) AS v FROM lab) GROUP BY 1, 2", "lab")
 def a17(spark, d):
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).alias("v")) for c in ("absolute_up", "outperformed", "top_quartile")])).alias("s")

@@ -118,6 +118,15 @@ def f12(spark, d):
     return own.join(bench, "date").select("date", "code", *[F.round(F.col(f"return{n}") - F.col(f"b{n}"), 6).alias(f"relative{n}") for n in (1, 5, 20)])
 
 
+@query(
+    "f12_session_faults",
+    "WITH s AS (SELECT DISTINCT date, code FROM panel), k AS (SELECT DISTINCT code FROM panel), e AS (SELECT code, date FROM k, bench) SELECT e.code, count(*) AS missing FROM e ANTI JOIN s ON s.date = e.date AND s.code = e.code GROUP BY 1",
+    "panel", "bench",
+)
+def f12_faults(spark, d):
+    return X.session_faults(P.brand_panel(spark, d), P.benchmark(spark, d))
+
+
 @query("f13_change_1d", "SELECT date, code, round(close / nullif(lag(close) OVER (PARTITION BY code ORDER BY date), 0) - 1, 6) AS change1 FROM hourly", "hourly")
 def f13(spark, d):
     return P.event_panel(spark, d).select("date", "code", F.round(X.change("close", 1), 6).alias("change1"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.functions import scalars as S
 from tidepanel.operators import features as X
@@ -387,6 +388,14 @@ def c42(spark, d):
     return table(spark, d, "events").select("event_id", F.sha2(S.joined(c("event_id"), c("user_id"), c("event_type"), c("props")), 256).alias("digest"))
 
 
+@query("c43_nested_content", """SELECT c_custkey, '{"title":"' || c_name || '","parts":[{"n":' || c_nationkey || '},{"n":' || c_custkey || '}]}' AS content FROM customer""")
+def c43_nested(spark, d):
+    part = lambda n: F.struct(F.lit("r1").alias("runId"), n.alias("n"))
+    raw = F.to_json(F.struct(F.lit("2024").alias("generatedAt"), c("c_name").alias("title"), F.array(part(c("c_nationkey")), part(c("c_custkey"))).alias("parts")))
+    kind = T.StructType.fromDDL("generatedAt string, title string, parts array<struct<runId: string, n: long>>")
+    return table(spark, d, "customer").select("c_custkey", S.normalized_json(raw, kind).alias("content"))
+
+
 @query("c44_json_path", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, array_to_string(json_keys(props), ',') AS keys FROM events")
 def c44(spark, d):
     keys = F.json_object_keys("props")

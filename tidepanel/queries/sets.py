@@ -165,25 +165,32 @@ def k1(spark, d):
     return spark.read.schema(rows.schema).parquet(_written(rows.orderBy("date", "code"), spark))
 
 
-@query("k3_write_once", "SELECT 1 AS refused")
+@query("k3_write_once", "SELECT r_regionkey, r_name FROM region")
 def k3(spark, d):
+    """A second write to the same folder is refused, and what the first one wrote stays."""
     from pyspark.errors import AnalysisException
 
-    rows = table(spark, d, "region")
+    rows = table(spark, d, "region").select("r_regionkey", "r_name")
     folder = _written(rows, spark)
     try:
-        rows.write.mode("errorifexists").parquet(folder)
-        refused = 0
+        rows.withColumn("r_name", F.lit("changed")).write.mode("errorifexists").parquet(folder)
     except AnalysisException:
-        refused = 1
-    return spark.createDataFrame([(refused,)], "refused int")
+        pass
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
-@query("k5_immutable_append", f"WITH {_HALVES} SELECT prediction_id, a.p <> b.p AS conflict FROM s1 a JOIN s2 b USING (prediction_id) WHERE a.p <> b.p", "pred")
+@query(
+    "k5_immutable_append",
+    f"WITH {_HALVES} SELECT prediction_id, a.p, coalesce(a.p <> b.p, false) AS conflict FROM s1 a LEFT JOIN s2 b USING (prediction_id) UNION ALL SELECT prediction_id, p, false FROM s2 ANTI JOIN s1 USING (prediction_id)",
+    "pred",
+)
 def k5(spark, d):
-    first, second = halves(spark, d)
-    both = first.select("prediction_id", c("p").alias("a")).join(second.select("prediction_id", c("p").alias("b")), "prediction_id")
-    return both.filter("a <> b").select("prediction_id", F.lit(True).alias("conflict"))
+    first, second = (x.select("prediction_id", "p") for x in halves(spark, d))
+    folder = _written(first, spark)
+    fresh, conflicts = G.immutable_append(spark.read.schema(first.schema).parquet(folder), second, "prediction_id")
+    fresh.write.mode("append").parquet(folder)
+    stored = spark.read.schema(first.schema).parquet(folder)
+    return stored.join(conflicts.withColumn("c", F.lit(True)), "prediction_id", "left").select("prediction_id", "p", F.coalesce("c", F.lit(False)).alias("conflict"))
 
 
 @query("k6_monthly_shards", "SELECT strftime(prediction_date, '%Y-%m') AS month, count(*) AS n FROM pred GROUP BY 1", "pred")
@@ -197,11 +204,13 @@ def k7(spark, d):
     return G.kept_by_bytes(table(spark, d, "documents"), [F.desc("doc_id")], "n_chars", 40, 60_000, within="source").select("doc_id", "source")
 
 
-@query("k8_oldest_tenth", "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT event_id FROM r WHERE t > ceil(n * 0.1)")
+@query(
+    "k8_oldest_tenth",
+    "WITH b AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, bool_and(event_type <> 'error') AS done FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS t, count(*) OVER (PARTITION BY user_id) AS k FROM b) SELECT user_id, day, n FROM r WHERE NOT (done AND t <= ceil(k * 0.1))",
+)
 def k8(spark, d):
-    w = Window.partitionBy("user_id")
-    rows = table(spark, d, "events").withColumn("t", F.row_number().over(w.orderBy("ts", "event_id"))).withColumn("n", F.count("*").over(w))
-    return rows.filter(c("t") > F.ceil(c("n") * 0.1)).select("event_id")
+    batches = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.bool_and(c("event_type") != "error").alias("done"))
+    return G.pruned(batches, "user_id", "day", c("done"), 0.1).select("user_id", "day", "n")
 
 
 @query("k9_bar_documents", "SELECT code, count(*) AS bars, min(date) AS first_date, max(date) AS last_date FROM flags GROUP BY 1", "flags")
