@@ -209,3 +209,21 @@ RUNTIME = frozenset({"runId", "generatedAt"})
 def normalized_json(text: Column, kind: T.StructType) -> Column:
     """JSON text of a schema without its runtime fields, at any depth; null for text that isn't JSON."""
     return F.to_json(without_fields(F.from_json(text, kind, {"mode": "PERMISSIVE"}), kind, RUNTIME))
+
+
+def significant(value: Column, digits: int) -> Column:
+    """A number rounded to so many significant digits."""
+    return F.format_string(f"%.{digits - 1}e", value).cast("double")
+
+
+def general_text(value: Column, digits: int = 12) -> Column:
+    """A number as the shorter of plain and exponent text with so many significant digits (15 at most), without trailing zeros; null is the empty text.
+
+    A tie in the last digit is one of the shortest decimal form and rounds away from zero.
+    """
+    exponent = F.format_string(f"%.{digits - 1}e", value)
+    rounded = exponent.cast("double")
+    size = F.abs(rounded)
+    plain = F.regexp_replace(rounded.cast("decimal(38,19)").cast("string"), r"\.?0+$", "")
+    short = F.concat(F.regexp_replace(F.substring_index(exponent, "e", 1), r"\.?0+$", ""), F.lit("e"), F.substring_index(exponent, "e", -1))
+    return F.when(value.isNull(), "").when(rounded == 0, "0").when((size >= 1e-4) & (size < 10.0**digits), plain).otherwise(short)

@@ -110,6 +110,13 @@ def c6(spark, d):
     return table(spark, d, "customer").select("c_custkey", (F.round("c_acctbal") + F.lit(0.0)).alias("v"))
 
 
+@query("c7_significant_digits", "SELECT date, code, round(CAST(printf('%.13e', momentum20) AS DOUBLE), 9) AS v, CAST(printf('%.2e', amount) AS DOUBLE) AS coarse FROM rows_ JOIN panel USING (date, code)", "rows_", "panel")
+def c7(spark, d):
+    panel = P.brand_panel(spark, d)
+    rows = X.feature_rows(panel).select("date", "code", "momentum20").join(panel.select("date", "code", "amount"), ["date", "code"])
+    return rows.select("date", "code", F.round(S.significant(c("momentum20"), 14), 9).alias("v"), S.significant(c("amount"), 3).alias("coarse"))
+
+
 @query("c8_basis_points", "SELECT date, round((close - lag(close) OVER (ORDER BY date)) * 100, 2) AS bp FROM bench", "bench")
 def c8(spark, d):
     return P.benchmark(spark, d).select("date", F.round((c("close") - F.lag("close").over(Window.orderBy("date"))) * 100, 2).alias("bp"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions import scalars as S
 from tidepanel.operators import features as X
 from tidepanel.operators import ledger as G
 from tidepanel.queries.aggregates import predictions
@@ -165,6 +166,16 @@ def k1(spark, d):
     return spark.read.schema(rows.schema).parquet(_written(rows.orderBy("date", "code"), spark))
 
 
+@query("k2_text_sink", "SELECT strftime(date, '%Y-%m-%d') AS date, code, CASE WHEN ret IS NULL THEN '' WHEN round(ret, 6) = 0 THEN '0' ELSE printf('%.12g', round(ret, 6)) END AS ret, printf('%.12g', amount * 1e6) AS amount FROM raw", "raw")
+def k2(spark, d):
+    """A sink of text columns; an empty field is a missing number."""
+    rows = P.brand_panel(spark, d).select(c("date").cast("string").alias("date"), "code", S.general_text(F.round(X.change("close", 1), 6)).alias("ret"), S.general_text(c("amount") * 1e6).alias("amount"))
+    folder = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    rows.write.option("header", "true").option("emptyValue", "").csv(folder)
+    back = spark.read.schema(rows.schema).option("header", "true").csv(folder)
+    return back.select("date", "code", F.coalesce("ret", F.lit("")).alias("ret"), "amount")
+
+
 @query("k3_write_once", "SELECT r_regionkey, r_name FROM region")
 def k3(spark, d):
     """A second write to the same folder is refused, and what the first one wrote stays."""
