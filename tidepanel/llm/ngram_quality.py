@@ -34,17 +34,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.llm.shared import release, without
+from tidepanel.llm.shared import release, slices, without
 from tidepanel.session import shared_dir
 
 ORDER = 4
 BITS = 16
 CODES = 1 << BITS
 START, END = 0xD800, 0xD8C0  # high surrogates of a block without letters and of an unassigned plane; alone they stand in no text
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 4 << 20
 PACK_BYTES = 1 << 20
-PIECE = 1 << 20  # units that are numbered at once
-TABLE = 1 << 23  # entries of a lookup table in a task
+PIECE = 1 << 19  # units that are numbered at once
+TABLE = 1 << 22  # entries of a lookup table in a task
 MAX_PARTITIONS = 100_000
 FOLDS = 5  # one of them is held out of the model
 BROADCAST_ROWS = 2_000_000
@@ -111,12 +111,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
     """(block number, its rows) in the order of the task's input."""
     part, seq, rows, size = 0, 0, [], 0
     for batch in batches:
-        for *row, part in zip(*(c.to_pylist() for c in batch.columns)):
-            rows.append(row)
-            size += len(row[1] or "") + 16
-            if size >= BLOCK_BYTES:
-                yield part << 32 | seq, rows
-                seq, rows, size = seq + 1, [], 0
+        for first, last in slices(batch.column(1)):  # not all of a batch at once as Python objects
+            for *row, part in zip(*(c.to_pylist() for c in batch.slice(first, last - first).columns)):
+                rows.append(row)
+                size += len(row[1] or "") + 16
+                if size >= BLOCK_BYTES:
+                    yield part << 32 | seq, rows
+                    seq, rows, size = seq + 1, [], 0
     if rows:
         yield part << 32 | seq, rows
     release()
