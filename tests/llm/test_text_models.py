@@ -150,8 +150,8 @@ def test_toxicity_is_accurate_on_held_out_rows(spark):
 
 def test_thresholds_have_the_best_f1_of_rows_that_were_not_fitted(spark):
     rng = np.random.default_rng(9)
-    ids = [r[0] for r in spark.range(4000).filter(toxicity.calibrates("id")).limit(300).collect()]
-    fitted = [r[0] for r in spark.range(4000).filter(~toxicity.calibrates("id")).limit(300).collect()]
+    ids = [r[0] for r in spark.range(4000).filter(toxicity.held_out("id")).limit(300).collect()]
+    fitted = [r[0] for r in spark.range(4000).filter(~toxicity.held_out("id")).limit(300).collect()]
     y = rng.integers(0, 2, 600)
     score = np.round(np.clip(0.4 * y + rng.normal(0.3, 0.15, 600), 0, 0.999), 3)
     lang = np.where(np.arange(600) % 3 > 0, "en", "de")
