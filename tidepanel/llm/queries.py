@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, chat_format, decontam, flac_media, hilbert, html_extract, ngram_quality, simhash, token_store, toxicity
+from tidepanel.llm import bpe, chat_format, chunk_dedup, decontam, flac_media, hilbert, html_extract, importance, merkle, ngram_quality, simhash, token_store, toxicity
 from tidepanel.session import table
 
 
@@ -75,6 +75,21 @@ def op3_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.round_trip_digests(table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own))
 
 
+def op11_superblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof in the manifest, and whether the row, tampered with under every second id, still leads to the root. Nulls are marked fields; equal rows are neighbours."""
+    return merkle.tampering_report(table(spark, sf_dir, "documents"))
+
+
+def op12_feature_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, its score and its rank among the drawn. Null and empty texts have weight 0; rows that share an id have the same noise."""
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts and whether it is the one that stays. Null is the empty text; of rows that share the smallest id one stays."""
+    return chunk_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_kneser_ney": op2_kneser_ney,
@@ -86,9 +101,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert": op8_hilbert,
     "op9_winnowing": op9_winnowing,
     "op10_merge_rounds": op10_merge_rounds,
+    "op11_superblocks": op11_superblocks,
+    "op12_feature_dictionary": op12_feature_dictionary,
+    "op13_chunk_recipes": op13_chunk_recipes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_grammar_round_trip": chat_format.ORACLE_SQL,
     "op9_winnowing": decontam.ORACLE_SQL,
+    "op11_superblocks": merkle.oracle_sql(),
+    "op13_chunk_recipes": chunk_dedup.ORACLE_SQL,
 }

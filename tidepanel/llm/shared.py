@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,22 @@ def without(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
     return docs.join(F.broadcast(bad) if few else bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
 
 
+def placed(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """`rows` with `at`, the place of each among the rows of its `key`, from 0, and `size`, the number of those rows.
+
+    The order is that of a range partitioning, so a key with most of the rows lies in many tasks; the rows are written once, and only counts
+    per partition are added up. They meet the rows by broadcast up to BROADCAST_IDS of them, counted first.
+    """
+    ranged = cut(rows.repartitionByRange(F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(key, "_part").agg(F.count("*").alias("_own"))
+    every = Window.partitionBy(key)  # one row per partition; few keys lie in more than one
+    earlier = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut(counts.select(key, "_part", F.coalesce(F.sum("_own").over(earlier), F.lit(0)).alias("_before"), F.sum("_own").over(every).alias("size")))
+    small = before.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    own = ranged.withColumn("at", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1)
+    return own.join(F.broadcast(before) if small else before, [key, "_part"]).withColumn("at", F.col("at") + F.col("_before")).drop("_part", "_before")
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string or binary column with about `limit` bytes each; a longer value stands alone."""
     n = len(column)
