@@ -14,6 +14,7 @@ ones lower less where they hold more than a small share. Names of COMMENTS alway
 Paths whose weak ratio reaches KEEP and whose strong one reaches SHARE of the best are content. The content's container is the deepest
 element with most of that text, widened to the article around it, or to parents that add little; every block inside it whose path's weak
 ratio reaches KEEP belongs to the main text, so short paragraphs and headings beside long ones stay, and menus, adverts and comments go.
+A heading that is wholly a link stays where content stands before and after it.
 
 Scale: a map without shuffle, one page at a time; a page's blocks are all that a task holds, and time grows with the page's length.
 
@@ -72,6 +73,10 @@ WORDS = frozenset(
 )
 DOUBTFUL = frozenset("banner notice notices alert overlay reply replies respond discussion form search widget copyright disclaimer".split())
 COMMENTS = frozenset("comment comments commentlist disqus".split())
+#: What a name of COMMENTS may have beside it and still be the name of the part; words that make a name tell a state.
+COMMENT_PARTS = frozenset("list area section wrapper wrap container body thread box block item content text respond form main inner outer tree feed panel".split())
+STATES = frozenset("has have with without no non not is are if show hide open opened closed enabled disabled on off count status allowed".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = frozenset("html body main".split())
 HEADS = frozenset("article main h1".split())
 #: A comment or declaration; a tag with its attributes, in which only values behind = can hold a closing sign.
@@ -91,6 +96,7 @@ class Path:
     tag: str
     part: bool = False
     words: frozenset = frozenset()
+    comments: bool = False  # the part's name is that of comments
     inside: bool = False  # an article or main, or in one
     below: int = 0  # characters of all blocks from here on
     head: bool = False  # holds one of HEADS
@@ -222,8 +228,10 @@ class Page:
         if path is None:
             role = found.get("role", "").lower()
             part = tag in PARTS or tag == "header" and not parent.inside or role in ROLES
-            words = frozenset(w.lower() for w in NAMES.findall(f"{found.get('class', '')} {found.get('id', '')}")) if found else frozenset()
-            path = parent.kids[key] = Path(parent, tag, part, words & (WORDS | DOUBTFUL | COMMENTS), parent.inside or tag in ("article", "main") or role in ("article", "main"))
+            names = [frozenset(w.lower() for w in NAMES.findall(n)) for n in f"{found.get('class', '')} {found.get('id', '')}".split()] if found else []
+            words = frozenset().union(*(n for n in names if not n & STATES)) & (WORDS | DOUBTFUL)
+            comments = any(n & COMMENTS and n <= COMMENTS | COMMENT_PARTS for n in names)
+            path = parent.kids[key] = Path(parent, tag, part, words, comments, parent.inside or tag in ("article", "main") or role in ("article", "main"))
             self.paths.append(path)
         return path
 
@@ -239,15 +247,16 @@ def set_priors(paths: list[Path]) -> None:
     for p in reversed(paths):
         if p.parent is not None:
             p.parent.below += p.below
-            p.parent.head = p.parent.head or p.head or p.tag in HEADS and p.below > 0
+            # The articles of readers' comments are not the page's.
+            p.parent.head = p.parent.head or p.head or p.tag in HEADS and p.below > 0 and not p.comments
     total = max(paths[0].below, 1)
     for p in paths[1:]:
         factor = PART if p.part else 1.0
         if p.inside and not p.parent.inside:
             factor *= ARTICLE
-        names = p.words - DOUBTFUL - COMMENTS
-        says_nothing = p.tag in ROOTS or p.below >= LARGE * total or p.head and p.below > SMALL * total
-        if p.words & COMMENTS and p.tag not in ROOTS:
+        names = p.words - DOUBTFUL
+        says_nothing = p.tag in ROOTS or p.below >= LARGE * total or (p.head or p.tag in HEADS) and p.below > SMALL * total
+        if p.comments and p.tag not in ROOTS and not p.head and p.below < MOST * total:
             factor *= COMMENT
         elif not says_nothing and (names or p.words and p.below <= SMALL * total):
             factor *= NAME
@@ -305,7 +314,9 @@ def main_text(page: str | None) -> str:
     inside[chosen] = True
     for e in range(chosen + 1, len(held)):
         inside[e] = inside[parsed.parent[e]]
-    return "\n".join(b.text for b, k in zip(blocks, kept) if k and inside[b.element])
+    places = [i for i, (b, k) in enumerate(zip(blocks, kept)) if k and inside[b.element]]
+    linked = (i for i in range(places[0], places[-1]) if blocks[i].path.tag in HEADINGS and blocks[i].path.prior >= KEEP and inside[blocks[i].element])
+    return "\n".join(blocks[i].text for i in sorted({*places, *linked}))
 
 
 def extract(pages: DataFrame, *, markup: str = "html", out: str = "text", keep: list[str] | None = None) -> DataFrame:
