@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidepanel.llm import ngram_quality, toxicity
 
@@ -182,3 +183,36 @@ def test_toxicity_edge_cases(spark):
     assert [r["score"] for r in toxicity.held_out_scores(docs, none).collect()] == [0.0] * 4
     some = spark.createDataFrame([(1, None), (None, 1), (77, 1)], "doc_id long, toxic int")
     assert toxicity.held_out_scores(docs, some).count() == 4
+
+
+def test_thresholds_by_language_have_the_best_f1():
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 10, 200):
+        logits, y = np.round(rng.normal(0, 2, n), 1), np.append([1], rng.integers(0, 2, n - 1))
+        f1 = lambda cut: 2 * (y[logits >= cut].sum()) / ((logits >= cut).sum() + y.sum())
+        assert math.isclose(f1(toxicity.best_threshold(logits, y)), max(f1(c) for c in logits))
+
+
+def test_calibration_moves_each_language_and_keeps_its_order():
+    texts, y = [], []
+    for k, (the, good, bad) in enumerate([("the of", "kind", "awful"), ("der und", "nett", "schlimm")]):
+        for i in range(40):
+            y.append(int(i % 3 == 0))
+            texts.append(f"{the} w{i} {bad if y[-1] else good} x{k}")
+    model = toxicity.train(texts, y)
+    before = toxicity.Scorer(model)(texts)
+    toxicity.calibrate(model, texts, y)
+    after = toxicity.Scorer(model)(texts)
+    assert set(model.shift) == {None, "en", "de"}
+    for part in (slice(0, 40), slice(40, 80)):
+        assert (np.argsort(before[part], kind="stable") == np.argsort(after[part], kind="stable")).all()
+        assert ((after[part] >= 0.5) == np.array(y[part])).all()
+    assert toxicity.Scorer(model).logits(["", "xyz", "der Hund und", "THE end"])[1].tolist() == [-1, -1, 1, 0]
+
+
+def test_scores_depend_on_the_text_and_the_learnable_labels_only(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    scores = lambda d, m: sorted((r["doc_id"], r["score"]) for r in toxicity.held_out_scores(d, m).collect())
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string"))
+    assert scores(docs, labels) == scores(other, flipped)
