@@ -130,7 +130,7 @@ def manifest(docs: DataFrame, *, fields: tuple[str, ...] = FIELDS, tampered: dic
     rows = docs.select(
         columns[0].alias("doc_id"), columns[1].alias("source"), leaf(columns).alias("digest"), F.when(tampered_where, changed).alias("other") if tampered_where is not None else F.lit(None).cast("binary").alias("other")
     ).withColumn("tree", F.coalesce(F.concat(F.lit("1"), F.col("source").cast("string")), F.lit("0")))  # nulls first, in the order of UTF-8
-    low = proven(numbered(rows, ["doc_id", "digest"]))
+    low = proven(numbered(cut(rows), ["doc_id", "digest"]))  # a range partitioning reads its input twice
     roots = cut(low.filter("at = 0").select("tree", F.col("top").alias("digest")))
     high = proven(numbered(roots.select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest"), ["source"]))
     facts = cut(high.select(F.col("source").alias("tree"), F.col("proof").alias("_upper"), F.col("digest").alias("_subroot"), F.col("top").alias("_root")))
