@@ -1,40 +1,104 @@
-"""Records that wait until they are due, and are evaluated exactly once."""
+"""Records that wait until they are due, and are evaluated exactly once, whatever the order in which rows arrive within the watermark's delay."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MOMENT = "at long, id long"
 
-def matured(rows: DataFrame, key: str, at: str, row_id: str, opens: str, wait: pd.Timedelta) -> DataFrame:
-    """(row_id, matured_by): for each row whose flag `opens` is true, the first later row of its key that is `wait` or more after it.
 
-    The state of a key is its open rows, oldest first; a micro-batch's rows are taken in the order of (at, row_id), so batches have to
-    come in the order of time. Rows without key, time or id are left out.
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that stateful processors need; it has to be set when a query starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+
+
+class Maturing(StatefulProcessor):
+    """By key: the open records, by the time from which they can mature, and the rows above the watermark that may mature them.
+
+    A row is final when the watermark has reached it, because none before it can come any more. Of a key only one timer runs: at the first
+    row that will mature a record. Rows that can mature nothing (below every open record's time and below any that can still open) are
+    never stored, so a key's state is bounded by its open records and its rows of the delay. `ttl_ms` drops state of keys that
+    nothing comes for, in processing time; none unless it is set.
+    """
+
+    def __init__(self, wait_us: int, ttl_ms: int | None):
+        self.wait, self.ttl = wait_us, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", MOMENT, self.ttl)
+        self.later = handle.getListState("later", MOMENT, self.ttl)
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(rows)
+        moments = batch[["at_us", "id"]].to_numpy(np.int64).reshape(-1, 2)
+        flags = batch["opens"].fillna(False).to_numpy(bool)
+        opened = moments[flags] + np.array([self.wait, 0])
+        yield self.settled(self.held(self.open, opened), self.held(self.later, moments), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        nothing = np.empty((0, 2), np.int64)
+        yield self.settled(self.held(self.open, nothing), self.held(self.later, nothing), timerValues.getCurrentWatermarkInMs())
+
+    def held(self, state, new: np.ndarray) -> np.ndarray:
+        before = list(state.get()) if state.exists() else []
+        return np.concatenate([np.array(before, np.int64).reshape(-1, 2), new])
+
+    def settled(self, waiting: np.ndarray, later: np.ndarray, watermark_ms: int) -> pd.DataFrame:
+        """Records that mature by rows up to the watermark; the state is what remains."""
+        watermark = watermark_ms * 1000
+        later = later[np.lexsort((later[:, 1], later[:, 0]))]
+        first = np.searchsorted(later[:, 0], waiting[:, 0])  # of the rows that may mature each record
+        found = first < len(later)
+        final = found & (np.append(later[:, 0], np.iinfo(np.int64).max)[first] <= watermark)
+        done = pd.DataFrame({"id": waiting[final, 1], "matured_by": later[first[final], 1]})
+        coming = later[first[found & ~final], 0]
+        rest = waiting[~final]
+        needed = min([watermark + self.wait, *rest[:, 0].tolist()])
+        self.put(self.open, rest)
+        self.put(self.later, later[(later[:, 0] > watermark) & (later[:, 0] >= needed)])
+        self.set_timer(int(coming.min()) // 1000 if len(coming) else None)
+        return done
+
+    def put(self, state, rows: np.ndarray) -> None:
+        if len(rows):
+            state.put([tuple(r) for r in rows.tolist()])
+        elif state.exists():
+            state.clear()
+
+    def set_timer(self, ms: int | None) -> None:
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before == ms:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if ms is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def close(self) -> None:
+        pass
+
+
+def matured(rows: DataFrame, key: str, at: str, row_id: str, opens: str, wait: pd.Timedelta, delay: str, ttl_ms: int | None = None) -> DataFrame:
+    """(row_id, matured_by): for each row whose flag `opens` is true, the first row of its key, by (at, row_id), that is `wait` or more after it.
+
+    A pair appears when the watermark (latest time less `delay`) has reached the row that matures; rows that come later than that are left
+    out, and so are rows without key, time or id.
     """
-    step = int(wait.value // 1000)  # microseconds
-
-    def run(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting: list[list[int]] = json.loads(state.get[0]) if state.exists else []
-        batch = pd.concat(parts).sort_values([at, row_id])
-        done, first = [], 0
-        for moment, own, flag in zip(batch[at].astype("int64").to_numpy() // _unit(batch[at]), batch[row_id], batch[opens]):
-            while first < len(waiting) and waiting[first][0] <= moment:
-                done.append((waiting[first][1], int(own)))
-                first += 1
-            if flag:
-                waiting.append([int(moment) + step, int(own)])
-        state.update((json.dumps(waiting[first:]),))
-        yield pd.DataFrame(done, columns=[row_id, "matured_by"]).astype("int64")
-
-    known = rows.filter(f"{key} is not null and {at} is not null and {row_id} is not null").select(key, at, row_id, opens)
-    return known.groupBy(key).applyInPandasWithState(run, f"{row_id} long, matured_by long", "waiting string", "append", GroupStateTimeout.NoTimeout)
-
-
-def _unit(times: pd.Series) -> int:
-    """How many units of the column's own resolution make a microsecond."""
-    return {"ns": 1000, "us": 1}[times.dt.unit]
+    use_rocksdb(rows.sparkSession)
+    known = rows.withWatermark(at, delay).filter(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(row_id).isNotNull())
+    small = known.select(F.col(key).alias("key"), at, F.unix_micros(F.col(at).cast("timestamp")).alias("at_us"), F.col(row_id).cast("long").alias("id"), F.col(opens).alias("opens"))
+    found = small.groupBy("key").transformWithStateInPandas(Maturing(int(wait.value // 1000), ttl_ms), "id long, matured_by long", "append", "eventTime")
+    return found.withColumnRenamed("id", row_id)

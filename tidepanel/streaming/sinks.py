@@ -28,11 +28,15 @@ def stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch
     return reader.parquet(path)
 
 
-def drained(rows: DataFrame, each: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None = None) -> None:
-    """Runs the stream over all that its source has now; `each` gets every micro-batch with its number. With the same checkpoint nothing is read twice."""
+def drained(rows: DataFrame, each: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None = None) -> list:
+    """Runs the stream over all that its source has now; `each` gets every micro-batch with its number. With the same checkpoint nothing is read twice.
+
+    Gives the run's last progress reports.
+    """
     spark = rows.sparkSession
     query = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or new_folder(spark, "stream")).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
+    return query.recentProgress
 
 
 def latest_result(rows: DataFrame, checkpoint: str | None = None) -> DataFrame:
