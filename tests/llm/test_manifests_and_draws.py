@@ -136,12 +136,14 @@ def test_pieces_of_long_texts_have_the_runs_of_the_whole(monkeypatch):
     def found():
         out = collections.Counter()
         for block in importance.pieces(texts):
-            vocabulary, word, row, led = importance.tokens(block)
+            vocabulary, word, row, next_ = importance.tokens(block)
             names = [*vocabulary.to_pylist(), b""]
-            key, at = importance.runs(word, row, led, len(vocabulary))
+            key, at = importance.windows(word, row, next_, len(vocabulary))
             for k, r in zip(key.tolist(), at.tolist()):
                 n = len(vocabulary) + 1
-                out[block[r][0], b" ".join(x for x in (names[k // n // n], names[k // n % n], names[k % n]) if x)] += 1
+                window = [x for x in (names[k // n // n], names[k // n % n], names[k % n]) if x]
+                for size in range(1, len(window) + 1):
+                    out[block[r][0], b" ".join(window[:size])] += 1
         return out
 
     whole = found()

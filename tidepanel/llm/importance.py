@@ -5,15 +5,17 @@ with its counts; each string is hashed once, there, to one of BUCKETS buckets. B
 often the target has it against the documents), gains meet the per-document feature counts, and a document's weight is the sum of its
 features' gains. Gumbel noise from the id's digest turns weights into a draw without replacement.
 
-How the dictionary is built: a block of text (BLOCK bytes) numbers its words and sorts all runs of word numbers, so a block has each
-feature once, with the documents that have it and how often. Features go to parts by their first two words, packed: the words that
-a part needs, the runs as numbers of those words, and the postings. A part joins the words of all its runs to strings, finds the
-different ones, hashes those, and gives back bucket sums and, block by block, the feature counts of each document with buckets for
-strings. These counts are written once; gains (BUCKETS numbers) are sent to them, and partial weights go back to the block's documents.
-
-Scale: what is shuffled is packed arrays, one row for each block and part. A part is sized by the text (PART_BYTES), and a feature that
-every document has is one entry per block. A text longer than a block is cut into pieces that overlap by GRAMS - 1 words. Ranks come from
-a range partitioning by score. The input must give the same rows again when it is read again, as tables do.
+How the dictionary is built: a block of text (BLOCK bytes) numbers its words and sorts its windows of GRAMS words, so a block has each window
+once, with the documents that have it and how often. A window stands for the runs of 1, 2 and 3 words that begin it, so only windows
+travel: to parts by their first word and SPREAD values of the second, packed as a tree (first words, second words, third words, postings) over
+numbers of the words that the part needs. A part joins the words of its runs to strings, finds the different ones, hashes those, and
+gives back bucket sums and, block by block, the feature counts of each document with buckets for strings. These counts are written
+once; gains (BUCKETS numbers) are sent to them, and partial weights go back to the block's documents.
+
+Scale: what is shuffled is packed arrays, one row for each block and part. A part is sized by the text (PART_BYTES); a window that every
+document has is one entry per block. A word lies in SPREAD parts, which each count and hash it, so that a word with a third of all
+windows isn't one task's work; runs of two or three words are in one part. A text longer than a block is cut into pieces, each with the first
+words of the next. Ranks come from a range partitioning by score.
 
 Cases: null has no words; documents without words have weight 0 and are scored like others; fewer than LEAST_WORDS words are never drawn; rows
 that share an id and a score are ranked side by side; a null id has the digest of the empty id and comes after others; an empty table
@@ -22,7 +24,9 @@ gives an empty result, an empty target gains below zero; other columns are ignor
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +46,10 @@ LEAST_WORDS = 20
 DRAWN_PERCENT = 5
 SEED = 42
 BLOCK = 8 << 20
-PART_BYTES = 8 << 20  # text whose features make one part of the dictionary
+SPREAD = 8  # parts that share the windows of one first word
+PART_BYTES = 12 << 20  # text whose features make one part of the dictionary
 MAX_WORDS = 1 << 21  # different words of a block: three numbers below this fit in a long
+WORD = re.compile(rb"[^ ]+")
 #: A-Z become lower case, digits, letters and all bytes above ASCII stay, the rest is a space.
 SIGNS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -105,30 +111,31 @@ def crc32(sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
 
 
 def pieces(texts: list) -> Iterator[list[tuple[int, bytes, int]]]:
-    """Blocks of (place of the text, signs, number of leading words that stand in the piece before)."""
+    """Blocks of (place of the text, signs, number of last words that belong to the next piece of it)."""
     held, size = [], 0
     for i, text in enumerate(texts):
-        rest = (text or "").encode("utf-8", "surrogatepass").translate(SIGNS)
-        lead = b""
+        signs = (text or "").encode("utf-8", "surrogatepass").translate(SIGNS)
+        first = 0
         while True:
-            end = len(rest)
-            if end > BLOCK:
-                end = rest.rfind(b" ", 0, BLOCK) + 1 or rest.find(b" ") + 1 or end
-            one, rest = lead + rest[:end], rest[end:]
-            held.append((i, one, len(lead.split())))
-            size += len(one)
+            end = len(signs)
+            if end - first > BLOCK:
+                end = signs.rfind(b" ", first, first + BLOCK) + 1 or signs.find(b" ", first) + 1 or end
+                end = end if end > first else len(signs)
+            ahead = [m[0] for m in islice(WORD.finditer(signs, end), GRAMS - 1)]
+            held.append((i, b" ".join([signs[first:end], *ahead]), len(ahead)))
+            size += end - first
             if size >= BLOCK:
                 yield held
                 held, size = [], 0
-            if not rest:
+            first = end
+            if first >= len(signs):
                 break
-            lead = b"".join(w + b" " for w in one.split()[1 - GRAMS :])
     if held:
         yield held
 
 
 def tokens(block: list[tuple[int, bytes, int]]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The different words, sorted; each word's number among them; its row in the block; whether it is led in from the piece before."""
+    """The different words, sorted; each word's number among them; its row in the block; whether it belongs to the next piece."""
     flat = np.frombuffer(b" ".join(one for _, one, _ in block), np.uint8)
     inside = flat != 32
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
@@ -137,72 +144,69 @@ def tokens(block: list[tuple[int, bytes, int]]) -> tuple[pa.Array, np.ndarray, n
     order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    ends = np.cumsum([len(one) + 1 for _, one, _ in block])
-    row = np.searchsorted(ends, first, "right")
-    begins = np.searchsorted(row, np.arange(len(block)))
-    led = np.arange(len(row)) - begins[row] < np.array([n for _, _, n in block], np.int64)[row] if len(row) else np.empty(0, bool)
-    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()], row, led
-
-
-def runs(word: np.ndarray, row: np.ndarray, led: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every run of 1 to GRAMS words of one row, as one number (`none` stands for no word), and its row; no run that ends in a led word."""
-    keys, rows = [], []
-    for n in range(1, GRAMS + 1):
-        last = len(word) - n + 1
-        if last <= 0:
-            break
-        key = np.zeros(last, np.int64)
-        for j in range(GRAMS):
-            key = key * (none + 1) + (word[j : j + last] if j < n else none)
-        whole = (row[:last] == row[n - 1 :]) & ~led[n - 1 :]
-        keys.append(key[whole])
-        rows.append(row[:last][whole])
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(rows)
+    row = np.searchsorted(np.cumsum([len(one) + 1 for _, one, _ in block]), first, "right")
+    ends = np.searchsorted(row, np.arange(len(block)), "right")
+    ahead = np.array([n for _, _, n in block], np.int64)
+    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()], row, ends[row] - np.arange(len(row)) <= ahead[row]
+
+
+def windows(word: np.ndarray, row: np.ndarray, next_: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The GRAMS words from each word of a row on as one number (`none` stands for no word), and its row; no window begins in the next piece."""
+    key = np.zeros(len(word), np.int64)
+    for j in range(GRAMS):
+        own = np.full(len(word), none, np.int64)
+        inside = row[j:] == row[: len(row) - j] if j else np.ones(len(row), bool)
+        own[: len(inside)] = np.where(inside, word[j:], none)
+        key = key * (none + 1) + own
+    return key[~next_], row[~next_]
 
 
 def cells(block: list[tuple[int, bytes, int]], parts: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, bytes]]]:
-    """The number of words and of features of each row of the block, and its features by part.
+    """The number of words and of features of each row of the block, and its windows by part.
 
-    A cell holds: sizes and bytes of its words; the three words of each feature; how many rows have it; those rows; how often each has it.
+    A cell holds: sizes and bytes of its words; its first words, how many second words follow each, those words, and likewise the third ones; how
+    many rows have each window; those rows; how often each has it.
     """
-    vocabulary, word, row, led = tokens(block)
+    vocabulary, word, row, next_ = tokens(block)
     none = len(vocabulary)
     if none >= MAX_WORDS:
         raise ValueError("a block has too many different words: lower BLOCK")
-    key, at = runs(word, row, led, none)
-    order = np.argsort(key, kind="stable")  # rows ascend within a feature
+    key, at = windows(word, row, next_, none)
+    words = np.bincount(at, minlength=len(block))
+    features = words + sum(np.bincount(at[key // (none + 1) ** (GRAMS - 1 - j) % (none + 1) < none], minlength=len(block)) for j in range(1, GRAMS))
+    order = np.argsort(key, kind="stable")  # rows ascend within a window
     key, at = key[order], at[order]
     new = np.diff(key, prepend=-1) != 0
     post = np.flatnonzero(new | (np.diff(at, prepend=-1) != 0))
     often = np.diff(np.append(post, len(key)))
-    feature = np.cumsum(new)[post] - 1  # of each posting
     own = key[new]
+    counts = np.bincount(np.cumsum(new)[post] - 1, minlength=len(own))
+    starts = np.cumsum(counts) - counts
     a, b, c = own // (none + 1) ** 2, own // (none + 1) % (none + 1), own % (none + 1)
     hashes = np.append(np.fromiter(map(xxhash.xxh32_intdigest, vocabulary.to_pylist()), np.uint64, none), np.uint64(0))
-    part = ((hashes[a] * np.uint64(31) + hashes[b]) % np.uint64(parts)).astype(np.int64)
+    part = ((hashes[a] + hashes[b] % np.uint64(SPREAD) * np.uint64(0x9E3779B1)) % np.uint64(parts)).astype(np.int64)
     by_part = np.argsort(part, kind="stable")
-    counts = np.bincount(feature, minlength=len(own))
-    starts = np.cumsum(counts) - counts
     bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
-    words, features = np.bincount(row[~led], minlength=len(block)), np.bincount(at, minlength=len(block))
 
     def packs() -> Iterator[tuple[int, bytes]]:
         local = np.zeros(none + 1, np.uint32)
+        small = lambda x: x.astype(np.uint32)
         for p in range(parts):
             mine = by_part[bounds[p] : bounds[p + 1]]
             if not len(mine):
                 continue
-            used = np.unique(np.concatenate([a[mine], b[mine], c[mine]]))
+            x, y, z = a[mine], b[mine], c[mine]
+            used = np.unique(np.concatenate([x, y, z]))
             used = used[used < none]
             local[used] = np.arange(len(used))
             local[none] = len(used)
             sizes, flat = strings(vocabulary.take(pa.array(used)))
+            begins = np.flatnonzero(np.diff(x, prepend=-1) != 0)
+            pairs = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
             n = counts[mine]
             of = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            small = lambda x: x.astype(np.uint32)
-            yield p, packed(sizes, flat, local[a[mine]], local[b[mine]], local[c[mine]], small(n), small(at[post[of]]), small(often[of]))
+            seconds, thirds = np.diff(np.append(np.searchsorted(pairs, begins), len(pairs))), np.diff(np.append(pairs, len(mine)))
+            yield p, packed(sizes, flat, np.diff(local[x[begins]], prepend=np.uint32(0)), small(seconds), local[y[pairs]], small(thirds), local[z], small(n), small(at[post[of]]), small(often[of]))
 
     return words, features, packs()
 
@@ -239,7 +243,7 @@ def counted(cells_: DataFrame, parts: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, heads = [], []  # strings of each cell; (block, target, rows that have it, those rows, how often)
+        made, heads = [], []  # strings of each cell; (block, target, the runs of each posting's window, rows, how often)
 
         def row(*values: object) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.int64()))], names=COUNTED.names)
@@ -250,11 +254,21 @@ def counted(cells_: DataFrame, parts: int) -> DataFrame:
                     if not target:
                         yield row(block, None, body, None, None, None)
                     continue
-                sizes, flat, *three, n, rows, often = unpacked(body)
-                words = binary(sizes, flat)
-                picked = [words.take(pa.array(x, mask=x == len(words))) for x in three]
-                made.append(pc.binary_join_element_wise(*picked, pa.scalar(b" ", pa.binary()), null_handling="skip"))
-                heads.append((block, target, n, rows, often))
+                sizes, flat, steps, seconds, second, thirds, third, n, rows, often = unpacked(body)
+                words, none = binary(sizes, flat), len(sizes)
+                a = np.cumsum(steps, dtype=np.int64)
+                pair, triple = second < none, third < none
+                first = np.repeat(a, seconds)  # of each pair
+                of_pair = np.repeat(np.arange(len(second)), thirds)  # of each window
+                one = words.take(pa.array(a))
+                two = pc.binary_join_element_wise(words.take(pa.array(first[pair])), words.take(pa.array(second[pair])), b" ")
+                has = of_pair[triple]
+                three = pc.binary_join_element_wise(words.take(pa.array(first[has])), words.take(pa.array(second[has])), words.take(pa.array(third[triple])), b" ")
+                made += [one, two, three]
+                # Where each window's runs stand among this cell's strings; -1 where it has none.
+                place = lambda there, base: np.where(there, np.cumsum(there) - 1 + base, -1)
+                runs = np.stack([np.repeat(np.arange(len(a)), seconds)[of_pair], place(pair, len(a))[of_pair], place(triple, len(a) + len(two))])
+                heads.append((block, target, len(one) + len(two) + len(three), runs.astype(np.int32), n, rows, often))
         if not made:
             return
         coded = pa.chunked_array(made).combine_chunks().dictionary_encode()
@@ -263,12 +277,21 @@ def counted(cells_: DataFrame, parts: int) -> DataFrame:
         index = coded.indices.to_numpy()
         totals = np.zeros((2, len(bucket)), np.int64)  # the dictionary's counts
         at = 0
-        for block, target, n, rows, often in heads:
-            mine = index[at : at + len(n)]
-            at += len(n)
-            totals[int(target)] += np.bincount(np.repeat(mine, n), weights=often, minlength=len(bucket)).astype(np.int64)
+        for block, target, size, runs, n, rows, often in heads:
+            mine = index[at : at + size]
+            at += size
+            window = np.repeat(np.arange(len(n)), n)  # of each posting
+            keys, times, own = [], [], np.zeros(size, np.int64)
+            for places in runs:
+                place = places[window]
+                there = place >= 0
+                own += np.bincount(place[there], weights=often[there], minlength=size).astype(np.int64)
+                if not target:
+                    keys.append(rows[there].astype(np.int64) * BUCKETS + bucket[mine[place[there]]])
+                    times.append(often[there])
+            totals[int(target)][mine] += own  # a cell has each string once
             if not target:
-                key = rows.astype(np.int64) * BUCKETS + np.repeat(bucket[mine], n)
+                key, often = np.concatenate(keys), np.concatenate(times)
                 order = np.argsort(key)
                 key = key[order]
                 new = np.flatnonzero(np.diff(key, prepend=-1))
