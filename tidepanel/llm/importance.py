@@ -8,7 +8,7 @@ features' gains. Gumbel noise from the id's digest turns weights into a draw wit
 How the dictionary is built: a block of text (BLOCK bytes) numbers its words and sorts its windows of GRAMS words, so a block has each window
 once, with the documents that have it and how often. A window stands for the runs of 1, 2 and 3 words that begin it, so only windows
 travel: to parts by their first word and SPREAD values of the second, packed as a tree (first words, second words, third words, postings) over
-numbers of the words that the part needs. A part joins the words of its runs to strings, finds the different ones, hashes those, and
+numbers of the words that the part needs. A part joins the words of its runs to strings, turn by turn, finds the different ones, hashes those, and
 gives back bucket sums and, block by block, the feature counts of each document with buckets for strings. These counts are written
 once; gains (BUCKETS numbers) are sent to them, and partial weights go back to the block's documents.
 
@@ -47,7 +47,8 @@ DRAWN_PERCENT = 5
 SEED = 42
 BLOCK = 8 << 20
 SPREAD = 8  # parts that share the windows of one first word
-PART_BYTES = 12 << 20  # text whose features make one part of the dictionary
+PART_BYTES = 24 << 20  # text whose features make one part of the dictionary
+TURNS = 6  # in which a part's dictionary is made
 MAX_WORDS = 1 << 21  # different words of a block: three numbers below this fit in a long
 WORD = re.compile(rb"[^ ]+")
 #: A-Z become lower case, digits, letters and all bytes above ASCII stay, the rest is a space.
@@ -236,69 +237,98 @@ def feature_cells(docs: DataFrame, parts: int, target: bool, *, doc_id: str, tex
     return source.mapInArrow(run, CELL)
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as they need."""
+    most = int(values.max(initial=0))
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def runs_of(body: bytes, turn: int) -> tuple[list[pa.Array], int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a cell, what begins with a word of this turn: the strings of its different runs and their number; for each window where its runs stand among
+    them (-1: it has none); how many rows have the window; those rows; how often each has it."""
+    sizes, flat, steps, seconds, second, thirds, third, n, rows, often = unpacked(body)
+    words, none = binary(sizes, flat), len(sizes)
+    last = np.cumsum(sizes, dtype=np.int64)
+    turn_of = (flat[last - sizes] * np.uint32(31) + flat[last - 1] * np.uint32(7) + sizes) % TURNS
+    a = np.cumsum(steps, dtype=np.int64)
+    mine = turn_of[a] == turn
+    first = np.repeat(np.arange(len(a)), seconds)  # of each pair
+    pairs = mine[first]
+    of_pair = np.repeat(np.arange(len(second)), thirds)  # of each window
+    own = pairs[of_pair]
+    posted = np.repeat(own, n)
+    renumbered = lambda kept: np.cumsum(kept) - 1
+    first, of_pair = renumbered(mine)[first[pairs]], renumbered(pairs)[of_pair[own]]
+    a, second, third = a[mine], second[pairs], third[own]
+    two_at, three_at = second < none, third < none
+    taken = lambda x: words.take(pa.array(x))
+    one = taken(a)
+    two = pc.binary_join_element_wise(taken(a[first[two_at]]), taken(second[two_at]), b" ")
+    has = of_pair[three_at]
+    three = pc.binary_join_element_wise(taken(a[first[has]]), taken(second[has]), taken(third[three_at]), b" ")
+    place = lambda there, base: np.where(there, renumbered(there) + base, -1)
+    runs = np.stack([first[of_pair], place(two_at, len(a))[of_pair], place(three_at, len(a) + len(two))]).astype(np.int32)
+    return [one, two, three], len(one) + len(two) + len(three), runs, n[own], rows[posted], often[posted]
+
+
 def counted(cells_: DataFrame, parts: int) -> DataFrame:
     """The dictionary's bucket sums (s of documents, t of the target), and for each cell of documents its counts by row and bucket.
 
-    All cells of a part are in one task, which holds their strings: about those of PART_BYTES of text.
+    All cells of a part are in one task, packed; it takes them in TURNS by the first words' letters, and holds the strings of one turn.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, heads = [], []  # strings of each cell; (block, target, the runs of each posting's window, rows, how often)
+        held = []  # block, target, cell
 
         def row(*values: object) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.int64()))], names=COUNTED.names)
 
         for batch in batches:
             for part, block, target, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if part is None:
-                    if not target:
-                        yield row(block, None, body, None, None, None)
-                    continue
-                sizes, flat, steps, seconds, second, thirds, third, n, rows, often = unpacked(body)
-                words, none = binary(sizes, flat), len(sizes)
-                a = np.cumsum(steps, dtype=np.int64)
-                pair, triple = second < none, third < none
-                first = np.repeat(a, seconds)  # of each pair
-                of_pair = np.repeat(np.arange(len(second)), thirds)  # of each window
-                one = words.take(pa.array(a))
-                two = pc.binary_join_element_wise(words.take(pa.array(first[pair])), words.take(pa.array(second[pair])), b" ")
-                has = of_pair[triple]
-                three = pc.binary_join_element_wise(words.take(pa.array(first[has])), words.take(pa.array(second[has])), words.take(pa.array(third[triple])), b" ")
-                made += [one, two, three]
-                # Where each window's runs stand among this cell's strings; -1 where it has none.
-                place = lambda there, base: np.where(there, np.cumsum(there) - 1 + base, -1)
-                runs = np.stack([np.repeat(np.arange(len(a)), seconds)[of_pair], place(pair, len(a))[of_pair], place(triple, len(a) + len(two))])
-                heads.append((block, target, len(one) + len(two) + len(three), runs.astype(np.int32), n, rows, often))
-        if not made:
+                if part is not None:
+                    held.append((block, target, body))
+                elif not target:
+                    yield row(block, None, body, None, None, None)
+        if not held:
             return
-        coded = pa.chunked_array(made).combine_chunks().dictionary_encode()
-        made.clear()
-        bucket = (crc32(*strings(coded.dictionary)) % np.uint32(BUCKETS)).astype(np.int64)  # each different string once
-        index = coded.indices.to_numpy()
-        totals = np.zeros((2, len(bucket)), np.int64)  # the dictionary's counts
-        at = 0
-        for block, target, size, runs, n, rows, often in heads:
-            mine = index[at : at + size]
-            at += size
-            window = np.repeat(np.arange(len(n)), n)  # of each posting
-            keys, times, own = [], [], np.zeros(size, np.int64)
-            for places in runs:
-                place = places[window]
-                there = place >= 0
-                own += np.bincount(place[there], weights=often[there], minlength=size).astype(np.int64)
-                if not target:
-                    keys.append(rows[there].astype(np.int64) * BUCKETS + bucket[mine[place[there]]])
-                    times.append(often[there])
-            totals[int(target)][mine] += own  # a cell has each string once
+        sums = np.zeros((2, BUCKETS), np.int64)
+        found: list[list] = [[] for _ in held]  # (row and bucket as one number, how often) of each cell
+        for turn in range(TURNS):
+            made, heads = [], []
+            for _, _, body in held:
+                own, *head = runs_of(body, turn)
+                made += own
+                heads.append(head)
+            coded = pa.chunked_array(made, pa.binary()).combine_chunks().dictionary_encode()
+            made.clear()
+            bucket = (crc32(*strings(coded.dictionary)) % np.uint32(BUCKETS)).astype(np.int64)  # each different string once
+            index = coded.indices.to_numpy()
+            coded = None
+            totals = np.zeros((2, len(bucket)), np.int64)  # the dictionary's counts
+            at = 0
+            for (_, target, _), (size, runs, n, rows, often), kept in zip(held, heads, found):
+                mine = index[at : at + size]
+                at += size
+                window, own = np.repeat(np.arange(len(n)), n), np.zeros(size, np.int64)  # of each posting
+                for places in runs:
+                    place = places[window]
+                    there = place >= 0
+                    own += np.bincount(place[there], weights=often[there], minlength=size).astype(np.int64)
+                    if not target:
+                        kept.append((narrow(rows[there].astype(np.int64) * BUCKETS + bucket[mine[place[there]]]), narrow(often[there])))
+                totals[int(target)][mine] += own  # a cell has each string once
+            for x, total in zip(sums, totals):
+                x += np.bincount(bucket, weights=total, minlength=BUCKETS).astype(np.int64)
+        for k, (block, target, _) in enumerate(held):
             if not target:
-                key, often = np.concatenate(keys), np.concatenate(times)
+                key, often = (np.concatenate([x[i].astype(np.int64) for x in found[k]]) for i in (0, 1))
                 order = np.argsort(key)
                 key = key[order]
                 new = np.flatnonzero(np.diff(key, prepend=-1))
-                yield row(block, False, packed(np.diff(key[new], prepend=0).astype(np.uint32), np.add.reduceat(often[order].astype(np.int64), new).astype(np.uint32)), None, None, None)
-        s, t = (np.bincount(bucket, weights=x, minlength=BUCKETS).astype(np.int64) for x in totals)
+                yield row(block, False, packed(np.diff(key[new], prepend=0).astype(np.uint32), np.add.reduceat(often[order], new).astype(np.uint32)), None, None, None)
+            found[k] = []
         nothing = pa.nulls(BUCKETS)
-        yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.bool_()), nothing.cast(pa.binary()), pa.array(np.arange(BUCKETS), pa.int32()), pa.array(s), pa.array(t)], names=COUNTED.names)
+        yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.bool_()), nothing.cast(pa.binary()), pa.array(np.arange(BUCKETS), pa.int32()), *map(pa.array, sums)], names=COUNTED.names)
         release()
 
     # Documents' own rows have no part; they are dealt out by their block.
