@@ -53,9 +53,3 @@ def test_expanding_folds_keep_an_embargo(spark):
         test = [r["date"] for r in rows if r["fold"] == k and r["role"] == "test"]
         assert len(test) == 10 and max(train) + datetime.timedelta(3) < min(test) and len(train) == 30 + 10 * k - 3
     assert folds.expanding_folds(df.limit(0), 3).count() == 0
-
-
-def test_feeds_with_declarations_are_refused(spark):
-    rss = "<rss><channel><item><title>T</title><link>L</link></item></channel></rss>"
-    df = spark.createDataFrame([(rss,), (f"<!doctype x>{rss}",), (f"<!ENTITY a 'b'>{rss}",), (None,)], "x string")
-    assert [r["i"] and tuple(r["i"]) for r in df.select(S.feed_item(F.col("x")).alias("i")).collect()] == [("T", "L"), None, None, None]

@@ -11,7 +11,7 @@ from tidepanel.queries import QUERIES, scalars, sets
 from tidepanel.session import table
 
 SF = "/root/testdata/sf0.001"
-ROWS = {"c2_ratio_whole": "lineitem", "c23_due_of_list_whole": "orders", "c24_latest_complete_session_whole": "events", "c43_normalized_content_whole": "events"}
+ROWS = {"c2_ratio": "lineitem", "c23_due_of_list": "orders", "c24_latest_complete_session": "events", "c43_normalized_content": "events"}
 
 
 @pytest.mark.parametrize("name", ROWS)
@@ -40,7 +40,7 @@ def test_pairs_of_every_thread(spark):
     for k, thread in keys:
         sources.setdefault(k // 40, set()).add(thread)
     expected = Counter((a, b) for threads in sources.values() for a in threads for b in threads if a < b)
-    assert {(r["a"], r["b"]): r["shared"] for r in QUERIES["j18_shared_sources_whole"](spark, SF).collect()} == expected
+    assert {(r["a"], r["b"]): r["shared"] for r in QUERIES["j18_shared_sources"](spark, SF).collect()} == expected
 
 
 def test_places_and_retention_need_no_single_task(spark, capsys):

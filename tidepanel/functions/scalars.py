@@ -186,12 +186,6 @@ def curve_status(lag: Column, most: Column, complete: Column) -> Column:
     return F.when(lag > most, "stale").when(complete, "ready").otherwise("partial")
 
 
-def feed_item(xml: Column) -> Column:
-    """title and link of the first item of a feed; null for documents that declare a type or entities."""
-    safe = ~xml.rlike("(?i)<!(DOCTYPE|ENTITY)")
-    return F.when(safe, F.struct(F.xpath_string(xml, F.lit("//item/title")).alias("title"), F.xpath_string(xml, F.lit("//item/link")).alias("link")))
-
-
 def without_fields(value: Column, kind: T.DataType, dropped: frozenset[str]) -> Column:
     """A typed value without the fields of these names at any depth of structs and arrays."""
     if isinstance(kind, T.StructType):

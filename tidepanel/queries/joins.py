@@ -160,7 +160,6 @@ _J18 = "WITH t AS (SELECT DISTINCT o_custkey AS thread, o_orderkey // 40 AS sour
 
 
 @query("j18_shared_sources", _J18)
-@query("j18_shared_sources_whole", _J18)
 def j18(spark, d):
     # Sources of 40 orders: more orders make more sources, not larger ones.
     return shared_sources(table(spark, d, "orders").select(F.col("o_custkey").alias("thread"), F.expr("o_orderkey div 40").alias("source")))

@@ -305,12 +305,39 @@ def p14(spark, d):
     return L.calendar_faults(labels(spark, d).withColumn("target_date", later), bench).select("date", "code", "horizon", "violations")
 
 
-@query("s16_feed_items", "SELECT c_custkey, c_name AS title, 'https://example.org/' || c_custkey AS link FROM customer WHERE c_custkey % 5 <> 0")
+@query(
+    "s16_feed_items",
+    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS place, o_orderkey % 3 = 0 AS atom FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 13 <> 0)
+    SELECT l_orderkey, place, CASE WHEN atom THEN 'atom' ELSE 'rss' END AS format, l_partkey % 9 <> 0 AND l_partkey % 10 <> 1 AS kept, CASE WHEN l_partkey % 9 <> 0 THEN 'Part & ' || l_partkey END AS title,
+      CASE WHEN l_partkey % 10 <> 1 THEN 'https://example.org/p/' || l_partkey END AS url, CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_shipdate AS DATE) END AS published, 'about part ' || l_partkey AS summary, CASE WHEN l_returnflag < l_linestatus THEN l_returnflag || ',' || l_linestatus WHEN l_returnflag > l_linestatus THEN l_linestatus || ',' || l_returnflag ELSE l_returnflag END AS categories,
+      CASE WHEN l_partkey % 9 = 0 THEN 'skip-missing-title' WHEN l_partkey % 10 = 1 THEN 'skip-missing-link' WHEN l_partkey % 4 = 0 THEN 'missing-published-date' ELSE '' END AS reasons FROM l
+    UNION ALL SELECT o_orderkey, 0, NULL, false, NULL, NULL, NULL, '', NULL, 'xml-doctype-forbidden' FROM orders WHERE o_orderkey % 13 = 0""",
+)
 def s16(spark, d):
-    k = c("c_custkey")
-    xml = F.concat(F.when(k % 5 == 0, "<!DOCTYPE x>").otherwise(""), F.lit("<rss><channel><item><title>"), "c_name", F.lit("</title><link>https://example.org/"), k.cast("string"), F.lit("</link></item></channel></rss>"))
-    item = S.feed_item(c("xml"))
-    return table(spark, d, "customer").select("c_custkey", xml.alias("xml")).withColumn("item", item).filter("item is not null").select("c_custkey", "item.title", "item.link")
+    """Every item of every feed, in both formats, with what was left out and why."""
+    from tidepanel.sources.feeds import feed_entries
+
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    whole = table(spark, d, "orders").join(lines, c("o_orderkey") == c("l_orderkey"), "left")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    def item(x, atom):
+        n = x["l_partkey"]
+        title = F.when(n % 9 == 0, "").otherwise(text("<title> Part &amp; ", n, " </title>"))
+        address = text(F.when(n % 10 == 1, "http").otherwise("https"), "://EXAMPLE.org/p/", n, "#top")
+        about = text("&lt;b&gt;about&lt;/b&gt; part ", n)
+        if atom:
+            day = F.when(n % 4 == 0, "").otherwise(text("<published>", F.date_format(x["l_shipdate"], "yyyy-MM-dd"), "T08:00:00Z</published>"))
+            return text("<entry>", title, '<link rel="self" href="https://example.org/self"/><link href="', address, '"/><id>', n, "</id>", day, "<summary>", about, '</summary><category term="', x["l_returnflag"], '"/><category term="', x["l_linestatus"], '"/></entry>')
+        day = F.when(n % 4 == 0, "").otherwise(text("<pubDate>", F.date_format(x["l_shipdate"], "EEE, dd MMM yyyy"), " 08:00:00 GMT</pubDate>"))
+        return text("<item>", title, "<link>", address, '</link><guid isPermaLink="false">', n, "</guid>", day, "<description>", about, "</description><category>", x["l_linestatus"], '</category><category domain="d">', x["l_returnflag"], "</category></item>")
+
+    rss = text("<rss version='2.0'><channel><title>t</title>", F.coalesce(F.array_join(F.transform("lines", lambda x: item(x, False)), ""), F.lit("")), "</channel></rss>")
+    atom = text("<?xml version='1.0'?><feed xmlns='http://www.w3.org/2005/Atom'>", F.coalesce(F.array_join(F.transform("lines", lambda x: item(x, True)), ""), F.lit("")), "</feed>")
+    body = F.when(c("o_orderkey") % 13 == 0, "<!DOCTYPE rss [<!ENTITY x 'y'>]><rss><channel/></rss>").when(c("o_orderkey") % 3 == 0, atom).otherwise(rss)
+    found = feed_entries(whole.select(c("o_orderkey").alias("l_orderkey"), body.alias("xml")), "xml", ["l_orderkey"])
+    return found.select("l_orderkey", "place", "format", "kept", "title", c("canonical_url").alias("url"), c("published_date").alias("published"), "summary", F.array_join("categories", ",").alias("categories"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("s20_ledger_scan", "SELECT n_nationkey AS id, n_nationkey % 6 <> 0 AS intact FROM nation")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepanel.functions import documents as D
 from tidepanel.functions import scalars as S
 from tidepanel.operators import features as X
 from tidepanel.queries.features import scored
@@ -94,7 +95,6 @@ def c1(spark, d):
 
 
 @query("c2_ratio", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_linenumber - 1, 0), 6) AS v FROM lineitem")
-@query("c2_ratio_whole", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_linenumber - 1, 0), 6) AS v FROM lineitem")
 def c2(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.ratio(c("l_extendedprice"), (c("l_linenumber") - 1).cast("double")), 6).alias("v"))
 
@@ -105,9 +105,16 @@ def c3(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(S.sigmoid(b / 1000), 6).alias("p"), F.round(S.logit(b / 10000), 6).alias("l"), S.clamp(b, 0.0, 100.0).alias("k"))
 
 
-@query("c6_number_text", "SELECT c_custkey, CASE WHEN round(c_acctbal) = 0 THEN 0 ELSE round(c_acctbal) END AS v FROM customer")
+_EXACT = "SELECT date, code, CASE WHEN {0} = 0 THEN '0' ELSE printf('%.17g', {0}) END AS close, printf('%.17g', {1}) AS part, coalesce(printf('%.17g', {2}), '') AS back FROM raw"
+
+
+@query("c6_number_text", _EXACT.format("(close % 0.01)", "close / 3e9", "nullif(ret, 0)"), "raw")
 def c6(spark, d):
-    return table(spark, d, "customer").select("c_custkey", (F.round("c_acctbal") + F.lit(0.0)).alias("v"))
+    """Numbers as text with 17 digits, from which the same double is read."""
+    rows = P.brand_panel(spark, d).withColumn("ret", X.change("close", 1))
+    return rows.select(
+        "date", "code", D.exact_text(c("close") % 0.01).alias("close"), D.exact_text(c("close") / 3e9).alias("part"), D.exact_text(F.nullif(c("ret"), F.lit(0.0))).alias("back")
+    )
 
 
 @query("c7_significant_digits", "SELECT date, code, round(CAST(printf('%.13e', momentum20) AS DOUBLE), 9) AS v, CAST(printf('%.2e', amount) AS DOUBLE) AS coarse FROM rows_ JOIN panel USING (date, code)", "rows_", "panel")
@@ -122,10 +129,10 @@ def c8(spark, d):
     return P.benchmark(spark, d).select("date", F.round((c("close") - F.lag("close").over(Window.orderBy("date"))) * 100, 2).alias("bp"))
 
 
-@query("c9_flow_from_shares", "SELECT date, code, round((volume - lag(volume) OVER s) * close, 1) + 0.0 AS by_shares, round(amount - lag(amount) OVER s * (1 + close / lag(close) OVER s - 1), 1) + 0.0 AS by_assets FROM prio WINDOW s AS (PARTITION BY code ORDER BY date)", "prio")
+@query("c9_flow_from_shares", "SELECT date, code, round(round((volume - lag(volume) OVER s) * close, 6), 1) + 0.0 AS by_shares, round(round(amount - lag(amount) OVER s * (1 + close / lag(close) OVER s - 1), 6), 1) + 0.0 AS by_assets FROM prio WINDOW s AS (PARTITION BY code ORDER BY date)", "prio")
 def c9(spark, d):
     lag = lambda x: F.lag(x).over(X.series())
-    return P.priority_panel(spark, d).select("date", "code", (F.round((c("volume") - lag("volume")) * c("close"), 1) + F.lit(0.0)).alias("by_shares"), (F.round(c("amount") - lag("amount") * (1 + X.change("close", 1)), 1) + F.lit(0.0)).alias("by_assets"))
+    return P.priority_panel(spark, d).select("date", "code", (F.round(F.round((c("volume") - lag("volume")) * c("close"), 6), 1) + F.lit(0.0)).alias("by_shares"), (F.round(F.round(c("amount") - lag("amount") * (1 + X.change("close", 1)), 6), 1) + F.lit(0.0)).alias("by_assets"))
 
 
 
@@ -143,13 +150,13 @@ def c11(spark, d):
 
 @query(
     "c12_score_with_enough_factors",
-    "WITH w(code, w) AS (VALUES ('view', 0.4), ('click', 0.3), ('purchase', 0.2), ('signup', 0.1), ('error', 0.0)) SELECT date, count(*) AS factors, CASE WHEN count(*) >= 3 THEN round(sum(close * w) FILTER (w > 0) / sum(w) FILTER (w > 0), 4) END AS score FROM hourly JOIN w USING (code) GROUP BY date",
+    "WITH w(code, w) AS (VALUES ('view', 0.4), ('click', 0.3), ('purchase', 0.2), ('signup', 0.1), ('error', 0.0)) SELECT date, count(*) AS factors, CASE WHEN count(*) >= 3 THEN round(round(sum(close * w) FILTER (w > 0) / sum(w) FILTER (w > 0), 9), 4) END AS score FROM hourly JOIN w USING (code) GROUP BY date",
     "hourly",
 )
 def c12(spark, d):
     weights = F.create_map(*[F.lit(x) for kv in (("view", 0.4), ("click", 0.3), ("purchase", 0.2), ("signup", 0.1), ("error", 0.0)) for x in kv])
     rows = P.event_panel(spark, d).withColumn("w", F.try_element_at(weights, c("code"))).filter("w is not null")
-    return rows.groupBy("date").agg(F.count("*").alias("factors"), F.round(S.weighted_score(c("close"), c("w")), 4).alias("score"))
+    return rows.groupBy("date").agg(F.count("*").alias("factors"), F.round(F.round(S.weighted_score(c("close"), c("w")), 9), 4).alias("score"))
 
 
 _OBSERVED = "CASE WHEN s >= 80 THEN 'leading' WHEN s >= 60 THEN 'strengthening' WHEN s >= 40 THEN 'neutral' WHEN s >= 20 THEN 'weakening' ELSE 'lagging' END"
@@ -239,14 +246,12 @@ def c22(spark, d):
 
 
 @query("c23_due_of_list", "WITH l AS (SELECT list(DISTINCT date ORDER BY date) AS days FROM bench) SELECT o_orderkey, list_filter(days, lambda x: x > CAST(o_orderdate AS DATE))[3] AS due FROM orders, l", "bench")
-@query("c23_due_of_list_whole", "WITH l AS (SELECT list(DISTINCT date ORDER BY date) AS days FROM bench) SELECT o_orderkey, list_filter(days, lambda x: x > CAST(o_orderdate AS DATE))[3] AS due FROM orders, l", "bench")
 def c23(spark, d):
     asked = orders(spark, d).select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     return session_of(asked, "day", P.benchmark(spark, d), 3, "due").select("o_orderkey", "due")
 
 
 @query("c24_latest_complete_session", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN hour(ts) < 17 THEN 1 ELSE 0 END) AS session FROM events", "bench")
-@query("c24_latest_complete_session_whole", "SELECT event_id, (SELECT max(date) FROM bench WHERE date <= CAST('1996-06-03' AS DATE) + CAST(event_id % 300 AS INTEGER) - CASE WHEN hour(ts) < 17 THEN 1 ELSE 0 END) AS session FROM events", "bench")
 def c24(spark, d):
     limit = F.date_sub(F.date_add(F.lit("1996-06-03").cast("date"), (c("event_id") % 300).cast("int")), F.when(F.hour("ts") < 17, 1).otherwise(0))
     asked = table(spark, d, "events").select("event_id", limit.alias("limit"))
@@ -344,7 +349,6 @@ def sensational(docs):
 
 
 @query("c37_sensational_terms", "SELECT doc_id, list_filter(['the', 'and', 'que'], lambda t: contains(lower(text), t)) AS terms FROM documents")
-@query("c37_sensational_terms_whole", "SELECT doc_id, list_filter(['the', 'and', 'que'], lambda t: contains(lower(text), t)) AS terms FROM documents")
 def c37(spark, d):
     return sensational(docs(spark, d))
 
@@ -379,10 +383,24 @@ def c39(spark, d):
     return orders(spark, d).select("o_orderkey", S.percent_change(F.concat(word, ((c("o_orderkey") % 50) / 10.0).cast("string"), F.lit("%"))).alias("change"))
 
 
-@query("c40_canonical_json", """SELECT c_custkey, sha256('{"key":' || c_custkey || ',"name":"' || c_name || '","nation":' || c_nationkey || '}') AS digest FROM customer""")
+@query(
+    "c40_canonical_json",
+    """WITH l AS (SELECT l_orderkey AS k, '[' || string_agg('{"flags":{"r":"' || l_returnflag || '","s":"' || l_linestatus || '"},"part":' || l_partkey || ',"qty":' || CAST(l_quantity AS BIGINT) || '}', ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) || ']' AS lines FROM lineitem GROUP BY 1)
+    SELECT o_orderkey, sha256('{"lines":' || coalesce(lines, '[]') || ',"order":{"key":' || o_orderkey || ',"rank":[' || o_custkey % 3 || ',' || o_custkey % 5 || '],"status":"' || o_orderstatus || '"}}') AS digest, true AS same FROM orders LEFT JOIN l ON k = o_orderkey""",
+)
 def c40(spark, d):
-    fields = F.struct(c("c_custkey").alias("key"), c("c_name").alias("name"), c("c_nationkey").alias("nation"))
-    return table(spark, d, "customer").select("c_custkey", F.sha2(F.to_json(fields), 256).alias("digest"))
+    """Digests of order documents, from a struct with sorted fields and from JSON text with other key orders, spaces and decimals."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    whole = orders(spark, d).join(lines, c("o_orderkey") == c("l_orderkey"), "left")
+    part = lambda x: F.struct(x["l_quantity"].cast("long").alias("qty"), x["l_partkey"].alias("part"), F.struct(x["l_linestatus"].alias("s"), x["l_returnflag"].alias("r")).alias("flags"))
+    rank = F.array(c("o_custkey") % 3, c("o_custkey") % 5)
+    document = F.struct(F.struct(c("o_orderstatus").alias("status"), c("o_orderkey").alias("key"), rank.alias("rank")).alias("order"), F.transform(F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)), part).alias("lines"))
+    rows = whole.select("o_orderkey", document.alias("v"))
+    text = lambda x: F.concat(F.lit('{ "part" : '), x["part"].cast("string"), F.lit('.0, "flags": '), F.to_json(x["flags"]), F.lit(', "qty":'), x["qty"].cast("string"), F.lit(".00 }"))
+    loose = F.concat(F.lit('{"order":'), F.to_json("v.order"), F.lit(' , "lines": ['), F.array_join(F.transform("v.lines", text), " , "), F.lit("]}"))
+    digest = F.sha2(F.to_json(D.canonical_value(c("v"), rows.schema["v"].dataType)), 256)
+    return rows.select("o_orderkey", digest.alias("digest"), (D.digest(loose) == digest).alias("same"))
 
 
 @query("c41_digest_id", "SELECT o_orderkey, 'forecast-' || substr(sha256(o_orderkey || chr(31) || o_orderstatus), 1, 12) AS id FROM orders")
@@ -403,10 +421,20 @@ def c43_nested(spark, d):
     return table(spark, d, "customer").select("c_custkey", S.normalized_json(raw, kind).alias("content"))
 
 
-@query("c44_json_path", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, array_to_string(json_keys(props), ',') AS keys FROM events")
+@query(
+    "c44_json_path",
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN 'missing' WHEN 2 THEN 'non-primitive' WHEN 3 THEN 'path' WHEN 5 THEN 'missing' END AS fault, CASE o_orderkey % 6 WHEN 0 THEN o_orderstatus WHEN 4 THEN CAST(o_custkey AS VARCHAR) END AS value,
+    CASE WHEN o_orderkey % 6 IN (0, 2, 4) THEN '{"order":{"ranks":' || CASE WHEN o_orderkey % 6 = 2 THEN '{"new":[1]}' ELSE '[' || o_custkey % 3 || ',' || CASE WHEN o_orderkey % 6 = 4 THEN '{"new":[1]}' ELSE CAST(o_custkey AS VARCHAR) END || ']' END || ',"status":'
+      || CASE WHEN o_orderkey % 6 = 0 THEN '{"new":[1]}' ELSE '"' || o_orderstatus || '"' END || '}}' END AS changed FROM orders""",
+)
 def c44(spark, d):
-    keys = F.json_object_keys("props")
-    return table(spark, d, "events").select("event_id", F.try_element_at(F.from_json("props", "map<string,string>"), F.get(keys, 0)).alias("first_value"), F.array_join(keys, ",").alias("keys"))
+    """The value at a path, or why there is none; and the document with another value there."""
+    document = F.to_json(F.struct(F.struct(c("o_orderstatus").alias("status"), F.array(c("o_custkey") % 3, c("o_custkey")).alias("ranks")).alias("order")))
+    paths = ["$.order.status", "$.order.ranks[7]", "$.order.ranks", "$.order.__proto__", "$.order.ranks[1]", "$.order.ranks[1].x"]
+    path = F.element_at(F.array(*map(F.lit, paths)), (c("o_orderkey") % 6 + 1).cast("int"))
+    rows = orders(spark, d).select("o_orderkey", document.alias("doc"), path.alias("path"))
+    fault, value = D.value_at(c("doc"), c("path"))
+    return rows.select("o_orderkey", fault.alias("fault"), value.alias("value"), D.with_value(c("doc"), c("path"), F.lit('{"new": [1.0]}')).alias("changed"))
 
 
 @query("c46_sorted_unique", "SELECT c_nationkey AS nation, list_sort(list(DISTINCT c_mktsegment)) AS segments FROM customer GROUP BY 1")
@@ -421,7 +449,6 @@ def c47(spark, d):
 
 
 @query("c43_normalized_content", "SELECT event_id, event_type, json_extract_string(props, '$.' || json_keys(props)[1]) AS kept FROM events")
-@query("c43_normalized_content_whole", "SELECT event_id, event_type, json_extract_string(props, '$.' || json_keys(props)[1]) AS kept FROM events")
 def c43(spark, d):
     # Runtime keys are dropped by taking the typed map without them.
     kept = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: ~k.isin("runId", "generatedAt"))

@@ -88,7 +88,6 @@ _U8 = (
 
 
 @query("u8_new_and_reused", _U8)
-@query("u8_new_and_reused_whole", _U8)
 def u8(spark, d):
     return new_and_reused(table(spark, d, "orders"))
 
@@ -292,11 +291,21 @@ def s12(spark, d):
     return formats.kline_rows(packed, "body").filter((c("date") <= F.lit("1999-01-04").cast("date")) & (c("close") > 0)).select("code", "date", "close")
 
 
-@query("s14_xml_entries", "SELECT c_custkey AS k, c_name AS name, c_acctbal AS balance FROM customer")
+@query(
+    "s14_xml_entries",
+    """SELECT l_orderkey, CAST(l_shipdate AS DATE) AS date, l_quantity AS QTY, CASE WHEN l_partkey % 8 <> 0 THEN l_tax END AS TAX FROM lineitem WHERE l_partkey % 6 <> 0""",
+)
 def s14(spark, d):
-    body = F.concat(F.lit("<entry><id>"), c("c_custkey").cast("string"), F.lit("</id><name>"), c("c_name"), F.lit("</name><v>"), c("c_acctbal").cast("string"), F.lit("</v></entry>"))
-    parsed = F.from_xml(body, "id long, name string, v double")
-    return table(spark, d, "customer").select(parsed.alias("x")).select(c("x.id").alias("k"), c("x.name").alias("name"), c("x.v").alias("balance"))
+    """Every entry of every body; entries without a whole date are left out, values that are no numbers are null."""
+    from tidepanel.sources.feeds import xml_entries
+
+    text = lambda v: v.cast("string")
+    day = F.when(c("l_partkey") % 6 == 0, "soon").otherwise(F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T00:00:00")))
+    tax = F.when(c("l_partkey") % 8 == 0, "N/A").otherwise(text(c("l_tax")))
+    entry = F.concat(F.lit("<entry><id>x</id><content type='application/xml'><m:properties><d:NEW_DATE m:type='Edm.DateTime'>"), day, F.lit("</d:NEW_DATE><d:QTY> "), text(c("l_quantity")), F.lit(" </d:QTY><d:TAX>"), tax, F.lit("</d:TAX></m:properties></content></entry>"))
+    head = "<feed xmlns='http://www.w3.org/2005/Atom' xmlns:d='urn:d' xmlns:m='urn:m'><title>rates</title>"
+    bodies = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit(head), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("body"))
+    return xml_entries(bodies, "body", ["l_orderkey"], {"QTY": "double", "TAX": "double"}, "NEW_DATE")
 
 
 @query("s19_jsonl", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")

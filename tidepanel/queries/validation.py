@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.documents import leaf_changes
 from tidepanel.functions import editorial as D
 from tidepanel.functions import scalars as S
 from tidepanel.operators import cleaning as B
@@ -632,8 +633,43 @@ def u3(spark, d):
     return rows.select("prediction_id").join(marked, "prediction_id", "left").select("prediction_id", F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
-@query("c45_changed_fields", "SELECT a.c_custkey, f.f AS path FROM customer a, (VALUES ('c_acctbal'), ('c_mktsegment')) f(f) WHERE (f = 'c_acctbal' AND a.c_custkey % 3 = 0) OR (f = 'c_mktsegment' AND a.c_custkey % 5 = 0)")
+@query(
+    "c45_changed_fields",
+    """WITH l AS (SELECT *, '$.lines[' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1) || ']' AS spot FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    n AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+    SELECT o_orderkey, '$.order.total' AS path FROM orders WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT o_orderkey, '$.tags' FROM orders WHERE o_orderkey % 13 = 0
+    UNION ALL SELECT o_orderkey, spot || '.flags.' || k FROM l, (VALUES ('r'), ('s')) v(k) WHERE l_partkey % 5 = 0
+    UNION ALL SELECT o_orderkey, spot || '.note' FROM l WHERE l_partkey % 7 = 0
+    UNION ALL SELECT o_orderkey, spot || '.qty' FROM l WHERE l_partkey % 11 = 0
+    UNION ALL SELECT o_orderkey, '$.lines[' || n || '].' || k FROM n, (VALUES ('n'), ('more[0]'), ('more[1].x')) v(k) WHERE o_orderkey % 4 = 0""",
+)
 def c45(spark, d):
+    """Where two versions of an order's document differ: changed, added and lost leaves at any depth, and values that became objects."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    whole = table(spark, d, "orders").join(lines, c("o_orderkey") == c("l_orderkey"), "left").withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
+    before = lambda x: F.to_json(F.struct(x["l_quantity"].alias("qty"), F.struct(x["l_returnflag"].alias("r"), x["l_linestatus"].alias("s")).alias("flags"), x["l_partkey"].alias("part")))
+
+    def after(x):
+        flags = F.when(x["l_partkey"] % 5 != 0, F.struct(x["l_returnflag"].alias("r"), x["l_linestatus"].alias("s")))
+        note = F.when(x["l_partkey"] % 7 == 0, "new")
+        qty = F.when(x["l_partkey"] % 11 == 0, F.to_json(F.struct(x["l_quantity"].alias("v")))).otherwise(x["l_quantity"].cast("string"))
+        return F.concat(F.regexp_replace(F.to_json(F.struct(note.alias("note"), x["l_partkey"].alias("part"), flags.alias("flags"))), r"\}$", ""), F.lit(',"qty":'), qty, F.lit("}"))
+
+    document = lambda order, items, more: F.concat(F.lit('{"order":'), F.to_json(order), F.lit(',"lines":['), F.array_join(items, ","), F.lit("]"), more, F.lit("}"))
+    order = lambda total: F.struct(c("o_orderstatus").alias("status"), total.alias("total"))
+    extra = F.transform("lines", after)
+    grown = F.when(c("o_orderkey") % 4 == 0, F.array_append(extra, F.lit('{"n":99,"more":[1,{"x":null}]}'))).otherwise(extra)
+    tags = F.when(c("o_orderkey") % 13 == 0, F.lit(',"tags":[]')).otherwise("")
+    total = F.when(c("o_orderkey") % 3 == 0, c("o_totalprice") + 1).otherwise(c("o_totalprice"))
+    old = whole.select("o_orderkey", document(order(c("o_totalprice")), F.transform("lines", before), F.lit("")).alias("doc"))
+    new = whole.select("o_orderkey", document(order(total), grown, tags).alias("doc"))
+    return leaf_changes(old, new, "o_orderkey", "doc").select("o_orderkey", "path")
+
+
+@query("c45_changed_columns", "SELECT a.c_custkey, f.f AS path FROM customer a, (VALUES ('c_acctbal'), ('c_mktsegment')) f(f) WHERE (f = 'c_acctbal' AND a.c_custkey % 3 = 0) OR (f = 'c_mktsegment' AND a.c_custkey % 5 = 0)")
+def c45_columns(spark, d):
     before = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     after = before.withColumn("c_acctbal", F.when(c("c_custkey") % 3 == 0, c("c_acctbal") + 1).otherwise(c("c_acctbal"))).withColumn("c_mktsegment", F.when(c("c_custkey") % 5 == 0, F.lit("NEW")).otherwise(c("c_mktsegment")))
     return G.changed_fields(before, after, "c_custkey")
