@@ -122,29 +122,6 @@ def moving_average(panel: DataFrame, period: int) -> DataFrame:
     return panel.select("date", "code", complete_mean("close", -(period - 1), 0).alias("average"))
 
 
-def exponential_average(panel: DataFrame, periods: list[int]) -> DataFrame:
-    """Exponential averages seeded by the mean of the first n closes, as columns `ema<n>`.
-
-    A recursion over one code's closes: a fold over its sorted array, so a code's series has to fit in one row.
-    """
-    series = panel.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("bars"))
-    closes = F.transform("bars", lambda b: b["close"])
-    columns = []
-    for n in periods:
-        alpha = 2.0 / (n + 1)
-        seed = F.aggregate(F.slice(closes, 1, n), F.lit(0.0), lambda a, x: a + x) / n
-        fold = _fold(closes, F.array(seed), n, alpha)
-        columns.append(F.when(F.size("bars") >= n, F.concat(F.array_repeat(F.lit(None).cast("double"), n - 1), fold)).alias(f"ema{n}"))
-    arrays = series.select("code", "bars", *columns)
-    rows = arrays.select("code", F.posexplode("bars").alias("i", "bar"), *[f"ema{n}" for n in periods])
-    return rows.select("code", F.col("bar.date").alias("date"), F.col("bar.close").alias("close"), *[F.get(f"ema{n}", F.col("i")).alias(f"ema{n}") for n in periods])
-
-
-def _fold(closes: Column, start: Column, n: int, alpha: float) -> Column:
-    step = lambda done, x: F.concat(done, F.array(F.element_at(done, -1) * (1 - alpha) + x * alpha))
-    return F.aggregate(F.slice(closes, F.lit(n + 1), F.greatest(F.size(closes) - n, F.lit(0))), start, step)
-
-
 def aligned(panel: DataFrame, bench: DataFrame, last: int = 25) -> DataFrame:
     """Panel and benchmark on their common dates, the newest `last` rows of each code."""
     other = bench.select("date", *[F.col(c).alias(f"bench_{c}") for c in ("close", "volume", "amount")])

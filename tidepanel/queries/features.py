@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import features as X
 from tidepanel.operators import labels as L
+from tidepanel.operators import recurrence as R
 from tidepanel.queries.registry import query
 from tidepanel.session import cut
 from tidepanel.sources import panel as P
@@ -183,7 +184,7 @@ _BARS_SQL = "(SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_ret
 
 @query("f18_exponential_average", "WITH " + _EMA.format(panel=_BARS_SQL, n=12) + " SELECT nb.date, nb.code, round(v, 6) AS ema12 FROM nb LEFT JOIN ema12 USING (code, i)")
 def f18(spark, d):
-    return X.exponential_average(P.flag_panel(spark, d), [12]).select("date", "code", *r6("ema12"))
+    return R.exponential_averages(P.flag_panel(spark, d), [12]).select("date", "code", *r6("ema12"))
 
 
 _MACD = (
@@ -196,8 +197,8 @@ SELECT date, code, round(macd, 6) AS macd, round(v, 6) AS signal, round(macd - v
 
 @query("f19_macd", _MACD)
 def f19(spark, d):
-    line = X.exponential_average(P.flag_panel(spark, d), [12, 26]).select("date", "code", (F.col("ema12") - F.col("ema26")).alias("close")).filter("close is not null")
-    signal = X.exponential_average(line, [9])
+    line = R.exponential_averages(P.flag_panel(spark, d), [12, 26]).select("date", "code", (F.col("ema12") - F.col("ema26")).alias("close")).filter("close is not null")
+    signal = R.exponential_averages(line, [9])
     return signal.select("date", "code", F.round("close", 6).alias("macd"), F.round("ema9", 6).alias("signal"), F.round(F.col("close") - F.col("ema9"), 6).alias("histogram"))
 
 
