@@ -10,6 +10,7 @@ value has no logistic model; empty tables give no models.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.session import cut
 
-GROUPS = 100_000  # models that are fitted at once
+GROUPS = 100_000  # models that are fitted at once; more groups are fitted part by part, each with its own passes
 
 
 def _known(rows: DataFrame, by: str, features: list[str], target: str) -> DataFrame:
@@ -28,10 +29,20 @@ def _known(rows: DataFrame, by: str, features: list[str], target: str) -> DataFr
 
 
 def _collected(sums: DataFrame) -> dict:
-    found = sums.limit(GROUPS + 1).collect()
-    if len(found) > GROUPS:
-        raise ValueError(f"more than {GROUPS} groups")
-    return {r["_g"]: r for r in found}
+    return {r["_g"]: r for r in sums.collect()}  # GROUPS rows and somewhat more at most, see _by_parts
+
+
+def _by_parts(fit: Callable[[DataFrame], DataFrame], rows: DataFrame, by: str) -> DataFrame:
+    """`fit` of all rows, or of parts of the groups, so that the driver never holds more than about GROUPS small systems."""
+    groups = rows.filter(F.col(by).isNotNull()).agg(F.approx_count_distinct(by)).first()[0]
+    parts = 1 + int(groups * 1.1) // GROUPS
+    if parts == 1:
+        return fit(rows)
+    models = None
+    for k in range(parts):
+        own = cut(fit(rows.filter(F.pmod(F.xxhash64(by), F.lit(parts)) == k)))
+        models = own if models is None else models.unionByName(own)
+    return models
 
 
 def _moments(rows: DataFrame, n: int, sample_sd: bool) -> dict:
@@ -51,6 +62,11 @@ def _scaled(n: int) -> list[Column]:
 
 def fit_logistic(rows: DataFrame, features: list[str], target: str, by: str, *, ridge: float, iterations: int = 32, sample_sd: bool = True, clip: float = 60.0, base_start: bool = True, standardize: bool = True, slope_start: float = 0.0, all_ridge: float = 0.0) -> DataFrame:
     """One row per group: rows, base_rate, intercept, weights (of standardized features), means, scales, steps."""
+    how = {"ridge": ridge, "iterations": iterations, "sample_sd": sample_sd, "clip": clip, "base_start": base_start, "standardize": standardize, "slope_start": slope_start, "all_ridge": all_ridge}
+    return _by_parts(lambda part: _logistic(part, features, target, by, **how), rows, by)
+
+
+def _logistic(rows: DataFrame, features: list[str], target: str, by: str, *, ridge: float, iterations: int, sample_sd: bool, clip: float, base_start: bool, standardize: bool, slope_start: float, all_ridge: float) -> DataFrame:
     spark, n = rows.sparkSession, len(features)
     data = cut(_known(rows, by, features, target))
     start = {g: r for g, r in _moments(data, n, sample_sd).items() if r["low"] != r["high"]}
@@ -67,7 +83,7 @@ def fit_logistic(rows: DataFrame, features: list[str], target: str, by: str, *,
         if not open_:
             break
         now = spark.createDataFrame([(g, [models[g]["intercept"], *models[g]["weights"]], models[g]["means"], models[g]["scales"]) for g in open_], f"_k {kind}, _b array<double>, _means array<double>, _scales array<double>")
-        at = data.join(F.broadcast(now), F.col("_g") == F.col("_k")).select("_g", "_y", "_b", *[x.alias(name) for x, name in zip(_scaled(n), names)])  # GROUPS rows at most
+        at = data.join(F.broadcast(now), F.col("_g") == F.col("_k")).select("_g", "_y", "_b", *[x.alias(name) for x, name in zip(_scaled(n), names)])  # about GROUPS rows at most
         logit = F.col("_b")[0]
         for i, x in enumerate(names):
             logit = logit + F.col("_b")[i + 1] * F.col(x)
@@ -92,6 +108,10 @@ def fit_logistic(rows: DataFrame, features: list[str], target: str, by: str, *,
 
 def fit_linear(rows: DataFrame, features: list[str], target: str, by: str, *, ridge: float) -> DataFrame:
     """As `fit_logistic`, for a linear target: two aggregations, for the scales and for the normal equations."""
+    return _by_parts(lambda part: _linear(part, features, target, by, ridge), rows, by)
+
+
+def _linear(rows: DataFrame, features: list[str], target: str, by: str, ridge: float) -> DataFrame:
     spark, n = rows.sparkSession, len(features)
     data = cut(_known(rows, by, features, target))
     start, kind = _moments(data, n, True), data.schema["_g"].dataType.simpleString()
@@ -125,7 +145,8 @@ def score(rows: DataFrame, models: DataFrame, features: list[str], by: str, out:
     total = F.col("_intercept")
     for i, f in enumerate(features):
         total = total + F.col("_weights")[i] * (F.col(f) - F.col("_means")[i]) / F.col("_scales")[i]
-    joined = rows.join(F.broadcast(own), rows[by] == own["_k"])  # GROUPS rows at most
+    few = own.limit(GROUPS + 1).count() <= GROUPS
+    joined = rows.join(F.broadcast(own) if few else own, rows[by] == own["_k"])
     return joined.select(*[rows[c] for c in rows.columns], total.alias(out))
 
 

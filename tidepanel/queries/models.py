@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import scalars as S
+from tidepanel.operators import candidates as C
 from tidepanel.operators import features as X
 from tidepanel.operators import folds as W
 from tidepanel.operators import ledger as G
@@ -263,10 +264,44 @@ def m28(spark, d):
     return W.holdout_windows(own_labels(spark, d), selection=TRAINING, holdout=HOLDOUT)
 
 
-@query("m29_candidate_grid", "SELECT feature, ridge, horizon FROM (VALUES ('z_momentum5'), ('z_momentum20'), ('z_volatility20'), ('z_amount_ratio')) f(feature), (VALUES (1.0), (10.0), (100.0)) r(ridge), (VALUES (1), (5), (20)) h(horizon)")
+SINGLE_RIDGES = [0.0, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 40.0, 80.0, 160.0, 320.0, 640.0, 1280.0]
+Z = [f"z_{f}" for f in X.FEATURES]
+
+
+@query(
+    "m29_candidate_grid",
+    f"""WITH x AS (SELECT horizon, feature, v, excess AS y FROM (SELECT horizon, excess, {', '.join(Z)} FROM zs JOIN lab USING (date, code) WHERE excess IS NOT NULL) UNPIVOT (v FOR feature IN ({', '.join(Z)}))),
+    m AS (SELECT horizon, feature, count(*) AS n, avg(v) AS mv, avg(y) AS my, var_pop(v) * count(*) AS sxx, covar_pop(v, y) * count(*) AS sxy, var_pop(y) * count(*) AS syy FROM x GROUP BY 1, 2),
+    w AS (SELECT *, sxy / sqrt(sxx / (n - 1)) / (n - 1 + ridge) / sqrt(sxx / (n - 1)) AS w FROM m, (VALUES {', '.join(f"({r}::DOUBLE, '{r:g}')" for r in SINGLE_RIDGES)}) r(ridge, shown))
+    SELECT horizon, feature || '|' || shown AS candidate, n, round(my - w * mv, 8) AS intercept, round(w, 8) AS weight, round((syy - 2 * w * sxy + w * w * sxx) / n, 9) AS error FROM w""",
+    "zs",
+    "lab",
+)
 def m29(spark, d):
-    grid = spark.createDataFrame([(f, x, h) for f in FEATURES for x in (1.0, 10.0, 100.0) for h in (1, 5, 20)], "feature string, ridge double, horizon int")
-    return grid.limit(120)  # the feature's bound on candidates
+    """Every feature alone under every ridge, for every horizon, from one scan of the panel."""
+    panel = stored_panel(spark, d)
+    rows = z_scores(spark, d, panel).join(labels(spark, d, panel=panel), ["date", "code"])
+    grid = [k for k in C.plan(Z, {}, [], SINGLE_RIDGES)]
+    found = C.fitted(C.shared_sums(rows, Z, "excess", ["horizon"]), Z, grid, ["horizon"])
+    return found.select("horizon", "candidate", "n", F.round("intercept", 8).alias("intercept"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 8).alias("weight"), F.round("error", 9).alias("error"))
+
+
+def ablations():
+    """(features, candidates): linear and nonlinear terms, all and without each family, under four ridges, and the linear ones alone."""
+    nonlinear = list(X.nonlinear_terms())
+    families = {"linear": Z, "momentum": [f for f in Z + nonlinear if "momentum" in f], "volume": [f for f in Z + nonlinear if "amount" in f or "volume" in f], "drawdown": [f for f in Z + nonlinear if "drawdown" in f], "nonlinear": nonlinear}
+    return Z + nonlinear, C.plan(Z + nonlinear, families, [10.0, 40.0, 80.0, 160.0], [40.0])
+
+
+@query("m29_candidate_walk")
+def m29_walk(spark, d):
+    """The error of every candidate on the evaluation dates of every fold, after training on the dates before; all from one scan."""
+    features, grid = ablations()
+    dates = F.broadcast(W.fold_dates(own_labels(spark, d), **windows()))  # a row per date and fold
+    rows = training_panel(spark, d).select("*", *[term.alias(name) for name, term in X.nonlinear_terms().items()]).join(dates, "date")
+    walks = C.walked(C.shared_sums(rows, features, "excess", ["horizon", "fold", "role"]), features, grid, ["horizon", "fold"], "role")
+    best = C.selected(walks, ["horizon"]).select("horizon", c("candidate").alias("_best"))
+    return walks.join(F.broadcast(best), "horizon").select("horizon", "fold", "candidate", "n", F.round("error", 9).alias("error"), (c("candidate") == c("_best")).alias("selected"))
 
 
 @query("m30_shadow_deltas", "SELECT date, code, round(0.5 * z_momentum20 - 0.2 * z_volatility20 - (0.32 * z_momentum5 + 0.26 * z_momentum20 + 0.18 * z_amount_ratio + 0.12 * z_volume_ratio - 0.12 * z_volatility20), 6) AS delta FROM zs", "zs")
