@@ -48,7 +48,7 @@ SEED = 42
 BLOCK = 8 << 20
 SPREAD = 8  # parts that share the windows of one first word
 PART_BYTES = 24 << 20  # text whose features make one part of the dictionary
-TURNS = 6  # in which a part's dictionary is made
+TURNS = 4  # in which a part's dictionary is made
 MAX_WORDS = 1 << 21  # different words of a block: three numbers below this fit in a long
 WORD = re.compile(rb"[^ ]+")
 #: A-Z become lower case, digits, letters and all bytes above ASCII stay, the rest is a space.
@@ -274,23 +274,14 @@ def runs_of(body: bytes, turn: int) -> tuple[list[pa.Array], int, np.ndarray, np
 def counted(cells_: DataFrame, parts: int) -> DataFrame:
     """The dictionary's bucket sums (s of documents, t of the target), and for each cell of documents its counts by row and bucket.
 
-    All cells of a part are in one task, packed; it takes them in TURNS by the first words' letters, and holds the strings of one turn.
+    All cells of a part are in one task, packed, one part after another; it takes them in TURNS by the first words' letters, and holds the strings of one turn.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []  # block, target, cell
-
-        def row(*values: object) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.int64()))], names=COUNTED.names)
+    def row(*values: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.int64()))], names=COUNTED.names)
 
-        for batch in batches:
-            for part, block, target, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if part is not None:
-                    held.append((block, target, body))
-                elif not target:
-                    yield row(block, None, body, None, None, None)
-        if not held:
-            return
+    def made_of(held: list[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
+        """What a part's cells (block, target, cell) give back."""
         sums = np.zeros((2, BUCKETS), np.int64)
         found: list[list] = [[] for _ in held]  # (row and bucket as one number, how often) of each cell
         for turn in range(TURNS):
@@ -331,8 +322,24 @@ def counted(cells_: DataFrame, parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.bool_()), nothing.cast(pa.binary()), pa.array(np.arange(BUCKETS), pa.int32()), *map(pa.array, sums)], names=COUNTED.names)
         release()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for part, block, target, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if part is None:
+                    if not target:
+                        yield row(block, None, body, None, None, None)
+                    continue
+                if part != now:
+                    if held:
+                        yield from made_of(held)
+                    now, held = part, []
+                held.append((block, target, body))
+        if held:
+            yield from made_of(held)
+
     # Documents' own rows have no part; they are dealt out by their block.
-    return cells_.repartition(parts, F.coalesce(F.col("part").cast("long"), F.col("block"))).mapInArrow(run, COUNTED)
+    return cells_.repartition(parts, F.coalesce(F.col("part").cast("long"), F.col("block"))).sortWithinPartitions("part").mapInArrow(run, COUNTED)
 
 
 def gains_of(s: np.ndarray, t: np.ndarray) -> np.ndarray:
