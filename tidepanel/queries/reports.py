@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import scalars as S
+from tidepanel.operators import chained as CH
 from tidepanel.operators import decisions as N
 from tidepanel.operators import features as X
 from tidepanel.operators import labels as L
@@ -158,11 +159,27 @@ def r25(spark, d):
     return rows.filter("status = 'published'").drop("status").unionByName(states, allowMissingColumns=True)
 
 
-@query("r28_lineage", "SELECT model, count(*) AS n, model <> 'm2' AS holds FROM pred GROUP BY 1", "pred")
+@query(
+    "r28_lineage",
+    "SELECT model, count(*) AS n, CASE model WHEN 'm1' THEN 'contract' WHEN 'm2' THEN 'dataset' ELSE '' END AS faults FROM pred GROUP BY 1",
+    "pred",
+)
 def r28(spark, d):
-    used = predictions(spark, d).groupBy("model").agg(F.count("*").alias("n")).withColumn("dataset", F.sha2("model", 256))
-    contracts = spark.createDataFrame([("m0",), ("m1",), ("m2",)], "model string").select("model", F.sha2(F.when(c("model") == "m2", "other").otherwise(c("model")), 256).alias("expected"))
-    return used.join(F.broadcast(contracts), "model", "left").select("model", "n", F.coalesce(c("dataset") == c("expected"), F.lit(False)).alias("holds"))
+    """Each model's card against what is derived again: its dataset's digest, its contract's, and the card's own over both."""
+    rows = predictions(spark, d).withColumn("p", F.round("p", 6))
+    content = ["prediction_id", "model", "horizon", "p"]
+
+    def cards(df):
+        data = CH.level_digests(CH.with_digest(df, content), [["model", "horizon"], ["model"]])[1].withColumnRenamed("digest", "dataset")
+        terms = df.groupBy("model").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_set(c("horizon").cast("string")))), 256).alias("contract"))  # horizons are few
+        return data.join(terms, "model").withColumn("card", F.sha2(F.concat_ws("|", "model", "dataset", "contract"), 256))
+
+    made = cards(rows.withColumn("p", c("p") + F.when((c("model") == "m2") & (c("code") == "Brand#11"), 0.1).otherwise(0.0)))
+    made = made.withColumn("contract", F.when(c("model") == "m1", F.sha2(F.lit("other"), 256)).otherwise(c("contract"))).withColumn("card", F.sha2(F.concat_ws("|", "model", "dataset", "contract"), 256))
+    both = cards(rows).join(made.select("model", *[c(x).alias(f"_{x}") for x in ("dataset", "contract", "card")]), "model", "left")
+    whole = F.sha2(F.concat_ws("|", "model", "_dataset", "_contract"), 256)
+    faults = S.violations((~c("dataset").eqNullSafe(c("_dataset")), "dataset"), (~c("contract").eqNullSafe(c("_contract")), "contract"), (~whole.eqNullSafe(c("_card")), "card"))
+    return both.select("model", "n", F.array_join(faults, ",").alias("faults"))
 
 
 @query("r29_coverage_contract", "SELECT code, list_filter([CASE WHEN v < 0.5 THEN 'below-frozen' END, CASE WHEN v > 0.7 THEN 'above-limit' END], lambda x: x IS NOT NULL) AS violations FROM (SELECT code, round(count(*) FILTER (volume > 400) / count(*), 9) AS v FROM panel GROUP BY 1)", "panel")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.documents import leaf_changes
 from tidepanel.functions import editorial as D
 from tidepanel.functions import scalars as S
+from tidepanel.operators import chained as CH
 from tidepanel.operators import cleaning as B
 from tidepanel.operators import contracts as K
 from tidepanel.operators import features as X
@@ -16,7 +17,7 @@ from tidepanel.operators import ledger as G
 from tidepanel.queries.aggregates import outcomes, predictions
 from tidepanel.queries.features import labels, scored, z_scores
 from tidepanel.queries.registry import NEEDS, VIEWS, query
-from tidepanel.session import table
+from tidepanel.session import cut, table
 from tidepanel.sources import panel as P
 
 c = F.col
@@ -504,12 +505,33 @@ def r24(spark, d):
     return outcomes(spark, d).select("prediction_id", S.digest_id("evaluation", c("prediction_id"), c("outcome")).alias("id"))
 
 
-@query("r26_ledger_verification", "SELECT prediction_id, 'missing' AS fault FROM pred WHERE code = 'Brand#14' AND horizon = 1 UNION ALL SELECT prediction_id || '|x', 'unknown' FROM pred WHERE code = 'Brand#15' AND horizon = 5", "pred")
+@query(
+    "r26_ledger_verification",
+    """WITH p AS (SELECT *, strftime(prediction_date, '%Y-%m') AS month FROM pred), lost AS (SELECT DISTINCT month, code FROM p WHERE code = 'Brand#15' AND month LIKE '%-05'), kept AS (SELECT p.* FROM p ANTI JOIN lost USING (month, code))
+    SELECT 'row' AS kind, month, code, prediction_id AS id, 'altered' AS fault FROM kept WHERE code = 'Brand#14' AND horizon = 1 AND month LIKE '%-02'
+    UNION ALL SELECT 'row', month, code, prediction_id, 'missing' FROM kept WHERE code = 'Brand#13' AND horizon = 20 AND month LIKE '%-03'
+    UNION ALL SELECT 'row', month, code, prediction_id || '|x', 'unknown' FROM kept WHERE code = 'Brand#21' AND horizon = 5 AND month LIKE '%-04'
+    UNION ALL SELECT 'row', month, code, NULL, 'lost-shard' FROM lost
+    UNION ALL SELECT DISTINCT 'manifest 1', month, NULL, NULL, 'false-count' FROM p WHERE month LIKE '%-07'
+    UNION ALL SELECT DISTINCT 'manifest 0', month, code, NULL, 'unlisted' FROM p WHERE month LIKE '%-08' AND code = 'Brand#22'""",
+    "pred",
+)
 def r26(spark, d):
-    again = predictions(spark, d).select("prediction_id", "code", "horizon")
-    kept = again.filter(~((c("code") == "Brand#14") & (c("horizon") == 1)))
-    stored = kept.select("prediction_id").unionByName(again.filter((c("code") == "Brand#15") & (c("horizon") == 5)).select(F.concat("prediction_id", F.lit("|x")).alias("prediction_id")))
-    return G.differences(stored, again.select("prediction_id"))
+    """What is wrong in a ledger and its manifest, against rows that are derived again: found by chained digests of rows, shards, months and the whole."""
+    levels = [["month", "code"], ["month"], []]
+    rows = predictions(spark, d).withColumn("month", F.date_format("prediction_date", "yyyy-MM")).withColumn("p", F.round("p", 6))
+    content = ["prediction_id", "prediction_date", "code", "horizon", "status", "model", "p"]
+    again = cut(CH.with_digest(rows, content).select("month", *content, "row_digest"))
+    of = lambda code, month, horizon: (c("code") == code) & c("month").endswith(month) & (c("horizon") == horizon)
+    kept = again.filter(~((c("code") == "Brand#15") & c("month").endswith("-05")) & ~of("Brand#13", "-03", 20))
+    changed = kept.withColumn("p", F.when(of("Brand#14", "-02", 1), c("p") + 0.5).otherwise(c("p")))
+    stored = changed.unionByName(kept.filter(of("Brand#21", "-04", 5)).withColumn("prediction_id", F.concat("prediction_id", F.lit("|x"))))
+    stored = cut(CH.with_digest(stored, content))
+    derived = CH.level_digests(again, levels)
+    claimed = [derived[0].filter(~(c("month").endswith("-08") & (c("code") == "Brand#22"))), derived[1].withColumn("n", c("n") + F.when(c("month").endswith("-07"), 1).otherwise(0)), derived[2]]
+    found = CH.row_faults(stored, again, "prediction_id", levels).select(F.lit("row").alias("kind"), "month", "code", c("prediction_id").alias("id"), "fault")
+    false = CH.manifest_faults(claimed, derived, levels).select(F.concat(F.lit("manifest "), c("level").cast("string")).alias("kind"), "month", "code", F.lit(None).cast("string").alias("id"), "fault")
+    return found.unionByName(false)
 
 
 @query("r27_unique_states", "SELECT DISTINCT code, horizon, status FROM pred WHERE status <> 'published'", "pred")
