@@ -14,6 +14,7 @@ from tidepanel.operators import contracts as K
 from tidepanel.operators import features as X
 from tidepanel.operators import labels as L
 from tidepanel.operators import ledger as G
+from tidepanel.operators import trigrams as TG
 from tidepanel.queries.aggregates import outcomes, predictions
 from tidepanel.queries.features import labels, scored, z_scores
 from tidepanel.queries.registry import NEEDS, VIEWS, query
@@ -166,14 +167,27 @@ def p17(spark, d):
     return outcomes(spark, d).filter((c("model") == "m1") & (c("horizon") == 5) & c("outcome").isin("correct", "wrong") & F.lower("code").contains("brand#1")).select("prediction_id")
 
 
-@query("p18_archive_search", "SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', source, lang, text)), 'the')")
+_TERMS = ["the", "ciónn", "worthless", "Benchmark", "zz", "ß", "no such words", ". "]
+
+
+@query("p18_archive_search", f"SELECT t.term, doc_id FROM documents, (VALUES {', '.join(f"('{t}')" for t in _TERMS)}) t(term) WHERE contains(lower(concat_ws(' ', source, lang, text)), lower(t.term))")
 def p18(spark, d):
-    return docs(spark, d).filter(F.lower(F.concat_ws(" ", "source", "lang", "text")).contains("the")).select("doc_id")
+    """Documents that hold a term anywhere, for many terms over one index."""
+    archive = docs(spark, d).select("doc_id", F.concat_ws(" ", "source", "lang", "text").alias("body"))
+    return TG.search(archive, TG.build(archive, "doc_id", "body"), _TERMS, "doc_id", "body").select("term", "doc_id")
 
 
-@query("p19_record_search", "SELECT c_custkey FROM customer WHERE contains(lower(c_name || c_mktsegment), 'auto') ORDER BY c_custkey LIMIT 50")
+@query(
+    "p19_record_search",
+    """SELECT term, c_custkey FROM (SELECT term, c_custkey, row_number() OVER (PARTITION BY term ORDER BY c_custkey) AS t FROM customer, (VALUES ('auto'), ('#000000'), ('"c_name":"customer#0000000'), ('q'), ('household"}')) t(term)
+    WHERE contains(lower('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}'), term)) WHERE t <= 50""",
+)
 def p19(spark, d):
-    return table(spark, d, "customer").filter(F.lower(F.to_json(F.struct("c_name", "c_mktsegment"))).contains("auto")).orderBy("c_custkey").limit(50).select("c_custkey")
+    """The first 50 records (the feature's own limit) whose serialized form holds a term."""
+    records = table(spark, d, "customer").select("c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("record"))
+    found = TG.search(records, TG.build(records, "c_custkey", "record"), ["auto", "#000000", '"c_name":"customer#0000000', "q", 'household"}'], "c_custkey", "record")
+    turn = F.row_number().over(Window.partitionBy("term").orderBy("c_custkey"))
+    return found.withColumn("_t", turn).filter("_t <= 50").select("term", "c_custkey")
 
 
 @query("p20_public_columns", "SELECT prediction_id, code, horizon, status FROM pred", "pred")
