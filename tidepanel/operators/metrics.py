@@ -99,20 +99,6 @@ def calibration_rule(rows: DataFrame, by: list[str], raw: str, calibrated: str,
     return all_.withColumn("enabled", F.coalesce(enabled, F.lit(False)))
 
 
-def abstain_reasons(rows: DataFrame, summary: DataFrame, p: str = "p") -> DataFrame:
-    """Per date the reasons to publish no ranking: today's probabilities are too close, or the summary (one row) shows no skill."""
-    from tidepanel.functions.scalars import violations
-
-    today = rows.groupBy("date").agg((F.max(p) - F.min(p)).alias("_range"), F.stddev_pop(p).alias("_sd"), F.bool_and(F.col(p).between(0.47, 0.53)).alias("_flat"))
-    past = summary.select(F.col("rank_ic").alias("_ic"), F.col("after_cost").alias("_cost"), F.lit(1).alias("_k"))
-    both = today.withColumn("_k", F.lit(1)).join(F.broadcast(past), "_k", "left")
-    weak = lambda x: F.coalesce(F.col(x), F.lit(0.0)) <= 0
-    return both.select(
-        "date",
-        violations((F.col("_range") < 0.03, "narrow-range"), (F.col("_flat"), "near-even"), (F.col("_sd") < 0.01, "low-dispersion"), (weak("_ic"), "no-rank-correlation"), (weak("_cost"), "no-spread-after-costs")).alias("reasons"),
-    )
-
-
 def fold_checks(rows: DataFrame, fold: str, p: str = "p", y: str = "y") -> DataFrame:
     """One row: how many folds there are, the share of them that gain on their own rate, and the largest one's share of all gains."""
     each = brier(rows, [fold], p, y).withColumn("_gain", F.col("baseline_brier") - F.col("brier"))

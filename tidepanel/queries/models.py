@@ -12,6 +12,7 @@ from tidepanel.operators import folds as W
 from tidepanel.operators import ledger as G
 from tidepanel.operators import metrics as E
 from tidepanel.operators import models as M
+from tidepanel.operators import policies as P
 from tidepanel.queries.aggregates import predictions
 from tidepanel.queries.features import labels, r6, scored, stored_panel, z_scores
 from tidepanel.queries.registry import NEEDS, VIEWS, query
@@ -119,14 +120,13 @@ def m9(spark, d):
 _AUC = "SELECT horizon, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0) AS auc FROM (SELECT horizon, y, rank() OVER (PARTITION BY horizon ORDER BY {p}) + (count(*) OVER (PARTITION BY horizon, {p}) - 1) / 2 AS r FROM {t}) GROUP BY 1"
 
 
-@query(
-    "m10_calibration_rule",
-    f"""WITH q AS (SELECT *, round(0.5 + 0.6 * (p - 0.5), 9) AS k FROM scored), a AS ({_AUC.format(p='p', t='q')}),
+ORACLE_SQL_M10 = f"""WITH q AS (SELECT *, round(0.5 + 0.6 * (p - 0.5), 9) AS k FROM scored), a AS ({_AUC.format(p='p', t='q')}),
     b AS (SELECT horizon, avg((p - y) ** 2) AS raw, avg((k - y) ** 2) AS cal, avg(y) * (1 - avg(y)) AS base FROM q GROUP BY 1),
     s AS (SELECT horizon, avg(sp) AS sp, avg(sk) AS sk FROM (SELECT horizon, date, stddev_pop(p) AS sp, stddev_pop(k) AS sk FROM q GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1)
-    SELECT horizon, auc > 0.52 AND 1 - raw / base > 0 AND cal <= raw AND sk >= greatest(0.01, sp * 0.35) AS enabled FROM a JOIN b USING (horizon) JOIN s USING (horizon)""",
-    "scored",
-)
+    SELECT horizon, auc > 0.52 AND 1 - raw / base > 0 AND cal <= raw AND sk >= greatest(0.01, sp * 0.35) AS enabled FROM a JOIN b USING (horizon) JOIN s USING (horizon)"""
+
+
+@query("m10_calibration_rule", ORACLE_SQL_M10, "scored")
 def m10(spark, d):
     q = scored(spark, d).withColumn("k", F.round(0.5 + 0.6 * (c("p") - 0.5), 9))
     return E.calibration_rule(q, ["horizon"], "p", "k", "y").select("horizon", "enabled")
@@ -197,15 +197,40 @@ def m20(spark, d):
     return E.block_bootstrap(delta, "delta", block=BLOCK).select(*r6("point", "lower", "upper"))
 
 
+def _named(rules, test):
+    """SQL for the names of the rules that hold or fail; `test` gives a rule's condition."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {test(r)} THEN '{r[1]}' END" for r in rules) + "], lambda x: x IS NOT NULL)"
+
+
+def _holds(r):
+    _, _, metric, op, bound, upper, _, unknown = r
+    told = f"{metric} BETWEEN {bound} AND {upper}" if op == "within" else f"{metric} {op} {bound}"
+    return f"coalesce({told}, {str(unknown).lower()})"
+
+
 @query(
     "m22_abstain_reasons",
-    """WITH m AS (SELECT date, max(p) - min(p) AS range_, stddev_pop(p) AS sd, bool_and(p BETWEEN 0.47 AND 0.53) AS flat FROM scored WHERE horizon = 5 GROUP BY 1), k AS (SELECT avg(rank_ic) AS ic, avg(spread - 0.004) AS cost FROM daily_)
-    SELECT date, list_filter([CASE WHEN range_ < 0.03 THEN 'narrow-range' END, CASE WHEN flat THEN 'near-even' END, CASE WHEN sd < 0.01 THEN 'low-dispersion' END, CASE WHEN coalesce(ic, 0) <= 0 THEN 'no-rank-correlation' END, CASE WHEN coalesce(cost, 0) <= 0 THEN 'no-spread-after-costs' END], lambda x: x IS NOT NULL) AS reasons FROM m, k""",
+    f"""WITH m AS (SELECT date, round(max(p) - min(p), 9) AS range, round(stddev_pop(p), 9) AS dispersion, CAST(bool_and(p BETWEEN 0.47 AND 0.53) AS INTEGER) AS near_even FROM scored WHERE horizon = 5 GROUP BY 1),
+    v AS (SELECT date, round(avg(CAST(volume > 400 AS INTEGER)), 9) AS completeness FROM panel GROUP BY 1), k AS (SELECT round(avg(rank_ic), 9) AS rank_ic, round(avg(spread - 0.004), 9) AS after_cost FROM daily_),
+    w AS (SELECT round(avg(CAST(ic > 0 AS INTEGER)), 9) AS positive_share FROM (SELECT b, avg(rank_ic) AS ic FROM (SELECT *, (row_number() OVER (ORDER BY date) - 1) // {BLOCK} AS b FROM daily_) GROUP BY 1)),
+    s AS (SELECT round(1 - avg((p - y) ** 2) / (avg(y) * (1 - avg(y))), 9) AS brier_skill FROM scored WHERE horizon = 5), e AS (SELECT CAST(enabled AS INTEGER) AS calibrated FROM ({ORACLE_SQL_M10}) WHERE horizon = 5)
+    SELECT date, {_named(P.ABSTENTION, _holds)} AS reasons FROM m JOIN v USING (date), k, w, s, e""",
     "daily_",
+    "panel",
 )
 def m22(spark, d):
-    rows = scored(spark, d).filter(c("horizon") == H)
-    return E.abstain_reasons(rows, E.ranking_summary(daily(spark, d), BLOCK)).select("date", "reasons")
+    """Per date all nine reasons to publish no ranking, by the policy's table."""
+    rows = scored(spark, d)
+    own = rows.filter(c("horizon") == H)
+    r9 = lambda *names: [F.round(n, 9).alias(n) for n in names]
+    today = own.groupBy("date").agg(F.round(F.max("p") - F.min("p"), 9).alias("range"), F.round(F.stddev_pop("p"), 9).alias("dispersion"), F.bool_and(c("p").between(0.47, 0.53)).cast("int").alias("near_even"))
+    complete = stored_panel(spark, d).groupBy("date").agg(F.round(F.avg((c("volume") > 400).cast("int")), 9).alias("completeness"))
+    past = E.ranking_summary(daily(spark, d), BLOCK).select(*r9("rank_ic", "after_cost", "positive_share"), F.lit(H).alias("horizon"))
+    skill = E.brier(own, ["horizon"]).select("horizon", *r9("brier_skill"))
+    rule = E.calibration_rule(own.withColumn("k", F.round(0.5 + 0.6 * (c("p") - 0.5), 9)), ["horizon"], "p", "k", "y").select("horizon", c("enabled").cast("int").alias("calibrated"))
+    one = past.join(skill, "horizon").join(rule, "horizon")  # one row each
+    metrics = today.join(complete, "date").withColumn("horizon", F.lit(H)).join(F.broadcast(one), "horizon").drop("horizon")
+    return P.reasons(metrics, P.policy(spark, P.ABSTENTION), "date")
 
 
 @query(

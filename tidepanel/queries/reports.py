@@ -14,8 +14,10 @@ from tidepanel.operators import features as X
 from tidepanel.operators import labels as L
 from tidepanel.operators import ledger as G
 from tidepanel.operators import metrics as E
+from tidepanel.operators import policies as Q
 from tidepanel.queries.aggregates import predictions
 from tidepanel.queries.features import labels, r6, scored, z_scores
+from tidepanel.queries.models import _holds, _named
 from tidepanel.queries.registry import query
 from tidepanel.queries.scalars import session_of
 from tidepanel.session import shared_dir, table
@@ -293,15 +295,43 @@ def m21(spark, d):
     return of("a", "p").join(of("b", "q"), "horizon").select("horizon", N.promotion_reasons("a", "b").alias("reasons"))
 
 
+def _check(h, r):
+    return r[6] is None or r[6] == h
+
+
+_FAILED = "CASE horizon " + " ".join(f"WHEN {h} THEN {_named([r for r in Q.PUBLICATION if _check(h, r)], lambda r: 'NOT ' + _holds(r))}" for h in ("1", "5", "20")) + " END"
+
+
 @query(
     "m23_publication_gate",
-    f"WITH {_CANDIDATE} SELECT horizon, n >= 5000 AND brier_skill >= 0 AND auc >= 0.5 AND ece <= 0.1 AS published, list_sort(list_filter([CASE WHEN n < 5000 THEN 'n' END, CASE WHEN brier_skill < 0 THEN 'brier_skill' END, CASE WHEN auc < 0.5 THEN 'auc' END, CASE WHEN ece > 0.1 THEN 'ece' END], lambda x: x IS NOT NULL)) AS failed FROM cand",
+    f"""WITH a AS ({_AUC.format(y='y', p='p', t='scored')}), b AS (SELECT date, (row_number() OVER (ORDER BY date) - 1) // 13 AS b FROM (SELECT DISTINCT date FROM scored)),
+    f AS (SELECT horizon, b, avg(y) * (1 - avg(y)) - avg((p - y) ** 2) AS gain FROM scored JOIN b USING (date) GROUP BY 1, 2), g AS (SELECT horizon, count(*) AS folds, round(avg(CAST(gain > 0 AS INTEGER)), 9) AS fold_share, round(max(gain) FILTER (gain > 0) / sum(gain) FILTER (gain > 0), 9) AS largest_share FROM f GROUP BY 1),
+    n AS (SELECT CAST(min(n) >= 300 AS INTEGER) AS sources_ready FROM (SELECT code, count(*) AS n FROM panel GROUP BY 1)), l AS (SELECT horizon, CAST(bool_and(target_date > date) AS INTEGER) AS leakage_free FROM lab GROUP BY 1),
+    m AS (SELECT horizon, count(*) AS samples, CAST(count(DISTINCT code) = (SELECT count(DISTINCT code) FROM panel) AS INTEGER) AS dataset_ready, 1 AS model_trained, round(1 - avg((p - y) ** 2) / (avg(y) * (1 - avg(y))), 9) AS brier_skill,
+      round(1 - avg(-(y * ln(greatest(p, 1e-12)) + (1 - y) * ln(greatest(1 - p, 1e-12)))) / ln(2), 9) AS log_loss_skill, round(regr_slope(y, p), 9) AS slope, round(regr_intercept(y, p), 9) AS intercept, round(stddev_pop(p), 9) AS dispersion, round(avg(CAST(abs(p - 0.5) >= 0.02 AS INTEGER)), 9) AS coverage FROM scored GROUP BY 1),
+    z AS (SELECT * REPLACE (round(auc, 9) AS auc) FROM m JOIN a USING (horizon) JOIN g USING (horizon) JOIN l USING (horizon), n), r AS (SELECT horizon, {_FAILED} AS failed FROM z)
+    SELECT horizon, CASE WHEN list_has_any(failed, ['model_availability_trained', 'valid_fold_count', 'oos_sample_count']) THEN 'insufficient_data' WHEN len(failed) > 0 THEN 'abstained' ELSE 'published' END AS status, failed, 15 - len(failed) AS passed FROM r""",
     "scored",
 )
 def m23(spark, d):
-    policy = spark.createDataFrame([("n", 5000.0, None), ("brier_skill", 0.0, None), ("auc", 0.5, None), ("ece", None, 0.1)], "check string, least double, most double")
-    metrics = candidate_metrics(spark, d).select("horizon", "n", "brier_skill", "auc", "ece")
-    return N.gate_summary(N.gate_checks(metrics, policy, "horizon"), "horizon")
+    """Every horizon against the fifteen checks of the publication policy. Slope and intercept are those of the outcomes' line over the probabilities."""
+    rows, panel = scored(spark, d), P.brand_panel(spark, d)
+    block = X.blocks(rows.select("date").distinct(), 13)  # a row per date
+    folds = E.brier(rows.join(F.broadcast(block), "date"), ["horizon", "block"]).withColumn("_gain", c("baseline_brier") - c("brier"))
+    gain = F.when(c("_gain") > 0, c("_gain"))
+    folded = folds.groupBy("horizon").agg(F.count("*").alias("folds"), F.avg((c("_gain") > 0).cast("int")).alias("fold_share"), F.try_divide(F.max(gain), F.sum(gain)).alias("largest_share"))
+    size = panel.agg(F.countDistinct("code").alias("_size"), F.lit(1).alias("model_trained"))
+    healthy = panel.groupBy("code").agg(F.count("*").alias("_n")).agg((F.min("_n") >= 300).cast("int").alias("sources_ready"), F.lit(1).alias("model_trained"))
+    clean = labels(spark, d).groupBy("horizon").agg(F.bool_and(c("target_date") > c("date")).cast("int").alias("leakage_free"))
+    line = rows.groupBy("horizon").agg(
+        F.count("*").alias("samples"), F.countDistinct("code").alias("_codes"), F.regr_slope("y", "p").alias("slope"), F.regr_intercept("y", "p").alias("intercept"), F.stddev_pop("p").alias("dispersion"),
+        F.avg((F.abs(c("p") - 0.5) >= 0.02).cast("int")).alias("coverage"), F.lit(1).alias("model_trained"),
+    )
+    skill = E.brier(rows, ["horizon"]).select("horizon", "brier_skill", (1 - c("log_loss") / F.ln(F.lit(2.0))).alias("log_loss_skill"))
+    all_ = line.join(skill, "horizon").join(folded, "horizon").join(clean, "horizon").join(E.auc(rows, ["horizon"]), "horizon").join(F.broadcast(size), "model_trained").join(F.broadcast(healthy), "model_trained")
+    real = ["slope", "intercept", "dispersion", "coverage", "brier_skill", "log_loss_skill", "fold_share", "largest_share", "auc"]
+    metrics = all_.select("horizon", c("horizon").alias("_h"), "samples", "folds", "leakage_free", "model_trained", "sources_ready", (c("_codes") == c("_size")).cast("int").alias("dataset_ready"), *[F.round(x, 9).alias(x) for x in real])
+    return Q.publication(metrics, Q.policy(spark, Q.PUBLICATION), "horizon", "_h").select("horizon", "status", "failed", F.size("passed").alias("passed"))
 
 
 @query(
