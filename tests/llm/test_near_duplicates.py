@@ -121,3 +121,60 @@ def test_many_shards_give_the_groups_of_one(spark, monkeypatch):
     whole = {tuple(r) for r in connected_components(simhash.links(nodes)).collect()}
     monkeypatch.setattr(simhash, "SHARD_NODES", 20)
     assert {tuple(r) for r in connected_components(simhash.links(nodes)).collect()} == whole
+
+
+def forest_of(pairs, fps):
+    at = {int(f): i for i, f in enumerate(fps)}
+    return simhash.merged_labels(np.arange(len(fps)), np.array([at[int(x)] for a, _ in pairs for x in a], int), np.array([at[int(x)] for _, b in pairs for x in b], int))
+
+
+def sharing_a_part(n, seed):
+    """Fingerprints with the same low 16 bits, every second of them within three bits of another."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**47, n // 2, dtype=np.uint64) << np.uint64(16) | np.uint64(0xBEEF)
+    near = base.copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(16, 64, len(base), dtype=np.uint64)
+    return np.unique(np.concatenate([base, near]))
+
+
+def test_a_shard_of_one_frequent_part_is_cut_again():
+    fps = sharing_a_part(60_000, 21)
+    cut_up = list(simhash.pieces(fps, np.empty(0, np.uint64), 3, 2 * simhash.SHARD_NODES))
+    assert len(cut_up) >= 3 and max(len(o) + len(v) for o, v in cut_up) <= 2 * simhash.SHARD_NODES
+    assert sorted(np.concatenate([o for o, _ in cut_up]).tolist()) == fps.tolist()  # each lives in one piece
+    assert sum(len(v) for _, v in cut_up) > 0  # and visits others over their boundaries
+    label = forest_of([simhash.linked(o, v, 3) for o, v in cut_up], fps)
+    whole = forest_of([simhash.linked(fps, np.empty(0, np.uint64), 3)], fps)
+    assert (label == whole).all() and len(set(label.tolist())) < 0.6 * len(fps)
+
+
+def test_pieces_with_guests_lose_no_link():
+    fps, guests = sharing_a_part(3_000, 22), sharing_a_part(900, 23)
+    guests = np.unique(np.concatenate([guests[~np.isin(guests, fps)], fps[:300] ^ np.uint64(1 << 40)]))
+    guests = guests[~np.isin(guests, fps)]
+    every = np.concatenate([fps, guests])
+    label = forest_of([simhash.linked(o, v, 3) for o, v in simhash.pieces(fps, guests, 3, 700)], every)
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ every[None, :]) <= 3)
+    assert (label == simhash.merged_labels(np.arange(len(every)), a, b)).all()
+
+
+def test_a_ball_that_no_tree_divides_stays_one_piece():
+    ball = np.array([0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)], np.uint64)
+    label = forest_of([simhash.linked(o, v, 3) for o, v in simhash.pieces(ball, np.empty(0, np.uint64), 3, 100)], ball)
+    assert set(label.tolist()) == {0}
+
+
+@pytest.mark.parametrize("kind", ["clustered", "part"])
+def test_links_of_many_tasks_equal_all_pairs(spark, kind):
+    if kind == "part":
+        fps = sharing_a_part(2_400, 24)
+    else:  # far balls: one tree over all bits with few visits
+        rng = np.random.default_rng(25)
+        centers = [0, (1 << 64) - 1, 0xFFFFFFFF]
+        fps = np.unique(np.array([c ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 9)), replace=False)) for c in centers for _ in range(500)], np.uint64))
+    nodes = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long").repartition(4)
+    found = simhash.links(nodes, shard_nodes=150).collect()
+    label = forest_of([(np.array([r["a"] for r in found], np.int64).view(np.uint64), np.array([r["b"] for r in found], np.int64).view(np.uint64))], fps)
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
+    assert (label == simhash.merged_labels(np.arange(len(fps)), a, b)).all()

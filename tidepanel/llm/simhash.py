@@ -4,17 +4,21 @@ Fingerprint: words of the text (A-Z lower-cased, cut at ASCII white space), shin
 with seed 42 of each; a bit is set if it is set in over half of the hashes. Fewer words than a shingle make one shingle; no
 words make fingerprint 0, which is linked like any other.
 
-Links: equal fingerprints are one node from the start. Of two fingerprints that differ in RADIUS bits or fewer, one of RADIUS + 1
-equal parts of the bits is the same in both. So there is a vantage-point tree for each part: an inner node splits by the
-Hamming distance of that part to its vantage point into three shells, and by the triangle inequality equal parts are in the same
-shell, so that a fingerprint visits one shard of each tree, however many fingerprints and shards there are. Inside a shard another tree over
-all bits, with a shell for each distance, follows only the shells within RADIUS of a fingerprint's own distance, down to small
-leaves, where pairs are compared exactly. So no link is lost, and no band or bucket has to be capped.
-
-Scale: few nodes (SHARD_NODES) make one shard; more of them are sent to RADIUS + 1 shards each. A shard gives back a forest over its
-nodes, not its pairs: at most one link per node, however large a group of near copies is. Fingerprints travel as packed arrays, one
-row per batch and shard. The sample (SAMPLE rows, and every value of a part once shards outnumber it) only balances the shards. Components
-are joined up by star contraction, and a component's smallest id meets its members in SALTS parts; nothing about all documents reaches
+Links: equal fingerprints are one node from the start. A vantage-point tree cuts them into shards: an inner node splits by the Hamming
+distance to its vantage point into three shells. A fingerprint lives in one shard and, by the triangle inequality, can have partners
+only in shards that its distances come within RADIUS of; those near a boundary visit the shards behind it, where they are compared with
+what lives there. Inside a shard another tree, with a shell for each distance, follows only the shells within RADIUS of a fingerprint's own
+distance, down to small leaves, where pairs are compared exactly. So no link is lost, and no band or bucket has to be capped.
+
+Random fingerprints lie near the boundaries of every shell, and visits grow with the tree's depth. So where the sample says that a
+fingerprint would be in more than RADIUS + 1 shards, the first level is by parts: of two fingerprints that differ in RADIUS bits or fewer, one of
+RADIUS + 1 equal parts of the bits is the same in both, and a tree over each part sends a fingerprint to one shard. A shard of more than
+twice SHARD_NODES, such as that of one frequent part, is cut again by a tree over all bits, with visits over its boundaries, and
+its pieces are other tasks' work.
+
+Scale: few nodes (SHARD_NODES) make one shard. A shard gives back a forest over its nodes, not its pairs: at most one link per
+node, however large a group of near copies is. Fingerprints travel as packed arrays, one row per batch and shard. The sample (SAMPLE rows, and
+every value of a part once shards outnumber it) only balances the shards. Components are joined up by star contraction, and a component's smallest id meets its members in SALTS parts; nothing about all documents reaches
 the driver.
 
 Cases: null or empty texts have fingerprint 0; repeated rows and ids are kept as rows; a component without any id has a
@@ -124,8 +128,11 @@ def part_of(fps: np.ndarray, i: int, parts: int) -> np.ndarray:
     return fps >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
 
 
-def routed(tree: Shells, fps: np.ndarray, radius: int, keys: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, its own fingerprints, those that visit it), empty ones left out. The tree is over `keys`, the fingerprints unless they are given; equal keys (radius 0) visit nothing."""
+def routed(tree: Shells, fps: np.ndarray, radius: int, keys: np.ndarray | None = None, guests: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, its own fingerprints, those that visit it), empty ones left out. The tree is over `keys`, the fingerprints unless they are given; equal
+    keys (radius 0) visit nothing. `guests` live elsewhere and visit wherever they may have partners."""
+    live = len(fps)
+    fps = fps if guests is None else np.concatenate([fps, guests])
     keys = fps if keys is None else keys
 
     def walk(node: Shells, own: np.ndarray, near: np.ndarray) -> Iterator:
@@ -141,11 +148,37 @@ def routed(tree: Shells, fps: np.ndarray, radius: int, keys: np.ndarray | None =
             inside = near[(far_near >= lo - radius) & (far_near <= hi + radius)]
             yield from walk(child, own[(far_own >= lo) & (far_own <= hi)], np.concatenate([inside, before]))
 
-    for shard, own, near in walk(tree, np.arange(len(fps)), np.empty(0, np.int64)):
+    for shard, own, near in walk(tree, np.arange(live), np.arange(live, len(fps))):
         if len(own) or len(near):
             yield shard, fps[own], fps[near]
 
 
+def depth_for(n: int, most: int) -> int:
+    depth = 0
+    while n > most * 3**depth:
+        depth += 1
+    return depth
+
+
+def pieces(own: np.ndarray, near: np.ndarray, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A shard cut into smaller ones, by trees over all bits, until each has `most` fingerprints at the utmost or no tree makes it smaller."""
+    stack = [(own, near)]
+    while stack:
+        own, near = stack.pop()
+        size = len(own) + len(near)
+        if not len(own):
+            continue
+        if size <= most:
+            yield own, near
+            continue
+        tree, _ = shell_tree(own[:: max(1, len(own) // SAMPLE)], max(1, depth_for(size, most)))
+        cut_up = [(o, v) for _, o, v in routed(tree, own, radius, guests=near)]
+        if max(len(o) + len(v) for o, v in cut_up) > 0.9 * size:
+            yield own, near
+        else:
+            stack += cut_up
+
+
 def merged_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (each node's smallest known partner) after the pairs are linked."""
     while True:
@@ -211,52 +244,76 @@ def linked(own: np.ndarray, near: np.ndarray, radius: int) -> tuple[np.ndarray,
     return nodes[moved], nodes[label[moved]]
 
 
-def links(nodes: DataFrame, *, fp: str = "fp", radius: int = RADIUS) -> DataFrame:
+def links(nodes: DataFrame, *, fp: str = "fp", radius: int = RADIUS, shard_nodes: int | None = None) -> DataFrame:
     """A forest (a, b) over distinct fingerprints that has the components of all pairs at `radius` bits or less."""
     nodes = nodes.select(F.col(fp).alias("fp"))
     n = nodes.count()
     sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    depth = 0
-    while n > SHARD_NODES * 3**depth:
-        depth += 1
-    parts, trees, shards = radius + 1, [], 0
-    for i in range(parts if depth else 1):
-        keys = part_of(sample, i, parts)
-        if 3**depth * 32 > SAMPLE and 64 // parts <= 16:
-            keys = np.concatenate([keys, np.arange(1 << 64 * (i + 1) // parts - 64 * i // parts, dtype=np.uint64)])
-        tree, count = shell_tree(keys, depth)
-        trees.append((shards, tree))
-        shards += count
+    shard_nodes = shard_nodes or SHARD_NODES
+    depth, parts = depth_for(n, shard_nodes), radius + 1
+    tree, shards = shell_tree(sample, depth)
+    visits = sum(len(o) + len(v) for _, o, v in routed(tree, sample, radius)) / max(1, len(sample))
+    trees = []  # by part; none: one tree over all bits
+    if depth and visits > parts:
+        shards = 0
+        for i in range(parts):
+            keys = part_of(sample, i, parts)
+            if 3**depth * 32 > SAMPLE and 64 // parts <= 16:
+                keys = np.concatenate([keys, np.arange(1 << 64 * (i + 1) // parts - 64 * i // parts, dtype=np.uint64)])
+            by_part, count = shell_tree(keys, depth)
+            trees.append((shards, by_part))
+            shards += count
     packed = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("own", T.BinaryType()), T.StructField("near", T.BinaryType())])
-    pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    found = T.StructType([T.StructField("own", T.BinaryType()), T.StructField("near", T.BinaryType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    most = 2 * shard_nodes
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            rows = [(first + s, o.tobytes(), v.tobytes()) for i, (first, tree) in enumerate(trees) for s, o, v in routed(tree, fps, 0, part_of(fps, i, parts))]
+            to = ((first + s, o, v) for i, (first, t) in enumerate(trees) for s, o, v in routed(t, fps, 0, part_of(fps, i, parts))) if trees else routed(tree, fps, radius)
+            rows = [(s, o.tobytes(), v.tobytes()) for s, o, v in to]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=packed.names)
 
+    def pairs(own: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        a, b = linked(own, near, radius)
+        nothing = pa.nulls(len(a), pa.binary())
+        return pa.RecordBatch.from_arrays([nothing, nothing, pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=found.names)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The links of each shard, or the pieces of one that is too large."""
         now, own, near = None, [], []
 
-        def flush() -> pa.RecordBatch:
-            a, b = linked(np.frombuffer(b"".join(own), np.uint64), np.frombuffer(b"".join(near), np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=pair.names)
+        def flush() -> Iterator[pa.RecordBatch]:
+            mine, guests = (np.frombuffer(b"".join(x), np.uint64) for x in (own, near))
+            if len(mine) + len(guests) <= most:
+                yield pairs(mine, guests)
+                return
+            for o, v in pieces(mine, guests, radius, most):
+                yield pa.RecordBatch.from_arrays([pa.array([o.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=found.names)
 
         for batch in batches:
             for shard, o, v in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != now:
                     if own:
-                        yield flush()
+                        yield from flush()
                     now, own, near = shard, [], []
                 own.append(o)
                 near.append(v)
         if own:
-            yield flush()
+            yield from flush()
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for o, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pairs(np.frombuffer(o, np.uint64), np.frombuffer(v, np.uint64))
 
     dealt = nodes.mapInArrow(send, packed).repartition(max(1, shards), "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(search, pair)
+    first = cut(dealt.mapInArrow(search, found))
+    open_ = first.filter("own is not null")
+    left = open_.count()
+    done = first.filter("own is null").select("a", "b")
+    return done.unionByName(open_.repartition(left).mapInArrow(rest, found).select("a", "b")) if left else done
 
 
 def near_duplicate_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
