@@ -1,6 +1,7 @@
 """Wavelet matrices, FLAC and Hilbert shards: round trips and brute force."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -200,3 +201,22 @@ def test_written_shards_hold_every_row_once(spark, tmp_path):
         assert shards_of(v) <= {r["shard"] for r in df.filter(hilbert.may_hold("lang", v)).collect()}
     assert df.filter(hilbert.may_hold("lang", "l1")).count() < 40
     assert hilbert.write_shards(docs.limit(0), str(tmp_path / "e")).count() == 0
+
+
+def test_pcm_of_long_streams_takes_little_time(spark):
+    rng = np.random.default_rng(8)
+    wave = (60 * np.sin(np.arange(576 * 35_000) / 9) + rng.normal(0, 2, 576 * 35_000) + 128).astype(np.uint8).tobytes()  # 20 MB
+    stream = flac_media.streams_of([wave])[0]
+    begun = time.process_time()
+    info = flac_media.Info(stream)
+    for first in (0, 1, 576 * 17_000 - 3, 576 * 35_000 - 5_000):
+        found = flac_media.samples_at(stream, first, 5_000, info)
+        assert (found.view(np.uint8) ^ 0x80).tobytes() == wave[first : first + 5_000]
+    assert time.process_time() - begun < 5
+    df = spark.createDataFrame([(1, bytearray(stream)), (2, None)], "id long, media binary")
+    begun = time.time()
+    rows = flac_media.pcm_blocks(df).collect()
+    assert time.time() - begun < 60  # below 2 seconds a MB
+    rows.sort(key=lambda r: r["sample_offset"])
+    assert b"".join(bytes(r["pcm"]) for r in rows) == wave and {r["id"] for r in rows} == {1}
+    assert [r["sample_offset"] for r in rows] == np.cumsum([0, *[r["n_samples"] for r in rows][:-1]]).tolist()

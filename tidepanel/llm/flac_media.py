@@ -19,10 +19,12 @@ value decodes to null; the writer asks for payloads of whole blocks, which `payl
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ BLOCK = 576
 SLICE = 1 << 20
 SAMPLE_RATE = 8000
 SEEK = 64  # frames from one seek point to the next
+PCM_RUNS = 64  # runs of PCM that are decoded together
 #: Fixed values of the format: predictors by order, and the code of a frame's head (sync, 576 samples, 8 kHz, mono, 8 bits).
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 HEAD = bytes([0xFF, 0xF8, 0x24, 0x02])
@@ -252,9 +255,20 @@ def _numbers(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value, ones
 
 
+@dataclass
+class Run:
+    """Some frames of a stream: where they begin, their count of samples and the number of the first."""
+
+    first: int
+    total: int
+    base: int
+
+
 class Info:
     """What stands before a stream's frames: the first frame's place, block sizes, count of samples, digest and seek points."""
 
+    base = 0
+
     def __init__(self, stream: bytes):
         if stream[:4] != b"fLaC":
             raise ValueError("not a FLAC stream")
@@ -312,7 +326,8 @@ def _in_step(streams: list[bytes], infos: list[Info]) -> list[np.ndarray | None]
     sign, owner, number, width = sign[keep], owner[keep], number[keep], width[keep]
     count = np.bincount(owner, minlength=len(streams))
     whole = np.array([i.total % BLOCK == 0 and i.total // BLOCK for i in infos])
-    right = number == np.arange(len(number)) - np.repeat(np.cumsum(count) - count, count)
+    base = np.array([i.base for i in infos])
+    right = number == np.arange(len(number)) - np.repeat(np.cumsum(count) - count, count) + base[owner]
     fits = (count == whole) & (whole > 0) & (np.bincount(owner, right, len(streams)) == count)
     own = fits[owner]
     sign, owner, width = sign[own], owner[own], width[own]
@@ -385,6 +400,7 @@ SIZES = {1: 192, **{c: 576 << (c - 2) for c in range(2, 6)}, **{c: 256 << (c - 8
 def frames(stream: bytes, info: Info, at: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(number of the first sample, samples) of each frame from the place `at` on, decoded one after another."""
     data, at, done = np.frombuffer(stream, np.uint8), info.first if at is None else at, None
+    near = 1 << 16  # bytes that a frame is looked for in; a longer one widens them
     while at < len(stream):
         if at + 6 > len(stream) or stream[at] != 0xFF or stream[at + 1] & 0xFE != 0xF8:
             raise ValueError("frames are missing, or a head is damaged")
@@ -401,17 +417,33 @@ def frames(stream: bytes, info: Info, at: int | None = None) -> Iterator[tuple[i
         first = int(number[0]) * (1 if variable else info.most)
         if done is not None and first != done or done is None and at == info.first and first:
             raise ValueError("a frame's number is not the next one")
-        samples, after = _decoded(data, np.array([here + 1]), block)
-        end = int(after[0])
+        while True:
+            try:
+                samples, after = _decoded(data[here + 1 : here + 1 + near], np.array([0]), block)
+                break
+            except (ValueError, IndexError):
+                if here + 1 + near >= len(stream):
+                    raise
+                near *= 4
+        end = here + 1 + int(after[0])
         if end + 2 > len(stream) or crc16(data, np.array([at]), np.array([end]))[0] != int.from_bytes(stream[end : end + 2], "big"):
             raise ValueError("a frame's checksum is wrong")
         yield first, samples[0].astype(np.int8)
         at, done = end + 2, first + block
 
 
-def samples_at(stream: bytes, first: int, n: int) -> np.ndarray:
-    """Samples first to first + n - 1 (fewer at the end), by decoding from the nearest seek point before them on."""
-    info = Info(stream)
+def samples_at(stream: bytes, first: int, n: int, info: Info | None = None) -> np.ndarray:
+    """Samples first to first + n - 1 (fewer at the end). Only the frames between the seek points around them are read, all in step."""
+    info = info or Info(stream)
+    starts = [p[0] for p in info.points]
+    if info.points and info.total and starts == sorted(starts) and starts[0] == 0:
+        i, j = bisect.bisect_right(starts, first) - 1, bisect.bisect_left(starts, min(first + n, info.total))
+        begin, at = info.points[i]
+        last, end = info.points[j] if j < len(starts) else (info.total, len(stream) - info.first)
+        if begin % BLOCK == 0 and at <= end:
+            found = _in_step([stream[info.first + at : info.first + end]], [Run(0, last - begin, begin // BLOCK)])[0]
+            if found is not None:
+                return found[first - begin : first - begin + n]
     start = max((p for p in info.points if p[0] <= first), default=(0, 0))
     parts, at = [np.empty(0, np.int8)], None
     for at, own in frames(stream, info, info.first + start[1]):
@@ -515,8 +547,8 @@ def decode(df: DataFrame, media: str = "media", payload: str = "decoded", featur
 def pcm_blocks(df: DataFrame, media: str = "media", blocks: int = SEEK) -> DataFrame:
     """One row per run of `blocks` * 576 samples: the other columns, `sample_offset`, `n_samples` and `pcm` (unsigned 8-bit, as in the payload).
 
-    Each run is read from the stream's seek point before it, so a row needs no more than its own frames (and, where `blocks` is no
-    multiple of SEEK, those back to that point). Null media gives no rows.
+    A stream is read PCM_RUNS runs at a time, from the seek point before them to the one behind, so its length bounds nothing but the number of
+    rows. Null media gives no rows.
     """
     size = blocks * BLOCK
     rest = [c for c in df.columns if c != media]
@@ -531,9 +563,12 @@ def pcm_blocks(df: DataFrame, media: str = "media", blocks: int = SEEK) -> DataF
                 if stream is None:
                     continue
                 info, other = Info(stream), [batch.column(batch.schema.get_field_index(c)).slice(i, 1) for c in rest]
-                for at in range(0, info.total, size):
-                    pcm = (samples_at(stream, at, size).view(np.uint8) ^ 0x80).tobytes()
-                    yield pa.RecordBatch.from_arrays([*other, pa.array([at], pa.int64()), pa.array([len(pcm)], pa.int64()), pa.array([pcm], pa.binary())], names=schema.names)
+                for begin in range(0, info.total, size * PCM_RUNS):
+                    bytes_ = (samples_at(stream, begin, size * PCM_RUNS, info).view(np.uint8) ^ 0x80).tobytes()
+                    runs = [bytes_[k : k + size] for k in range(0, len(bytes_), size)]
+                    same = [pa.concat_arrays([c] * len(runs)) for c in other]
+                    offsets = begin + size * np.arange(len(runs))
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(offsets), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, pa.binary())], names=schema.names)
 
     return df.select(*rest, media).mapInArrow(run, schema)
 
