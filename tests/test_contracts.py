@@ -74,3 +74,15 @@ def test_fields_that_changed(spark):
     b = spark.createDataFrame([(1, "x", 4), (2, "z", 3), (9, "q", 1)], "k int, n string, v int")
     assert sorted(map(tuple, G.changed_fields(a, b, "k").collect())) == [(1, "v"), (2, "n")]
     assert sorted(map(tuple, G.differences(a.select("k"), b.select("k")).collect())) == [(9, "missing")]
+
+
+def test_rankings_and_charts_name_their_faults(spark):
+    good = [(1, 100.0, "a"), (2, 50.0, "b"), (3, 0.0, "c")]
+    bad = {"good": good, "ranks": [(1, 9.0, "a"), (3, 8.0, "b")], "zero": [(0, 9.0, "a"), (1, 8.0, "b")], "range": [(1, 101.0, "a"), (2, 50.0, "b")], "order": [(1, 5.0, "a"), (2, 6.0, "b")], "code": [(1, 6.0, "a"), (2, 5.0, "a")], "null": [(None, None, None)]}
+    rows = spark.createDataFrame([(k, *r) for k, own in bad.items() for r in own], "g string, rank int, score double, code string")
+    found = {r["g"]: r["faults"] for r in K.ranking_faults(rows, "g", "rank", "score", ["code"]).collect()}
+    assert found == {"good": [], "ranks": ["ranks"], "zero": ["ranks"], "range": ["range"], "order": ["order"], "code": ["code"], "null": ["ranks", "range", "code"]}
+    charts = {"good": [1, 2, 5], "fall": [1, 3, 2, 5], "same": [1, 1, 5], "early": [1, 2], "null": [1, None, 5]}
+    points = spark.createDataFrame([(k, i, d) for k, own in charts.items() for i, d in enumerate(own)], "g string, place int, day int")
+    end = spark.createDataFrame([(5,)], "day int")
+    assert {r["g"]: r["faults"] for r in K.chart_faults(points, "g", "place", "day", end).collect()} == {"good": [], "fall": ["ascending"], "same": ["ascending"], "early": ["as-of"], "null": ["ascending"]}

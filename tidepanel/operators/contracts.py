@@ -5,7 +5,7 @@ Cases: a missing field (null) violates the rules that need it and no others; rul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalars import violations
@@ -107,3 +107,27 @@ def packet_status(date: Column, edition: Column, raw: Column) -> Column:
 def publication_quality(daily: Column, review: Column, writer: Column, sunday: Column) -> Column:
     """no_report on Sundays; fallback when the writer fell back or failed; degraded without a valid daily packet; writer_only without a usable review."""
     return F.when(sunday, "no_report").when(writer.isin("fallback", "failed"), "fallback").when(daily != "valid", "degraded").when(~review.isin("valid", "partial"), "writer_only").otherwise("normal")
+
+
+def ranking_faults(rows: DataFrame, by: str, rank: str, value: str, names: list[str], least: float = 0.0, most: float = 100.0) -> DataFrame:
+    """(by, faults) of rankings: `ranks` aren't 1 to n, a value out of `range`, a value above the one of the rank before (`order`), a name that stands twice (each column of `names` by itself).
+
+    A missing rank, value or name is a fault of its kind.
+    """
+    before = F.lag(value).over(Window.partitionBy(by).orderBy(rank, *names))
+    marked = rows.withColumn("_rise", F.coalesce(F.col(value) > before, F.lit(False)))
+    n = F.count("*")
+    found = marked.groupBy(by).agg(
+        (~((F.countDistinct(rank) == n) & (F.min(rank) == 1) & (F.max(rank) == n))).alias("ranks"), F.bool_or(~F.coalesce(F.col(value).between(least, most), F.lit(False))).alias("range"),
+        F.bool_or("_rise").alias("order"), *[(F.countDistinct(x) < n).alias(f"_{x}") for x in names],
+    )
+    return found.select(by, violations((F.col("ranks"), "ranks"), (F.col("range"), "range"), (F.col("order"), "order"), *[(F.col(f"_{x}"), x) for x in names]).alias("faults"))
+
+
+def chart_faults(points: DataFrame, by: str, place: str, date: str, as_of: DataFrame) -> DataFrame:
+    """(by, faults) of charts whose dates have to rise from place to place (`ascending`) and to end at the one date of `as_of` (`as-of`); a missing date is a fault of the first kind."""
+    before = F.lag(date).over(Window.partitionBy(by).orderBy(place))
+    marked = points.withColumn("_bad", F.col(date).isNull() | F.coalesce(F.col(date) <= before, F.lit(False)))
+    each = marked.groupBy(by).agg(F.bool_or("_bad").alias("_bad"), F.max_by(date, place).alias("_last"), F.lit(1).alias("_k"))
+    end = as_of.select(F.col(as_of.columns[0]).alias("_end"), F.lit(1).alias("_k"))
+    return each.join(F.broadcast(end), "_k").select(by, violations((F.col("_bad"), "ascending"), (~F.col("_last").eqNullSafe(F.col("_end")), "as-of")).alias("faults"))  # one row

@@ -219,14 +219,6 @@ def r34(spark, d):
     return session_of(rows, "limit", P.benchmark(spark, d), 0, "session").select("o_orderkey", "session")
 
 
-@query("r36_state_rows", "SELECT m AS market, h AS horizon, s AS status, m || '-' || h || '-' || s AS state_id FROM (VALUES ('A'), ('HK'), ('US')) a(m), (VALUES (1), (5), (20)) b(h), (VALUES ('abstained'), ('unavailable')) k(s)")
-def r36(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, ("A", "HK", "US")))).alias("market"))
-    rows = rows.select("market", F.explode(F.array(*map(F.lit, (1, 5, 20)))).alias("horizon"))
-    rows = rows.select("market", "horizon", F.explode(F.array(*map(F.lit, ("abstained", "unavailable")))).alias("status"))
-    return rows.withColumn("state_id", F.concat_ws("-", "market", c("horizon").cast("string"), "status"))
-
-
 @query("r37_public_view", "SELECT code, string_agg(horizon || '=' || printf('%.3f', round(p, 3)), ' ' ORDER BY horizon) AS shown FROM scored WHERE date = (SELECT max(date) FROM scored WHERE horizon = 20) GROUP BY 1", "scored")
 def r37(spark, d):
     rows = scored(spark, d)
@@ -302,17 +294,16 @@ def _check(h, r):
 _FAILED = "CASE horizon " + " ".join(f"WHEN {h} THEN {_named([r for r in Q.PUBLICATION if _check(h, r)], lambda r: 'NOT ' + _holds(r))}" for h in ("1", "5", "20")) + " END"
 
 
-@query(
-    "m23_publication_gate",
-    f"""WITH a AS ({_AUC.format(y='y', p='p', t='scored')}), b AS (SELECT date, (row_number() OVER (ORDER BY date) - 1) // 13 AS b FROM (SELECT DISTINCT date FROM scored)),
+_M23 = f"""WITH a AS ({_AUC.format(y='y', p='p', t='scored')}), b AS (SELECT date, (row_number() OVER (ORDER BY date) - 1) // 13 AS b FROM (SELECT DISTINCT date FROM scored)),
     f AS (SELECT horizon, b, avg(y) * (1 - avg(y)) - avg((p - y) ** 2) AS gain FROM scored JOIN b USING (date) GROUP BY 1, 2), g AS (SELECT horizon, count(*) AS folds, round(avg(CAST(gain > 0 AS INTEGER)), 9) AS fold_share, round(max(gain) FILTER (gain > 0) / sum(gain) FILTER (gain > 0), 9) AS largest_share FROM f GROUP BY 1),
     n AS (SELECT CAST(min(n) >= 300 AS INTEGER) AS sources_ready FROM (SELECT code, count(*) AS n FROM panel GROUP BY 1)), l AS (SELECT horizon, CAST(bool_and(target_date > date) AS INTEGER) AS leakage_free FROM lab GROUP BY 1),
     m AS (SELECT horizon, count(*) AS samples, CAST(count(DISTINCT code) = (SELECT count(DISTINCT code) FROM panel) AS INTEGER) AS dataset_ready, 1 AS model_trained, round(1 - avg((p - y) ** 2) / (avg(y) * (1 - avg(y))), 9) AS brier_skill,
       round(1 - avg(-(y * ln(greatest(p, 1e-12)) + (1 - y) * ln(greatest(1 - p, 1e-12)))) / ln(2), 9) AS log_loss_skill, round(regr_slope(y, p), 9) AS slope, round(regr_intercept(y, p), 9) AS intercept, round(stddev_pop(p), 9) AS dispersion, round(avg(CAST(abs(p - 0.5) >= 0.02 AS INTEGER)), 9) AS coverage FROM scored GROUP BY 1),
     z AS (SELECT * REPLACE (round(auc, 9) AS auc) FROM m JOIN a USING (horizon) JOIN g USING (horizon) JOIN l USING (horizon), n), r AS (SELECT horizon, {_FAILED} AS failed FROM z)
-    SELECT horizon, CASE WHEN list_has_any(failed, ['model_availability_trained', 'valid_fold_count', 'oos_sample_count']) THEN 'insufficient_data' WHEN len(failed) > 0 THEN 'abstained' ELSE 'published' END AS status, failed, 15 - len(failed) AS passed FROM r""",
-    "scored",
-)
+    SELECT horizon, CASE WHEN list_has_any(failed, ['model_availability_trained', 'valid_fold_count', 'oos_sample_count']) THEN 'insufficient_data' WHEN len(failed) > 0 THEN 'abstained' ELSE 'published' END AS status, failed, 15 - len(failed) AS passed FROM r"""
+
+
+@query("m23_publication_gate", _M23, "scored")
 def m23(spark, d):
     """Every horizon against the fifteen checks of the publication policy. Slope and intercept are those of the outcomes' line over the probabilities."""
     rows, panel = scored(spark, d), P.brand_panel(spark, d)
@@ -334,6 +325,14 @@ def m23(spark, d):
     return Q.publication(metrics, Q.policy(spark, Q.PUBLICATION), "horizon", "_h").select("horizon", "status", "failed", F.size("passed").alias("passed"))
 
 
+@query("r36_state_rows", f"SELECT horizon, status, CAST(len(failed) AS INTEGER) AS reasons, (SELECT max(date) FROM scored) AS as_of, 'state-' || horizon || '-' || status || '-' || (SELECT max(date) FROM scored) AS state_id FROM ({_M23}) WHERE status <> 'published'", "scored")
+def r36(spark, d):
+    """A state row for every horizon that the gate doesn't publish, with no probability and an id of its own."""
+    newest = scored(spark, d).agg(F.max("date").alias("as_of"), F.lit(1).alias("_k"))
+    states = m23(spark, d).filter("status <> 'published'").withColumn("_k", F.lit(1)).join(F.broadcast(newest), "_k")  # one row
+    return states.select("horizon", "status", F.size("failed").alias("reasons"), "as_of", F.concat_ws("-", F.lit("state"), c("horizon").cast("string"), "status", c("as_of").cast("string")).alias("state_id"))
+
+
 @query(
     "m34_curve_status",
     "WITH x AS (SELECT date, count(*) FILTER (code IN ('A', 'N')) AS n, row_number() OVER (ORDER BY date) AS k FROM flags GROUP BY 1) SELECT date, CASE WHEN k % 7 > 4 THEN 'stale' WHEN n = 2 AND k > 20 THEN 'ready' ELSE 'partial' END AS status FROM x",

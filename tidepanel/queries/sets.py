@@ -223,10 +223,18 @@ def k8(spark, d):
     return G.pruned(batches, "user_id", "day", c("done"), 0.1).select("user_id", "day", "n")
 
 
-@query("k9_bar_documents", "SELECT code, count(*) AS bars, min(date) AS first_date, max(date) AS last_date FROM flags GROUP BY 1", "flags")
+@query(
+    "k9_bar_documents",
+    """SELECT code, CAST(year(date) AS INTEGER) AS year, count(*) AS bars, min(date) AS first_date, max(date) AS last_date, '[' || string_agg('{"time":"' || date || '","close":' || CAST(close AS DECIMAL(18, 4)) || ',"volume":' || CAST(volume AS DECIMAL(18, 1)) || '}', ',' ORDER BY date) || ']' AS document
+    FROM (SELECT code, date, round(close, 4) AS close, round(volume, 1) AS volume FROM flags) GROUP BY 1, 2""",
+    "flags",
+)
 def k9(spark, d):
-    bars = P.flag_panel(spark, d).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("date", "close", "volume"))).alias("b"))
-    return bars.select("code", F.size("b").cast("long").alias("bars"), F.element_at("b", 1)["date"].alias("first_date"), F.element_at("b", -1)["date"].alias("last_date"))
+    """The documents of bars with their index: one for each code and year, so that none grows with a code's history."""
+    shown = F.concat(F.lit('{"time":"'), c("date").cast("string"), F.lit('","close":'), F.round("close", 4).cast("decimal(18,4)").cast("string"), F.lit(',"volume":'), F.round("volume", 1).cast("decimal(18,1)").cast("string"), F.lit("}"))
+    bars = F.array_sort(F.collect_list(F.struct("date", shown.alias("bar"))))
+    each = P.flag_panel(spark, d).groupBy("code", F.year("date").alias("year")).agg(F.count("*").alias("bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), bars.alias("b"))
+    return each.select("code", "year", "bars", "first_date", "last_date", F.concat(F.lit("["), F.array_join(F.transform("b", lambda x: x["bar"]), ","), F.lit("]")).alias("document"))
 
 
 @query("s1_scan_positive", "SELECT date, code, close FROM hourly WHERE close > 0", "hourly")

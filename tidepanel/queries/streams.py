@@ -21,8 +21,9 @@ def events(spark, d):
     return stream(spark, os.path.join(d, "events.parque[t]"), table(spark, d, "events").schema)
 
 
-#: Event e arrives in blocks of ten days, every tenth one three days late; the watermark of an arrival is made of those before it.
-ARRIVAL = F.floor((F.unix_date(F.to_date("ts")) + F.when(c("event_id") % 10 == 0, 3).otherwise(0)) / 10)
+def arrival():
+    """Event e arrives in blocks of ten days, every tenth one three days late; the watermark of an arrival is made of those before it."""
+    return F.floor((F.unix_date(F.to_date("ts")) + F.when(c("event_id") % 10 == 0, 3).otherwise(0)) / 10)
 
 
 def arrivals_sql(days: int) -> str:
@@ -40,7 +41,7 @@ def closed(spark, d, result):
         seen[:] = [result(source.withColumn("ts", c("ts").cast("timestamp")))]
         return seen[0]
 
-    in_arrivals(table(spark, d, "events"), ARRIVAL, closed_windows(watched, folder, new_folder(spark, "stream")))
+    in_arrivals(table(spark, d, "events"), arrival(), closed_windows(watched, folder, new_folder(spark, "stream")))
     return spark.read.schema(seen[0].schema).parquet(folder).select(*seen[0].columns)
 
 
@@ -80,7 +81,7 @@ def w3(spark, d):
 def w4(spark, d):
     """Every row with its status: stale rows came after the watermark had passed them, and are kept beside the fresh ones."""
     rows, folder = table(spark, d, "events"), new_folder(spark, "late")
-    in_arrivals(rows, ARRIVAL, labelled("ts", "1 day", folder, new_folder(spark, "stream"), late="stale"))
+    in_arrivals(rows, arrival(), labelled("ts", "1 day", folder, new_folder(spark, "stream"), late="stale"))
     kept = spark.read.schema(rows.schema.add("status", "string")).parquet(f"{folder}/rows")
     return kept.groupBy("event_type", "status").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
@@ -107,5 +108,5 @@ def w6(spark, d):
 def w7(spark, d):
     """The newest event of each user and type over all arrivals, and how many it superseded."""
     keys, folder = ["user_id", "event_type"], new_folder(spark, "revisions")
-    in_arrivals(table(spark, d, "events"), ARRIVAL, latest_of_keys(keys, ["ts", "event_id"], "event_id", folder, new_folder(spark, "stream")))
+    in_arrivals(table(spark, d, "events"), arrival(), latest_of_keys(keys, ["ts", "event_id"], "event_id", folder, new_folder(spark, "stream")))
     return merged_keys(spark.read.parquet(folder).drop("batch"), keys, "event_id")

@@ -266,21 +266,37 @@ def q1(spark, d):
 
 @query(
     "q7_ranking_check",
-    "WITH r AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY round(z_momentum20, 9) DESC, code) + CASE WHEN code = 'Brand#13' THEN 1 ELSE 0 END AS rank FROM zs) SELECT date, count(DISTINCT rank) = count(*) AND min(rank) = 1 AND max(rank) = count(*) AS valid FROM r GROUP BY 1",
+    """WITH r AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY round(z_momentum20, 9) DESC, code) AS r, count(*) OVER (PARTITION BY date) AS n FROM zs),
+    f AS (SELECT date, CASE WHEN code = 'Brand#14' AND month(date) % 2 = 0 THEN 'Brand#15' ELSE code END AS code, r + CASE WHEN code = 'Brand#13' AND day(date) > 20 THEN 1 ELSE 0 END AS rank,
+      round(100 * (1 - (r - 1) / greatest(1, n - 1)), 6) + CASE WHEN code = 'Brand#12' AND day(date) < 8 THEN 200 ELSE 0 END AS score FROM r),
+    g AS (SELECT *, score > lag(score) OVER (PARTITION BY date ORDER BY rank, code) AS rise FROM f)
+    SELECT date, list_filter([CASE WHEN NOT (count(DISTINCT rank) = count(*) AND min(rank) = 1 AND max(rank) = count(*)) THEN 'ranks' END, CASE WHEN NOT bool_and(score BETWEEN 0 AND 100) THEN 'range' END, CASE WHEN coalesce(bool_or(rise), false) THEN 'order' END,
+      CASE WHEN count(DISTINCT code) < count(*) THEN 'code' END], lambda x: x IS NOT NULL) AS faults FROM g GROUP BY 1""",
     "zs",
 )
 def q7(spark, d):
-    rank = F.row_number().over(X.cross().orderBy(F.desc(F.round("z_momentum20", 9)), "code")) + F.when(c("code") == "Brand#13", 1).otherwise(0)
-    ranked = z_scores(spark, d).select("date", "code", rank.alias("rank"))
-    return ranked.groupBy("date").agg(((F.countDistinct("rank") == F.count("*")) & (F.min("rank") == 1) & (F.max("rank") == F.count("*"))).alias("valid"))
+    """What is wrong with each date's ranking: ranks, range and order of scores, repeated codes. Some of each are wrong on purpose."""
+    rows = z_scores(spark, d).withColumn("r", F.row_number().over(X.cross().orderBy(F.desc(F.round("z_momentum20", 9)), "code"))).withColumn("n", F.count("*").over(X.cross()))
+    score = F.round(100 * (1 - (c("r") - 1) / F.greatest(F.lit(1), c("n") - 1)), 6) + F.when((c("code") == "Brand#12") & (F.day("date") < 8), 200).otherwise(0)
+    rank = c("r") + F.when((c("code") == "Brand#13") & (F.day("date") > 20), 1).otherwise(0)
+    code = F.when((c("code") == "Brand#14") & (F.month("date") % 2 == 0), "Brand#15").otherwise(c("code"))
+    return K.ranking_faults(rows.select("date", rank.alias("rank"), score.alias("score"), code.alias("code")), "date", "rank", "score", ["code"])
 
 
-@query("q8_chart_dates", "SELECT code, max(date) = (SELECT max(date) FROM panel) AS current, count(*) = count(DISTINCT date) AS ascending FROM panel GROUP BY 1", "panel")
+@query(
+    "q8_chart_dates",
+    """WITH n AS (SELECT code, date, row_number() OVER (PARTITION BY code ORDER BY date) AS k FROM panel), p AS (SELECT code, date, 2 * k + CASE WHEN k % 40 = 0 AND code < 'Brand#3' THEN 3 ELSE 0 END AS place FROM n WHERE code <> 'Brand#35' OR date < (SELECT max(date) FROM panel)),
+    l AS (SELECT *, date <= lag(date) OVER (PARTITION BY code ORDER BY place) AS bad FROM p)
+    SELECT code, list_filter([CASE WHEN coalesce(bool_or(bad), false) THEN 'ascending' END, CASE WHEN arg_max(date, place) IS DISTINCT FROM (SELECT max(date) FROM panel) THEN 'as-of' END], lambda x: x IS NOT NULL) AS faults FROM l GROUP BY 1""",
+    "panel",
+)
 def q8(spark, d):
+    """Charts whose points aren't in the order of their dates, or don't reach the newest date. Some are wrong on purpose."""
     panel = P.brand_panel(spark, d)
-    newest = panel.agg(F.max("date").alias("newest"), F.lit(1).alias("k"))
-    each = panel.groupBy("code").agg(F.max("date").alias("last"), (F.count("*") == F.countDistinct("date")).alias("ascending"), F.lit(1).alias("k"))
-    return each.join(F.broadcast(newest), "k").select("code", (c("last") == c("newest")).alias("current"), "ascending")
+    newest = panel.agg(F.max("date").alias("newest"))
+    rows = panel.withColumn("k", F.row_number().over(X.series())).join(F.broadcast(newest), F.lit(True)).filter((c("code") != "Brand#35") | (c("date") < c("newest")))  # one row
+    place = 2 * c("k") + F.when((c("k") % 40 == 0) & (c("code") < "Brand#3"), 3).otherwise(0)
+    return K.chart_faults(rows.select("code", "date", place.alias("place")), "code", "place", "date", newest)
 
 
 @query("q10_distribution", "SELECT count(*) AS n, min(len(role)) AS least, max(len(role)) AS most, round(avg(len(role)), 6) AS mean FROM conversations")
