@@ -48,6 +48,7 @@ SEED = 42
 BLOCK = 8 << 20
 SPREAD = 8  # parts that share the windows of one first word
 PART_BYTES = 24 << 20  # text whose features make one part of the dictionary
+LEVEL = 3  # of compression
 TURNS = 4  # in which a part's dictionary is made
 MAX_WORDS = 1 << 21  # different words of a block: three numbers below this fit in a long
 WORD = re.compile(rb"[^ ]+")
@@ -67,7 +68,7 @@ def packed(*arrays: np.ndarray) -> bytes:
         head += [len(a), a.itemsize]
         planes.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
     raw = np.array(head, "<u8").tobytes() + b"".join(planes)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def unpacked(body: bytes) -> list[np.ndarray]:
