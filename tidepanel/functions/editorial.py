@@ -63,9 +63,3 @@ def mean_sentence(text: Column) -> Column:
 
 def long_sentences(text: Column) -> Column:
     return F.size(F.filter(sentences(text), lambda s: F.length(s) > LONG)).cast("long")
-
-
-def directness(hedge_run: Column, long_: Column, duplicates: Column, phrases: Column) -> Column:
-    """100 less penalties for phrases (8 each, 20 at most), hedged sentences in a row beyond two (5 each), long sentences (2 each, 15 at most) and duplicates (5 each), not below 0."""
-    lost = F.least(F.lit(20), 8 * phrases) + 5 * F.greatest(F.lit(0), hedge_run - 2) + F.least(F.lit(15), 2 * long_) + 5 * duplicates
-    return F.greatest(F.lit(0), 100 - lost).cast("long")

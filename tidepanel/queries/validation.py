@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.documents import leaf_changes
+from tidepanel.functions.style import Style, style_report
 from tidepanel.functions import editorial as D
 from tidepanel.functions import scalars as S
 from tidepanel.operators import chained as CH
@@ -249,19 +250,37 @@ def q6(spark, d):
     return docs(spark, d).select("doc_id", F.round(D.mean_sentence(c("text")), 6).alias("mean"), D.long_sentences(c("text")).alias("long"))
 
 
-@query(
-    "q1_directness",
-    f"""WITH m AS (SELECT doc_id, len(n) - len(list_distinct(n)) AS dup, coalesce(run, 0) AS run, len(list_filter(s, lambda x: length(x) > 90)) AS long, (length(text) - length(replace(text, 'data', ''))) // 4 AS phrases
-      FROM (SELECT doc_id, text, {_NORMAL} AS n, {_PARTS} AS s, {_RUN} AS run FROM documents))
-    SELECT doc_id, greatest(0, 100 - least(20, 8 * phrases) - 5 * greatest(0, run - 2) - least(15, 2 * long) - 5 * dup) AS score FROM m""",
-)
+_STYLE = Style(
+    defensive=(" may be ", " nicht ", " pero ", " mais "), empty_watch=("to be watched", " auch das", " todo "), hedges=("the", "que", "und"), technical=("Token", "http", "lorem"), strong_claims=("always", "immer ", "siempre"),
+    governance=("secret", "password"), limitations=("not ", "ohne", "sin ", "sans "), generic_titles=("report web",), forbidden_titles=("forum",), instructions=(r"\b(buy|sell) now\b", r"[A-Z]{12,}"), limits={"en": (1, 80), "de": (3, 60)}, other=(2, 70), sentence=90,
+)
+
+
+def _style_sql(s):
+    count = lambda t, p: f"(length({t}) - length(replace({t}, '{p}', ''))) // {len(p)}"
+    every = lambda t, ps: " + ".join(count(t, p) for p in ps)
+    some = lambda t, ps: "(" + " OR ".join(f"contains({t}, '{p}')" for p in ps) + ")"
+    run = lambda marks: f"coalesce(list_max(list_transform(string_split(array_to_string(list_transform({marks}, lambda m: CASE WHEN m THEN 'x' ELSE '-' END), ''), '-'), lambda x: length(x))), 0)"
+    limit = lambda k: "CASE lang " + " ".join(f"WHEN '{n}' THEN {v[k]}" for n, v in s.limits.items()) + f" ELSE {s.other[k]} END"
+    return f"""WITH b AS (SELECT doc_id, lang, coalesce(text, '') AS t, trim('report ' || source) AS title, {_PARTS} AS s, {_NORMAL} AS n, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+    l AS (SELECT *, list_transform(p, lambda x: {some('x', s.limitations)}) AS lim FROM b),
+    m AS (SELECT doc_id, lang, {every('t', s.defensive)} AS defensive, {' + '.join(f"greatest(0, {count('t', p)} - 1)" for p in s.defensive)} AS disclaimers, {every('t', s.empty_watch)} AS empty_watch, {every('lower(t)', [p.lower() for p in s.technical])} AS technical,
+      {every('t', s.strong_claims)} AS strong_claims, {every('t', s.governance)} AS governance, {' + '.join(f"len(regexp_extract_all(t, '{p}'))" for p in s.instructions)} AS instructions, {run(f"list_transform(s, lambda x: regexp_matches(x, '{'|'.join(s.hedges)}'))")} AS hedge_run,
+      len(list_filter(s, lambda x: length(x) > {s.sentence})) AS long_sentences, len(n) - len(list_distinct(n)) AS duplicates, {some("coalesce(title, '')", s.generic_titles)} AS generic_title, {some("coalesce(title, '')", s.forbidden_titles)} AS forbidden_title, {some("coalesce(s[-1], '')", s.empty_watch)} AS generic_ending,
+      {run('lim')} AS limitation_run, round(list_sum(list_transform(p, lambda x, i: CASE WHEN lim[i] THEN length(x) ELSE 0 END)) / greatest(length(t), 1), 4) AS limitation_share FROM l),
+    k AS (SELECT *, CAST(greatest(0, 100 - (least(20, 8 * greatest(0, defensive - {limit(0)})) + 10 * disclaimers + 8 * empty_watch + 5 * greatest(0, hedge_run - {s.hedge_run}) + least(15, 2 * long_sentences) + 5 * duplicates + CASE WHEN generic_title THEN 12 ELSE 0 END
+      + CASE WHEN generic_ending THEN 10 ELSE 0 END + 15 * strong_claims + 20 * instructions + 12 * governance + CASE WHEN technical > {s.technical_most} THEN 10 ELSE 0 END + CASE WHEN forbidden_title THEN 10 ELSE 0 END + CASE WHEN limitation_run > {s.limitation_run} THEN 8 ELSE 0 END
+      + CASE WHEN limitation_share > {s.limitation_share} THEN 10 ELSE 0 END)) AS BIGINT) AS score FROM m)
+    SELECT * EXCLUDE (lang), defensive <= {limit(0)} AND disclaimers = 0 AND empty_watch = 0 AND hedge_run <= {s.hedge_run} AND NOT generic_title AND NOT generic_ending AND strong_claims = 0 AND instructions = 0 AND governance = 0 AND technical <= {s.technical_most}
+      AND NOT forbidden_title AND limitation_run <= {s.limitation_run} AND limitation_share <= {s.limitation_share} AND score >= {limit(1)} AS passed FROM k"""
+
+
+@query("q1_directness", _style_sql(_STYLE))
 def q1(spark, d):
-    text = c("text")
-    phrases = F.regexp_count(text, F.lit("data"))
-    return docs(spark, d).select("doc_id", D.directness(D.longest_run(text, "the|que|und"), D.long_sentences(text), D.duplicate_sentences(text), phrases).alias("score"))
-
+    """All measures of an editorial style whose tables are for several languages, its score and whether each document passes; editions are the languages here."""
+    titled = docs(spark, d).select("doc_id", "text", "lang", F.concat(F.lit("report "), "source").alias("title"))
+    return style_report(titled, _STYLE, "doc_id", "text", "title", "lang")
 
-# Reports and their checks
 
 
 @query(
