@@ -2,25 +2,12 @@
 
 import datetime
 
-from pyspark.sql import functions as F
-
-from tidepanel.functions import scalars as S
 from tidepanel.operators import decisions as N
 from tidepanel.operators import folds, labels
 
 DAY = datetime.date(2024, 1, 1)
 
 
-def test_gates_fail_on_missing_metrics(spark):
-    metrics = spark.createDataFrame([(1, 10.0, 0.5), (2, 3.0, None), (3, 10.0, 0.9)], "k int, n double, auc double")
-    policy = spark.createDataFrame([("n", 5.0, None), ("auc", 0.5, 0.8), ("ece", None, 0.1)], "check string, least double, most double")
-    found = {r["k"]: (r["published"], r["failed"]) for r in N.gate_summary(N.gate_checks(metrics, policy, "k"), "k").collect()}
-    assert found == {1: (False, ["ece"]), 2: (False, ["auc", "ece", "n"]), 3: (False, ["auc", "ece"])}
-    short = N.gate_summary(N.gate_checks(metrics, policy.filter("check <> 'ece'"), "k"), "k")
-    assert {r["k"]: r["published"] for r in short.collect()} == {1: True, 2: False, 3: False}
-    assert N.gate_checks(metrics.limit(0), policy, "k").count() == 0
-
-
 def test_promotion(spark):
     rows = [(1, 0.2, 0.6, 0.1, 0.2, 0.6, 0.2), (2, 0.2, 0.6, 0.1, 0.3, 0.5, 0.0), (3, 0.2, 0.6, 0.1, 0.2005, 0.595, 0.1), (4, 0.2, 0.6, 0.1, None, 0.6, 0.2)]
     df = spark.createDataFrame(rows, "k int, a_brier double, a_auc double, a_ic double, b_brier double, b_auc double, b_ic double")

@@ -1,6 +1,6 @@
-"""Decisions from metric rows: promotion, publication gates, source audits and bindings of claims.
+"""Decisions from metric rows: promotion, source audits and bindings of claims; gates are in `policies`.
 
-Cases: a missing metric fails its check; a policy without a metric of its name fails; a claim without its fact has `unknown-fact` and nothing else.
+Cases: a missing metric speaks against promotion; a claim without its fact has `unknown-fact` and nothing else.
 """
 
 from __future__ import annotations
@@ -21,22 +21,6 @@ def promotion_reasons(champion: str, challenger: str, tolerance: float = 0.001)
     )
 
 
-def gate_checks(metrics: DataFrame, policy: DataFrame, key: str) -> DataFrame:
-    """(key, check, value, passed): every metric of `metrics` (columns) against its bound in `policy` (check, least, most)."""
-    names = [c for c in metrics.columns if c != key]
-    long = metrics.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).cast("double").alias("value")) for n in names])).alias("_m")).select(key, "_m.*")
-    wanted = metrics.select(key).distinct().withColumn("_j", F.lit(1)).join(F.broadcast(policy.withColumn("_j", F.lit(1))), "_j").drop("_j")  # a policy has some dozen rows
-    met = wanted.join(long, [key, "check"], "left")
-    holds = (F.col("least").isNull() | (F.col("value") >= F.col("least"))) & (F.col("most").isNull() | (F.col("value") <= F.col("most"))) & F.col("value").isNotNull()
-    return met.select(key, "check", "value", F.coalesce(holds, F.lit(False)).alias("passed"))
-
-
-def gate_summary(checks: DataFrame, key: str) -> DataFrame:
-    """(key, published, failed): published if every check passed; the names of the others in order."""
-    failed = F.array_sort(F.collect_set(F.when(~F.col("passed"), F.col("check"))))  # as many as the policy has checks
-    return checks.groupBy(key).agg(F.bool_and("passed").alias("published"), failed.alias("failed"))
-
-
 def source_audit(sources: DataFrame, stats: DataFrame, key: str, least: int) -> DataFrame:
     """Every source with its rows, dates, status and whether it is required and not ready."""
     both = sources.join(stats, key, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))

@@ -18,7 +18,7 @@ from tidepanel.operators import ledger as G
 from tidepanel.operators import trigrams as TG
 from tidepanel.queries.aggregates import outcomes, predictions
 from tidepanel.queries.features import labels, scored, z_scores
-from tidepanel.queries.registry import NEEDS, VIEWS, query
+from tidepanel.queries.registry import VIEWS, query
 from tidepanel.session import cut, table
 from tidepanel.sources import panel as P
 
