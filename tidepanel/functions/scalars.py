@@ -221,3 +221,11 @@ def general_text(value: Column, digits: int = 12) -> Column:
     plain = F.regexp_replace(rounded.cast("decimal(38,19)").cast("string"), r"\.?0+$", "")
     short = F.concat(F.regexp_replace(F.substring_index(exponent, "e", 1), r"\.?0+$", ""), F.lit("e"), F.substring_index(exponent, "e", -1))
     return F.when(value.isNull(), "").when(rounded == 0, "0").when((size >= 1e-4) & (size < 10.0**digits), plain).otherwise(short)
+
+
+def index_fact(facts: Column, pattern: str, down: str) -> tuple[Column, Column]:
+    """(percent, level) that the first fact of a list tells which matches the pattern (groups: direction, percent, level with thousands' commas); the percent is negative if the direction is `down`."""
+    first = F.get(F.filter(facts, lambda x: x.rlike(pattern)), F.lit(0))
+    part = lambda k: F.regexp_extract(first, pattern, k)
+    percent = F.when(part(1) == down, -1.0).otherwise(1.0) * part(2).try_cast("double")
+    return F.when(first.isNotNull(), percent), F.when(first.isNotNull(), F.regexp_replace(part(3), ",", "").try_cast("double"))

@@ -131,3 +131,37 @@ def chart_faults(points: DataFrame, by: str, place: str, date: str, as_of: DataF
     each = marked.groupBy(by).agg(F.bool_or("_bad").alias("_bad"), F.max_by(date, place).alias("_last"), F.lit(1).alias("_k"))
     end = as_of.select(F.col(as_of.columns[0]).alias("_end"), F.lit(1).alias("_k"))
     return each.join(F.broadcast(end), "_k").select(by, violations((F.col("_bad"), "ascending"), (~F.col("_last").eqNullSafe(F.col("_end")), "as-of")).alias("faults"))  # one row
+
+
+#: Fixed values of the events' contracts.
+AUTHORITIES = ("central", "ministry", "exchange", "hong-kong", "registry")
+STAGES = ("not_applicable", "meeting_statement", "draft", "published", "effective", "implemented", "under_implementation", "suspended", "unknown")
+EVIDENCE = ("official_confirmed", "reliable_report", "market_inference", "no_event_claimed")
+DAY = r"^\d{4}-\d{2}-\d{2}"
+
+
+def policy_event_faults(events: DataFrame, issuers: DataFrame) -> DataFrame:
+    """The rows with `faults` of policy events (event_id, issuer, authority, document_type, published, effective, stage, url, threads, status) against the registry's issuers (issuer).
+
+    An effective date and a url may be missing; a statement of a meeting can't be in force; bootstrap rows need no registered issuer.
+    """
+    known = issuers.select(F.col("issuer").alias("_issuer"), F.lit(True).alias("_known")).distinct()
+    met = events.join(known, events["issuer"] == known["_issuer"], "left").drop("_issuer")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    day = lambda c: F.coalesce(F.col(c).rlike(DAY), F.lit(False))
+    faults = violations(
+        (blank("event_id"), "event-id"), (blank("issuer"), "issuer"), (_outside("authority", AUTHORITIES), "authority"), (blank("document_type"), "document-type"), (~day("published"), "published"),
+        (F.col("effective").isNotNull() & ~day("effective"), "effective"), (_outside("stage", STAGES), "stage"), (F.col("url").isNotNull() & ~F.col("url").rlike("^https?://"), "url"), (F.col("threads").isNull(), "threads"),
+        ((F.col("document_type") == "meeting_statement") & F.col("stage").isin("effective", "implemented"), "statement-in-force"), (~F.col("status").eqNullSafe("bootstrap") & F.col("_known").isNull(), "unregistered"),
+    )
+    return met.withColumn("faults", faults).drop("_known")
+
+
+def capital_event_faults(events: DataFrame, payment: str, capital: str) -> DataFrame:
+    """The rows with `faults` of state-capital events (event_id, subjects, scope, evidence, threads, url): payment matters (a pattern over the whole record) are no state capital (another)."""
+    whole = F.to_json(F.struct(*events.columns))
+    faults = violations(
+        (F.coalesce(F.col("event_id"), F.lit("")) == "", "event-id"), (F.col("subjects").isNull() & F.col("scope").isNull(), "subjects"), (_outside("evidence", EVIDENCE), "evidence"), (F.col("threads").isNull(), "threads"),
+        (whole.rlike(payment) & whole.rlike(capital), "payment-as-capital"), ((F.col("evidence") == "official_confirmed") & (F.coalesce(F.col("url"), F.lit("")) == ""), "official-without-url"),
+    )
+    return events.withColumn("faults", faults)

@@ -365,9 +365,18 @@ def c37_headline(spark, d):
     return docs(spark, d).select("doc_id", status.alias("status"), headline.alias("headline"))
 
 
-@query("c38_fact_extraction", r"SELECT p_partkey, regexp_extract(p_name, '([a-z]+)', 1) AS word, try_cast(regexp_extract(p_brand, '#([0-9]+)', 1) AS INTEGER) AS level FROM part")
+@query(
+    "c38_fact_extraction",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * (o_orderkey % 50) / 10.0 END AS percent, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 2) END AS level FROM orders""",
+)
 def c38(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.regexp_extract("p_name", "([a-z]+)", 1).alias("word"), F.regexp_extract("p_brand", "#([0-9]+)", 1).try_cast("int").alias("level"))
+    """Percent and level that the first matching fact of a list tells, thousands' commas and all."""
+    k = c("o_orderkey")
+    told = F.concat(F.lit("the index "), F.when(k % 2 == 0, "fell").otherwise("rose"), F.lit(" "), ((k % 50) / 10.0).cast("string"), F.lit("% to "), F.format_number("o_totalprice", 2))
+    other = F.lit("volume rose 3% on the day")
+    facts = F.when(k % 7 == 0, F.array(other)).when(k % 3 == 0, F.array(other, told, F.lit("the index rose 99% to 1"))).otherwise(F.array(told))
+    percent, level = S.index_fact(c("facts"), r"index (rose|fell) ([0-9.]+)% to ([0-9,.]+)", "fell")
+    return orders(spark, d).select("o_orderkey", facts.alias("facts")).select("o_orderkey", (percent + F.lit(0.0)).alias("percent"), level.alias("level"))
 
 
 _CLAIM = "list_extract(['index rose ', 'Fell ', 'gained ', 'declined', 'stays at '], CAST(o_orderkey % 5 AS INTEGER) + 1) || CAST((o_orderkey % 50) / 10.0 AS VARCHAR) || '%'"

@@ -363,13 +363,18 @@ def q15(spark, d):
 
 @query(
     "q18_relevance",
-    "SELECT doc_id, score FROM (SELECT doc_id, 8 * CAST(contains(lower(text), 'river') AS INTEGER) + 3 * CAST(contains(lower(text), 'the') AS INTEGER) + CAST(lang = 'en' AS INTEGER) + n_chars % 3 AS score FROM documents) ORDER BY score DESC, doc_id LIMIT 40",
+    """WITH w AS (SELECT doc_id, contains(lower(text), 'worthless') OR contains(lower(text), 'secret') AS direct, regexp_matches(lower(text), 'token|http|license') AS topic, lang IN ('en', 'de') AND regexp_matches(lower(text), 'und|the') AS market, source IS NOT NULL AND n_chars > 3000 AS high FROM documents)
+    SELECT doc_id, 8 * CAST(coalesce(direct, false) AS INTEGER) + 3 * CAST(coalesce(topic, false) AS INTEGER) + CAST(coalesce(market, false) AS INTEGER) + CASE WHEN high THEN 0.25 ELSE 0 END AS score FROM w
+    WHERE coalesce(direct, false) OR coalesce(topic, false) OR coalesce(market, false) ORDER BY score DESC, doc_id LIMIT 8""",
 )
 def q18(spark, d):
-    flag = lambda x: x.cast("int")
-    text = F.lower("text")
-    score = 8 * flag(text.contains("river")) + 3 * flag(text.contains("the")) + flag(c("lang") == "en") + c("n_chars") % 3
-    return docs(spark, d).select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
+    """The eight most relevant documents (the feature's own limit): 8 for a word of their own, 3 for the topic, 1 for the market, a quarter for priority; what matches nothing isn't there."""
+    text, no = F.lower("text"), F.lit(False)
+    direct, topic = F.coalesce(text.contains("worthless") | text.contains("secret"), no), F.coalesce(text.rlike("token|http|license"), no)
+    market = F.coalesce(c("lang").isin("en", "de") & text.rlike("und|the"), no)
+    score = 8 * direct.cast("int") + 3 * topic.cast("int") + market.cast("int") + F.when(c("source").isNotNull() & (c("n_chars") > 3000), 0.25).otherwise(0.0)
+    return docs(spark, d).filter(direct | topic | market).select("doc_id", score.cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(8)
+
 
 
 @query("q19_index_reconciliation", "SELECT c_custkey AS id, 'without-rows' AS fault FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'not-in-index' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
@@ -411,10 +416,52 @@ def q24(spark, d):
 _EVENT = "list_filter([CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'authority' END, CASE WHEN value < 1 THEN 'value' END, CASE WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'statement-in-force' END], lambda x: x IS NOT NULL)"
 
 
-@query("q25_event_contract", f"SELECT event_id, {_EVENT} AS violations FROM events")
+_FACTS = """SELECT event_id AS row_id, CASE WHEN event_id % 31 <> 0 THEN 'e' || event_id END AS event_id, CASE WHEN event_id % 29 <> 0 THEN 'i' || user_id % 12 END AS issuer, CASE event_type WHEN 'view' THEN 'central' WHEN 'click' THEN 'ministry' WHEN 'purchase' THEN 'exchange' WHEN 'signup' THEN 'unofficial' ELSE 'registry' END AS authority,
+    CASE event_type WHEN 'click' THEN 'meeting_statement' WHEN 'signup' THEN NULL ELSE 'notice' END AS document_type, CASE WHEN event_id % 23 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d') END AS published, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 19 = 0 THEN '2024/01/01' ELSE strftime(ts, '%Y-%m-%d') END AS effective,
+    list_extract(['not_applicable', 'meeting_statement', 'draft', 'published', 'effective', 'implemented', 'under_implementation', 'suspended', 'unknown', 'done'], CAST(event_id % 10 AS INTEGER) + 1) AS stage, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'ftp://x' ELSE 'https://x' END AS url,
+    event_id % 13 <> 0 AS threads, CASE WHEN event_id % 3 = 0 THEN 'bootstrap' ELSE 'live' END AS status, event_type FROM events"""
+
+
+def _records(spark, d):
+    """Contract records made of the events, with faults of every kind."""
+    k = c("event_id")
+    names = ["not_applicable", "meeting_statement", "draft", "published", "effective", "implemented", "under_implementation", "suspended", "unknown", "done"]
+    of_type = lambda **to: F.coalesce(*[F.when(c("event_type") == t, v) for t, v in to.items()])
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return table(spark, d, "events").select(
+        k.alias("row_id"), F.when(k % 31 != 0, F.concat(F.lit("e"), k.cast("string"))).alias("event_id"), F.when(k % 29 != 0, F.concat(F.lit("i"), (c("user_id") % 12).cast("string"))).alias("issuer"),
+        F.coalesce(of_type(view="central", click="ministry", purchase="exchange", signup="unofficial"), F.lit("registry")).alias("authority"), F.when(c("event_type") == "click", "meeting_statement").when(c("event_type") != "signup", "notice").alias("document_type"),
+        F.when(k % 23 == 0, "soon").otherwise(day).alias("published"), F.when(k % 5 == 0, F.lit(None)).when(k % 19 == 0, "2024/01/01").otherwise(day).alias("effective"), F.element_at(F.array(*map(F.lit, names)), (k % 10 + 1).cast("int")).alias("stage"),
+        F.when(k % 7 == 0, F.lit(None)).when(k % 17 == 0, "ftp://x").otherwise("https://x").alias("url"), F.when(k % 13 != 0, F.array(F.lit("t"))).alias("threads"), F.when(k % 3 == 0, "bootstrap").otherwise("live").alias("status"), "event_type",
+    )
+
+
+@query(
+    "q25_event_contract",
+    f"""WITH r AS ({_FACTS}), k AS (SELECT DISTINCT 'i' || user_id % 12 AS issuer, true AS known FROM events WHERE user_id % 12 < 9)
+    SELECT row_id, list_filter([CASE WHEN event_id IS NULL THEN 'event-id' END, CASE WHEN issuer IS NULL THEN 'issuer' END, CASE WHEN authority = 'unofficial' THEN 'authority' END, CASE WHEN document_type IS NULL THEN 'document-type' END, CASE WHEN published = 'soon' THEN 'published' END,
+      CASE WHEN effective LIKE '%/%' THEN 'effective' END, CASE WHEN stage = 'done' THEN 'stage' END, CASE WHEN url LIKE 'ftp%' THEN 'url' END, CASE WHEN NOT threads THEN 'threads' END, CASE WHEN document_type = 'meeting_statement' AND stage IN ('effective', 'implemented') THEN 'statement-in-force' END,
+      CASE WHEN status <> 'bootstrap' AND known IS NULL THEN 'unregistered' END], lambda x: x IS NOT NULL) AS faults FROM r LEFT JOIN k USING (issuer)""",
+)
 def q25(spark, d):
-    checks = ((~c("event_type").isin("view", "click", "purchase"), "authority"), (c("value") < 1, "value"), ((c("event_type") == "click") & (c("event_id") % 4 == 0), "statement-in-force"))
-    return table(spark, d, "events").select("event_id", S.violations(*checks).alias("violations"))
+    """Policy events against the rules of their contract and the registry of issuers."""
+    registry = table(spark, d, "events").filter(c("user_id") % 12 < 9).select(F.concat(F.lit("i"), (c("user_id") % 12).cast("string")).alias("issuer"))
+    return K.policy_event_faults(_records(spark, d), registry).select("row_id", "faults")
+
+
+@query(
+    "q26_capital_contract",
+    f"""WITH r AS ({_FACTS}) SELECT row_id, list_filter([CASE WHEN event_id IS NULL THEN 'event-id' END, CASE WHEN row_id % 11 = 0 AND row_id % 4 <> 0 THEN 'subjects' END, CASE WHEN event_type = 'error' THEN 'evidence' END, CASE WHEN NOT threads THEN 'threads' END,
+      CASE WHEN row_id % 6 = 0 AND row_id % 9 = 0 THEN 'payment-as-capital' END, CASE WHEN event_type = 'view' AND url IS NULL THEN 'official-without-url' END], lambda x: x IS NOT NULL) AS faults FROM r""",
+)
+def q26_capital(spark, d):
+    """State-capital events against the rules of their contract."""
+    k = c("row_id")
+    evidence = F.when(c("event_type") == "view", "official_confirmed").when(c("event_type") == "click", "reliable_report").when(c("event_type") == "purchase", "market_inference").when(c("event_type") == "signup", "no_event_claimed").otherwise("rumour")
+    note = F.concat_ws(" ", F.when(k % 6 == 0, "medical payment system"), F.when(k % 9 == 0, "state-capital funds"))
+    events = _records(spark, d).select("row_id", "event_id", F.when(k % 11 != 0, F.array(F.lit("s"))).alias("subjects"), F.when(k % 4 == 0, F.array(F.lit("x"))).alias("scope"), evidence.alias("evidence"), "threads", "url", note.alias("note"))
+    return K.capital_event_faults(events, "(?i)medical|payment system", "(?i)state.?capital").select("row_id", "faults")
+
 
 
 @query(
