@@ -213,10 +213,11 @@ def test_cuts_do_not_depend_on_the_step(monkeypatch):
     assert chunk_dedup.cut_candidates(text, gear).tolist() == whole and len(whole) > 20
 
 
-@pytest.mark.parametrize("name", ["op11_superblocks", "op13_chunk_recipes"])
+@pytest.mark.parametrize("name", ["op11_superblocks", "op12_feature_dictionary", "op13_chunk_recipes"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours, theirs = QUERIES[name](spark, SF), con.execute(ORACLE_SQL[name])
     names = [c[0] for c in theirs.description]
     assert sorted((tuple(r) for r in ours.select(*names).collect()), key=str) == sorted(theirs.fetchall(), key=str)

@@ -417,3 +417,21 @@ def drawn(weighed: DataFrame, *, percent: int = DRAWN_PERCENT, least_words: int
 def resampled(docs: DataFrame, target: DataFrame, **names: str) -> DataFrame:
     """Per row of `docs`: doc_id, n_features, weight, score and rank among those drawn."""
     return drawn(weights(docs, target, **names)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: DuckDB SQL for `resampled` of the tables `documents` and `benchmark`; the CRC-32 of a string goes over the hexadecimal digits of its bytes.
+ORACLE_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM (SELECT r, text FROM d UNION ALL SELECT -1, text FROM benchmark)),
+f AS (SELECT r, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g FROM (SELECT r, n, w, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS k FROM w, (VALUES (1), (2), (3)) v(n) WHERE len(w) >= n)),
+c AS (SELECT r, g, count(*) AS n FROM f GROUP BY 1, 2),
+h AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(g))), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket, s, t
+  FROM (SELECT g, hex(encode(g)) AS x, coalesce(sum(n) FILTER (r > 0), 0) AS s, coalesce(sum(n) FILTER (r < 0), 0) AS t FROM c GROUP BY g), crc),
+b AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM h GROUP BY 1), z AS (SELECT sum(s) AS sa, sum(t) AS ta FROM b),
+y AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sa + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(ta + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM b, z),
+k AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM c JOIN h USING (g) JOIN y USING (bucket) WHERE r > 0 GROUP BY 1),
+s AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score, len(w) >= 20 AS fit
+  FROM d JOIN w USING (r) LEFT JOIN k USING (r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY fit) AS n FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * n // 100 THEN place END AS rank FROM o"""

@@ -110,5 +110,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_grammar_round_trip": chat_format.ORACLE_SQL,
     "op9_winnowing": decontam.ORACLE_SQL,
     "op11_superblocks": merkle.oracle_sql(),
+    "op12_feature_dictionary": importance.ORACLE_SQL,
     "op13_chunk_recipes": chunk_dedup.ORACLE_SQL,
 }
