@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.functions.scalars import rounded
 from tidepanel.session import table
 
 
 def _bars(rows: DataFrame, *keys: Column) -> DataFrame:
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return rows.groupBy(*keys).agg(
-        F.round(F.sum(net) / F.sum("l_quantity"), 6).alias("close"), F.round(F.sum("l_quantity"), 4).alias("volume"), F.round(F.sum("l_extendedprice"), 4).alias("amount")
+        rounded(F.sum(net) / F.sum("l_quantity"), 6).alias("close"), rounded(F.sum("l_quantity"), 4).alias("volume"), rounded(F.sum("l_extendedprice"), 4).alias("amount")
     )
 
 
@@ -42,7 +43,7 @@ def priority_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars of each order priority: mean price, count and sum."""
     orders = table(spark, sf_dir, "orders")
     return orders.groupBy(_week("o_orderdate"), F.col("o_orderpriority").alias("code")).agg(
-        F.round(F.avg("o_totalprice"), 6).alias("close"), F.count("*").cast("double").alias("volume"), F.round(F.sum("o_totalprice"), 4).alias("amount")
+        rounded(F.avg("o_totalprice"), 6).alias("close"), F.count("*").cast("double").alias("volume"), rounded(F.sum("o_totalprice"), 4).alias("amount")
     )
 
 
@@ -50,5 +51,5 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of each event type; many cells are missing."""
     events = table(spark, sf_dir, "events")
     return events.groupBy(F.date_trunc("hour", "ts").alias("date"), F.col("event_type").alias("code")).agg(
-        F.round(F.avg("value"), 6).alias("close"), F.count("*").cast("double").alias("volume"), F.round(F.sum("value"), 4).alias("amount")
+        rounded(F.avg("value"), 6).alias("close"), F.count("*").cast("double").alias("volume"), rounded(F.sum("value"), 4).alias("amount")
     )
