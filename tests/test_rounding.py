@@ -16,7 +16,7 @@ def test_ties_fall_as_in_sql(spark):
     assert found == [duckdb.execute("SELECT round(?::DOUBLE, 3)", [v]).fetchone()[0] for v in values]
 
 
-@pytest.mark.parametrize("name", ["c6_number_text"])
+@pytest.mark.parametrize("name", ["c6_number_text", "c12_score_with_enough_factors"])
 def test_every_digit_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")

@@ -156,7 +156,7 @@ def c11(spark, d):
 def c12(spark, d):
     weights = F.create_map(*[F.lit(x) for kv in (("view", 0.4), ("click", 0.3), ("purchase", 0.2), ("signup", 0.1), ("error", 0.0)) for x in kv])
     rows = P.event_panel(spark, d).withColumn("w", F.try_element_at(weights, c("code"))).filter("w is not null")
-    return rows.groupBy("date").agg(F.count("*").alias("factors"), F.round(F.round(S.weighted_score(c("close"), c("w")), 9), 4).alias("score"))
+    return rows.groupBy("date").agg(F.count("*").alias("factors"), S.rounded(S.rounded(S.weighted_score(c("close"), c("w")), 9), 4).alias("score"))
 
 
 _OBSERVED = "CASE WHEN s >= 80 THEN 'leading' WHEN s >= 60 THEN 'strengthening' WHEN s >= 40 THEN 'neutral' WHEN s >= 20 THEN 'weakening' ELSE 'lagging' END"
