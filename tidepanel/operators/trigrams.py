@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,7 @@ from tidepanel.session import shared_dir
 
 RAREST = 3
 BATCH = 10_000  # documents of a posting list; the batches that Spark sends are no larger
+PIECE_BYTES = 4 << 20  # text whose trigrams a task sorts at once; memory, not results, depends on it
 BROADCAST_ROWS = 100_000
 POSTINGS = T.StructType([T.StructField("gram", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
 
@@ -33,6 +35,16 @@ def grams_of(text: str) -> np.ndarray:
     return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:]) if len(points) > 2 else np.empty(0, np.int64)
 
 
+def pieces(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with BATCH rows and PIECE_BYTES of text at most; a longer text stands alone."""
+    ends, first = np.cumsum(size, dtype=np.int64), 0
+    while first < len(size):
+        before = ends[first - 1] if first else 0
+        last = min(first + BATCH, max(first + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right"))))
+        yield first, last
+        first = last
+
+
 def build(docs: DataFrame, doc_id: str, text: str, folder: str | None = None) -> DataFrame:
     """The postings of all documents, written to the shared folder."""
     spark = docs.sparkSession
@@ -40,8 +52,8 @@ def build(docs: DataFrame, doc_id: str, text: str, folder: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), BATCH):
-                part = batch.slice(first, BATCH)
+            for first, last in pieces(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()):
+                part = batch.slice(first, last - first)
                 own = [grams_of(t or "") for t in part.column(1).to_pylist()]
                 if not own:
                     continue
