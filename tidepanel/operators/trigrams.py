@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.session import shared_dir
+from tidepanel.session import cut, shared_dir
 
 RAREST = 3
 BATCH = 10_000  # documents of a posting list; the batches that Spark sends are no larger
@@ -35,6 +35,40 @@ def grams_of(text: str) -> np.ndarray:
     return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:]) if len(points) > 2 else np.empty(0, np.int64)
 
 
+def grams_of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(trigram, place of its text) of all different pairs, in that order; all texts are told and sorted at once."""
+    size = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    n = max(0, len(points) - 2)
+    place = np.repeat(np.arange(len(texts)), size)
+    inside = place[:n] == place[2:]
+    alphabet = np.flatnonzero(np.bincount(points, minlength=1))
+    if len(alphabet) ** 3 * max(1, len(texts)) >= 1 << 63:  # a pair has no room in one number
+        own = [grams_of(t) for t in texts]
+        gram, place = np.concatenate(own), np.repeat(np.arange(len(texts)), [len(g) for g in own])
+        order = np.lexsort((place, gram))
+        return gram[order], place[order]
+    dense = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.int64)
+    dense[alphabet] = np.arange(len(alphabet))
+    sign, base = dense[points], len(alphabet)
+    pair = (((sign[:n] * base + sign[1 : n + 1]) * base + sign[2:]) * len(texts) + place[:n])[inside]
+    pair.sort()
+    pair = pair[np.diff(pair, prepend=-1) != 0]
+    code, place = np.divmod(pair, max(1, len(texts)))
+    first, last = np.divmod(code, base * base or 1)
+    second, third = np.divmod(last, base or 1)
+    return alphabet[first] << 42 | alphabet[second] << 21 | alphabet[third], place
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` in a partition for each BATCH of them (spark.sql.shuffle.partitions at most), if they come in fewer than the cores, as from a small file."""
+    spark = rows.sparkSession
+    wanted = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BATCH))
+    if wanted < 2 or rows.select(F.spark_partition_id()).distinct().count() >= min(wanted, spark.sparkContext.defaultParallelism):
+        return rows
+    return rows.repartition(wanted)
+
+
 def pieces(size: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of rows with BATCH rows and PIECE_BYTES of text at most; a longer text stands alone."""
     ends, first = np.cumsum(size, dtype=np.int64), 0
@@ -54,19 +88,17 @@ def build(docs: DataFrame, doc_id: str, text: str, folder: str | None = None) ->
         for batch in batches:
             for first, last in pieces(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()):
                 part = batch.slice(first, last - first)
-                own = [grams_of(t or "") for t in part.column(1).to_pylist()]
-                if not own:
+                part = part.take(pc.sort_indices(part.column(0)))
+                gram, place = grams_of_texts([t or "" for t in part.column(1).to_pylist()])
+                if not len(gram):
                     continue
-                gram = np.concatenate(own)
-                ids = np.repeat(part.column(0).to_numpy(), [len(g) for g in own])
-                order = np.lexsort((ids, gram))
-                gram, ids = gram[order], ids[order]
+                ids = part.column(0).to_numpy()[place]
                 begin = np.flatnonzero(np.diff(gram, prepend=-1))
                 offsets = pa.array(np.append(begin, len(gram)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(gram[begin]), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=POSTINGS.names)
 
     known = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.lower(text).alias("text"))
-    known.mapInArrow(run, POSTINGS).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(folder)
+    spread(known).mapInArrow(run, POSTINGS).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(folder)
     return spark.read.schema(POSTINGS).parquet(folder)
 
 
@@ -81,9 +113,11 @@ def candidates(postings: DataFrame, terms: list[str]) -> DataFrame:
     picked = [(t, g) for t in terms for own in [[int(g) for g in grams_of(t)]] if all(g in often for g in own) for g in sorted(own, key=lambda g: (often[g], g))[:RAREST]]
     if not picked:
         return wanted.select("term", F.col("gram").alias("id")).limit(0)
-    need = spark.createDataFrame([(t, sum(x == t for x, _ in picked)) for t in {t for t, _ in picked}], "term string, need int")
-    few = postings.filter(F.col("gram").isin(sorted({g for _, g in picked}))).join(F.broadcast(spark.createDataFrame(picked, "term string, gram long")), "gram")
-    have = few.select("term", F.explode("ids").alias("id"), "gram").groupBy("term", "id").agg(F.countDistinct("gram").alias("have"))
+    # A bit for each picked trigram of a term: ids are met once, however often a list repeats them.
+    bits = [(t, g, 1 << [h for x, h in picked if x == t].index(g)) for t, g in picked]
+    need = spark.createDataFrame([(t, (1 << sum(x == t for x, _ in picked)) - 1) for t in {t for t, _ in picked}], "term string, need int")
+    few = postings.filter(F.col("gram").isin(sorted({g for _, g in picked}))).join(F.broadcast(spark.createDataFrame(bits, "term string, gram long, bit int")), "gram")
+    have = few.select("term", F.explode("ids").alias("id"), "bit").groupBy("term", "id").agg(F.bit_or("bit").alias("have"))
     return have.join(F.broadcast(need), "term").filter("have = need").select("term", "id")
 
 
@@ -98,7 +132,7 @@ def search(docs: DataFrame, postings: DataFrame, terms: list[str], doc_id: str,
     without_id = docs.filter(F.col(doc_id).isNull()).join(F.broadcast(names.filter(F.length("_low") >= 3)), body.contains(F.col("_low")))
     out = short.unionByName(without_id)
     if long:
-        found = candidates(postings, long).select(F.col("term").alias("_low"), F.col("id").alias("_id"))
+        found = cut(candidates(postings, long).select(F.col("term").alias("_low"), F.col("id").alias("_id")))  # counted and joined
         found = F.broadcast(found) if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else found
         verified = docs.join(found, docs[doc_id] == F.col("_id")).filter(body.contains(F.col("_low"))).join(F.broadcast(names), "_low")
         out = out.unionByName(verified.select(*docs.columns, "term", "_low"))
